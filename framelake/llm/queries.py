@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .exact_dedup import OP5_SQL, op5_exact_dedup
 from .packing import op1_packing
+from .sharding import op2_sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_sharding": op2_sharding,
+    "op5_exact_dedup": op5_exact_dedup,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op5_exact_dedup": OP5_SQL,
+}
