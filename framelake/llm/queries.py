@@ -8,12 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import OP5_SQL, op5_exact_dedup
 from .packing import op1_packing
+from .quality import op9_quality_classifier
 from .sharding import op2_sharding
+from .toxicity import op10_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_sharding": op2_sharding,
     "op5_exact_dedup": op5_exact_dedup,
+    "op9_quality_classifier": op9_quality_classifier,
+    "op10_toxicity": op10_toxicity,
 }
 
 SQL: dict[str, str] = {
