@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontamination import op4_benchmark_decontamination
 from .exact_dedup import OP5_SQL, op5_exact_dedup
 from .packing import op1_packing
 from .quality import op9_quality_classifier
@@ -15,6 +16,7 @@ from .toxicity import op10_toxicity
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_sharding": op2_sharding,
+    "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_exact_dedup": op5_exact_dedup,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_toxicity": op10_toxicity,
