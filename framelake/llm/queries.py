@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import op4_benchmark_decontamination
 from .exact_dedup import OP5_SQL, op5_exact_dedup
+from .ngram_join import op7_ngram_jaccard_join
 from .packing import op1_packing
 from .quality import op9_quality_classifier
 from .sharding import op2_sharding
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_toxicity": op10_toxicity,
 }
