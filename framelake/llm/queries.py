@@ -10,6 +10,7 @@ from .decontamination import op4_benchmark_decontamination
 from .exact_dedup import OP5_SQL, op5_exact_dedup
 from .ngram_join import op7_ngram_jaccard_join
 from .packing import op1_packing
+from .pii import op8_pii
 from .quality import op9_quality_classifier
 from .sharding import op2_sharding
 from .toxicity import op10_toxicity
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
+    "op8_pii": op8_pii,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_toxicity": op10_toxicity,
 }
