@@ -12,12 +12,14 @@ from .ngram_join import op7_ngram_jaccard_join
 from .packing import op1_packing
 from .pii import op8_pii
 from .quality import op9_quality_classifier
+from .secrets import op3_secret_scan
 from .sharding import op2_sharding
 from .toxicity import op10_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_sharding": op2_sharding,
+    "op3_secret_scan": op3_secret_scan,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
