@@ -14,6 +14,7 @@ from .pii import op8_pii
 from .quality import op9_quality_classifier
 from .secrets import op3_secret_scan
 from .sharding import op2_sharding
+from .suffix_dedup import op6_suffix_array_dedup
 from .toxicity import op10_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secret_scan": op3_secret_scan,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_pii": op8_pii,
     "op9_quality_classifier": op9_quality_classifier,
