@@ -35,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import materialise
@@ -46,8 +46,9 @@ from .tables import read
 
 WORDS = 5
 PERCENT = 80
-SKETCH_BITS = 18
-PARITY_BITS = 256
+SKETCH_BITS = 22
+SKETCH_PART = 1 << 16
+PARITY_BITS = (256, 16384)
 REGION_ROWS = 2000
 BLOCK_ROWS = 20_000
 THINNINGS = 8
@@ -77,89 +78,157 @@ def _bucket(grams: np.ndarray) -> np.ndarray:
 
 
 def gram_counts(docs: DataFrame, words: int) -> np.ndarray:
-    """Documents with an n-gram of each bucket, over all rows; an array of fixed size."""
+    """Documents with an n-gram of each bucket, over all rows, up to 255; an array of fixed size.
+
+    Tasks send their counts in parts; the parts' sums are made as they stream by.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
+        total = np.zeros(1 << SKETCH_BITS, np.int32)
         for batch in batches:
             for grams in _sets(batch.column(0), words):
                 np.add.at(total, _bucket(grams), 1)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["bucket", "n"])
+        counts = np.minimum(total, 255).astype(np.uint8)
+        parts = [counts[a : a + SKETCH_PART].tobytes() for a in range(0, len(counts), SKETCH_PART)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int64()), pa.array(parts, pa.binary())], ["part", "counts"])
 
-    found = docs.select(F.col("text").cast("string")).mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(1 << SKETCH_BITS, np.int64)
-    out[found["bucket"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
+                more = np.frombuffer(counts.as_buffer(), np.uint8)
+                sums[part] = np.minimum(sums.get(part, 0) + more.astype(np.int32), 255)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.astype(np.uint8).tobytes() for x in sums.values()], pa.binary())], ["part", "counts"])
+
+    kind = "part long, counts binary"
+    found = docs.select(F.col("text").cast("string")).mapInArrow(count, kind).repartition("part").mapInArrow(add, kind).toPandas()
+    out = np.zeros(1 << SKETCH_BITS, np.uint8)
+    for part, counts in zip(found["part"], found["counts"]):
+        out[part * SKETCH_PART : (part + 1) * SKETCH_PART] = np.frombuffer(counts, np.uint8)
     return out
 
 
+def parity_sketch(grams: np.ndarray) -> bytes:
+    """Parities of the counts of n-grams in 2**k places; more places for larger sets.
+
+    Sketches of different length compare after folding the longer one.
+    """
+    places = min(max(PARITY_BITS[0], 1 << max(0, len(grams) // 2).bit_length()), PARITY_BITS[1])
+    odd = np.bincount((grams & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
 def least_overlap(n: np.ndarray | int, percent: int) -> np.ndarray | int:
     """The fewest common n-grams with any partner of a set of n."""
     return -(-n * percent // 100)
 
 
 def document_sets(docs: DataFrame, words: int, percent: int, order: np.ndarray) -> DataFrame:
-    """__row, doc_id, n_shingles, set_key, parity, pivots (the n-grams whose regions the document joins) and shingles."""
+    """__row, doc_id, n_shingles, set_key, parity and pivots (the n-grams whose regions the document joins); the sets themselves are not stored."""
     shared = docs.sparkSession.sparkContext.broadcast(order)
-    schema = pa.schema([("__row", pa.int64()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("parity", pa.binary()), ("pivots", pa.list_(pa.int64())), ("shingles", pa.binary())])
+    schema = pa.schema([("__row", pa.int64()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("parity", pa.binary()), ("pivots", pa.list_(pa.int64()))])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
         for batch in batches:
-            sizes, keys, parities, pivots, sets = [], [], [], [], []
+            sizes, keys, parities, pivots = [], [], [], []
             for grams in _sets(batch.column(2), words):
                 n = len(grams)
                 first = grams[np.lexsort((grams, counts[_bucket(grams)]))[: n - least_overlap(n, percent) + 1]] if n else grams
-                odd = np.bincount((grams & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1
                 sizes.append(n)
                 keys.append(hashlib.md5(grams.tobytes()).digest())
-                parities.append(np.packbits(odd.astype(np.uint8)).tobytes())
+                parities.append(parity_sketch(grams))
                 pivots.append(first.view(np.int64))
-                sets.append(grams.tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(parities, pa.binary()), pa.array(pivots, pa.list_(pa.int64())), pa.array(sets, pa.binary())],
+                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(parities, pa.binary()), pa.array(pivots, pa.list_(pa.int64()))],
                 schema=schema,
             )
 
     rows = docs.select(F.monotonically_increasing_id().alias("__row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string"))
-    return materialise(rows.mapInArrow(build, "__row long, doc_id long, n_shingles long, set_key binary, parity binary, pivots array<long>, shingles binary"), "sets")
+    return materialise(rows.mapInArrow(build, "__row long, doc_id long, n_shingles long, set_key binary, parity binary, pivots array<long>"), "sets")
 
 
-def regions(sets: DataFrame) -> DataFrame:
-    """(region, set_key, n_shingles, parity) of regions with at least two sets, each list of members once."""
-    rows = sets.filter("n_shingles > 0").select(F.explode("pivots").alias("region"), F.xxhash64("set_key").alias("__h"))
-    seen = rows.groupBy("region").agg(
+def _once(members: DataFrame) -> DataFrame:
+    """One region for each list of members; ``members`` has region and __h, a hash of the member."""
+    lists = members.groupBy("region").agg(
         F.count("*").alias("n"), F.min("__h").alias("low"), F.max("__h").alias("high"), F.bit_xor("__h").alias("x"), F.sum(F.pmod("__h", F.lit(1 << 31))).alias("s")
-    ).filter("low < high")
-    once = seen.groupBy("n", "low", "high", "x", "s").agg(F.min("region").alias("region")).select("region")
-    once = materialise(once, "regions")
+    )
+    return lists.filter("low < high").groupBy("n", "low", "high", "x", "s").agg(F.min("region").alias("region")).select("region")
+
+
+def _inside(members: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The rows of ``members`` whose region is in ``chosen``; a filter leaves out most others before the join."""
     key = F.xxhash64("region")
-    members = sets.filter("n_shingles > 0").select(F.explode("pivots").alias("region"), "set_key", "n_shingles", "parity")
-    members = bitfilter.test(members, key, bitfilter.build(once, key), "__in").filter("__in").drop("__in")
-    return members.join(once, "region", "left_semi").groupBy("region", "set_key").agg(F.first("n_shingles").alias("n_shingles"), F.first("parity").alias("parity"))
+    return bitfilter.test(members, key, bitfilter.build(chosen, key), "__in").filter("__in").drop("__in").join(chosen, "region", "left_semi")
+
+
+def regions(sets: DataFrame) -> DataFrame:
+    """(region, set_key, n_shingles, parity) of regions with at least two sets, each list of members once."""
+    full = sets.filter("n_shingles > 0")
+    rows = full.select(F.explode("pivots").alias("region"), F.xxhash64("set_key").alias("__h"))
+    shared = rows.groupBy("region").agg(F.min("__h").alias("low"), F.max("__h").alias("high")).filter("low < high").select("region")
+    once = materialise(_once(_inside(rows, materialise(shared, "shared"))), "regions")
+    members = full.select(F.explode("pivots").alias("region"), "set_key", "n_shingles", "parity")
+    return _inside(members, once).groupBy("region", "set_key").agg(F.first("n_shingles").alias("n_shingles"), F.first("parity").alias("parity"))
+
+
+def _row_key() -> Column:
+    """A key of __row, whose upper bits are a partition and lower ones a place in it."""
+    return F.shiftright("__row", 33) * 1000003 + F.col("__row").bitwiseAND(F.lit((1 << 33) - 1))
+
+
+def shingle_sets(docs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
+    """(__row, shingles) of the rows of ``docs`` that are in ``rows``, and of few others."""
+    built = bitfilter.build(rows, _row_key()).toPandas()
+    bits = np.zeros(bitfilter.BITS // 64, np.uint64)
+    bits[built["__word"].to_numpy(np.int64)] = built["__bits"].to_numpy(np.int64).view(np.uint64)
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for batch in batches:
+            row = batch.column(0).to_numpy()
+            place = ((row >> 33) * 1000003 + (row & ((1 << 33) - 1))) % bitfilter.BITS
+            hit = (bits[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) == 1
+            batch = batch.filter(pa.array(hit))
+            for a in range(0, len(batch), 256):
+                some = batch.slice(a, 256)
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([g.tobytes() for g in _sets(some.column(1), words)], pa.binary())], ["__row", "shingles"])
+
+    return docs.select(F.monotonically_increasing_id().alias("__row"), F.col("text").cast("string")).mapInArrow(build, "__row long, shingles binary")
 
 
-def _may_link(n: np.ndarray, parity: np.ndarray, i: int, percent: int) -> np.ndarray:
-    """Which sets may be within the threshold of set i, by size and parity sketch; never misses one."""
-    small, large = np.minimum(n, n[i]), np.maximum(n, n[i])
-    apart = np.bitwise_count(parity ^ parity[i]).sum(1, dtype=np.int64)
-    total = n + n[i]
-    # |A ^ B| = |A| + |B| - 2 |A & B|, and the threshold needs |A & B| >= percent * total / (100 + percent)
-    return (100 * small >= percent * large) & (apart * (100 + percent) <= (100 - percent) * total)
+def _fold(sketches: np.ndarray, width: int) -> np.ndarray:
+    return np.bitwise_xor.reduce(sketches.reshape(len(sketches), -1, width), axis=1)
 
 
 def _candidates(members: pd.DataFrame, percent: int) -> np.ndarray:
-    """Members of one region that may link with another one."""
+    """Members of one region that may be within the threshold of another one, by size and sketch; misses none."""
     n = members["n_shingles"].to_numpy()
-    parity = np.frombuffer(b"".join(members["parity"]), np.uint64).reshape(len(n), -1)
+    raw = members["parity"].tolist()
+    width = np.array([len(x) // 8 for x in raw])
+    classes = {int(w): np.flatnonzero(width == w) for w in np.unique(width)}
+    sketches = {w: np.frombuffer(b"".join(raw[i] for i in at), np.uint64).reshape(-1, w) for w, at in classes.items()}
+    folded: dict[tuple[int, int], np.ndarray] = {}
     out = np.zeros(len(n), bool)
     for i in range(len(n)):
-        if not out[i]:
-            may = _may_link(n, parity, i, percent)
-            may[i] = False
-            if may.any():
+        if out[i]:
+            continue
+        for w, at in classes.items():
+            near = 100 * np.minimum(n[at], n[i]) >= percent * np.maximum(n[at], n[i])
+            near[at == i] = False
+            if not near.any():
+                continue
+            least = min(w, int(width[i]))
+            if (w, least) not in folded:
+                folded[w, least] = _fold(sketches[w], least)
+            own = _fold(np.frombuffer(raw[i], np.uint64)[None, :], least)
+            apart = np.bitwise_count(folded[w, least][near] ^ own).sum(1, dtype=np.int64)
+            # |A ^ B| = |A| + |B| - 2 |A & B|, and the threshold needs |A & B| >= percent * (|A| + |B|) / (100 + percent)
+            may = at[near][apart * (100 + percent) <= (100 - percent) * (n[at][near] + n[i])]
+            if len(may):
                 out[i] = True
-                out |= may
+                out[may] = True
     return out
 
 
@@ -221,9 +290,10 @@ class RegionJoin:
         return [(i, self.find(i)) for i in range(len(self.sets)) if self.find(i) != i]
 
 
-def _blocks(rows: DataFrame, size: int) -> DataFrame:
-    """``rows`` with __block: whole regions, about ``size`` rows in each block."""
-    return rows.withColumn("__block", F.pmod(F.xxhash64("region"), F.lit(-(-rows.count() // size) or 1)))
+def _blocks(rows: DataFrame, size: int, count: int | None = None) -> DataFrame:
+    """``rows`` with __block: whole regions, about ``size`` rows in each block; ``count`` is their number if known."""
+    count = rows.count() if count is None else count
+    return rows.withColumn("__block", F.pmod(F.xxhash64("region"), F.lit(-(-count // size) or 1)))
 
 
 def _shortlist(members: DataFrame, percent: int) -> DataFrame:
@@ -234,7 +304,7 @@ def _shortlist(members: DataFrame, percent: int) -> DataFrame:
     return _blocks(members, BLOCK_ROWS).groupBy("__block").applyInPandas(sift, "region long, set_key binary")
 
 
-def _region_links(rows: DataFrame, percent: int, size: int) -> DataFrame:
+def _region_links(rows: DataFrame, percent: int, size: int, count: int | None = None) -> DataFrame:
     """(a, b) links inside the regions of ``rows`` (region, set_key, shingles)."""
 
     def match(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -246,7 +316,7 @@ def _region_links(rows: DataFrame, percent: int, size: int) -> DataFrame:
             out += [(keys[i], keys[j]) for i, j in found]
         return pd.DataFrame(out, columns=["a", "b"])
 
-    return _blocks(rows, size).groupBy("__block").applyInPandas(match, "a binary, b binary")
+    return _blocks(rows, size, count).groupBy("__block").applyInPandas(match, "a binary, b binary")
 
 
 def _distances(rows: DataFrame, percent: int) -> DataFrame:
@@ -300,28 +370,28 @@ def _large_region_links(rows: DataFrame, percent: int) -> DataFrame:
     return links
 
 
-def set_links(sets: DataFrame, percent: int) -> DataFrame:
+def set_links(docs: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
     """(a, b) links between different sets that connect every component."""
     members = materialise(regions(sets), "members")
     size = members.groupBy("region").agg((F.count("*") > REGION_ROWS).alias("__large"))
     sized = members.join(size, "region")
     large = sized.filter("__large").select("region", "set_key")
     chosen = materialise(_shortlist(sized.filter(~F.col("__large")).drop("__large"), percent).withColumn("__large", F.lit(False)).unionByName(large.withColumn("__large", F.lit(True))), "chosen")
-    key = F.xxhash64("set_key")
-    own = sets.select("set_key", "shingles")
-    own = bitfilter.test(own, key, bitfilter.build(chosen, key), "__in").filter("__in").groupBy("set_key").agg(F.first("shingles").alias("shingles"))
-    rows = materialise(chosen.join(own, "set_key").select("region", "set_key", "shingles", "__large"), "region-sets")
-    links = _region_links(rows.filter(~F.col("__large")).drop("__large"), percent, REGION_ROWS)
-    big = rows.filter("__large").drop("__large")
-    if big.take(1):
-        links = links.unionByName(_large_region_links(big, percent))
+    once = _once(chosen.select("region", F.xxhash64("set_key").alias("__h")))
+    # of equal sets the first row is read again
+    first = sets.filter("n_shingles > 0").groupBy("set_key").agg(F.min("__row").alias("__row"))
+    chosen = materialise(chosen.join(once, "region", "left_semi").join(first, "set_key"), "chosen")
+    rows = chosen.join(shingle_sets(docs, chosen, words), "__row").drop("__row")
+    links = _region_links(rows.filter(~F.col("__large")).drop("__large"), percent, REGION_ROWS, chosen.count())
+    if chosen.filter("__large").take(1):
+        links = links.unionByName(_large_region_links(materialise(rows.filter("__large").drop("__large"), "large"), percent))
     return links
 
 
 def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """__row, doc_id, n_shingles, component_id and first (whether the row is its component's first by doc_id, then place)."""
     sets = document_sets(docs, words, percent, gram_counts(docs, words))
-    roots = materialise(connected(set_links(sets, percent)), "roots")
+    roots = materialise(connected(set_links(docs, sets, words, percent)), "roots")
     rows = sets.select("__row", "doc_id", "n_shingles", "set_key")
     full = rows.filter("n_shingles > 0").join(roots.select(F.col("node").alias("set_key"), "root"), "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("__row").alias("row"))
