@@ -5,15 +5,15 @@ a join exactly.  Over a whole corpus, though, nearly all distances are 1 and
 such windows would copy every document into every region.  So the first split
 takes single n-grams as pivots: two sets within the threshold share one of the
 first few n-grams of each, in an order that puts rare ones first, and a
-document belongs to the regions of those.  Inside a region distances spread,
+document belongs to the regions of those, by its size.  Inside a region distances spread,
 and the metric join goes on as named: pivots are chosen, documents go to the
 nearest one and, by the window of twice the threshold, to those whose region
 they may reach into; regions join recursively, and a region that windows cannot
 split is compared directly.  Only links that join two parts are kept, so a
 group of copies gives as many links as it has texts and no more.
 
-Steps: count n-grams into a sketch of fixed size (it only sets the order, so it
-need not be exact); build each document's set; collapse equal sets; regions of
+Steps: count words and n-grams into sketches of fixed size (they only set the
+order, so they need not be exact); build each document's set; collapse equal sets; regions of
 two or more sets, each list of members once; drop members that sizes and parity
 sketches show to be too far from all others; join the rest on their sets.  A
 region of more than ``REGION_ROWS`` sets is first thinned around pivots by
@@ -30,6 +30,7 @@ not matter.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,8 +47,9 @@ from .tables import read
 
 WORDS = 5
 PERCENT = 80
-SKETCH_BITS = 22
-SKETCH_PART = 1 << 16
+GRAM_BITS = 20
+WORD_BITS = 18
+SKETCH_PART = 1 << 12
 PARITY_BITS = (256, 16384)
 REGION_ROWS = 2000
 BLOCK_ROWS = 20_000
@@ -59,53 +61,82 @@ _lower = np.arange(256, dtype=np.uint8)
 _lower[65:91] += 32
 
 
-def _sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
-    """The sorted n-gram hashes of each text."""
+def _documents(column: pa.Array, words: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The word hashes and the n-gram hashes of each text, in the order of the text."""
     for a, b, data, offsets in text_runs(column):
         start, end, first = word_spans(data, offsets, _word_bytes)
         hashes = span_hashes(prefix_hashes(BYTE_VALUE[_lower[data]]), start, end)
         prefix = prefix_hashes(hashes)
         for x, y in zip(first[:-1], first[1:]):
-            if x == y:
-                yield np.zeros(0, np.uint64)
-            else:
-                at = np.arange(x, max(y - words + 1, x + 1))
-                yield np.unique(span_hashes(prefix, at, np.minimum(at + words, y)))
+            at = np.arange(x, max(y - words + 1, x + 1) if x < y else x)
+            yield hashes[x:y], span_hashes(prefix, at, np.minimum(at + words, y))
+
+
+def _sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
+    """The sorted n-gram hashes of each text."""
+    for _, grams in _documents(column, words):
+        yield np.unique(grams)
 
 
-def _bucket(grams: np.ndarray) -> np.ndarray:
-    return (grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+def _bucket(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def gram_counts(docs: DataFrame, words: int) -> np.ndarray:
-    """Documents with an n-gram of each bucket, over all rows, up to 255; an array of fixed size.
+class Rarity:
+    """An order of n-grams, rare ones first, from two sketches of fixed size.
 
-    Tasks send their counts in parts; the parts' sums are made as they stream by.
+    An n-gram is taken to be as frequent as its words make it, or as its own
+    bucket shows where that stands out from what chance puts into buckets.  The
+    estimate, in 256ths of a binary logarithm, depends on the n-gram alone, so
+    all documents order their n-grams alike; it need not be exact.
     """
 
+    def __init__(self, word_counts: np.ndarray, gram_counts: np.ndarray) -> None:
+        total = max(int(word_counts.sum()), 1)
+        usual = float(np.median(gram_counts))
+        excess = np.maximum(gram_counts - usual - 4 * usual**0.5, 0)
+        self.total = round(256 * np.log2(total))
+        self.word = np.round(256 * np.log2(np.maximum(word_counts, 1) / total)).astype(np.int16)
+        self.gram = np.round(256 * np.log2(1 + excess)).astype(np.int16)
+
+    def __call__(self, hashes: np.ndarray, grams: np.ndarray, words: int) -> np.ndarray:
+        """The estimate of each n-gram of a text with these word hashes."""
+        sums = np.concatenate([np.zeros(1, np.int64), np.cumsum(self.word[_bucket(hashes, WORD_BITS)], dtype=np.int64)])
+        at = np.arange(len(grams))
+        by_words = self.total + sums[np.minimum(at + words, len(hashes))] - sums[at]
+        return np.maximum(by_words, self.gram[_bucket(grams, GRAM_BITS)])
+
+
+def rarity(docs: DataFrame, words: int) -> Rarity:
+    """Counts of words, and of documents with an n-gram, by bucket, over all rows.
+
+    Tasks send their counts in parts; the parts' sums are made as they stream
+    by, and arrays of fixed size come to the driver.
+    """
+    n_grams, n_words = 1 << GRAM_BITS, 1 << WORD_BITS
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH_BITS, np.int32)
+        total = np.zeros(n_grams + n_words, np.uint32)
         for batch in batches:
-            for grams in _sets(batch.column(0), words):
-                np.add.at(total, _bucket(grams), 1)
-        counts = np.minimum(total, 255).astype(np.uint8)
-        parts = [counts[a : a + SKETCH_PART].tobytes() for a in range(0, len(counts), SKETCH_PART)]
+            for hashes, grams in _documents(batch.column(0), words):
+                np.add.at(total, _bucket(np.unique(grams), GRAM_BITS), 1)
+                np.add.at(total, n_grams + _bucket(hashes, WORD_BITS), 1)
+        parts = [total[a : a + SKETCH_PART].tobytes() for a in range(0, len(total), SKETCH_PART)]
         yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int64()), pa.array(parts, pa.binary())], ["part", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
-                more = np.frombuffer(counts.as_buffer(), np.uint8)
-                sums[part] = np.minimum(sums.get(part, 0) + more.astype(np.int32), 255)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.astype(np.uint8).tobytes() for x in sums.values()], pa.binary())], ["part", "counts"])
+                sums[part] = sums.get(part, 0) + np.frombuffer(counts.as_buffer(), np.uint32).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["part", "counts"])
 
     kind = "part long, counts binary"
     found = docs.select(F.col("text").cast("string")).mapInArrow(count, kind).repartition("part").mapInArrow(add, kind).toPandas()
-    out = np.zeros(1 << SKETCH_BITS, np.uint8)
+    total = np.zeros(n_grams + n_words, np.int64)
     for part, counts in zip(found["part"], found["counts"]):
-        out[part * SKETCH_PART : (part + 1) * SKETCH_PART] = np.frombuffer(counts, np.uint8)
-    return out
+        total[part * SKETCH_PART : (part + 1) * SKETCH_PART] = np.frombuffer(counts, np.int64)
+    return Rarity(total[n_grams:], total[:n_grams])
 
 
 def parity_sketch(grams: np.ndarray) -> bytes:
@@ -123,18 +154,19 @@ def least_overlap(n: np.ndarray | int, percent: int) -> np.ndarray | int:
     return -(-n * percent // 100)
 
 
-def document_sets(docs: DataFrame, words: int, percent: int, order: np.ndarray) -> DataFrame:
+def document_sets(docs: DataFrame, words: int, percent: int, order: Rarity) -> DataFrame:
     """__row, doc_id, n_shingles, set_key, parity and pivots (the n-grams whose regions the document joins); the sets themselves are not stored."""
     shared = docs.sparkSession.sparkContext.broadcast(order)
     schema = pa.schema([("__row", pa.int64()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("parity", pa.binary()), ("pivots", pa.list_(pa.int64()))])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = shared.value
         for batch in batches:
             sizes, keys, parities, pivots = [], [], [], []
-            for grams in _sets(batch.column(2), words):
+            for hashes, grams in _documents(batch.column(2), words):
+                estimate = shared.value(hashes, grams, words)
+                grams, at = np.unique(grams, return_index=True)
                 n = len(grams)
-                first = grams[np.lexsort((grams, counts[_bucket(grams)]))[: n - least_overlap(n, percent) + 1]] if n else grams
+                first = grams[np.lexsort((grams, estimate[at]))[: n - least_overlap(n, percent) + 1]] if n else grams
                 sizes.append(n)
                 keys.append(hashlib.md5(grams.tobytes()).digest())
                 parities.append(parity_sketch(grams))
@@ -162,13 +194,30 @@ def _inside(members: DataFrame, chosen: DataFrame) -> DataFrame:
     return bitfilter.test(members, key, bitfilter.build(chosen, key), "__in").filter("__in").drop("__in").join(chosen, "region", "left_semi")
 
 
-def regions(sets: DataFrame) -> DataFrame:
-    """(region, set_key, n_shingles, parity) of regions with at least two sets, each list of members once."""
+def _size_classes(percent: int) -> Column:
+    """Both classes that a set of n n-grams is entered under; sets within the threshold share one at least.
+
+    A class spans a factor of 100 / percent in size, so partners' classes
+    differ by one at most, and each set also goes to the class below its own.
+    """
+    width = max(math.log(100 / percent), 0.01) * (1 + 1e-9)
+    own = F.floor(F.log("n_shingles") / width)
+    return F.explode(F.array(own, own - 1)).alias("__class")
+
+
+def regions(sets: DataFrame, percent: int) -> DataFrame:
+    """(region, set_key, n_shingles, parity) of regions with at least two sets, each list of members once.
+
+    A region is one pivot and one class of sizes: what differs too much in size
+    to be linked does not meet, however common the pivot is.
+    """
     full = sets.filter("n_shingles > 0")
-    rows = full.select(F.explode("pivots").alias("region"), F.xxhash64("set_key").alias("__h"))
+    rows = full.select(F.explode("pivots").alias("region"), "n_shingles", F.xxhash64("set_key").alias("__h"))
     shared = rows.groupBy("region").agg(F.min("__h").alias("low"), F.max("__h").alias("high")).filter("low < high").select("region")
-    once = materialise(_once(_inside(rows, materialise(shared, "shared"))), "regions")
-    members = full.select(F.explode("pivots").alias("region"), "set_key", "n_shingles", "parity")
+    sized = _inside(rows, materialise(shared, "shared")).select("region", "__h", _size_classes(percent))
+    once = materialise(_once(sized.select(F.xxhash64("region", "__class").alias("region"), "__h")), "regions")
+    members = full.select(F.explode("pivots").alias("region"), "set_key", "n_shingles", "parity").select("*", _size_classes(percent))
+    members = members.withColumn("region", F.xxhash64("region", "__class")).drop("__class")
     return _inside(members, once).groupBy("region", "set_key").agg(F.first("n_shingles").alias("n_shingles"), F.first("parity").alias("parity"))
 
 
@@ -372,7 +421,7 @@ def _large_region_links(rows: DataFrame, percent: int) -> DataFrame:
 
 def set_links(docs: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
     """(a, b) links between different sets that connect every component."""
-    members = materialise(regions(sets), "members")
+    members = materialise(regions(sets, percent), "members")
     size = members.groupBy("region").agg((F.count("*") > REGION_ROWS).alias("__large"))
     sized = members.join(size, "region")
     large = sized.filter("__large").select("region", "set_key")
@@ -390,7 +439,7 @@ def set_links(docs: DataFrame, sets: DataFrame, words: int, percent: int) -> Dat
 
 def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """__row, doc_id, n_shingles, component_id and first (whether the row is its component's first by doc_id, then place)."""
-    sets = document_sets(docs, words, percent, gram_counts(docs, words))
+    sets = document_sets(docs, words, percent, rarity(docs, words))
     roots = materialise(connected(set_links(docs, sets, words, percent)), "roots")
     rows = sets.select("__row", "doc_id", "n_shingles", "set_key")
     full = rows.filter("n_shingles > 0").join(roots.select(F.col("node").alias("set_key"), "root"), "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
