@@ -44,7 +44,8 @@ FILTER_BITS = 1 << 25
 HOT = 2000
 BLOCK = 1500
 _PLACES = 21
-_SLICE = 1 << 20
+#: Bytes that are hashed at a time; small enough for a core's cache.
+_SLICE = 1 << 15
 
 
 def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
