@@ -188,10 +188,17 @@ def _once(members: DataFrame) -> DataFrame:
     return lists.filter("low < high").groupBy("n", "low", "high", "x", "s").agg(F.min("region").alias("region")).select("region")
 
 
-def _inside(members: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The rows of ``members`` whose region is in ``chosen``; a filter leaves out most others before the join."""
+def _split(rows: DataFrame, chosen: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows whose region is in ``chosen``, and the others; a filter settles most rows before the join."""
     key = F.xxhash64("region")
-    return bitfilter.test(members, key, bitfilter.build(chosen, key), "__in").filter("__in").drop("__in").join(chosen, "region", "left_semi")
+    marked = bitfilter.test(rows, key, bitfilter.build(chosen, key), "__in")
+    maybe = marked.filter("__in").drop("__in")
+    outside = marked.filter(~F.col("__in")).drop("__in").unionByName(maybe.join(chosen, "region", "left_anti"))
+    return maybe.join(chosen, "region", "left_semi"), outside
+
+
+def _inside(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    return _split(rows, chosen)[0]
 
 
 def _size_classes(percent: int) -> Column:
@@ -345,12 +352,12 @@ def _blocks(rows: DataFrame, size: int, count: int | None = None) -> DataFrame:
     return rows.withColumn("__block", F.pmod(F.xxhash64("region"), F.lit(-(-count // size) or 1)))
 
 
-def _shortlist(members: DataFrame, percent: int) -> DataFrame:
+def _shortlist(members: DataFrame, percent: int, count: int) -> DataFrame:
     def sift(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         kept = [part[_candidates(part, percent)] for _, part in rows.groupby("region", sort=False)]
         return pd.concat(kept)[["region", "set_key"]] if kept else rows[["region", "set_key"]]
 
-    return _blocks(members, BLOCK_ROWS).groupBy("__block").applyInPandas(sift, "region long, set_key binary")
+    return _blocks(members, BLOCK_ROWS, count).groupBy("__block").applyInPandas(sift, "region long, set_key binary")
 
 
 def _region_links(rows: DataFrame, percent: int, size: int, count: int | None = None) -> DataFrame:
@@ -422,10 +429,11 @@ def _large_region_links(rows: DataFrame, percent: int) -> DataFrame:
 def set_links(docs: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
     """(a, b) links between different sets that connect every component."""
     members = materialise(regions(sets, percent), "members")
-    size = members.groupBy("region").agg((F.count("*") > REGION_ROWS).alias("__large"))
-    sized = members.join(size, "region")
-    large = sized.filter("__large").select("region", "set_key")
-    chosen = materialise(_shortlist(sized.filter(~F.col("__large")).drop("__large"), percent).withColumn("__large", F.lit(False)).unionByName(large.withColumn("__large", F.lit(True))), "chosen")
+    # how many regions are large is bounded by the members; a filter marks theirs, and no other row moves
+    crowded = materialise(members.groupBy("region").count().filter(F.col("count") > REGION_ROWS).select("region"), "crowded")
+    large, small = _split(members, crowded)
+    large = large.select("region", "set_key", F.lit(True).alias("__large"))
+    chosen = materialise(_shortlist(small, percent, members.count()).withColumn("__large", F.lit(False)).unionByName(large), "chosen")
     once = _once(chosen.select("region", F.xxhash64("set_key").alias("__h")))
     # of equal sets the first row is read again
     first = sets.filter("n_shingles > 0").groupBy("set_key").agg(F.min("__row").alias("__row"))

@@ -200,15 +200,30 @@ def equal_strings(parts: pd.DataFrame, length: int, gram: int, firsts: bool) ->
     and with ``firsts`` (hash, doc_id, row, start) of the first of every string.
     """
     owner, begin, where, text, at = [], [], [], [], 0
+    docs, rows, starts = parts["doc_id"].to_numpy(), parts["row"].to_numpy(), parts["start"].to_numpy()
+    repeats = []
     ranges = [(0, len(raw) - length + 1) for raw in parts["bytes"]] if firsts else _ranges(parts, length, gram)
+    earliest: dict[bytes, tuple[int, int]] = {}
     for k, ((x, y), raw) in enumerate(zip(ranges, parts["bytes"])):
-        if y > x:
-            piece = raw[x : y + length - 1]
-            owner.append(k)
-            begin.append(at)
-            where.append(x)
-            text.append(piece)
-            at += len(piece) + 1
+        if y <= x:
+            continue
+        piece = raw[x : y + length - 1]
+        have = earliest.get(piece)
+        if have is None:
+            earliest[piece] = k, x
+            continue
+        # of equal pieces the earliest enters the array, and all strings of the others repeat its own
+        j, z = have
+        if (docs[k], rows[k], starts[k] + x) < (docs[j], rows[j], starts[j] + z):
+            earliest[piece] = k, x
+            k, x = j, z
+        repeats.append((int(rows[k]), int(starts[k] + x), int(starts[k] + x) + len(piece)))
+    for piece, (k, x) in earliest.items():
+        owner.append(k)
+        begin.append(at)
+        where.append(x)
+        text.append(piece)
+        at += len(piece) + 1
     if not text:
         return [], []
     joined = b"\xff".join(text)
@@ -223,7 +238,6 @@ def equal_strings(parts: pd.DataFrame, length: int, gram: int, firsts: bool) ->
     for k in np.flatnonzero(hashes[1:] == hashes[:-1]).tolist():
         a, b = order[k], order[k + 1]
         equal[k + 1] = joined[a : a + length] == joined[b : b + length]
-    docs, rows, starts = parts["doc_id"].to_numpy(), parts["row"].to_numpy(), parts["start"].to_numpy()
     index = np.array(owner)[piece]
     place = starts[index] + np.array(where)[piece] + order - begins[piece]
     run = np.cumsum(~equal)
@@ -231,7 +245,6 @@ def equal_strings(parts: pd.DataFrame, length: int, gram: int, firsts: bool) ->
     first = np.ones(len(best), bool)
     first[1:] = run[best[1:]] != run[best[:-1]]
     later = best[~first]
-    repeats = []
     if len(later):
         key = np.lexsort((place[later], index[later]))
         own, spot = index[later][key], place[later][key]
@@ -239,7 +252,7 @@ def equal_strings(parts: pd.DataFrame, length: int, gram: int, firsts: bool) ->
         cut[1:] = (own[1:] != own[:-1]) | (spot[1:] != spot[:-1] + 1)
         heads = np.flatnonzero(cut)
         tails = np.append(heads[1:], len(own)) - 1
-        repeats = [(int(rows[o]), int(x), int(y) + length) for o, x, y in zip(own[heads], spot[heads], spot[tails])]
+        repeats += [(int(rows[o]), int(x), int(y) + length) for o, x, y in zip(own[heads], spot[heads], spot[tails])]
     kept = []
     if firsts:
         for k in best[first].tolist():
@@ -274,7 +287,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     several = kinds.groupBy("anchor").agg(F.count("*").alias("__kinds")).filter("__kinds > 1")
     varied = kinds.join(several, "anchor").select("anchor", F.col("lead").cast("int").alias("lead"), "segment", "__kinds", "first.doc_id", "first.row", "first.start")
     varied = materialise(varied, "varied")
-    parts = varied.join(segment_bytes(docs, varied, length, gram), ["row", "start"])
+    parts = materialise(varied.join(segment_bytes(docs, varied, length, gram), ["row", "start"]), "parts")
     blocks = -(-varied.count() // BLOCK) or 1
     cold = parts.filter(F.col("__kinds") <= HOT).withColumn("__block", F.pmod(F.xxhash64("anchor"), F.lit(blocks)))
     out = whole.unionByName(_block_repeats(cold, length, gram, False).select("row", "start", "end"))
