@@ -43,6 +43,8 @@ GRAM = 32
 FILTER_BITS = 1 << 25
 HOT = 2000
 BLOCK = 1500
+#: Left parts of strings fall into so many classes by length; more of them find the ranges that repeat more closely.
+CLASSES = 17
 _PLACES = 21
 #: Bytes that are hashed at a time; small enough for a core's cache.
 _SLICE = 1 << 15
@@ -170,13 +172,14 @@ def _ranges(parts: pd.DataFrame, length: int, gram: int) -> list[tuple[int, int]
     A string holds the anchor and something to its left and right; what all
     strings with nearly the same left part hold is compared first.
     """
-    step, room = (length - gram) // 4, length - gram
+    step, room = max((length - gram) // CLASSES, 1), length - gram
+    last = min(CLASSES, room + 1) - 1
     seen: Counter = Counter()
     keys = []
     for anchor, lead, raw in zip(parts["anchor"], parts["lead"], parts["bytes"]):
         own = []
-        for k in range(4):
-            least, most = k * step, room if k == 3 else k * step + step - 1
+        for k in range(last + 1):
+            least, most = k * step, room if k == last else k * step + step - 1
             x, y = lead - least, lead + length - most
             if x >= 0 and y <= len(raw):
                 key = (anchor, k, raw[x:y])
