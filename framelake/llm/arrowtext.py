@@ -63,7 +63,7 @@ def span_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nd
     return mix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(np.uint64) * MIX)
 
 
-def text_runs(column: pa.Array, limit: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_runs(column: pa.Array, limit: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of runs of rows; null texts are empty.
 
     ``offsets`` has one entry more than the run has rows and starts at 0.
