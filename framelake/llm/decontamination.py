@@ -1,6 +1,7 @@
 """Benchmark decontamination by template canonicalisation.
 
-Words are lower-cased runs of letters and digits.  Numbers, names (a capital
+Words are case-folded runs of letters and digits, by the rules of Unicode, so
+a copy in capitals has the same words.  Numbers, names (a capital
 after a word of the same sentence) and units are replaced by typed
 placeholders, and every run of ``window`` words becomes a template hash, in the
 benchmark as in the documents.  Document windows whose template is in the
@@ -51,8 +52,6 @@ UNITS = (
 _word_bytes = np.zeros(256, bool)
 _word_bytes[48:58] = _word_bytes[65:91] = _word_bytes[97:123] = True
 _word_bytes[128:] = True
-_lower = np.arange(256, dtype=np.uint8)
-_lower[65:91] += 32
 _digits = np.zeros(256, bool)
 _digits[48:58] = True
 _stops = np.zeros(256, bool)
@@ -70,10 +69,25 @@ def _hash_words(words: list[str]) -> np.ndarray:
 _UNIT_HASHES = np.sort(_hash_words(UNITS))
 
 
+def folded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of case-folded texts.
+
+    Word bytes fold to word bytes and others to themselves, so both versions of
+    a text have the same number of words.
+    """
+    raw, out = data.tobytes(), []
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+        text = raw[a:b]
+        out.append(text.lower() if text.isascii() else text.decode("utf-8", "surrogateescape").casefold().encode("utf-8", "surrogateescape"))
+    return np.frombuffer(b"".join(out), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in out], dtype=np.int64)])
+
+
 def templates(data: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
     """Canonical words of some texts: (document, place, word hash, kind, prefix over canonical words, first word of each document)."""
     start, end, first = word_spans(data, offsets, _word_bytes)
-    words = span_hashes(prefix_hashes(BYTE_VALUE[_lower[data]]), start, end)
+    low, ends = folded(data, offsets)
+    begin, stop, _ = word_spans(low, ends, _word_bytes)
+    words = span_hashes(prefix_hashes(BYTE_VALUE[low]), begin, stop)
     digits = np.concatenate([[0], np.cumsum(_digits[data])])
     stops = np.concatenate([[0], np.cumsum(_stops[data])])
     document = np.searchsorted(first[1:], np.arange(len(start)), "right")
