@@ -4,18 +4,22 @@ Words are case-folded runs of letters and digits, by the rules of Unicode, so
 a copy in capitals has the same words.  Numbers, names (a capital
 after a word of the same sentence) and units are replaced by typed
 placeholders, and every run of ``window`` words becomes a template hash, in the
-benchmark as in the documents.  Document windows whose template is in the
+benchmark as in the documents.  Whether a word is a name hangs on the text
+around it, so every window is also hashed in its literal form, all words as they
+are.  Document windows whose template is in the
 benchmark meet it in a hash join; before that a filter of fixed size, built from
-the benchmark, leaves out nearly all others.  Windows in which fewer than
-``literals`` words are left are no evidence and are skipped on both sides;
-shorter benchmark items are one window of their own length.
+the benchmark, leaves out nearly all others.  In the typed form windows with
+fewer than ``literals`` words left are no evidence and are skipped on both sides;
+in the literal form every window counts.  Shorter benchmark items are one window
+of their own length.
 
 Joined windows are lined up: those of one document and item with the same
-distance between their places form an alignment.  An alignment is a leak if it
-covers at least ``coverage`` of the item's windows or ``run`` of them, and its
-slots are consistent: each benchmark value stands for one value in the document
-and the other way round, so a re-parameterised question is caught and a chance
-meeting of templates is not.
+distance between their places form an alignment.  An alignment is a leak if its
+slots are consistent (each benchmark value stands for one value in the document
+and the other way round) and it covers at least ``coverage`` of the item's
+windows that count in the typed form, or ``run`` of them, so a re-parameterised
+question is caught and a chance meeting of templates is not; or if the windows
+met in literal form do so among all windows of the item.
 
 Defined results: null and empty texts have no windows; repeated documents and
 items are each reported; null ids are kept as values; no benchmark or no
@@ -83,7 +87,7 @@ def folded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def templates(data: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
-    """Canonical words of some texts: (document, place, word hash, kind, prefix over canonical words, first word of each document)."""
+    """Canonical words of some texts: (document, place, word hash, kind, prefixes over canonical and over literal words, first word of each document)."""
     start, end, first = word_spans(data, offsets, _word_bytes)
     low, ends = folded(data, offsets)
     begin, stop, _ = word_spans(low, ends, _word_bytes)
@@ -107,26 +111,29 @@ def templates(data: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.nd
         kind[unit] = _UNIT
         kind[number] = _NUMBER
     canonical = np.where(kind == _LITERAL, words, _PLACEHOLDER[kind])
-    return document, np.arange(len(start)) - first[document], words, kind, prefix_hashes(canonical), first
+    return document, np.arange(len(start)) - first[document], words, kind, prefix_hashes(canonical), prefix_hashes(words), first
 
 
 def windows(rows: DataFrame, carry: str, window: int = WINDOW, literals: int = LITERALS, only: np.ndarray | None = None, whole_if_shorter: bool = False) -> DataFrame:
-    """Template windows: ``carry``, __row, template, place, words (of the window), slots (value hashes at placeholders) and windows (of the text).
-
-    ``only`` is a filter's bits; windows outside it are left out.  Texts shorter
-    than a window give one window only with ``whole_if_shorter``, and texts
-    around it then give windows of every shorter length that an item has.
+    """Windows in both forms: ``carry``, __row, template, place, typed (whether words are replaced), counts, slots, windows and eligible.
+
+    ``counts`` says whether the window counts in the typed form, and ``eligible``
+    how many of the text's ``windows`` do.  A window without placeholders has
+    one form.  ``slots`` are the value hashes at placeholders.  ``only`` is a
+    filter's bits; windows outside it are left out.  Texts shorter than a window
+    give one window only with ``whole_if_shorter``, and texts around it then give
+    windows of every shorter length that an item has.
     """
     spark = rows.sparkSession
     shared = None if only is None else spark.sparkContext.broadcast(only)
-    fields = pa.schema([("__key", pa.int64()), ("__row", pa.int64()), ("template", pa.int64()), ("place", pa.int64()), ("slots", pa.list_(pa.int64())), ("windows", pa.int64())])
+    fields = pa.schema([("__key", pa.int64()), ("__row", pa.int64()), ("template", pa.int64()), ("place", pa.int64()), ("typed", pa.bool_()), ("counts", pa.bool_()), ("slots", pa.list_(pa.int64())), ("windows", pa.int64()), ("eligible", pa.int64())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = None if shared is None else shared.value
         for batch in batches:
             keys, numbers = batch.column(0), batch.column(1)
             for a, b, data, offsets in text_runs(batch.column(2)):
-                document, place, words, kind, prefix, first = templates(data, offsets, window)
+                document, place, words, kind, prefix, literal, first = templates(data, offsets, window)
                 size = np.diff(first)
                 at = np.arange(len(words))
                 length = np.minimum(window, size[document]) if whole_if_shorter else np.full(len(words), window)
@@ -135,23 +142,31 @@ def windows(rows: DataFrame, carry: str, window: int = WINDOW, literals: int = L
                 if not len(at):
                     continue
                 plain = np.concatenate([[0], np.cumsum(kind == _LITERAL)])
-                enough = plain[at + length] - plain[at] >= np.minimum(literals, length)
-                at, length = at[enough], length[enough]
-                found = span_hashes(prefix, at, at + length).view(np.int64)
+                left = plain[at + length] - plain[at]
+                counts = left >= np.minimum(literals, length)
+                eligible = np.bincount(document[at[counts]], minlength=len(size))
+                typed = np.flatnonzero(counts & (left < length))
+                found = np.concatenate([span_hashes(literal, at, at + length), span_hashes(prefix, at[typed], at[typed] + length[typed])]).view(np.int64)
+                of_window = np.concatenate([np.arange(len(at)), typed])
+                is_typed = np.arange(len(found)) >= len(at)
                 if bits is not None:
                     slot = found % np.int64(len(bits) * 64)
                     hit = (bits[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) == 1
-                    at, length, found = at[hit], length[hit], found[hit]
-                if not len(at):
+                    of_window, is_typed, found = of_window[hit], is_typed[hit], found[hit]
+                if not len(found):
                     continue
+                at, length, counts = at[of_window], length[of_window], counts[of_window]
                 values = words.view(np.int64)
                 slots = [values[i : i + n][kind[i : i + n] != _LITERAL] for i, n in zip(at, length)]
                 of = pa.array(document[at] + a)
                 count = np.maximum(size[document[at]] - window + 1, 1)
-                yield pa.RecordBatch.from_arrays([keys.take(of), numbers.take(of), pa.array(found), pa.array(place[at]), pa.array(slots, pa.list_(pa.int64())), pa.array(count)], schema=fields)
+                yield pa.RecordBatch.from_arrays(
+                    [keys.take(of), numbers.take(of), pa.array(found), pa.array(place[at]), pa.array(is_typed), pa.array(counts), pa.array(slots, pa.list_(pa.int64())), pa.array(count), pa.array(eligible[document[at]])],
+                    schema=fields,
+                )
 
     rows = rows.select(F.col(carry).cast("long").alias("__key"), F.monotonically_increasing_id().alias("__row"), F.col("text").cast("string"))
-    found = rows.mapInArrow(scan, "__key long, __row long, template long, place long, slots array<long>, windows long")
+    found = rows.mapInArrow(scan, "__key long, __row long, template long, place long, typed boolean, counts boolean, slots array<long>, windows long, eligible long")
     return found.withColumnRenamed("__key", carry)
 
 
@@ -172,20 +187,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literals:
     short = [r["n"] for r in benchmark.select(_word_count(F.col("text")).alias("n")).filter(f"n > 0 AND n < {window}").distinct().collect()]
     for n in sorted(short):
         found = found.unionByName(windows(docs, "doc_id", n, min(literals, n), only=bits))
-    items = items.select("item_id", F.col("__row").alias("__item"), "template", F.col("place").alias("__at"), F.col("slots").alias("__slots"), F.col("windows").alias("item_windows"))
-    joined = found.drop("windows").join(items, "template").withColumn("__shift", F.col("place") - F.col("__at"))
-    pairs = F.arrays_zip(F.col("__slots").alias("item"), F.col("slots").alias("doc"))
-    aligned = joined.groupBy("__row", "doc_id", "__item", "item_id", "__shift", "item_windows").agg(
-        F.count_distinct("place").alias("matched_windows"),
-        F.array_distinct(F.flatten(F.collect_set(pairs))).alias("__pairs"),
+    items = items.select("item_id", F.col("__row").alias("__item"), "template", "typed", "counts", F.col("place").alias("__at"), F.col("slots").alias("__slots"), "windows", "eligible")
+    joined = found.drop("windows", "eligible", "counts", "typed").join(items, "template").withColumn("__shift", F.col("place") - F.col("__at"))
+    # the words of a literal form are equal, whatever each side takes for a name
+    pairs = F.when(F.col("typed"), F.arrays_zip(F.col("__slots").alias("item"), F.col("slots").alias("doc"))).otherwise(F.transform("__slots", lambda x: F.struct(x.alias("item"), x.alias("doc"))))
+    verbatim = F.count_distinct(F.when(~F.col("typed"), F.col("place")))
+    counted = F.count_distinct(F.when(F.col("counts"), F.col("place")))
+    aligned = joined.groupBy("__row", "doc_id", "__item", "item_id", "__shift", "windows", "eligible").agg(
+        verbatim.alias("__verbatim"), counted.alias("__counted"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("__pairs")
     )
     one_way = lambda side: F.size(F.array_distinct(F.transform("__pairs", lambda p: p[side]))) == F.size("__pairs")
-    consistent = one_way("item") & one_way("doc")
-    enough = (F.col("matched_windows") >= F.col("item_windows") * coverage) | (F.col("matched_windows") >= run)
+    enough = lambda n, of: (F.col(n) > 0) & ((F.col(n) >= F.col(of) * coverage) | (F.col(n) >= run))
     changed = F.size(F.filter("__pairs", lambda p: p["item"] != p["doc"])).cast("long")
-    kept = aligned.filter(consistent & enough).withColumn("__changed", changed)
-    return kept.groupBy("__row", "doc_id", "__item", "item_id").agg(
-        F.max("matched_windows").alias("matched_windows"), F.max("item_windows").alias("item_windows"), F.min("__changed").alias("changed_slots")
+    typed = F.when(enough("__counted", "eligible") & one_way("item") & one_way("doc"), F.struct(F.col("__counted").alias("n"), (-changed).alias("same"), F.col("eligible").alias("of")))
+    literal = F.when(enough("__verbatim", "windows"), F.struct(F.col("__verbatim").alias("n"), F.lit(0).cast("long").alias("same"), F.col("windows").alias("of")))
+    kept = aligned.withColumn("__best", F.greatest(typed, literal)).filter(F.col("__best").isNotNull())
+    best = kept.groupBy("__row", "doc_id", "__item", "item_id").agg(F.max("__best").alias("__best"))
+    return best.select(
+        "__row", "doc_id", "__item", "item_id", F.col("__best.n").alias("matched_windows"), F.col("__best.of").alias("item_windows"), (-F.col("__best.same")).alias("changed_slots")
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pytest
 
@@ -41,3 +43,21 @@ def test_bytes_that_are_no_text_are_kept():
     raw = b"ab\xff\xfe CD \xc3\x89"
     low, _ = decontamination.folded(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
     assert low.tobytes() == b"ab\xff\xfe cd \xc3\xa9"
+
+
+PLAIN = "How many of the baskets does Maria fill. In Paris she sells 12 pears and keeps 7 apples; the rest goes to Peter in the old barn"
+
+
+def test_copies_are_leaks_whatever_looks_like_a_name(leaks):
+    items = [PLAIN, "Capital of the country beside the great river"]
+    bare = re.sub(r"[.;]", "", PLAIN)
+    docs = [bare, f"and so on\n{PLAIN.title()}", PLAIN.upper(), f"we ask for the {items[1]} again", "Capital of one other land by some small brook"]
+    assert set(leaks(docs, items)) == {(0, 0), (1, 0), (2, 0), (3, 1)}
+
+
+def test_windows_without_evidence_are_not_counted(leaks):
+    names = "we saw " + " ".join(f"Ann Bob Carl Dora Emil and Fritz {i}" for i in range(3)) + " before the long walk to the old mill with 15 friends"
+    other = re.sub(r"\bAnn\b", "Gert", names).replace("15", "26").replace("Bob", "Hans").replace("Carl", "Ida").replace("Dora", "Jan").replace("Emil", "Karl").replace("Fritz", "Lore")
+    found = leaks([names, other], [names])
+    assert found[0, 0].matched_windows == found[0, 0].item_windows == len(names.split()) - 7
+    assert found[1, 0].matched_windows == found[1, 0].item_windows < len(names.split()) - 7
