@@ -14,12 +14,14 @@ in the literal form every window counts.  Shorter benchmark items are one window
 of their own length.
 
 Joined windows are lined up: those of one document and item with the same
-distance between their places form an alignment.  An alignment is a leak if its
-slots are consistent (each benchmark value stands for one value in the document
-and the other way round) and it covers at least ``coverage`` of the item's
-windows that count in the typed form, or ``run`` of them, so a re-parameterised
-question is caught and a chance meeting of templates is not; or if the windows
-met in literal form do so among all windows of the item.
+distance between their places form an alignment.  In it each benchmark value
+stands for the document's value that most of the windows give it (of equals the
+unchanged one, then the least hash); several benchmark values may become one.
+A window counts if all its slots agree with that, or if none is changed.  An
+alignment is a leak if the windows that count cover at least ``coverage`` of the
+item's windows that can match in the typed form, or ``run`` of them, so a
+re-parameterised question is caught and a chance meeting of templates is not; or
+if the unchanged windows do so among all windows of the item.
 
 Defined results: null and empty texts have no windows; repeated documents and
 items are each reported; null ids are kept as values; no benchmark or no
@@ -28,6 +30,7 @@ documents give no rows; other columns are not carried.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -191,23 +194,43 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literals:
     joined = found.drop("windows", "eligible", "counts", "typed").join(items, "template").withColumn("__shift", F.col("place") - F.col("__at"))
     # the words of a literal form are equal, whatever each side takes for a name
     pairs = F.when(F.col("typed"), F.arrays_zip(F.col("__slots").alias("item"), F.col("slots").alias("doc"))).otherwise(F.transform("__slots", lambda x: F.struct(x.alias("item"), x.alias("doc"))))
-    verbatim = F.count_distinct(F.when(~F.col("typed"), F.col("place")))
-    counted = F.count_distinct(F.when(F.col("counts"), F.col("place")))
-    aligned = joined.groupBy("__row", "doc_id", "__item", "item_id", "__shift", "windows", "eligible").agg(
-        verbatim.alias("__verbatim"), counted.alias("__counted"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("__pairs")
-    )
-    one_way = lambda side: F.size(F.array_distinct(F.transform("__pairs", lambda p: p[side]))) == F.size("__pairs")
-    enough = lambda n, of: (F.col(n) > 0) & ((F.col(n) >= F.col(of) * coverage) | (F.col(n) >= run))
-    changed = F.size(F.filter("__pairs", lambda p: p["item"] != p["doc"])).cast("long")
-    typed = F.when(enough("__counted", "eligible") & one_way("item") & one_way("doc"), F.struct(F.col("__counted").alias("n"), (-changed).alias("same"), F.col("eligible").alias("of")))
-    literal = F.when(enough("__verbatim", "windows"), F.struct(F.col("__verbatim").alias("n"), F.lit(0).cast("long").alias("same"), F.col("windows").alias("of")))
-    kept = aligned.withColumn("__best", F.greatest(typed, literal)).filter(F.col("__best").isNotNull())
-    best = kept.groupBy("__row", "doc_id", "__item", "item_id").agg(F.max("__best").alias("__best"))
+    window_of = F.struct("place", "counts", pairs.alias("pairs"))
+    aligned = joined.groupBy("__row", "doc_id", "__item", "item_id", "__shift", "windows", "eligible").agg(F.collect_set(window_of).alias("__found"), F.count_distinct("place").alias("__n"))
+    aligned = aligned.filter((F.col("__n") >= F.least("windows", F.greatest("eligible", F.lit(1))) * coverage) | (F.col("__n") >= run))
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of = [batch.schema.get_field_index(name) for name in ("__found", "windows", "eligible")]
+            for k in range(0, len(batch), 256):
+                part = batch.slice(k, 256)
+                out = [judge(found, windows, eligible, coverage, run) for found, windows, eligible in zip(*(part.column(i).to_pylist() for i in of))]
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], *(pa.array([x and x[i] for x in out], pa.int64()) for i in range(3))], names=[*part.schema.names[:4], "n", "same", "of"])
+
+    judged = aligned.mapInArrow(decide, "__row long, doc_id long, __item long, item_id long, n long, same long, of long").filter("n IS NOT NULL")
+    best = judged.groupBy("__row", "doc_id", "__item", "item_id").agg(F.max(F.struct("n", "same", "of")).alias("__best"))
     return best.select(
         "__row", "doc_id", "__item", "item_id", F.col("__best.n").alias("matched_windows"), F.col("__best.of").alias("item_windows"), (-F.col("__best.same")).alias("changed_slots")
     )
 
 
+def judge(found: list[dict], windows: int, eligible: int, coverage: float, run: int) -> tuple[int, int, int] | None:
+    """(windows that count, minus the changed slots, windows of the item) of an alignment that is a leak; of both ways the better."""
+    places: dict[int, tuple[bool, set]] = {}
+    for window in found:
+        # a window met in both forms has the same pairs
+        places.setdefault(window["place"], (window["counts"], set()))[1].update((p["item"], p["doc"]) for p in window["pairs"])
+    votes = Counter(pair for _, pairs in places.values() for pair in pairs)
+    stands: dict[int, int] = {}
+    for (item, doc), _ in sorted(votes.items(), key=lambda x: (-x[1], x[0][0] != x[0][1], x[0][1])):
+        stands.setdefault(item, doc)
+    unchanged = {place for place, (_, pairs) in places.items() if all(a == b for a, b in pairs)}
+    follow = {place for place, (_, pairs) in places.items() if all(stands[a] == b for a, b in pairs)}
+    typed = [pairs for place, (counts, pairs) in places.items() if counts and (place in follow or place in unchanged)]
+    changed = {(a, b) for pairs in typed for a, b in pairs if a != b}
+    ways = [(len(typed), -len(changed), eligible), (len(unchanged), 0, windows)]
+    return max((x for x in ways if x[0] and (x[0] >= x[2] * coverage or x[0] >= run)), default=None)
+
+
 def _word_count(text: Column) -> Column:
     return F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"), F.lit(0)))
 

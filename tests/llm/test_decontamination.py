@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 
 import numpy as np
@@ -61,3 +62,76 @@ def test_windows_without_evidence_are_not_counted(leaks):
     found = leaks([names, other], [names])
     assert found[0, 0].matched_windows == found[0, 0].item_windows == len(names.split()) - 7
     assert found[1, 0].matched_windows == found[1, 0].item_windows < len(names.split()) - 7
+
+
+SUM = "Bob has 3 apples and 5 pears in the blue basket, so how many pieces of fruit does he hold at last?"
+TWICE = "a small train leaves the town at 12 and reaches the hills by noon, then it turns back on the very same line, and with 12 guests on board it comes home late"
+
+
+def test_values_that_coincide_and_one_edited_number(leaks):
+    docs = [SUM.replace("3", "4").replace("5", "4"), TWICE[::-1].replace("21", "51", 1)[::-1], "We pick 3 apples and 3 pears. " + TWICE[:20]]
+    found = leaks(docs, [SUM, TWICE])
+    assert set(found) == {(0, 0), (1, 1)}
+    items = ["Take 3 apples and 5 pears home", "at 12 the bell of the town rings, at 12 the bell of the hill rings, and at 12 all go"]
+    docs = ["Take 4 apples and 4 pears home", items[1].replace("12", "40").replace("40", "41", 1), "Take 3 apples and 3 plums home"]
+    assert set(leaks(docs, items)) == {(0, 0), (1, 1)}
+    assert found[0, 0].changed_slots == 2 and found[1, 1].matched_windows < found[1, 1].item_windows
+
+
+def _words(text):
+    out, numbered = [], False
+    spans = [(m.start(), m.end()) for m in re.finditer(r"[0-9A-Za-z\x80-\U0010ffff]+", text)]
+    for k, (a, b) in enumerate(spans):
+        word = text[a:b]
+        follows = k > 0 and not re.search(r"[\n\r!.:;?]", text[spans[k - 1][1] : a])
+        name = follows and re.match(r"[A-Z][a-z]", word)
+        digits = re.fullmatch("[0-9]+", word)
+        kind = "n" if digits else "u" if follows and numbered and word.casefold() in decontamination.UNITS else "N" if name else ""
+        numbered = bool(digits)
+        out.append((word.casefold(), kind))
+    return out
+
+
+def _brute(text, item, window=8, literals=4, coverage=0.5, run=6):
+    doc, item = _words(text), _words(item)
+    size = min(window, len(item))
+    places = range(len(item) - size + 1)
+    can = {p for p in places if sum(not k for _, k in item[p : p + size]) >= min(literals, size)}
+    for shift in range(-len(item), len(doc)):
+        pairs = {}
+        for p in places:
+            here, there = item[p : p + size], doc[max(p + shift, 0) : p + shift + size]
+            if p + shift < 0 or len(there) < size:
+                continue
+            if [w for w, _ in here] == [w for w, _ in there]:
+                pairs[p] = {(w, w) for w, k in here if k}
+            elif p in can and [k or w for w, k in here] == [k or w for w, k in there]:
+                pairs[p] = {(a, b) for (a, k), (b, _) in zip(here, there) if k}
+        stands = {}
+        for value in {a for x in pairs.values() for a, _ in x}:
+            votes = [b for x in pairs.values() for a, b in x if a == value]
+            stands[value] = max(set(votes), key=lambda b: (votes.count(b), b == value))
+        same = [p for p, x in pairs.items() if all(a == b for a, b in x)]
+        good = [p for p, x in pairs.items() if p in can and (p in same or all(stands[a] == b for a, b in x))]
+        for n, of in ((len(same), len(places)), (len(good), len(can))):
+            if n and (n >= of * coverage or n >= run):
+                return True
+    return False
+
+
+def test_leaks_equal_brute_force(leaks):
+    rng = random.Random(5)
+    items = [SUM, TWICE, PLAIN, ACCENTED, "Capital of the country beside the great river", "Where is 12 Acre Wood?", "one 2 three", "Take 3 apples and 5 pears home"]
+    docs = []
+    for _ in range(60):
+        text = rng.choice(items)
+        words = text.split()
+        a = rng.randrange(len(words))
+        part = " ".join(words[a : a + rng.randrange(5, 40)]) if rng.random() < 0.5 else text
+        for _ in range(rng.randrange(4)):
+            old = rng.choice(["3", "5", "12", "Bob", "7", "Peter", "apples", "guests", "then", "niño"])
+            part = part.replace(old, rng.choice(["4", "4", "12", "Hans", "plums", "Maria"]), rng.choice([1, -1]))
+        docs.append("Before it " + rng.choice([str, str.upper, str.title, str])(part) + rng.choice([". After it.", " and on 2"]))
+    want = {(d, i) for d, text in enumerate(docs) for i, item in enumerate(items) if _brute(text, item)}
+    assert set(leaks(docs, items)) == want
+    assert 20 < len(want) < len(docs) * 2
