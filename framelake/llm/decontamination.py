@@ -38,6 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import numbered
 from . import bitfilter
 from .arrowtext import BYTE_VALUE, mix, prefix_hashes, span_hashes, text_runs, word_spans
 from .tables import read
@@ -168,7 +169,7 @@ def windows(rows: DataFrame, carry: str, window: int = WINDOW, literals: int = L
                     schema=fields,
                 )
 
-    rows = rows.select(F.col(carry).cast("long").alias("__key"), F.monotonically_increasing_id().alias("__row"), F.col("text").cast("string"))
+    rows = numbered(rows).select(F.col(carry).cast("long").alias("__key"), "__row", F.col("text").cast("string"))
     found = rows.mapInArrow(scan, "__key long, __row long, template long, place long, typed boolean, counts boolean, slots array<long>, windows long, eligible long")
     return found.withColumnRenamed("__key", carry)
 
@@ -183,6 +184,7 @@ def _bits(built: DataFrame, bits: int) -> np.ndarray:
 
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literals: int = LITERALS, coverage: float = COVERAGE, run: int = RUN) -> DataFrame:
     """One row per leak: doc_id, item_id, __row (the document's place), matched_windows, item_windows, changed_slots."""
+    docs = numbered(docs)
     items = windows(benchmark, "item_id", window, literals, whole_if_shorter=True)
     bits = _bits(bitfilter.build(items, F.col("template"), FILTER_BITS), FILTER_BITS)
     found = windows(docs, "doc_id", window, literals, only=bits)
@@ -236,9 +238,10 @@ def _word_count(text: Column) -> Column:
 
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without a leak, with all their columns; ``docs`` must be a stored table."""
+    """The rows of ``docs`` without a leak, with all their columns."""
+    columns, docs = docs.columns, numbered(docs)
     dropped = leaks(docs, benchmark).select("__row").distinct()
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(dropped, "__row", "left_anti").select(docs.columns)
+    return docs.join(dropped, "__row", "left_anti").select(columns)
 
 
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,8 +9,7 @@ survivor merely gets its full hash and turns out unique.
 
 Of equal texts the row with the largest doc_id stays; a null doc_id is smaller
 than any other, and of rows with the same doc_id exactly one stays.  Null texts
-count as empty.  Rows are numbered by their place in the input, which must be a
-stored table.  An empty table gives no rows; other columns do not matter.
+count as empty.  Rows are numbered by their place in the input's files.  An empty table gives no rows; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -18,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import materialise
+from ..storage import materialise, numbered
 from . import bitfilter
 from .tables import read
 
@@ -34,7 +33,7 @@ def lowered(text: Column) -> Column:
 
 def _keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.withColumns({"__text": text, "__row": F.monotonically_increasing_id(), "__length": F.octet_length(text).cast("long")})
+    return numbered(docs).withColumns({"__text": text, "__length": F.octet_length(text).cast("long")})
 
 
 def _length_key() -> Column:
@@ -62,6 +61,7 @@ def decide(docs: DataFrame, digest_all: bool = False) -> DataFrame:
     text_sha256 is null where no other row shares length and head, unless
     ``digest_all`` asks for it everywhere.
     """
+    docs = numbered(docs)
     full = F.sha2(lowered(F.col("__text")), 256)
     digest = survivors(docs).select(
         "__row",
@@ -94,10 +94,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Only rows that share length and head with another are joined with the
     decisions; all others pass where they are.
     """
+    columns, docs = docs.columns, numbered(docs)
     dropped = decide(docs).filter(~F.col("kept")).select("__row")
     marked = survivors(docs)
     rest = marked.filter("__survives").join(dropped, "__row", "left_anti")
-    return marked.filter(~F.col("__survives")).select(docs.columns).union(rest.select(docs.columns))
+    return marked.filter(~F.col("__survives")).select(columns).union(rest.select(columns))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import materialise
+from ..storage import materialise, numbered
 from . import bitfilter
 from .arrowtext import BYTE_VALUE, prefix_hashes, span_hashes, text_runs, word_spans
 from .components import connected
@@ -176,7 +176,7 @@ def document_sets(docs: DataFrame, words: int, percent: int, order: Rarity) -> D
                 schema=schema,
             )
 
-    rows = docs.select(F.monotonically_increasing_id().alias("__row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string"))
+    rows = numbered(docs).select("__row", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string"))
     return materialise(rows.mapInArrow(build, "__row long, doc_id long, n_shingles long, set_key binary, parity binary, pivots array<long>"), "sets")
 
 
@@ -251,7 +251,7 @@ def shingle_sets(docs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
                 some = batch.slice(a, 256)
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array([g.tobytes() for g in _sets(some.column(1), words)], pa.binary())], ["__row", "shingles"])
 
-    return docs.select(F.monotonically_increasing_id().alias("__row"), F.col("text").cast("string")).mapInArrow(build, "__row long, shingles binary")
+    return numbered(docs).select("__row", F.col("text").cast("string")).mapInArrow(build, "__row long, shingles binary")
 
 
 def _fold(sketches: np.ndarray, width: int) -> np.ndarray:
@@ -447,6 +447,7 @@ def set_links(docs: DataFrame, sets: DataFrame, words: int, percent: int) -> Dat
 
 def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """__row, doc_id, n_shingles, component_id and first (whether the row is its component's first by doc_id, then place)."""
+    docs = numbered(docs)
     sets = document_sets(docs, words, percent, rarity(docs, words))
     roots = materialise(connected(set_links(docs, sets, words, percent)), "roots")
     rows = sets.select("__row", "doc_id", "n_shingles", "set_key")
@@ -461,9 +462,10 @@ def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
 
 
 def keep_first(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` that are their component's first, with all their columns; ``docs`` must be a stored table."""
+    """The rows of ``docs`` that are their component's first, with all their columns."""
+    columns, docs = docs.columns, numbered(docs)
     dropped = groups(docs, words, percent).filter(~F.col("first")).select("__row")
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(dropped, "__row", "left_anti").select(docs.columns)
+    return docs.join(dropped, "__row", "left_anti").select(columns)
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

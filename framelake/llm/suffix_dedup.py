@@ -15,7 +15,7 @@ than ``HOT`` different segments is dealt over several blocks, and the first of
 every string in each block then meet by hash, so no block grows with the data.
 
 Documents are ordered by doc_id (null first), then by their place in the input,
-which must be a stored table.  Null texts are empty; texts shorter than
+numbered by place in its files.  Null texts are empty; texts shorter than
 ``length`` lose nothing; repeated rows lose all but the first; an empty table
 gives no rows; other columns do not matter.
 """
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import materialise
+from ..storage import materialise, numbered
 from . import bitfilter
 from .arrowtext import BYTE_VALUE, prefix_hashes, span_hashes, text_runs
 from .suffix_groups import suffix_array
@@ -107,7 +107,7 @@ def _hit(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return numbered(docs).select(F.col("__row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
@@ -277,6 +277,7 @@ def _block_repeats(parts: DataFrame, length: int, gram: int, firsts: bool) -> Da
 
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(row, start, end): byte spans to remove; they may overlap."""
+    docs = numbered(docs)
     often = anchors(docs, length, gram).groupBy("anchor").count().filter("count > 1")
     bits = _bits(bitfilter.build(often, F.col("anchor"), FILTER_BITS), FILTER_BITS)
     least = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
@@ -307,12 +308,13 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
 
 def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (the bytes left) of every row of ``docs``."""
+    docs = numbered(docs)
     spans = repeats(docs, length, gram).groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     spans = materialise(spans, "spans")
-    numbered = bitfilter.test(_numbered(docs), F.xxhash64("row"), bitfilter.build(spans, F.xxhash64("row")), "__in")
-    changed = numbered.filter("__in").drop("__in").join(spans, "row", "left")
+    rows = bitfilter.test(_numbered(docs), F.xxhash64("row"), bitfilter.build(spans, F.xxhash64("row")), "__in")
+    changed = rows.filter("__in").drop("__in").join(spans, "row", "left")
     kind = spans.schema["spans"].dataType
-    rows = numbered.filter(~F.col("__in")).drop("__in").withColumn("spans", F.lit(None).cast(kind)).unionByName(changed)
+    rows = rows.filter(~F.col("__in")).drop("__in").withColumn("spans", F.lit(None).cast(kind)).unionByName(changed)
     fields = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

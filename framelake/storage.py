@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,3 +32,27 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/framelake/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with __row, a number for each row: its file's ordinal above bit 33, its place in that file below.
+
+    Unlike ``monotonically_increasing_id`` the number does not depend on how
+    files are split, which hangs on the cores alive at the time of a scan, so
+    separate scans of a stored table agree.  What is no Parquet table is stored
+    first, so operators call this once, before their first scan; a table that has
+    its numbers stays as it is.
+    """
+    if "__row" in df.columns:
+        return df
+    place = lambda df: df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__place"))
+    try:
+        placed = place(df)
+    except AnalysisException:
+        df = materialise(df, "numbered")
+        placed = place(df)
+    # one row for each file, whatever the number of rows
+    paths = sorted(r[0] for r in placed.select("__file").distinct().collect())
+    files = df.sparkSession.createDataFrame([(path, k) for k, path in enumerate(paths)], "__file string, __ordinal long")
+    number = F.shiftleft(F.col("__ordinal"), 33) + F.col("__place")
+    return placed.join(F.broadcast(files), "__file").select(*df.columns, number.alias("__row"))
