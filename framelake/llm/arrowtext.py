@@ -3,10 +3,15 @@
 Tasks that scan whole texts share these helpers.  A batch is walked in runs of
 consecutive rows whose texts add up to about ``limit`` bytes (a longer text is
 a run of its own), so temporaries stay small whatever the batch size is.
+
+Spark keeps its Python workers from stage to stage.  So that they do not keep
+the memory of the largest stage too, importing this module makes the C library
+give freed blocks of some size back at once, and Arrow use that allocator.
 """
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +22,23 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 MIX = np.uint64(0xBF58476D1CE4E5B9)
 
+#: Bytes of text that are worked on at a time.
+RUN = 1 << 18
+
+#: The numbers of mallopt's options for mapped blocks and for the top of the heap.
+_MMAP_THRESHOLD, _TRIM_THRESHOLD = -3, -1
+
+
+def _give_memory_back() -> None:
+    pa.set_memory_pool(pa.system_memory_pool())
+    mallopt = getattr(ctypes.CDLL(None), "mallopt", None)
+    if mallopt is not None:  # other C libraries have none
+        mallopt(_MMAP_THRESHOLD, 1 << 18)
+        mallopt(_TRIM_THRESHOLD, 1 << 20)
+
+
+_give_memory_back()
+
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -63,7 +85,7 @@ def span_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nd
     return mix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(np.uint64) * MIX)
 
 
-def text_runs(column: pa.Array, limit: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_runs(column: pa.Array, limit: int = RUN) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of runs of rows; null texts are empty.
 
     ``offsets`` has one entry more than the run has rows and starts at 0.

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import materialise
+from .arrowtext import MIX, RUN, mix, prefix_hashes, span_hashes
 from .tables import read
 
 WINDOW = 2048
@@ -50,7 +51,7 @@ class BatchTokenizer:
     go to the tokenizer itself.
     """
 
-    def __init__(self, vocabulary: str = VOCABULARY, remembered: int = 1_000_000) -> None:
+    def __init__(self, vocabulary: str = VOCABULARY, remembered: int = 250_000) -> None:
         import base64
         import unicodedata
 
@@ -111,8 +112,6 @@ class BatchTokenizer:
         return len(self.first) - 1
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        from .arrowtext import MIX, mix, prefix_hashes, span_hashes
-
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         joined = "".join(texts)
         if not joined:
@@ -178,7 +177,7 @@ def pieces(docs: DataFrame, window: int = WINDOW, vocabulary: str = VOCABULARY,
             names, texts = batch.column(0), batch.column(1)
             at = 0
             while at < len(batch):
-                some, room = [], 1 << 21
+                some, room = [], RUN
                 while at + len(some) < len(batch) and (room > 0 or not some):
                     text = texts[at + len(some)].as_py() or ""
                     room -= len(text)
