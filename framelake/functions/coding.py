@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The half-sample taps of the regular interpolation filter.
@@ -47,7 +47,7 @@ def inverse_remap(delta: Column, probability: Column) -> Column:
 
 def segment_quantiser(base: Column, enabled: Column, absolute: Column, data: Column) -> Column:
     """The quantiser index of a segment."""
-    return F.when(enabled & absolute, data).when(enabled, clip(base + data, 0, 255)).otherwise(base)
+    return F.when(enabled & absolute, clip(data, 0, 255)).when(enabled, clip(base + data, 0, 255)).otherwise(base)
 
 
 def filter_level(frame: Column, segment: Column, enabled: Column, reference: Column, mode: Column) -> Column:
@@ -102,7 +102,245 @@ def cpu_mask(cpus: Column) -> Column:
     return F.aggregate(cpus, F.lit(0).cast("long"), lambda acc, c: acc.bitwiseOR(F.expr("1L") * F.pow(F.lit(2), c).cast("long")))
 
 
-def clipped_bytes(text: Column, head: int, tail: int) -> Column:
-    """Bytes that remain when the middle of a long text is cut out."""
-    size = F.octet_length(text)
-    return F.when(size > head + tail, F.lit(head + tail)).otherwise(size)
+def average2(a: Column, b: Column) -> Column:
+    return F.shiftright(a + b + 1, 1)
+
+
+def average3(a: Column, b: Column, c: Column) -> Column:
+    return F.shiftright(a + 2 * b + c + 2, 2)
+
+
+def merge_tree(before: Column, counts: Column, tree: list[int], saturation: int = 20, rate: int = 128) -> Column:
+    """Probabilities of a binary tree's nodes moved towards the counts of its leaves.
+
+    ``tree`` has two entries for each node: an entry above 0 is the place of
+    another node's entries, any other is minus the number of a leaf.  A node's
+    counts are the sums of the leaves below its two sides, held to 32 bits.
+    """
+
+    def total(entry: int) -> Column:
+        if entry <= 0:
+            return counts[-entry]
+        return F.least(total(tree[entry]) + total(tree[entry + 1]), F.lit((1 << 32) - 1))
+
+    nodes = range(0, len(tree), 2)
+    return F.array(*[merge_probability(before[k // 2], total(tree[k]), total(tree[k + 1]), saturation, rate) for k in nodes])
+
+
+def merge_counts(rows: DataFrame, key: list[str], count: str) -> DataFrame:
+    """Counts of all workers added up, held to 32 bits; Spark adds them on the map side first."""
+    return rows.groupBy(*key).agg(F.least(F.sum(count), F.lit((1 << 32) - 1)).cast("long").alias(count))
+
+
+def table_entry(index: Column, table: Column) -> Column:
+    """The entry of a quantiser table (an array of 256 numbers) at a clipped index."""
+    return table[clip(index, 0, 255).cast("int")]
+
+
+def dequantise(coefficients: Column, dc: Column, ac: Column, shift: int = 0) -> Column:
+    """Coefficients times their quantiser, divided by 2**shift towards 0; null where a coefficient has no 16 bits."""
+    scaled = F.transform(coefficients, lambda x, i: F.when(F.abs(x) < 1 << 15, (x * F.when(i == 0, dc).otherwise(ac)).cast("long")))
+    return F.transform(scaled, lambda x: F.when(x < 0, -F.shiftright(-x, shift)).otherwise(F.shiftright(x, shift)))
+
+
+def add_residual(prediction: Column, residual: Column) -> Column:
+    return F.zip_with(prediction, residual, lambda p, r: clip(p + r, 0, 255))
+
+
+def walsh_hadamard_block(block: Column) -> Column:
+    """Inverse transform of a 4x4 block (16 numbers by rows): rows with a shift of 2, then columns."""
+    at = lambda a, k: a[k]
+    rows = [x for r in range(4) for x in walsh_hadamard(*[F.shiftright(at(block, 4 * r + c), 2) for c in range(4)])]
+    once = F.array(*rows)
+    # a lambda binds the first pass, so that it is computed once
+    columns = lambda b: [walsh_hadamard(*[b[4 * r + c] for r in range(4)]) for c in range(4)]
+    twice = lambda b: (lambda done: F.array(*[done[c][r] for r in range(4) for c in range(4)]))(columns(b))
+    return F.element_at(F.transform(F.array(once), twice), 1)
+
+
+#: The prediction modes in their order.
+MODES = ["DC", "V", "H", "D45", "D135", "D117", "D153", "D207", "D63", "TM"]
+
+
+def predict(mode: str, above: Column, left: Column, corner: Column, size: int, have_above: bool = True, have_left: bool = True) -> Column:
+    """The samples of a block by rows, predicted from the edge.
+
+    ``above`` has 2 * size samples, ``left`` has size.  Directional modes read
+    one edge that runs from the lowest left sample over the corner to the right.
+    """
+    n = size
+    cells = F.sequence(F.lit(0), F.lit(n * n - 1))
+    cell = lambda of: F.transform(cells, lambda k: of(F.floor(k / n).cast("int"), (k % n).cast("int")))
+    if mode == "DC":
+        if not (have_above or have_left):
+            return F.array_repeat(F.lit(128).cast("long"), n * n)
+        edge = ([F.slice(above, 1, n)] if have_above else []) + ([left] if have_left else [])
+        edge = F.concat(*edge)
+        count = n * (have_above + have_left)
+        mean = F.floor((F.aggregate(edge, F.lit(0).cast("long"), lambda a, x: a + x) + count // 2) / count).cast("long")
+        return F.array_repeat(mean, n * n)
+    if mode == "V":
+        return cell(lambda r, c: above[c])
+    if mode == "H":
+        return cell(lambda r, c: left[r])
+    if mode == "TM":
+        return cell(lambda r, c: clip(left[r] + above[c] - corner, 0, 255))
+    if mode == "D45":
+        return cell(lambda r, c: F.when(r + c + 2 < 2 * n, average3(above[r + c], above[r + c + 1], above[F.least(r + c + 2, F.lit(2 * n - 1))])).otherwise(above[2 * n - 1]))
+    if mode == "D63":
+
+        def by_row(r: Column, c: Column) -> Column:
+            at = (F.floor(r / 2) + c).cast("int")
+            return F.when(r % 2 == 0, average2(above[at], above[at + 1])).otherwise(average3(above[at], above[at + 1], above[at + 2]))
+
+        return cell(by_row)
+    if mode == "D207":
+
+        def by_column(r: Column, c: Column) -> Column:
+            at = (r + F.floor(c / 2)).cast("int")
+            sample = lambda k: left[F.least(k, F.lit(n - 1))]
+            slope = F.when(c % 2 == 0, average2(sample(at), sample(at + 1))).otherwise(average3(sample(at), sample(at + 1), sample(at + 2)))
+            return F.when(at >= n - 1, left[n - 1]).otherwise(slope)
+
+        return cell(by_column)
+    # the edge with the corner at place n: left samples count down before it, above ones up after it
+    edge = F.concat(F.reverse(left), F.array(corner), F.slice(above, 1, n))
+    if mode == "D135":
+        return cell(lambda r, c: average3(edge[n + c - r - 1], edge[n + c - r], edge[n + c - r + 1]))
+    if mode == "D117":
+
+        def upwards(r: Column, c: Column) -> Column:
+            at = (n + c - F.floor(r / 2)).cast("int")  # of the upper left one of the two samples beside an even row
+            steep = F.when(r % 2 == 0, average2(edge[at], edge[at + 1])).otherwise(average3(edge[at - 1], edge[at], edge[at + 1]))
+            low = n - (r - 2 * c)  # cells that the left edge feeds
+            return F.when(r - 2 * c <= 1, steep).otherwise(average3(edge[low], edge[low + 1], edge[low + 2]))
+
+        return cell(upwards)
+    if mode == "D153":
+
+        def sideways(r: Column, c: Column) -> Column:
+            at = (n - r + F.floor(c / 2)).cast("int")
+            flat = F.when(c % 2 == 0, average2(edge[at - 1], edge[at])).otherwise(average3(edge[at - 1], edge[at], edge[at + 1]))
+            high = n + (c - 2 * r)  # cells that the above edge feeds
+            return F.when(c - 2 * r <= 1, flat).otherwise(average3(edge[high - 2], edge[high - 1], edge[high]))
+
+        return cell(sideways)
+    raise ValueError(mode)
+
+
+def bilinear_taps(phase: int) -> list[int]:
+    """The two-sample filter at a sixteenth-sample phase, as 8 taps."""
+    return [0, 0, 0, 128 - 8 * phase, 8 * phase, 0, 0, 0]
+
+
+def interpolate_block(samples: Column, stride: int, width: int, height: int, across: list[int], down: list[int]) -> Column:
+    """A separable 8-tap filter: ``height`` + 7 rows are filtered across, rounded and clipped, then down.
+
+    ``samples`` are by rows of ``stride`` (at least ``width`` + 7) samples.
+    """
+    pick = lambda a, at, step, taps: clip(round2(sum((a[at + k * step] * t for k, t in enumerate(taps) if t), F.lit(0)), 7), 0, 255)
+    rows = F.transform(F.sequence(F.lit(0), F.lit((height + 7) * width - 1)), lambda k: pick(samples, (F.floor(k / width) * stride + k % width).cast("int"), 1, across))
+    columns = lambda b: F.transform(F.sequence(F.lit(0), F.lit(height * width - 1)), lambda k: pick(b, k.cast("int"), width, down))
+    return F.element_at(F.transform(F.array(rows), columns), 1)
+
+
+def flat_far(samples: Column) -> Column:
+    """Whether the outer samples of the 16 across an edge (p7 to p0, q0 to q7) are close to the inner ones."""
+    p0, q0 = samples[7], samples[8]
+    return F.greatest(*[F.abs(samples[k] - p0) for k in range(4)], *[F.abs(samples[k] - q0) for k in range(12, 16)]) <= 1
+
+
+def _byte(x: Column) -> Column:
+    return clip(x, -128, 127)
+
+
+def narrow_filter(samples: Column, hev: Column) -> Column:
+    """(p1, p0, q0, q1) after the narrow filter of an edge."""
+    p1, p0, q0, q1 = (samples[k] - 128 for k in range(4))
+    base = _byte(F.when(hev, _byte(p1 - q1)).otherwise(0) + 3 * (q0 - p0))
+    first, second = F.shiftright(_byte(base + 4), 3), F.shiftright(_byte(base + 3), 3)
+    outer = F.when(hev, 0).otherwise(F.shiftright(first + 1, 1))
+    return F.array(_byte(p1 + outer) + 128, _byte(p0 + second) + 128, _byte(q0 - first) + 128, _byte(q1 - outer) + 128)
+
+
+def wide_filter(samples: Column, log2_size: int) -> Column:
+    """The samples that the wide filter of 2**log2_size taps changes, of the 2n + 2 across an edge (n = 3 or 7)."""
+    n = (1 << log2_size - 1) - 1
+    at = lambda i: samples[min(max(i, -(n + 1)), n) + n + 1]
+    return F.array(*[clip(round2(at(i) + sum((at(i + j) for j in range(-n, n + 1)), F.lit(0)), log2_size), 0, 255) for i in range(-n, n)])
+
+
+def transform_type(plane: Column, size_index: Column, lossless: Column, inter: Column, mode: Column) -> Column:
+    """Which transform a block has: only intra luma below 32x32 departs from the cosine one, by its mode."""
+    by_mode = F.when(mode.isin("V", "D117", "D63"), "ADST_DCT").when(mode.isin("H", "D153", "D207"), "DCT_ADST").when(mode.isin("D135", "TM"), "ADST_ADST").otherwise("DCT_DCT")
+    return F.when((plane > 0) | (size_index == 3) | lossless | inter, "DCT_DCT").otherwise(by_mode)
+
+
+def edge_filter_size(size_index: Column, on_32: Column, vertical: Column, chroma: Column, x: Column, y: Column, mi_cols: Column, mi_rows: Column) -> Column:
+    """Index of the filter at an edge: 8 for a 4x4 transform on a 32 edge, 16 at most, 8 where chroma meets the last column or row."""
+    base = F.when((size_index == 0) & on_32, 1).otherwise(F.least(size_index, F.lit(2)))
+    last = F.when(vertical, F.shiftright(x, 3) == mi_cols - 1).otherwise(F.shiftright(y, 3) == mi_rows - 1)
+    return F.when((base == 2) & chroma & last, 1).otherwise(base)
+
+
+def round_vector(total: Column, count: int) -> Column:
+    """The mean of 2 or 4 vector components, halves away from 0."""
+    half = count // 2
+    return F.when(total < 0, -F.floor((half - total) / count)).otherwise(F.floor((total + half) / count)).cast("long")
+
+
+def lower_precision(component: Column) -> Column:
+    """An odd component moved by one towards 0."""
+    return component - F.when(component % 2 != 0, F.signum(component)).otherwise(0).cast("long")
+
+
+def high_precision(row: Column, column: Column) -> Column:
+    """Whether a vector is short enough for an eighth of a sample."""
+    return (F.shiftright(F.abs(row), 3) < 8) & (F.shiftright(F.abs(column), 3) < 8)
+
+
+def clamp_vector(component: Column, place: Column, units: Column, total: Column, border: int) -> Column:
+    """A vector component held to the frame and a border; places are in units of 8 samples."""
+    return F.least(F.greatest(component, -(place * 64) - border), (total - units - place) * 64 + border)
+
+
+def reference_scale(reference: Column, size: Column) -> Column:
+    """A reference's size relative to the frame's, with 14 bits of fraction."""
+    return F.floor(reference * (1 << 14) / size).cast("long")
+
+
+def scaled_place(place: Column, scale: Column) -> Column:
+    return F.shiftright(place * scale, 14)
+
+
+def compound_references(last: Column, golden: Column, alternate: Column) -> Column:
+    """Struct (fixed, first, second) of a compound prediction, by the signs of the three references."""
+    three = lambda *names: F.struct(*[F.lit(n).alias(k) for n, k in zip(names, ("fixed", "first", "second"))])
+    return F.when(last == golden, three("altref", "last", "golden")).when(last == alternate, three("golden", "last", "altref")).otherwise(three("last", "golden", "altref"))
+
+
+def reference_mode(last: Column, golden: Column, alternate: Column, compound: Column, select: Column) -> Column:
+    """single, compound or select: the two coded bits count only where the references' signs differ."""
+    return F.when((golden == last) & (alternate == last) | ~compound, "single").when(select, "select").otherwise("compound")
+
+
+def interpolation(switchable: Column, literal: Column) -> Column:
+    return F.when(switchable, "switchable").otherwise(F.element_at(F.array(*[F.lit(x) for x in ("smooth", "regular", "sharp", "bilinear")]), (literal + 1).cast("int")))
+
+
+def coefficient_band(size_index: Column, place: Column) -> Column:
+    """The band of a coefficient by its place in the scan."""
+    first = F.when(place < 1, 0).when(place < 3, 1).when(place < 6, 2).when(place < 10, 3)
+    return F.when(size_index == 0, first.when(place < 13, 4).otherwise(5)).otherwise(first.when(place < 21, 4).otherwise(5))
+
+
+def interpolated_row(probability: Column, table: Column, column: int) -> Column:
+    """A tail probability: odd probabilities have a row in ``table``, even ones the mean of two; 0 is invalid."""
+    low = F.floor((probability - 1) / 2).cast("int")
+    at = lambda row: table[row][column]
+    return F.when(probability > 0, F.when(probability % 2 == 1, at(low)).otherwise(F.shiftright(at(low) + at(F.least(low + 1, F.size(table) - 1)), 1)))
+
+
+def first_two(values: Column) -> Column:
+    """The first two distinct entries, in order."""
+    return F.slice(F.array_distinct(values), 1, 2)

@@ -39,6 +39,19 @@ def micros_of_ticks(ticks: Column, numerator: Column, denominator: Column) -> Co
     return F.floor(ticks * 1000000.0 * numerator / denominator + 0.5).cast("long")
 
 
-def reference_fits(w: Column, h: Column, rw: Column, rh: Column) -> Column:
-    """Whether a reference of (rw, rh) can be scaled to (w, h)."""
-    return (2 * w >= rw) & (2 * h >= rh) & (w <= 16 * rw) & (h <= 16 * rh)
+def reference_fits(w: Column, h: Column, references: Column) -> Column:
+    """Whether any of the references, an array of (w, h), can be scaled to (w, h)."""
+    fits = lambda r: (2 * w >= r["w"]) & (2 * h >= r["h"]) & (w <= 16 * r["w"]) & (h <= 16 * r["h"])
+    return F.exists(references, fits)
+
+
+def plane_bounds(w: Column, h: Column) -> Column:
+    """Where the three planes of a compact 4:2:0 picture start and end, in bytes."""
+    luma, chroma = w * h, F.floor((w + 1) / 2) * F.floor((h + 1) / 2)
+    return F.array(*[F.struct(a.cast("long").alias("start"), b.cast("long").alias("end")) for a, b in ((F.lit(0), luma), (luma, luma + chroma), (luma + chroma, luma + 2 * chroma))])
+
+
+def compact_plane(samples: Column, stride: int, width: int, height: int) -> Column:
+    """The visible samples of a plane (BINARY) whose rows are ``stride`` bytes apart."""
+    rows = F.transform(F.sequence(F.lit(0), F.lit(height - 1)), lambda r: F.hex(F.substring(samples, r * stride + 1, F.lit(width))))
+    return F.unhex(F.array_join(rows, ""))

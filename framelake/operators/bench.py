@@ -67,3 +67,11 @@ def rate(rows: DataFrame, key: str, ns: Column, iterations: Column, sink: Column
     return rows.groupBy(key).agg(
         n.alias("iterations"), F.round(total / F.nullif(n, F.lit(0)), 6).alias("ns_per_iteration"), F.round(n * 1e9 / F.nullif(total, F.lit(0)), 6).alias("per_second"), F.bit_xor(sink).alias("sink")
     )
+
+
+def lanes(rows: DataFrame, key: str, us: Column, ms: str) -> DataFrame:
+    """Milliseconds a frame of each lane, and how many times faster than real time that is: the frame budget by it."""
+    n = F.count("*")
+    each = F.sum(ms) / n
+    budget = (F.max(us) - F.min(us)) / F.nullif(n - 1, F.lit(0)) / 1000
+    return rows.groupBy(key).agg(F.round(each, 6).alias("ms_per_frame"), F.round(budget / F.nullif(each, F.lit(0.0)), 4).alias("realtime"))

@@ -41,3 +41,15 @@ def golden_lines(files: DataFrame, key: str, text: str) -> DataFrame:
     fields = F.split(F.trim("raw"), "\\s+")
     good = (F.size(fields) == 2) & F.element_at(fields, 1).rlike("^[0-9a-fA-F]{32}$")
     return lines.select(key, "line", F.when(good, F.lower(F.element_at(fields, 1))).alias("digest"), F.when(good, F.element_at(fields, 2)).alias("name"))
+
+
+def check_files(entries: DataFrame, files: DataFrame, path: str) -> DataFrame:
+    """``entries`` (path, algorithm, digest, …) with status against ``files`` (path, is_file, content): missing, not_a_file, mismatch or ok.
+
+    Each content is hashed where it is read, by both algorithms, so only digests
+    are joined.
+    """
+    digests = files.select(path, "is_file", F.md5("content").alias("__md5"), F.sha1("content").alias("__sha1"))
+    found = F.when(F.col("algorithm") == "sha1", F.col("__sha1")).when(F.col("algorithm") == "md5", F.col("__md5"))
+    status = F.when(F.col("is_file").isNull(), "missing").when(~F.col("is_file"), "not_a_file").when(found.eqNullSafe(F.lower("digest")), "ok").otherwise("mismatch")
+    return entries.join(digests, path, "left").withColumn("status", status).drop("is_file", "__md5", "__sha1")

@@ -39,7 +39,13 @@ def output_window(outputs: DataFrame, offset: int, n: int) -> DataFrame:
 
 
 def keyframe_start(packets: DataFrame, stream: str, index: str, order: list[str], visible: Column, keyframe: Column, offset: int) -> DataFrame:
-    """Where to start so that the first output is visible packet ``offset``: it must be a key frame."""
+    """Where to start so that the first output is visible packet ``offset``: it must be a key frame, but for the very first.
+
+    Offset 0 starts a stream at its first packet, whatever that is.
+    """
+    if offset == 0:
+        first = packets.groupBy(stream).agg(F.min_by(index, F.struct(*order)).alias("start"))
+        return first.select(stream, F.lit("ok").alias("status"), "start")
     numbered = visible_ordinals(packets.withColumn("__key", keyframe), stream, order, visible)
     at = numbered.filter(F.col("ordinal") == offset).select(stream, F.col(index).alias("start"), "__key")
     streams = packets.select(stream).distinct()
@@ -80,6 +86,17 @@ def every(rows: DataFrame, index: str, n: int) -> DataFrame:
     return rows.filter((F.col(index) > 0) & (F.col(index) % n == 0))
 
 
+def first_packets(packets: DataFrame, order: list[str], n: int) -> DataFrame:
+    """The first ``n`` packets; Spark keeps ``n`` of each task and no more."""
+    return packets.orderBy(*order).limit(n)
+
+
+def newest_first(files: DataFrame, time: str, path: str, n: int) -> DataFrame:
+    """The ``n`` newest files with their place from 1; of equal times the lesser path comes first."""
+    top = files.orderBy(F.desc(time), path).limit(n)
+    return top.withColumn("place", F.row_number().over(W.orderBy(F.desc(time), path)))
+
+
 def _fold(packets: Iterable[tuple], longest: int, state: tuple | None) -> Iterator[tuple]:
     """(start, cluster) after each (ms, key) packet; ``state`` is that of the packet before, None at the start of a stream."""
     for ms, key in packets:

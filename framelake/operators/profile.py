@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -15,29 +15,62 @@ def trailing(samples: DataFrame, time: str, span: int) -> DataFrame:
     return samples.join(F.broadcast(latest)).filter(F.col(time) >= F.col("__latest") - span).drop("__latest")
 
 
-def in_ranges(samples: DataFrame, ranges: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """(sample, rank, symbol) of every range (start, end, symbol, rank) that holds a sample's ip.
+def newest_range(samples: DataFrame, ranges: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """(sample, symbol) of the range (start, end, symbol, rank) with the greatest rank that holds a sample's ip.
 
-    Ranges are cut at multiples of ``bucket``, which makes the interval join an
-    equal join: no side is sorted as a whole, and no row meets all ranges.
+    Ranges are cut at multiples of a bucket, which makes the interval join an
+    equal join.  The bucket is a power of two by length class, 64 pieces at most
+    for each range, so one long mapping does not become many rows; a sample
+    looks once into every class that occurs (their number is logarithmic).
     """
-    pieces = ranges.filter("start < end").withColumn("__b", F.explode(F.sequence(F.floor(F.col("start") / bucket), F.floor((F.col("end") - 1) / bucket))))
-    at = samples.select("sample", "ip", F.floor(F.col("ip") / bucket).alias("__b"))
-    return at.join(pieces, "__b").filter((F.col("ip") >= F.col("start")) & (F.col("ip") < F.col("end"))).select("sample", "rank", "symbol")
+    length = (F.col("end") - F.col("start")).cast("double")
+    level = F.greatest(F.ceil(F.log2(length / 32)), F.lit(int(bucket).bit_length() - 1)).cast("int")
+    sized = ranges.filter("start < end").withColumn("__level", level)
+    # levels are few (64 at most), whatever the ranges are
+    levels = sized.select("__level").distinct()
+    last = F.col("end") - 1
+    pieces = sized.withColumn("__b", F.explode(F.sequence(_shifted("start"), _shifted(last)))).select("__level", "__b", "start", "end", "symbol", "rank")
+    at = samples.select("sample", "ip").join(F.broadcast(levels)).withColumn("__b", _shifted("ip"))
+    held = at.join(pieces, ["__level", "__b"]).filter((F.col("ip") >= F.col("start")) & (F.col("ip") < F.col("end")))
+    return held.groupBy("sample").agg(F.max_by("symbol", F.struct("rank", "symbol")).alias("symbol"))
+
+
+def _shifted(value: Column | str) -> Column:
+    value = F.col(value) if isinstance(value, str) else value
+    return F.floor(value.cast("decimal(20,0)") / F.pow(F.lit(2.0), F.col("__level")).cast("decimal(20,0)")).cast("long")
+
+
+def symbol_before(samples: DataFrame, ranges: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """(sample, symbol) of the range with the greatest start not above a sample's ip, if it holds the ip.
+
+    Only that one range is looked at: an outer range that also holds the ip does
+    not count.  So each range ends for good where the next one starts; of ranges
+    with the same start the last by ``order`` is taken.  The next start is found
+    within each stretch of 2**24 addresses, and across them from one row for
+    each stretch.
+    """
+    stretch = F.floor(F.col("start").cast("decimal(20,0)") / F.lit(1 << 24)).cast("long")
+    heads = ranges.groupBy("start").agg(F.max(F.struct("order", "end", "symbol")).alias("x")).select("start", "x.end", "x.symbol", stretch.alias("__c"))
+    after = W.partitionBy("__c").orderBy("start")
+    firsts = heads.groupBy("__c").agg(F.min("start").alias("__first"))
+    # a window over stretches, not over ranges or samples
+    firsts = firsts.select("__c", F.lead("__first").over(W.orderBy("__c")).alias("__next"))
+    cut = heads.withColumn("__lead", F.lead("start").over(after)).join(firsts, "__c")
+    cut = cut.withColumn("end", F.least("end", F.coalesce("__lead", "__next", "end")))
+    return newest_range(samples, cut.select("start", "end", "symbol", F.col("start").alias("rank")), bucket)
 
 
 def attribute(samples: DataFrame, jit: DataFrame, mmaps: DataFrame) -> DataFrame:
-    """``samples`` with symbol: the jit symbol with the greatest start, else the latest mapping, else ``<unmapped>``."""
-    found = in_ranges(samples, jit.withColumn("rank", F.struct(F.lit(1).alias("kind"), F.col("start").alias("place")))).unionByName(
-        in_ranges(samples, mmaps.withColumn("rank", F.struct(F.lit(0).alias("kind"), F.col("record").alias("place"))).drop("record"))
-    )
-    best = found.groupBy("sample").agg(F.max_by("symbol", "rank").alias("symbol"))
-    return samples.join(best, "sample", "left").withColumn("symbol", F.coalesce("symbol", F.lit("<unmapped>")))
+    """``samples`` with symbol: the nearest jit symbol below if it reaches so far, else the latest mapping, else ``<unmapped>``."""
+    compiled = symbol_before(samples, jit).withColumnRenamed("symbol", "__jit")
+    mapped = newest_range(samples, mmaps.withColumnRenamed("record", "rank")).withColumnRenamed("symbol", "__map")
+    found = samples.join(compiled, "sample", "left").join(mapped, "sample", "left")
+    return found.withColumn("symbol", F.coalesce("__jit", "__map", F.lit("<unmapped>"))).drop("__jit", "__map")
 
 
 def histogram(samples: DataFrame, least_percent: float = 0.05) -> DataFrame:
-    """Samples and periods of each symbol, in percent of all; rare ones are left out."""
+    """Samples and periods of each symbol, in percent of all; rare ones are left out; heaviest first."""
     by = samples.groupBy("symbol").agg(F.count("*").alias("samples"), F.sum("period").alias("period"))
     total = by.agg(F.sum("period").alias("__total"))
     share = F.round(F.col("period") * 100.0 / F.col("__total"), 6)
-    return by.join(F.broadcast(total)).withColumn("percent", share).filter(F.col("period") * 100.0 >= F.col("__total") * least_percent).drop("__total")
+    return by.join(F.broadcast(total)).withColumn("percent", share).filter(F.col("period") * 100.0 >= F.col("__total") * least_percent).drop("__total").orderBy(F.desc("period"), "symbol")

@@ -101,10 +101,11 @@ def microbench_rate(table) -> DataFrame:
 _ATTRIBUTED = """
 s AS (SELECT event_id AS sample, user_id * 700 + event_id % 977 AS ip, event_id % 13 + 1 AS period, epoch_us(ts) AS us FROM events),
 t AS (SELECT * FROM s WHERE us >= (SELECT max(us) FROM s) - 1209600000000),
-r AS (SELECT c_custkey * 512 AS start, c_custkey * 512 + 700 AS "end", c_name AS symbol, 1 AS kind, c_custkey * 512 AS place FROM customer
-      UNION ALL SELECT s_suppkey * 900, s_suppkey * 900 + 850, s_name, 0, s_suppkey FROM supplier),
-b AS (SELECT sample, arg_max(symbol, (kind, place)) AS symbol FROM t JOIN r ON ip >= start AND ip < "end" GROUP BY sample),
-p AS (SELECT sample, ip, period, coalesce(symbol, '<unmapped>') AS symbol FROM t LEFT JOIN b USING (sample))
+j AS (SELECT c_custkey * 512 AS start, c_custkey * 512 + CASE WHEN c_custkey % 7 = 0 THEN 3000 WHEN c_custkey % 5 = 0 THEN 40 ELSE 700 END AS "end", c_name AS symbol FROM customer),
+m AS (SELECT s_suppkey * 900 AS start, s_suppkey * 900 + CASE WHEN s_suppkey % 9 = 0 THEN 20000 ELSE 850 END AS "end", s_name AS symbol, s_suppkey AS place FROM supplier),
+near AS (SELECT sample, CASE WHEN ip < j."end" THEN j.symbol END AS symbol FROM t ASOF JOIN j ON ip >= j.start),
+b AS (SELECT sample, arg_max(symbol, place) AS symbol FROM t JOIN m ON ip >= start AND ip < "end" GROUP BY sample),
+p AS (SELECT sample, ip, period, coalesce(near.symbol, b.symbol, '<unmapped>') AS symbol FROM t LEFT JOIN near USING (sample) LEFT JOIN b USING (sample))
 """
 
 
@@ -112,8 +113,10 @@ def _attributed(table) -> DataFrame:
     samples = table("events").select(
         F.col("event_id").alias("sample"), (F.col("user_id") * 700 + F.col("event_id") % 977).alias("ip"), (F.col("event_id") % 13 + 1).alias("period"), bench.micros("ts").alias("at")
     )
-    jit = table("customer").select((F.col("c_custkey") * 512).alias("start"), (F.col("c_custkey") * 512 + 700).alias("end"), F.col("c_name").alias("symbol"))
-    maps = table("supplier").select((F.col("s_suppkey") * 900).alias("start"), (F.col("s_suppkey") * 900 + 850).alias("end"), F.col("s_name").alias("symbol"), F.col("s_suppkey").alias("record"))
+    code, file = F.col("c_custkey"), F.col("s_suppkey")
+    reach = F.when(code % 7 == 0, 3000).when(code % 5 == 0, 40).otherwise(700)
+    jit = table("customer").select((code * 512).alias("start"), (code * 512 + reach).alias("end"), F.col("c_name").alias("symbol"), code.alias("order"))
+    maps = table("supplier").select((file * 900).alias("start"), (file * 900 + F.when(file % 9 == 0, 20000).otherwise(850)).alias("end"), F.col("s_name").alias("symbol"), file.alias("record"))
     return profile.attribute(profile.trailing(samples, "at", 1_209_600_000_000), jit, maps)
 
 
@@ -161,6 +164,12 @@ def keyframe_start(table) -> DataFrame:
     return ordering.keyframe_start(table("events"), "user_id", "event_id", _ORDER, F.col("event_type") != "error", F.col("event_type") == "signup", 3)
 
 
+@query("SELECT user_id, 'ok' AS status, arg_min(event_id, (ts, event_id)) AS start FROM events GROUP BY user_id")
+def keyframe_start_0(table) -> DataFrame:
+    """Offset 0 needs no key frame."""
+    return ordering.keyframe_start(table("events"), "user_id", "event_id", _ORDER, F.col("event_type") != "error", F.col("event_type") == "signup", 0)
+
+
 _HELD = ", ".join(f"last_value(CASE WHEN (event_id >> {i}) & 1 = 1 THEN event_id END IGNORE NULLS) OVER w" for i in range(8))
 
 
@@ -244,9 +253,11 @@ def ts_to_us(table) -> DataFrame:
     return table("orders").select("o_orderkey", geometry.micros_of_ticks(F.col("o_orderkey"), F.lit(1001), F.lit(30000)).alias("us"))
 
 
-@query("SELECT p_partkey, 2 * p_size >= p_partkey % 97 AND 2 * p_size >= p_partkey % 53 AND p_size <= 16 * (p_partkey % 97) AND p_size <= 16 * (p_partkey % 53) AS fits FROM part")
+@query("""SELECT p_partkey, len([m FOR m IN [97, 53, 11] IF 2 * p_size >= p_partkey % m AND 2 * p_size >= p_partkey % (m + 1) AND p_size <= 16 * (p_partkey % m) AND p_size <= 16 * (p_partkey % (m + 1))]) > 0 AS fits FROM part""")
 def ref_scale_ok(table) -> DataFrame:
-    return table("part").select("p_partkey", geometry.reference_fits(F.col("p_size"), F.col("p_size"), F.col("p_partkey") % 97, F.col("p_partkey") % 53).alias("fits"))
+    """Any one of three references is enough."""
+    references = F.array(*[F.struct((F.col("p_partkey") % m).alias("w"), (F.col("p_partkey") % (m + 1)).alias("h")) for m in (97, 53, 11)])
+    return table("part").select("p_partkey", geometry.reference_fits(F.col("p_size"), F.col("p_size"), references).alias("fits"))
 
 
 @query("""WITH c AS (SELECT l_partkey, l_orderkey % 255 + 1 AS before, l_quantity::BIGINT AS z, l_linenumber::BIGINT AS o, l_orderkey, l_linenumber FROM lineitem),
@@ -316,11 +327,6 @@ def cpu_list_mask(table) -> DataFrame:
     return table("supplier").select("s_suppkey", cpus.alias("cpus")).withColumn("mask", coding.cpu_mask(F.col("cpus")))
 
 
-@query("SELECT doc_id, CASE WHEN strlen(text) > 3000 THEN 3000 ELSE strlen(text) END::BIGINT AS kept FROM documents")
-def text_truncate(table) -> DataFrame:
-    return table("documents").select("doc_id", coding.clipped_bytes(F.col("text"), 2000, 1000).cast("long").alias("kept"))
-
-
 @query()
 def mux_clusters(table) -> DataFrame:
     """Where a cluster starts depends on the one before; tests hold this against a plain loop."""
