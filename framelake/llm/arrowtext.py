@@ -33,8 +33,8 @@ def _give_memory_back() -> None:
     pa.set_memory_pool(pa.system_memory_pool())
     mallopt = getattr(ctypes.CDLL(None), "mallopt", None)
     if mallopt is not None:  # other C libraries have none
-        mallopt(_MMAP_THRESHOLD, 1 << 18)
-        mallopt(_TRIM_THRESHOLD, 1 << 20)
+        mallopt(_MMAP_THRESHOLD, 1 << 21)
+        mallopt(_TRIM_THRESHOLD, 1 << 24)
 
 
 _give_memory_back()

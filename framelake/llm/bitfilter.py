@@ -31,3 +31,11 @@ def test(rows: DataFrame, key: Column, built: DataFrame, name: str, bits: int =
     rows = rows.join(F.broadcast(built), "__word", "left")
     hit = F.expr("(shiftright(__bits, cast(__p & 63 as int)) & 1) = 1")
     return rows.withColumn(name, F.coalesce(hit, F.lit(False))).drop("__p", "__word", "__bits")
+
+
+def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """``rows`` whose ``key`` is not in ``gone`` (a stored table), in two parts: most pass where they are, the others are joined."""
+    hashed = F.xxhash64(key)
+    marked = test(rows, hashed, build(gone, hashed), "__in")
+    maybe = marked.filter("__in").drop("__in").join(gone, key, "left_anti")
+    return marked.filter(~F.col("__in")).drop("__in").unionByName(maybe)

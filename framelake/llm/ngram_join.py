@@ -1,24 +1,29 @@
 """Exact Jaccard join of documents' word n-gram sets, and its components.
 
 Jaccard distance is a metric, so pivots with triangle-inequality windows split
-a join exactly.  Over a whole corpus, though, nearly all distances are 1 and
-such windows would copy every document into every region.  So the first split
-takes single n-grams as pivots: two sets within the threshold share one of the
-first few n-grams of each, in an order that puts rare ones first, and a
-document belongs to the regions of those, by its size.  Inside a region distances spread,
-and the metric join goes on as named: pivots are chosen, documents go to the
-nearest one and, by the window of twice the threshold, to those whose region
-they may reach into; regions join recursively, and a region that windows cannot
-split is compared directly.  Only links that join two parts are kept, so a
-group of copies gives as many links as it has texts and no more.
-
-Steps: count words and n-grams into sketches of fixed size (they only set the
-order, so they need not be exact); build each document's set; collapse equal sets; regions of
-two or more sets, each list of members once; drop members that sizes and parity
-sketches show to be too far from all others; join the rest on their sets.  A
-region of more than ``REGION_ROWS`` sets is first thinned around pivots by
-Spark: what lies within the threshold of a pivot is linked to it and stays only
-if something outside may still reach it.
+a join exactly.  Over a whole corpus, though, nearly all distances are 1, and
+windows of twice the threshold around pivots would copy nearly every document
+into every region.  Distances spread only among documents that have something
+in common, so a first split finds those, and the metric join works on them:
+
+1. Sets of a size class are cut into as many parts, by ranges of n-gram hashes,
+   as two sets within the threshold may differ in n-grams, and some more.  Then
+   those two have at least one whole part in common.  A part is a region if it
+   holds an n-gram that is not common in the corpus; a set with too many other
+   parts also joins the regions of its rarest n-grams, as many as it may miss,
+   and one more.
+2. Every set is measured against one pivot, the least of the sets that share a
+   region with it, and linked if it is near.
+3. Regions whose sets are not all connected then are joined in full.  Crowded
+   ones are split by Spark: several pivots for each region, every set goes to
+   the Voronoi cell of the nearest one and, by the window of twice the threshold,
+   to those cells that it may reach into, and cells that are still crowded are
+   split again.  What lies within the threshold of a cell's pivot is linked to
+   it and stays only if something farther out may reach it.  Small regions are
+   split in the same way within a task, and compared directly in the end.
+
+So links connect exactly what they would if all pairs were compared, and a
+group of copies gives about as many links as it has texts.
 
 Defined results: null texts are empty; a text without words has an empty set
 and links with nothing; fewer words than n make one n-gram of them all;
@@ -41,19 +46,21 @@ from pyspark.sql import functions as F
 
 from ..storage import materialise, numbered
 from . import bitfilter
-from .arrowtext import BYTE_VALUE, prefix_hashes, span_hashes, text_runs, word_spans
+from .arrowtext import BYTE_VALUE, MIX, mix, prefix_hashes, span_hashes, text_runs, word_spans
 from .components import connected
 from .tables import read
 
 WORDS = 5
 PERCENT = 80
+#: Places of the sketch that tells common n-grams, and from how many occurrences above the usual one is common.
 GRAM_BITS = 20
-WORD_BITS = 18
+COMMON = 200
 SKETCH_PART = 1 << 12
-PARITY_BITS = (256, 16384)
-REGION_ROWS = 2000
-BLOCK_ROWS = 20_000
-THINNINGS = 8
+#: A region or block of more sets or of more n-grams in all is not joined in one task.
+REGION_ROWS = 1000
+REGION_GRAMS = 1 << 21
+PIVOTS = 8
+ROUNDS = 6
 
 _word_bytes = np.ones(256, bool)
 _word_bytes[[32, 9, 10, 11, 12, 13]] = False
@@ -61,67 +68,44 @@ _lower = np.arange(256, dtype=np.uint8)
 _lower[65:91] += 32
 
 
-def _documents(column: pa.Array, words: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The word hashes and the n-gram hashes of each text, in the order of the text."""
-    for a, b, data, offsets in text_runs(column):
-        start, end, first = word_spans(data, offsets, _word_bytes)
-        hashes = span_hashes(prefix_hashes(BYTE_VALUE[_lower[data]]), start, end)
-        prefix = prefix_hashes(hashes)
-        for x, y in zip(first[:-1], first[1:]):
-            at = np.arange(x, max(y - words + 1, x + 1) if x < y else x)
-            yield hashes[x:y], span_hashes(prefix, at, np.minimum(at + words, y))
+def _run_grams(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n-gram hashes of some texts in order, and where each text's begin and the last one's end."""
+    start, end, first = word_spans(data, offsets, _word_bytes)
+    prefix = prefix_hashes(span_hashes(prefix_hashes(BYTE_VALUE[_lower[data]]), start, end))
+    size = np.diff(first)
+    grams = np.where(size > 0, np.maximum(size - words + 1, 1), 0)
+    bounds = np.concatenate([[0], np.cumsum(grams)])
+    at = np.arange(bounds[-1]) + np.repeat(first[:-1] - bounds[:-1], grams)
+    return span_hashes(prefix, at, np.minimum(at + words, np.repeat(first[1:], grams))), bounds
 
 
 def _sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
     """The sorted n-gram hashes of each text."""
-    for _, grams in _documents(column, words):
-        yield np.unique(grams)
+    for _, _, data, offsets in text_runs(column):
+        grams, bounds = _run_grams(data, offsets, words)
+        for x, y in zip(bounds[:-1], bounds[1:]):
+            yield np.unique(grams[x:y])
 
 
-def _bucket(hashes: np.ndarray, bits: int) -> np.ndarray:
-    return (hashes >> np.uint64(64 - bits)).astype(np.int64)
+def _bucket(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - GRAM_BITS)).astype(np.int64)
 
 
-class Rarity:
-    """An order of n-grams, rare ones first, from two sketches of fixed size.
+def gram_weights(docs: DataFrame, words: int) -> np.ndarray:
+    """How far each place of a sketch of n-grams stands out from what chance puts into places; 0 is not at all.
 
-    An n-gram is taken to be as frequent as its words make it, or as its own
-    bucket shows where that stands out from what chance puts into buckets.  The
-    estimate, in 256ths of a binary logarithm, depends on the n-gram alone, so
-    all documents order their n-grams alike; it need not be exact.
+    All rows are counted.  Tasks send their counts in parts, the parts' sums are
+    made as they stream by, and arrays of fixed size come to the driver.  Weights
+    steer the split and decide nothing.
     """
-
-    def __init__(self, word_counts: np.ndarray, gram_counts: np.ndarray) -> None:
-        total = max(int(word_counts.sum()), 1)
-        usual = float(np.median(gram_counts))
-        excess = np.maximum(gram_counts - usual - 4 * usual**0.5, 0)
-        self.total = round(256 * np.log2(total))
-        self.word = np.round(256 * np.log2(np.maximum(word_counts, 1) / total)).astype(np.int16)
-        self.gram = np.round(256 * np.log2(1 + excess)).astype(np.int16)
-
-    def __call__(self, hashes: np.ndarray, grams: np.ndarray, words: int) -> np.ndarray:
-        """The estimate of each n-gram of a text with these word hashes."""
-        sums = np.concatenate([np.zeros(1, np.int64), np.cumsum(self.word[_bucket(hashes, WORD_BITS)], dtype=np.int64)])
-        at = np.arange(len(grams))
-        by_words = self.total + sums[np.minimum(at + words, len(hashes))] - sums[at]
-        return np.maximum(by_words, self.gram[_bucket(grams, GRAM_BITS)])
-
-
-def rarity(docs: DataFrame, words: int) -> Rarity:
-    """Counts of words, and of documents with an n-gram, by bucket, over all rows.
-
-    Tasks send their counts in parts; the parts' sums are made as they stream
-    by, and arrays of fixed size come to the driver.
-    """
-    n_grams, n_words = 1 << GRAM_BITS, 1 << WORD_BITS
+    places = 1 << GRAM_BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(n_grams + n_words, np.uint32)
+        total = np.zeros(places, np.uint32)
         for batch in batches:
-            for hashes, grams in _documents(batch.column(0), words):
-                np.add.at(total, _bucket(np.unique(grams), GRAM_BITS), 1)
-                np.add.at(total, n_grams + _bucket(hashes, WORD_BITS), 1)
-        parts = [total[a : a + SKETCH_PART].tobytes() for a in range(0, len(total), SKETCH_PART)]
+            for _, _, data, offsets in text_runs(batch.column(0)):
+                np.add.at(total, _bucket(_run_grams(data, offsets, words)[0]), 1)
+        parts = [total[a : a + SKETCH_PART].tobytes() for a in range(0, places, SKETCH_PART)]
         yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int64()), pa.array(parts, pa.binary())], ["part", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,109 +117,119 @@ def rarity(docs: DataFrame, words: int) -> Rarity:
 
     kind = "part long, counts binary"
     found = docs.select(F.col("text").cast("string")).mapInArrow(count, kind).repartition("part").mapInArrow(add, kind).toPandas()
-    total = np.zeros(n_grams + n_words, np.int64)
+    total = np.zeros(places, np.int64)
     for part, counts in zip(found["part"], found["counts"]):
         total[part * SKETCH_PART : (part + 1) * SKETCH_PART] = np.frombuffer(counts, np.int64)
-    return Rarity(total[n_grams:], total[:n_grams])
+    usual = float(np.median(total))
+    excess = np.maximum(total - usual - 4 * usual**0.5, 0)
+    return np.where(excess >= COMMON, np.minimum(1 + np.log2(np.maximum(excess, 1)), 255), 0).astype(np.uint8)
 
 
-def parity_sketch(grams: np.ndarray) -> bytes:
-    """Parities of the counts of n-grams in 2**k places; more places for larger sets.
-
-    Sketches of different length compare after folding the longer one.
-    """
-    places = min(max(PARITY_BITS[0], 1 << max(0, len(grams) // 2).bit_length()), PARITY_BITS[1])
-    odd = np.bincount((grams & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
-    return np.packbits(odd.astype(np.uint8)).tobytes()
-
-
-def least_overlap(n: np.ndarray | int, percent: int) -> np.ndarray | int:
+def least_overlap(n: int, percent: int) -> int:
     """The fewest common n-grams with any partner of a set of n."""
     return -(-n * percent // 100)
 
 
-def document_sets(docs: DataFrame, words: int, percent: int, order: Rarity) -> DataFrame:
-    """__row, doc_id, n_shingles, set_key, parity and pivots (the n-grams whose regions the document joins); the sets themselves are not stored."""
-    shared = docs.sparkSession.sparkContext.broadcast(order)
-    schema = pa.schema([("__row", pa.int64()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("parity", pa.binary()), ("pivots", pa.list_(pa.int64()))])
+class Parts:
+    """The regions of a set: its parts, by size class.
+
+    Classes span a factor of 1 / t**reach in size (t the threshold), so partners
+    are in the same class or in neighbouring ones, and a set that may have a
+    partner in the class below is entered there too.  Two sets of a class differ
+    in at most (1 - t) / t times the class's largest size: by more parts than
+    that one is whole in both.  Every further part allows one that says little
+    (no n-gram but common ones); a set with more of those than are allowed also
+    takes its rarest n-grams, by weight, then hash, one more than may be missing.
+    """
+
+    def __init__(self, percent: int, most: int = 1 << 40) -> None:
+        self.percent = percent
+        t = percent / 100
+        step = (1 / t) ** (3 if percent >= 88 else 1)
+        self.bounds = [1]
+        while self.bounds[-1] < most:
+            self.bounds.append(max(self.bounds[-1] + 1, math.ceil(self.bounds[-1] * step)))
+        self.parts, self.spare = [], []
+        for low, high in zip(self.bounds[:-1], self.bounds[1:]):
+            differ = (100 - percent) * (high - 1) // percent
+            spare = 0
+            if differ:
+                idle = (differ + 1) * math.exp(-low / (differ + 1))
+                spare = min(math.ceil(idle + 2 * idle**0.5), (differ + 1) // 4)
+            self.parts.append(differ + 1 + spare)
+            self.spare.append(spare)
+        self.starts = np.array(self.bounds)
+
+    def classes(self, n: int) -> list[int]:
+        own = int(np.searchsorted(self.starts, n, "right")) - 1
+        return [own, own - 1] if own and least_overlap(n, self.percent) < self.bounds[own] else [own]
+
+    def keys(self, grams: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Regions of a set of sorted n-gram hashes."""
+        n, out = len(grams), []
+        weight = weights[_bucket(grams)]
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(grams, dtype=np.uint64)])
+        rare = np.concatenate([[0], np.cumsum(weight == 0)])
+        for k in self.classes(n):
+            m = self.parts[k]
+            part = (grams >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)  # grows with the hash
+            edge = np.searchsorted(part, np.arange(m + 1, dtype=np.uint64))
+            strong = np.flatnonzero(rare[edge[1:]] > rare[edge[:-1]])
+            label = np.uint64(k << 40) + strong.astype(np.uint64)
+            out.append(mix((sums[edge[strong + 1]] - sums[edge[strong]]) ^ mix(label * MIX)))
+            if m - len(strong) > self.spare[k]:
+                first = np.lexsort((grams, weight))[: n - least_overlap(n, self.percent) + 1]
+                out.append(mix(grams[first] ^ mix(np.array([(k << 40) + (1 << 39)], np.uint64) * MIX)))
+        return np.concatenate(out)
+
+
+def document_sets(docs: DataFrame, words: int, percent: int, weights: np.ndarray) -> DataFrame:
+    """__row, doc_id, n_shingles, set_key and regions of every row; the sets themselves are not stored."""
+    shared = docs.sparkSession.sparkContext.broadcast(weights)
+    parts = Parts(percent)
+    kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64())]
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, keys, parities, pivots = [], [], [], []
-            for hashes, grams in _documents(batch.column(2), words):
-                estimate = shared.value(hashes, grams, words)
-                grams, at = np.unique(grams, return_index=True)
-                n = len(grams)
-                first = grams[np.lexsort((grams, estimate[at]))[: n - least_overlap(n, percent) + 1]] if n else grams
-                sizes.append(n)
+            sizes, keys, regions = [], [], []
+            for grams in _sets(batch.column(2), words):
+                sizes.append(len(grams))
                 keys.append(hashlib.md5(grams.tobytes()).digest())
-                parities.append(parity_sketch(grams))
-                pivots.append(first.view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(parities, pa.binary()), pa.array(pivots, pa.list_(pa.int64()))],
-                schema=schema,
-            )
+                regions.append(parts.keys(grams, shared.value).view(np.int64) if len(grams) else np.zeros(0, np.int64))
+            columns = [pa.array(x, kind) for x, kind in zip((sizes, keys, regions), kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["__row", "doc_id", "n_shingles", "set_key", "regions"])
 
     rows = numbered(docs).select("__row", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string"))
-    return materialise(rows.mapInArrow(build, "__row long, doc_id long, n_shingles long, set_key binary, parity binary, pivots array<long>"), "sets")
-
-
-def _once(members: DataFrame) -> DataFrame:
-    """One region for each list of members; ``members`` has region and __h, a hash of the member."""
-    lists = members.groupBy("region").agg(
-        F.count("*").alias("n"), F.min("__h").alias("low"), F.max("__h").alias("high"), F.bit_xor("__h").alias("x"), F.sum(F.pmod("__h", F.lit(1 << 31))).alias("s")
-    )
-    return lists.filter("low < high").groupBy("n", "low", "high", "x", "s").agg(F.min("region").alias("region")).select("region")
-
+    return materialise(rows.mapInArrow(build, "__row long, doc_id long, n_shingles long, set_key binary, regions array<long>"), "sets")
 
-def _split(rows: DataFrame, chosen: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows whose region is in ``chosen``, and the others; a filter settles most rows before the join."""
-    key = F.xxhash64("region")
-    marked = bitfilter.test(rows, key, bitfilter.build(chosen, key), "__in")
-    maybe = marked.filter("__in").drop("__in")
-    outside = marked.filter(~F.col("__in")).drop("__in").unionByName(maybe.join(chosen, "region", "left_anti"))
-    return maybe.join(chosen, "region", "left_semi"), outside
-
-
-def _inside(rows: DataFrame, chosen: DataFrame) -> DataFrame:
-    return _split(rows, chosen)[0]
-
-
-def _size_classes(percent: int) -> Column:
-    """Both classes that a set of n n-grams is entered under; sets within the threshold share one at least.
-
-    A class spans a factor of 100 / percent in size, so partners' classes
-    differ by one at most, and each set also goes to the class below its own.
-    """
-    width = max(math.log(100 / percent), 0.01) * (1 + 1e-9)
-    own = F.floor(F.log("n_shingles") / width)
-    return F.explode(F.array(own, own - 1)).alias("__class")
 
+def shared_regions(sets: DataFrame) -> DataFrame:
+    """(region, member, low) of the regions with two different sets at least; a member is the first row of its set, low the least of the region."""
+    full = sets.filter("n_shingles > 0")
+    first = full.groupBy("set_key").agg(F.min("__row").alias("__row"))
+    rows = full.join(first, ["set_key", "__row"], "left_semi").select(F.explode("regions").alias("region"), F.col("__row").alias("member"))
+    rows = materialise(rows, "entries")
+    several = rows.groupBy("region").agg(F.min("member").alias("low"), F.max("member").alias("high")).filter("low < high").select("region", "low")
+    several = materialise(several, "shared")
+    inside = bitfilter.test(rows, F.col("region"), bitfilter.build(several, F.col("region")), "__in").filter("__in").drop("__in")
+    return materialise(inside.join(several, "region"), "members")
 
-def regions(sets: DataFrame, percent: int) -> DataFrame:
-    """(region, set_key, n_shingles, parity) of regions with at least two sets, each list of members once.
 
-    A region is one pivot and one class of sizes: what differs too much in size
-    to be linked does not meet, however common the pivot is.
-    """
-    full = sets.filter("n_shingles > 0")
-    rows = full.select(F.explode("pivots").alias("region"), "n_shingles", F.xxhash64("set_key").alias("__h"))
-    shared = rows.groupBy("region").agg(F.min("__h").alias("low"), F.max("__h").alias("high")).filter("low < high").select("region")
-    sized = _inside(rows, materialise(shared, "shared")).select("region", "__h", _size_classes(percent))
-    once = materialise(_once(sized.select(F.xxhash64("region", "__class").alias("region"), "__h")), "regions")
-    members = full.select(F.explode("pivots").alias("region"), "set_key", "n_shingles", "parity").select("*", _size_classes(percent))
-    members = members.withColumn("region", F.xxhash64("region", "__class")).drop("__class")
-    return _inside(members, once).groupBy("region", "set_key").agg(F.first("n_shingles").alias("n_shingles"), F.first("parity").alias("parity"))
+def _once(members: DataFrame) -> DataFrame:
+    """One region for each list of members."""
+    h = F.xxhash64("member")
+    lists = members.groupBy("region").agg(F.count("*").alias("n"), F.min("member").alias("low"), F.max("member").alias("high"), F.bit_xor(h).alias("x"), F.sum(F.pmod(h, F.lit(1 << 31))).alias("s"))
+    return lists.groupBy("n", "low", "high", "x", "s").agg(F.min("region").alias("region")).select("region")
 
 
-def _row_key() -> Column:
-    """A key of __row, whose upper bits are a partition and lower ones a place in it."""
-    return F.shiftright("__row", 33) * 1000003 + F.col("__row").bitwiseAND(F.lit((1 << 33) - 1))
+def _row_key(name: str) -> Column:
+    """A key of a row's number, whose upper bits are a file and lower ones a place in it."""
+    return F.shiftright(name, 33) * 1000003 + F.col(name).bitwiseAND(F.lit((1 << 33) - 1))
 
 
-def shingle_sets(docs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
-    """(__row, shingles) of the rows of ``docs`` that are in ``rows``, and of few others."""
-    built = bitfilter.build(rows, _row_key()).toPandas()
+def shingle_sets(docs: DataFrame, rows: DataFrame, name: str, words: int) -> DataFrame:
+    """(name, shingles) of the rows of ``docs`` that are in ``rows`` by number, and of few others."""
+    built = bitfilter.build(rows, _row_key(name)).toPandas()
     bits = np.zeros(bitfilter.BITS // 64, np.uint64)
     bits[built["__word"].to_numpy(np.int64)] = built["__bits"].to_numpy(np.int64).view(np.uint64)
     shared = docs.sparkSession.sparkContext.broadcast(bits)
@@ -249,53 +243,24 @@ def shingle_sets(docs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
             batch = batch.filter(pa.array(hit))
             for a in range(0, len(batch), 256):
                 some = batch.slice(a, 256)
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([g.tobytes() for g in _sets(some.column(1), words)], pa.binary())], ["__row", "shingles"])
-
-    return numbered(docs).select("__row", F.col("text").cast("string")).mapInArrow(build, "__row long, shingles binary")
-
-
-def _fold(sketches: np.ndarray, width: int) -> np.ndarray:
-    return np.bitwise_xor.reduce(sketches.reshape(len(sketches), -1, width), axis=1)
-
-
-def _candidates(members: pd.DataFrame, percent: int) -> np.ndarray:
-    """Members of one region that may be within the threshold of another one, by size and sketch; misses none."""
-    n = members["n_shingles"].to_numpy()
-    raw = members["parity"].tolist()
-    width = np.array([len(x) // 8 for x in raw])
-    classes = {int(w): np.flatnonzero(width == w) for w in np.unique(width)}
-    sketches = {w: np.frombuffer(b"".join(raw[i] for i in at), np.uint64).reshape(-1, w) for w, at in classes.items()}
-    folded: dict[tuple[int, int], np.ndarray] = {}
-    out = np.zeros(len(n), bool)
-    for i in range(len(n)):
-        if out[i]:
-            continue
-        for w, at in classes.items():
-            near = 100 * np.minimum(n[at], n[i]) >= percent * np.maximum(n[at], n[i])
-            near[at == i] = False
-            if not near.any():
-                continue
-            least = min(w, int(width[i]))
-            if (w, least) not in folded:
-                folded[w, least] = _fold(sketches[w], least)
-            own = _fold(np.frombuffer(raw[i], np.uint64)[None, :], least)
-            apart = np.bitwise_count(folded[w, least][near] ^ own).sum(1, dtype=np.int64)
-            # |A ^ B| = |A| + |B| - 2 |A & B|, and the threshold needs |A & B| >= percent * (|A| + |B|) / (100 + percent)
-            may = at[near][apart * (100 + percent) <= (100 - percent) * (n[at][near] + n[i])]
-            if len(may):
-                out[i] = True
-                out[may] = True
-    return out
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([g.tobytes() for g in _sets(some.column(1), words)], pa.binary())], [name, "shingles"])
+
+    return numbered(docs).select(F.col("__row").alias(name), F.col("text").cast("string")).mapInArrow(build, f"{name} long, shingles binary")
 
 
 class RegionJoin:
-    """Components of the sets of one region, by pivots and windows; exact."""
+    """Components of the sets of one region, by pivots and windows; exact.
 
-    def __init__(self, sets: list[np.ndarray], percent: int, direct: int = 24, pivots: int = 4) -> None:
+    ``roots`` tells which sets are connected already.
+    """
+
+    def __init__(self, sets: list[np.ndarray], percent: int, roots: list[int] | None = None, direct: int = 24, pivots: int = 4) -> None:
         self.sets, self.percent, self.direct, self.pivots = sets, percent, direct, pivots
         self.size = np.array([len(s) for s in sets])
-        self.part = list(range(len(sets)))
+        seen: dict[int, int] = {}
+        self.part = [seen.setdefault(r, i) for i, r in enumerate(roots)] if roots is not None else list(range(len(sets)))
         self.threshold = 1 - percent / 100
+        self.found: list[tuple[int, int]] = []
 
     def find(self, i: int) -> int:
         while self.part[i] != i:
@@ -317,10 +282,14 @@ class RegionJoin:
         union = int(self.size[i] + self.size[j]) - both
         if 100 * both >= self.percent * union:
             a, b = self.find(i), self.find(j)
-            self.part[max(a, b)] = min(a, b)
+            if a != b:
+                self.part[max(a, b)] = min(a, b)
+                self.found.append((i, j))
         return 1 - both / union
 
     def join(self, members: np.ndarray) -> None:
+        if len({self.find(i) for i in members.tolist()}) < 2:
+            return
         if len(members) > self.direct:
             chosen = members[np.linspace(0, len(members) - 1, self.pivots).astype(int)]
             far = np.array([[self.distance(p, m) if p != m else 0.0 for m in members] for p in chosen])
@@ -343,118 +312,144 @@ class RegionJoin:
 
     def links(self) -> list[tuple[int, int]]:
         self.join(np.arange(len(self.sets)))
-        return [(i, self.find(i)) for i in range(len(self.sets)) if self.find(i) != i]
-
+        return self.found
 
-def _blocks(rows: DataFrame, size: int, count: int | None = None) -> DataFrame:
-    """``rows`` with __block: whole regions, about ``size`` rows in each block; ``count`` is their number if known."""
-    count = rows.count() if count is None else count
-    return rows.withColumn("__block", F.pmod(F.xxhash64("region"), F.lit(-(-count // size) or 1)))
 
+def _distances(rows: DataFrame, percent: int) -> DataFrame:
+    """``rows`` (…, shingles, __pivots) with ``far``, the distance to each pivot, and ``near``, whether it is within the threshold."""
 
-def _shortlist(members: DataFrame, percent: int, count: int) -> DataFrame:
-    def sift(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        kept = [part[_candidates(part, percent)] for _, part in rows.groupby("region", sort=False)]
-        return pd.concat(kept)[["region", "set_key"]] if kept else rows[["region", "set_key"]]
-
-    return _blocks(members, BLOCK_ROWS, count).groupBy("__block").applyInPandas(sift, "region long, set_key binary")
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, len(batch), 128):
+                some = batch.slice(a, 128)
+                far, near = [], []
+                for own, others in zip(some.column("shingles"), some.column("__pivots")):
+                    own, apart, close = np.frombuffer(own.as_buffer(), np.uint64), [], []
+                    for other in others:
+                        pair = RegionJoin([own, np.frombuffer(other.as_buffer(), np.uint64)], percent)
+                        apart.append(pair.distance(0, 1))
+                        close.append(bool(pair.found))
+                    far.append(apart)
+                    near.append(close)
+                table = some.drop_columns(["__pivots"])
+                yield table.append_column("far", pa.array(far, pa.list_(pa.float64()))).append_column("near", pa.array(near, pa.list_(pa.bool_())))
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("__pivots").schema)
+    return rows.mapInArrow(measure, f"{schema}, far array<double>, near array<boolean>")
+
+
+def hub_links(docs: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b) links of sets with the least set among all that share a region with them.
+
+    Every set moves once, its hub's next to it; a hub with many sets is a
+    skewed key of a plain join, which Spark splits.
+    """
+    pairs = members.groupBy("member").agg(F.min("low").alias("hub"))
+    sets = materialise(shingle_sets(docs, pairs, "member", words), "shingles")
+    apart = pairs.filter("hub < member")
+    hubs = apart.select("hub").distinct().join(sets.withColumnRenamed("member", "hub"), "hub").select("hub", F.array("shingles").alias("__pivots"))
+    rows = sets.join(apart, "member").join(hubs, "hub")
+    found = _distances(rows.select("member", "hub", "shingles", "__pivots"), percent).filter(F.col("near")[0])
+    return found.select(F.col("member").alias("a"), F.col("hub").alias("b"))
 
 
-def _region_links(rows: DataFrame, percent: int, size: int, count: int | None = None) -> DataFrame:
-    """(a, b) links inside the regions of ``rows`` (region, set_key, shingles)."""
+def _block_links(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b) links inside the regions of ``rows`` (region, member, root, shingles), whole regions to a block."""
 
     def match(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         out = []
         for _, part in rows.groupby("region", sort=False):
-            part = part.sort_values("set_key")
-            keys = part["set_key"].tolist()
-            found = RegionJoin([np.frombuffer(x, np.uint64) for x in part["shingles"]], percent).links()
-            out += [(keys[i], keys[j]) for i, j in found]
-        return pd.DataFrame(out, columns=["a", "b"])
+            part = part.sort_values("member")
+            names = part["member"].tolist()
+            found = RegionJoin([np.frombuffer(x, np.uint64) for x in part["shingles"]], percent, part["root"].tolist()).links()
+            out += [(names[i], names[j]) for i, j in found]
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
-    return _blocks(rows, size, count).groupBy("__block").applyInPandas(match, "a binary, b binary")
+    grams = rows.agg(F.sum(F.octet_length("shingles")).alias("n")).first().n or 0
+    blocks = -(-grams // (8 * REGION_GRAMS)) or 1
+    return rows.withColumn("__block", F.pmod(F.xxhash64("region"), F.lit(blocks))).groupBy("__block").applyInPandas(match, "a long, b long")
 
 
-def _distances(rows: DataFrame, percent: int) -> DataFrame:
-    """``rows`` (…, shingles, __pivot) with ``far``, the distance to the pivot, and ``near``, within the threshold."""
+def _crowded(rows: DataFrame) -> DataFrame:
+    """(region) of those that one task should not join."""
+    size = F.sum(F.octet_length("shingles")) > 8 * REGION_GRAMS
+    return rows.groupBy("region").agg(((F.count("*") > REGION_ROWS) | size).alias("__crowded")).filter("__crowded").select("region")
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            far, near = [], []
-            for a, b in zip(batch.column("shingles").to_pylist(), batch.column("__pivot").to_pylist()):
-                pair = RegionJoin([np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)], percent)
-                far.append(pair.distance(0, 1))
-                near.append(pair.find(1) == 0)
-            table = batch.drop_columns(["__pivot"])
-            yield table.append_column("far", pa.array(far, pa.float64())).append_column("near", pa.array(near, pa.bool_()))
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("__pivot").schema)
-    return rows.mapInArrow(measure, f"{schema}, far double, near boolean")
+def voronoi_cells(rows: DataFrame, percent: int, turn: int) -> tuple[DataFrame, DataFrame]:
+    """One split of crowded regions: (links to pivots, rows of the cells).
 
-
-def _large_region_links(rows: DataFrame, percent: int) -> DataFrame:
-    """Links of regions with more than REGION_ROWS sets.
-
-    Each round takes one pivot for each region, links what is within the
-    threshold to it, and keeps of those only what a set outside may reach by
-    the triangle inequality.  Regions that are small then are joined as usual;
-    any that rounds do not shrink are joined in pairs of chunks.
+    A pivot for each of ``PIVOTS`` shares of a region, the least by hash.  A pair
+    within the threshold meets in the cell of the nearest pivot of either: the
+    other's distance to it is at most its own nearest one plus twice the
+    threshold.  In a cell, sets near the pivot are linked to it, so of them only
+    those stay that a set farther out may be linked with.
+    """
+    threshold = 1 - percent / 100
+    order = F.xxhash64("member", F.lit(turn))
+    share = F.pmod(F.xxhash64("member", F.lit(-turn - 1)), F.lit(PIVOTS))
+    chosen = rows.groupBy("region", share.alias("__share")).agg(F.min_by(F.struct("member", "shingles"), order).alias("p"))
+    pivots = chosen.groupBy("region").agg(F.array_sort(F.collect_list("p")).alias("p"))
+    pivots = pivots.select("region", F.col("p.member").alias("__names"), F.col("p.shingles").alias("__pivots"))
+    measured = materialise(_distances(rows.join(pivots, "region"), percent), "measured")
+    each = measured.select("region", "member", "root", "shingles", F.array_min("far").alias("__home"), F.explode(F.arrays_zip("__names", "far", "near")).alias("x"))
+    each = each.select("region", "member", "root", "shingles", "__home", F.col("x.__names").alias("__pivot"), F.col("x.far").alias("__far"), F.col("x.near").alias("__near"))
+    links = each.filter("__near AND member <> __pivot").select(F.col("member").alias("a"), F.col("__pivot").alias("b"))
+    inside = each.filter(F.col("__far") <= F.col("__home") + 2 * threshold + 1e-9)
+    outside = inside.filter("NOT __near").groupBy("region", "__pivot").agg(F.min("__far").alias("__nearest"))
+    kept = inside.filter("member <> __pivot").join(outside, ["region", "__pivot"]).filter(F.col("__far") >= F.col("__nearest") - threshold - 1e-9)
+    return links, materialise(kept.select(F.xxhash64("region", "__pivot").alias("region"), "member", "root", "shingles"), "cells")
+
+
+def region_links(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b) links inside the regions of ``rows`` (region, member, root, shingles), a stored table.
+
+    Cells that ``ROUNDS`` splits leave crowded are compared in pairs of chunks.
     """
-    threshold, links = 1 - percent / 100, None
-    for _ in range(THINNINGS):
-        if not rows.take(1):
-            break
-        pivot = rows.groupBy("region").agg(F.min_by("shingles", "set_key").alias("__pivot"), F.min("set_key").alias("__center"))
-        measured = materialise(_distances(rows.join(pivot, "region"), percent), "measured")
-        new = measured.filter(F.col("near") & (F.col("set_key") != F.col("__center"))).select(F.col("set_key").alias("a"), F.col("__center").alias("b"))
+    links = None
+    for turn in range(ROUNDS):
+        crowded = materialise(_crowded(rows), "crowded")
+        new = _block_links(rows.join(crowded, "region", "left_anti"), percent)
         links = new if links is None else links.unionByName(new)
-        outside = measured.filter(~F.col("near")).groupBy("region").agg(F.min("far").alias("__nearest"))
-        kept = measured.join(outside, "region").filter((F.col("far") >= F.col("__nearest") - threshold - 1e-9) & (F.col("set_key") != F.col("__center")))
-        # the pivot itself has met every other set of its region
-        kept = materialise(kept.select("region", "set_key", "shingles"), "thinned")
-        size = kept.groupBy("region").agg((F.count("*") > REGION_ROWS).alias("__large"))
-        small = kept.join(size.filter(~F.col("__large")), "region", "left_semi")
-        found = _region_links(small, percent, REGION_ROWS)
-        links = links.unionByName(found)
-        rows = kept.join(size.filter("__large"), "region", "left_semi")
-    if rows.take(1):
-        chunks = rows.groupBy("region").agg(F.ceil(F.count("*") * 2 / F.lit(REGION_ROWS)).cast("int").alias("__chunks"))
-        own = rows.join(chunks, "region").withColumn("__chunk", F.pmod(F.xxhash64("set_key"), F.col("__chunks")).cast("int"))
-        other = F.explode(F.sequence(F.lit(0), F.col("__chunks") - 1)).alias("__other")
-        pairs = own.select("*", other).select(F.xxhash64("region", F.least("__chunk", "__other"), F.greatest("__chunk", "__other")).alias("region"), "set_key", "shingles")
-        links = links.unionByName(_region_links(pairs, percent, REGION_ROWS))
-    return links
+        if not crowded.take(1):
+            return links
+        near, rows = voronoi_cells(rows.join(crowded, "region", "left_semi"), percent, turn)
+        links = links.unionByName(near)
+    size = rows.groupBy("region").agg(F.greatest(F.ceil(F.count("*") * 2 / F.lit(REGION_ROWS)), F.ceil(F.sum(F.octet_length("shingles")) / F.lit(4 * REGION_GRAMS))).cast("int").alias("__chunks"))
+    own = rows.join(size, "region").withColumn("__chunk", F.pmod(F.xxhash64("member"), F.col("__chunks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("__chunks") - 1)).alias("__other")
+    pairs = own.select("*", other).select(F.xxhash64("region", F.least("__chunk", "__other"), F.greatest("__chunk", "__other")).alias("region"), "member", "root", "shingles")
+    return links.unionByName(_block_links(materialise(pairs, "chunks"), percent))
 
 
 def set_links(docs: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
-    """(a, b) links between different sets that connect every component."""
-    members = materialise(regions(sets, percent), "members")
-    # how many regions are large is bounded by the members; a filter marks theirs, and no other row moves
-    crowded = materialise(members.groupBy("region").count().filter(F.col("count") > REGION_ROWS).select("region"), "crowded")
-    large, small = _split(members, crowded)
-    large = large.select("region", "set_key", F.lit(True).alias("__large"))
-    chosen = materialise(_shortlist(small, percent, members.count()).withColumn("__large", F.lit(False)).unionByName(large), "chosen")
-    once = _once(chosen.select("region", F.xxhash64("set_key").alias("__h")))
-    # of equal sets the first row is read again
-    first = sets.filter("n_shingles > 0").groupBy("set_key").agg(F.min("__row").alias("__row"))
-    chosen = materialise(chosen.join(once, "region", "left_semi").join(first, "set_key"), "chosen")
-    rows = chosen.join(shingle_sets(docs, chosen, words), "__row").drop("__row")
-    links = _region_links(rows.filter(~F.col("__large")).drop("__large"), percent, REGION_ROWS, chosen.count())
-    if chosen.filter("__large").take(1):
-        links = links.unionByName(_large_region_links(materialise(rows.filter("__large").drop("__large"), "large"), percent))
-    return links
+    """(a, b) links between first rows of different sets that connect every component."""
+    members = shared_regions(sets)
+    near = materialise(hub_links(docs, members, words, percent), "near")
+    roots = materialise(connected(near), "roots")
+    rooted = members.select("region", "member").join(roots.withColumnRenamed("node", "member"), "member", "left").withColumn("root", F.coalesce("root", "member"))
+    rooted = materialise(rooted, "rooted")
+    apart = rooted.groupBy("region").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("region")
+    apart = materialise(rooted.join(apart, "region", "left_semi"), "apart")
+    open_ = materialise(apart.join(_once(apart), "region", "left_semi"), "open")
+    if not open_.take(1):
+        return near
+    rows = materialise(open_.join(shingle_sets(docs, open_, "member", words), "member"), "open")
+    return near.unionByName(region_links(rows, percent))
 
 
 def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """__row, doc_id, n_shingles, component_id and first (whether the row is its component's first by doc_id, then place)."""
     docs = numbered(docs)
-    sets = document_sets(docs, words, percent, rarity(docs, words))
+    sets = document_sets(docs, words, percent, gram_weights(docs, words))
     roots = materialise(connected(set_links(docs, sets, words, percent)), "roots")
-    rows = sets.select("__row", "doc_id", "n_shingles", "set_key")
-    full = rows.filter("n_shingles > 0").join(roots.select(F.col("node").alias("set_key"), "root"), "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("__row").alias("row"))
-    least = full.groupBy("root").agg(F.min(order).alias("__least"))
-    out = full.join(least, "root").select(
+    rows = sets.select("__row", "doc_id", "n_shingles", "set_key")
+    by_set = rows.filter("n_shingles > 0").groupBy("set_key").agg(F.min("__row").alias("node"), F.min(order).alias("__least"))
+    by_set = by_set.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = by_set.groupBy("root").agg(F.min("__least").alias("__least"))
+    by_set = by_set.select("set_key", "root").join(least, "root").select("set_key", "__least")
+    out = rows.filter("n_shingles > 0").join(by_set, "set_key").select(
         "__row", "doc_id", "n_shingles", F.col("__least.doc_id").alias("component_id"), (F.col("__row") == F.col("__least.row")).alias("first")
     )
     empty = rows.filter("n_shingles = 0").select("__row", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("first"))
@@ -464,8 +459,8 @@ def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
 def keep_first(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` that are their component's first, with all their columns."""
     columns, docs = docs.columns, numbered(docs)
-    dropped = groups(docs, words, percent).filter(~F.col("first")).select("__row")
-    return docs.join(dropped, "__row", "left_anti").select(columns)
+    dropped = materialise(groups(docs, words, percent).filter(~F.col("first")).select("__row"), "dropped")
+    return bitfilter.without(docs, dropped, "__row").select(columns)
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

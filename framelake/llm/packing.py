@@ -39,7 +39,7 @@ WHITE_SPACE = [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B)
 #: Endings that the vocabulary's pattern keeps with their apostrophe.
 ENDINGS = ["s", "t", "re", "ve", "m", "ll", "d"]
 
-OTHER, LETTER, NUMBER, SPACE = range(4)
+OTHER, LETTER, NUMBER, SPACE, UNASSIGNED = range(5)
 
 
 class BatchTokenizer:
@@ -51,7 +51,7 @@ class BatchTokenizer:
     go to the tokenizer itself.
     """
 
-    def __init__(self, vocabulary: str = VOCABULARY, remembered: int = 250_000) -> None:
+    def __init__(self, vocabulary: str = VOCABULARY, remembered: int = 500_000) -> None:
         import base64
         import unicodedata
 
@@ -64,18 +64,20 @@ class BatchTokenizer:
         with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.units = tiktoken.Encoding("units", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        kinds = {"L": LETTER, "N": NUMBER}
-        self.kind = np.fromiter((kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x32400)), np.uint8, 0x32400)
-        self.kind = np.concatenate([self.kind, np.zeros(0x110000 - len(self.kind), np.uint8)])
+        kinds = {"L": LETTER, "N": NUMBER, "Cn": UNASSIGNED}
+        category = map(unicodedata.category, map(chr, range(0x32400)))
+        self.kind = np.fromiter((kinds.get(c, kinds.get(c[0], OTHER)) for c in category), np.uint8, 0x32400)
+        self.kind = np.concatenate([self.kind, np.full(0x110000 - len(self.kind), UNASSIGNED, np.uint8)])
         self.kind[WHITE_SPACE] = SPACE
         self.remembered = remembered
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known: dict[str, int] = {}
         self.pool = np.zeros(1 << 16, np.uint32)
         self.used = 0
-        self.first: list[int] = []
+        #: Where each remembered unit's ids begin, and where the last one's end.
+        self.first = np.zeros(1 << 12, np.int64)
 
     def starts(self, points: np.ndarray, begins: np.ndarray) -> np.ndarray:
         """Where units start; ``begins`` marks the first code point of each text."""
@@ -107,9 +109,12 @@ class BatchTokenizer:
         if self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(ids)), np.uint32)])
         self.pool[self.used : self.used + len(ids)] = ids
-        self.first.append(self.used)
+        place = len(self.known)
+        if place + 2 > len(self.first):
+            self.first = np.concatenate([self.first, np.zeros_like(self.first)])
         self.used += len(ids)
-        return len(self.first) - 1
+        self.first[place + 1] = self.used
+        return place
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -129,24 +134,24 @@ class BatchTokenizer:
             self.forget()
         places = np.empty(len(distinct), np.int64)
         known = self.known
-        for i, h in enumerate(distinct.tolist()):
-            place = known.get(h)
+        for i, (a, b) in enumerate(zip(at[sample].tolist(), end[sample].tolist())):
+            unit = joined[a:b]
+            place = known.get(unit)
             if place is None:
-                k = sample[i]
-                place = known[h] = self.learn(joined[at[k] : end[k]])
+                place = known[unit] = self.learn(unit)
             places[i] = place
-        first = np.array([*self.first, self.used])
-        begin = first[places]
-        size = (first[places + 1] - begin)[codes]
+        begin = self.first[places]
+        size = (self.first[places + 1] - begin)[codes]
         ends = np.concatenate([[0], np.cumsum(size)])
         ids = self.pool[np.repeat(begin[codes] - ends[:-1], size) + np.arange(ends[-1])]
         cuts = ends[np.searchsorted(at, offsets)]
         out = [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+        apart = set(np.searchsorted(offsets, np.flatnonzero(self.kind[points] == UNASSIGNED), "right") - 1)
         for name in self.special:
             if name in joined:
-                for i, text in enumerate(texts):
-                    if name in text:
-                        out[i] = np.array(self.own.encode(text, add_special_tokens=False).ids, np.uint32)
+                apart |= {i for i, text in enumerate(texts) if name in text}
+        for i in apart:
+            out[i] = np.array(self.own.encode(texts[i], add_special_tokens=False).ids, np.uint32)
         return out
 
 
