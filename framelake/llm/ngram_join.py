@@ -11,16 +11,17 @@ in common, so a first split finds those, and the metric join works on them:
    those two have at least one whole part in common.  A part is a region if it
    holds an n-gram that is not common in the corpus; a set with too many other
    parts also joins the regions of its rarest n-grams, as many as it may miss,
-   and one more.
-2. Every set is measured against one pivot, the least of the sets that share a
-   region with it, and linked if it is near.
-3. Regions whose sets are not all connected then are joined in full.  Crowded
-   ones are split by Spark: several pivots for each region, every set goes to
-   the Voronoi cell of the nearest one and, by the window of twice the threshold,
-   to those cells that it may reach into, and cells that are still crowded are
-   split again.  What lies within the threshold of a cell's pivot is linked to
-   it and stays only if something farther out may reach it.  Small regions are
-   split in the same way within a task, and compared directly in the end.
+   and one more.  Sets that share regions, directly or over others, form a
+   family.
+2. Families are joined.  Crowded ones are split by Spark: several pivots for
+   each, every set goes to the Voronoi cell of the nearest one and, by the window
+   of twice the threshold, to those cells that it may reach into, and cells that
+   are still crowded are split again.  What lies within the threshold of a cell's
+   pivot is linked to it and stays only if something farther out may reach it.
+   Small families and cells are split in the same way within a task, and compared
+   directly in the end.
+3. What splits leave crowded is joined region by region if that takes fewer
+   pairs, split again, and at last compared in pairs of chunks.
 
 So links connect exactly what they would if all pairs were compared, and a
 group of copies gives about as many links as it has texts.
@@ -57,7 +58,7 @@ GRAM_BITS = 20
 COMMON = 200
 SKETCH_PART = 1 << 12
 #: A region or block of more sets or of more n-grams in all is not joined in one task.
-REGION_ROWS = 1000
+REGION_ROWS = 500
 REGION_GRAMS = 1 << 21
 PIVOTS = 8
 ROUNDS = 6
@@ -206,9 +207,10 @@ def document_sets(docs: DataFrame, words: int, percent: int, weights: np.ndarray
 def shared_regions(sets: DataFrame) -> DataFrame:
     """(region, member, low) of the regions with two different sets at least; a member is the first row of its set, low the least of the region."""
     full = sets.filter("n_shingles > 0")
-    first = full.groupBy("set_key").agg(F.min("__row").alias("__row"))
-    rows = full.join(first, ["set_key", "__row"], "left_semi").select(F.explode("regions").alias("region"), F.col("__row").alias("member"))
-    rows = materialise(rows, "entries")
+    # equal sets enter once; a filter lets most rows pass without moving
+    first = materialise(full.groupBy("set_key").agg(F.min("__row").alias("__first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "first")
+    again = materialise(full.select("set_key", "__row").join(first, "set_key").filter("__row <> __first").select("__row"), "again")
+    rows = bitfilter.without(full.select("__row", "regions"), again, "__row").select(F.explode("regions").alias("region"), F.col("__row").alias("member"))
     several = rows.groupBy("region").agg(F.min("member").alias("low"), F.max("member").alias("high")).filter("low < high").select("region", "low")
     several = materialise(several, "shared")
     inside = bitfilter.test(rows, F.col("region"), bitfilter.build(several, F.col("region")), "__in").filter("__in").drop("__in")
@@ -248,18 +250,39 @@ def shingle_sets(docs: DataFrame, rows: DataFrame, name: str, words: int) -> Dat
     return numbered(docs).select(F.col("__row").alias(name), F.col("text").cast("string")).mapInArrow(build, f"{name} long, shingles binary")
 
 
-class RegionJoin:
-    """Components of the sets of one region, by pivots and windows; exact.
+def intersections(sets: list[np.ndarray], width: int = 1 << 12) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets, ``width`` n-grams at a time.
 
-    ``roots`` tells which sets are connected already.
+    N-grams of one set alone never count, so they are left out.
     """
+    n = len(sets)
+    owner = np.repeat(np.arange(n), [len(s) for s in sets])
+    codes, distinct = pd.factorize(np.concatenate(sets))
+    often = np.bincount(codes, minlength=len(distinct)) > 1
+    number = np.cumsum(often) - 1
+    kept = often[codes]
+    owner, codes = owner[kept], number[codes[kept]]
+    order = np.argsort(codes, kind="stable")
+    owner, codes = owner[order], codes[order]
+    out = np.zeros((n, n), np.float32)  # exact up to 2**24, and no set of one task is larger
+    for a in range(0, int(often.sum()), width):
+        x, y = np.searchsorted(codes, [a, a + width])
+        block = np.zeros((n, width), np.float32)
+        block[owner[x:y], codes[x:y] - a] = 1
+        out += block @ block.T
+    return out.astype(np.int64)
+
 
-    def __init__(self, sets: list[np.ndarray], percent: int, roots: list[int] | None = None, direct: int = 24, pivots: int = 4) -> None:
-        self.sets, self.percent, self.direct, self.pivots = sets, percent, direct, pivots
-        self.size = np.array([len(s) for s in sets])
-        seen: dict[int, int] = {}
-        self.part = [seen.setdefault(r, i) for i, r in enumerate(roots)] if roots is not None else list(range(len(sets)))
-        self.threshold = 1 - percent / 100
+class RegionJoin:
+    """Components of the sets of one region, by pivots and windows; exact."""
+
+    def __init__(self, sets: list[np.ndarray], percent: int, direct: int = 24, pivots: int = 4) -> None:
+        self.direct, self.pivots, self.threshold = direct, pivots, 1 - percent / 100
+        size, both = np.array([len(s) for s in sets]), intersections(sets)
+        union = size[:, None] + size[None, :] - both
+        self.near = 100 * both >= percent * union
+        self.far = 1 - both / union
+        self.part = list(range(len(sets)))
         self.found: list[tuple[int, int]] = []
 
     def find(self, i: int) -> int:
@@ -268,53 +291,44 @@ class RegionJoin:
             i = self.part[i]
         return i
 
-    def common(self, i: int, j: int) -> int:
-        a, b = self.sets[i], self.sets[j]
-        if len(a) > len(b):
-            a, b = b, a
-        at = np.searchsorted(b, a)
-        at[at == len(b)] = 0
-        return int(np.count_nonzero(b[at] == a))
-
-    def distance(self, i: int, j: int) -> float:
-        """Jaccard distance; links the two sets if they are within the threshold."""
-        both = self.common(i, j)
-        union = int(self.size[i] + self.size[j]) - both
-        if 100 * both >= self.percent * union:
+    def link(self, i: int, others: np.ndarray) -> None:
+        """Join ``i`` with those of ``others`` that are near it."""
+        for j in others[self.near[i, others]].tolist():
             a, b = self.find(i), self.find(j)
             if a != b:
                 self.part[max(a, b)] = min(a, b)
                 self.found.append((i, j))
-        return 1 - both / union
 
     def join(self, members: np.ndarray) -> None:
-        if len({self.find(i) for i in members.tolist()}) < 2:
-            return
         if len(members) > self.direct:
             chosen = members[np.linspace(0, len(members) - 1, self.pivots).astype(int)]
-            far = np.array([[self.distance(p, m) if p != m else 0.0 for m in members] for p in chosen])
-            home = far.min(0)
-            inside = far <= home + 2 * self.threshold + 1e-9
+            for p in chosen.tolist():
+                self.link(p, members[members != p])
+            far = self.far[np.ix_(chosen, members)]
+            inside = far <= far.min(0) + 2 * self.threshold + 1e-9
             if inside.sum(1).max() <= 0.75 * len(members):
                 for row in inside:
                     self.join(members[row])
                 return
-        else:
-            far = None
-        for a, i in enumerate(members):
-            rest = members[a + 1 :]
-            ok = 100 * np.minimum(self.size[rest], self.size[i]) >= self.percent * np.maximum(self.size[rest], self.size[i])
-            if far is not None:  # no partner's distance to a pivot differs by more than the threshold
-                ok &= np.abs(far[:, a + 1 :] - far[:, [a]]).max(0) <= self.threshold + 1e-9
-            for j in rest[ok]:
-                if self.find(i) != self.find(j):
-                    self.distance(i, j)
+        for a, i in enumerate(members.tolist()):
+            self.link(i, members[a + 1 :])
 
     def links(self) -> list[tuple[int, int]]:
-        self.join(np.arange(len(self.sets)))
+        self.join(np.arange(len(self.part)))
         return self.found
 
 
+def distance(a: np.ndarray, b: np.ndarray, percent: int) -> tuple[float, bool]:
+    """Jaccard distance of two sorted sets, and whether it is within the threshold."""
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    both = int(np.count_nonzero(b[at] == a))
+    union = len(a) + len(b) - both
+    return 1 - both / union, 100 * both >= percent * union
+
+
 def _distances(rows: DataFrame, percent: int) -> DataFrame:
     """``rows`` (…, shingles, __pivots) with ``far``, the distance to each pivot, and ``near``, whether it is within the threshold."""
 
@@ -324,13 +338,10 @@ def _distances(rows: DataFrame, percent: int) -> DataFrame:
                 some = batch.slice(a, 128)
                 far, near = [], []
                 for own, others in zip(some.column("shingles"), some.column("__pivots")):
-                    own, apart, close = np.frombuffer(own.as_buffer(), np.uint64), [], []
-                    for other in others:
-                        pair = RegionJoin([own, np.frombuffer(other.as_buffer(), np.uint64)], percent)
-                        apart.append(pair.distance(0, 1))
-                        close.append(bool(pair.found))
-                    far.append(apart)
-                    near.append(close)
+                    own = np.frombuffer(own.as_buffer(), np.uint64)
+                    found = [distance(own, np.frombuffer(other.as_buffer(), np.uint64), percent) for other in others]
+                    far.append([x for x, _ in found])
+                    near.append([y for _, y in found])
                 table = some.drop_columns(["__pivots"])
                 yield table.append_column("far", pa.array(far, pa.list_(pa.float64()))).append_column("near", pa.array(near, pa.list_(pa.bool_())))
 
@@ -338,30 +349,15 @@ def _distances(rows: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(measure, f"{schema}, far array<double>, near array<boolean>")
 
 
-def hub_links(docs: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
-    """(a, b) links of sets with the least set among all that share a region with them.
-
-    Every set moves once, its hub's next to it; a hub with many sets is a
-    skewed key of a plain join, which Spark splits.
-    """
-    pairs = members.groupBy("member").agg(F.min("low").alias("hub"))
-    sets = materialise(shingle_sets(docs, pairs, "member", words), "shingles")
-    apart = pairs.filter("hub < member")
-    hubs = apart.select("hub").distinct().join(sets.withColumnRenamed("member", "hub"), "hub").select("hub", F.array("shingles").alias("__pivots"))
-    rows = sets.join(apart, "member").join(hubs, "hub")
-    found = _distances(rows.select("member", "hub", "shingles", "__pivots"), percent).filter(F.col("near")[0])
-    return found.select(F.col("member").alias("a"), F.col("hub").alias("b"))
-
-
 def _block_links(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b) links inside the regions of ``rows`` (region, member, root, shingles), whole regions to a block."""
+    """(a, b) links inside the regions of ``rows`` (region, member, shingles), whole regions to a block of bounded size."""
 
     def match(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         out = []
         for _, part in rows.groupby("region", sort=False):
             part = part.sort_values("member")
             names = part["member"].tolist()
-            found = RegionJoin([np.frombuffer(x, np.uint64) for x in part["shingles"]], percent, part["root"].tolist()).links()
+            found = RegionJoin([np.frombuffer(x, np.uint64) for x in part["shingles"]], percent).links()
             out += [(names[i], names[j]) for i, j in found]
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
@@ -376,8 +372,8 @@ def _crowded(rows: DataFrame) -> DataFrame:
     return rows.groupBy("region").agg(((F.count("*") > REGION_ROWS) | size).alias("__crowded")).filter("__crowded").select("region")
 
 
-def voronoi_cells(rows: DataFrame, percent: int, turn: int) -> tuple[DataFrame, DataFrame]:
-    """One split of crowded regions: (links to pivots, rows of the cells).
+def voronoi_cells(rows: DataFrame, percent: int, turn: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One split of crowded regions: (links to pivots, rows of the cells, rows of the regions that windows cannot split).
 
     A pivot for each of ``PIVOTS`` shares of a region, the least by hash.  A pair
     within the threshold meets in the cell of the nearest pivot of either: the
@@ -390,52 +386,82 @@ def voronoi_cells(rows: DataFrame, percent: int, turn: int) -> tuple[DataFrame,
     share = F.pmod(F.xxhash64("member", F.lit(-turn - 1)), F.lit(PIVOTS))
     chosen = rows.groupBy("region", share.alias("__share")).agg(F.min_by(F.struct("member", "shingles"), order).alias("p"))
     pivots = chosen.groupBy("region").agg(F.array_sort(F.collect_list("p")).alias("p"))
-    pivots = pivots.select("region", F.col("p.member").alias("__names"), F.col("p.shingles").alias("__pivots"))
-    measured = materialise(_distances(rows.join(pivots, "region"), percent), "measured")
-    each = measured.select("region", "member", "root", "shingles", F.array_min("far").alias("__home"), F.explode(F.arrays_zip("__names", "far", "near")).alias("x"))
-    each = each.select("region", "member", "root", "shingles", "__home", F.col("x.__names").alias("__pivot"), F.col("x.far").alias("__far"), F.col("x.near").alias("__near"))
+    pivots = materialise(pivots.select("region", F.col("p.member").alias("__names"), F.col("p.shingles").alias("__pivots")), "pivots")
+    measured = materialise(_distances(rows.join(pivots, "region"), percent).drop("shingles"), "measured")
+    each = measured.select("region", "member", F.array_min("far").alias("__home"), F.explode(F.arrays_zip("__names", "far", "near")).alias("x"))
+    each = each.select("region", "member", "__home", F.col("x.__names").alias("__pivot"), F.col("x.far").alias("__far"), F.col("x.near").alias("__near"))
     links = each.filter("__near AND member <> __pivot").select(F.col("member").alias("a"), F.col("__pivot").alias("b"))
     inside = each.filter(F.col("__far") <= F.col("__home") + 2 * threshold + 1e-9)
     outside = inside.filter("NOT __near").groupBy("region", "__pivot").agg(F.min("__far").alias("__nearest"))
     kept = inside.filter("member <> __pivot").join(outside, ["region", "__pivot"]).filter(F.col("__far") >= F.col("__nearest") - threshold - 1e-9)
-    return links, materialise(kept.select(F.xxhash64("region", "__pivot").alias("region"), "member", "root", "shingles"), "cells")
-
-
-def region_links(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b) links inside the regions of ``rows`` (region, member, root, shingles), a stored table.
-
-    Cells that ``ROUNDS`` splits leave crowded are compared in pairs of chunks.
-    """
-    links = None
+    kept = materialise(kept.select("region", "__pivot", "member"), "kept")
+    # a split that leaves a cell nearly as large as its region, or copies most sets, is none
+    cells = kept.groupBy("region", "__pivot").agg(F.count("*").alias("n")).groupBy("region").agg(F.max("n").alias("most"), F.sum("n").alias("all"))
+    size = rows.groupBy("region").agg(F.count("*").alias("n"))
+    stuck = size.join(cells, "region").filter("most > 0.75 * n OR all > 3 * n").select("region")
+    stuck = materialise(stuck, "stuck")
+    own = F.xxhash64("region", "__pivot").alias("region")
+    split = kept.join(stuck, "region", "left_anti").join(rows, ["region", "member"]).select(own, "member", "shingles")
+    return links, materialise(split, "cells"), rows.join(stuck, "region", "left_semi")
+
+
+def split_and_join(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None]:
+    """(links inside the regions of ``rows``, what splits leave crowded or None); ``rows`` (region, member, shingles) are stored."""
+    links, left = None, None
+    both = lambda a, b: b if a is None else a.unionByName(b)
     for turn in range(ROUNDS):
         crowded = materialise(_crowded(rows), "crowded")
-        new = _block_links(rows.join(crowded, "region", "left_anti"), percent)
-        links = new if links is None else links.unionByName(new)
         if not crowded.take(1):
-            return links
-        near, rows = voronoi_cells(rows.join(crowded, "region", "left_semi"), percent, turn)
-        links = links.unionByName(near)
+            return both(links, _block_links(rows, percent)), left
+        links = both(links, _block_links(rows.join(crowded, "region", "left_anti"), percent))
+        near, cells, stuck = voronoi_cells(materialise(rows.join(crowded, "region", "left_semi"), "crowd"), percent, turn)
+        links, left, rows = links.unionByName(near), both(left, stuck), cells
+    return links, both(left, rows)
+
+
+def _chunked(rows: DataFrame) -> DataFrame:
+    """Regions as all pairs of chunks of bounded size: every two sets meet, however many a region has."""
     size = rows.groupBy("region").agg(F.greatest(F.ceil(F.count("*") * 2 / F.lit(REGION_ROWS)), F.ceil(F.sum(F.octet_length("shingles")) / F.lit(4 * REGION_GRAMS))).cast("int").alias("__chunks"))
     own = rows.join(size, "region").withColumn("__chunk", F.pmod(F.xxhash64("member"), F.col("__chunks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("__chunks") - 1)).alias("__other")
-    pairs = own.select("*", other).select(F.xxhash64("region", F.least("__chunk", "__other"), F.greatest("__chunk", "__other")).alias("region"), "member", "root", "shingles")
-    return links.unionByName(_block_links(materialise(pairs, "chunks"), percent))
+    return own.select("*", other).select(F.xxhash64("region", F.least("__chunk", "__other"), F.greatest("__chunk", "__other")).alias("region"), "member", "shingles")
+
+
+def _by_part(left: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows of ``left`` region by region, rows to be compared as they are): whichever takes fewer pairs for each crowd."""
+    place = members.select(F.col("region").alias("__part"), "member").join(left.select("region", "member"), "member")
+    place = materialise(place.select(F.col("region").alias("__crowd"), F.xxhash64("region", "__part").alias("region"), "member"), "parts")
+    place = place.join(_once(place), "region", "left_semi")
+    pairs = place.groupBy("__crowd", "region").agg(F.count("*").alias("n")).groupBy("__crowd").agg(F.sum(F.col("n") * F.col("n")).alias("__pairs"))
+    size = left.groupBy("region").agg(F.count("*").alias("n")).withColumnRenamed("region", "__crowd")
+    fewer = materialise(size.join(pairs, "__crowd", "left").filter("coalesce(__pairs, 0) < n * n").select("__crowd"), "fewer")
+    sets = left.withColumnRenamed("region", "__crowd")
+    parted = place.join(fewer, "__crowd", "left_semi").join(sets, ["__crowd", "member"]).select("region", "member", "shingles")
+    return parted, left.join(fewer.withColumnRenamed("__crowd", "region"), "region", "left_anti")
 
 
 def set_links(docs: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
-    """(a, b) links between first rows of different sets that connect every component."""
+    """(a, b) links between first rows of different sets that connect every component.
+
+    Sets that share regions, directly or over others, form a family, and a
+    family is joined as one region, so every set moves once.  What splits leave
+    crowded is joined region by region if that takes fewer pairs, and in pairs
+    of chunks in the end.
+    """
     members = shared_regions(sets)
-    near = materialise(hub_links(docs, members, words, percent), "near")
-    roots = materialise(connected(near), "roots")
-    rooted = members.select("region", "member").join(roots.withColumnRenamed("node", "member"), "member", "left").withColumn("root", F.coalesce("root", "member"))
-    rooted = materialise(rooted, "rooted")
-    apart = rooted.groupBy("region").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("region")
-    apart = materialise(rooted.join(apart, "region", "left_semi"), "apart")
-    open_ = materialise(apart.join(_once(apart), "region", "left_semi"), "open")
-    if not open_.take(1):
-        return near
-    rows = materialise(open_.join(shingle_sets(docs, open_, "member", words), "member"), "open")
-    return near.unionByName(region_links(rows, percent))
+    families = connected(members.filter("low < member").select(F.col("member").alias("a"), F.col("low").alias("b")).distinct())
+    families = materialise(families.select(F.col("root").alias("region"), F.col("node").alias("member")), "families")
+    rows = families.join(shingle_sets(docs, families, "member", words), "member").select("region", "member", "shingles")
+    links, left = split_and_join(materialise(rows, "rows"), percent)
+    if left is not None and left.take(1):
+        left = materialise(left, "left")
+        parted, whole = _by_part(left, members)
+        more, rest = split_and_join(materialise(parted, "parted"), percent)
+        links = links.unionByName(more)
+        for crowd in (whole, rest):
+            if crowd is not None:
+                links = links.unionByName(_block_links(materialise(_chunked(crowd), "chunks"), percent))
+    return links
 
 
 def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -446,9 +472,11 @@ def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("__row").alias("row"))
     rows = sets.select("__row", "doc_id", "n_shingles", "set_key")
     by_set = rows.filter("n_shingles > 0").groupBy("set_key").agg(F.min("__row").alias("node"), F.min(order).alias("__least"))
-    by_set = by_set.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    by_set = materialise(by_set, "by-set").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = by_set.groupBy("root").agg(F.min("__least").alias("__least"))
-    by_set = by_set.select("set_key", "root").join(least, "root").select("set_key", "__least")
+    # both joins are of stored tables, so Spark splits a component or a set that fills a task
+    by_set, least = materialise(by_set.select("set_key", "root"), "set-roots"), materialise(least, "least")
+    by_set = materialise(by_set.join(least, "root").select("set_key", "__least"), "set-least")
     out = rows.filter("n_shingles > 0").join(by_set, "set_key").select(
         "__row", "doc_id", "n_shingles", F.col("__least.doc_id").alias("component_id"), (F.col("__row") == F.col("__least.row")).alias("first")
     )
