@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -11,17 +14,25 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a local one only where none is set (tests)."""
+    """The session's checkpoint folder; a local one only where none is set and Spark runs in this one process (tests).
+
+    On a cluster without a shared folder this fails: each executor would write
+    to its own disk, and what others wrote would be missing without an error.
+    """
     context = spark.sparkContext
-    path = context.getConf().get("spark.checkpoint.dir", None)
+    path = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = getattr(shared_dir, "own", None)
         if path is None:
             path = shared_dir.own = "file://" + tempfile.mkdtemp(prefix="framelake-")
-        context.setCheckpointDir(path)
     return path.rstrip("/")
 
 
+_stages: list[list[str]] = []
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -31,9 +42,26 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/framelake/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for written in _stages:
+        written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """What is materialised inside is deleted in the end; results must be stored or collected by then."""
+    written: list[str] = []
+    _stages.append(written)
+    try:
+        yield
+    finally:
+        _stages.remove(written)
+        configuration = spark._jsc.hadoopConfiguration()
+        for path in written:
+            path = spark._jvm.org.apache.hadoop.fs.Path(path)
+            path.getFileSystem(configuration).delete(path, True)
+
+
 def numbered(df: DataFrame) -> DataFrame:
     """``df`` with __row, a number for each row: its file's ordinal above bit 33, its place in that file below.
 
