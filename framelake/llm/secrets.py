@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import materialise
 from .arrowtext import BYTE_VALUE, prefix_hashes, span_hashes, text_runs, word_spans
 from .tables import read
 
@@ -209,8 +210,10 @@ class Field:
             return []
         e = self._emissions(ids)
         step = self._steps() - self.step[0, 0]
-        # the most that a token outside the outside state can add, with leaving counted every time
-        most = np.maximum(e[:, 1] + step[:, 1].max(), e[:, 2] + step[1:, 2].max()) + max(0.0, step[1, 0], step[2, 0])
+        edge = np.concatenate([[True], np.diff(document) != 0, [True]])  # edge[i]: a text starts at token i
+        # the most that a token outside the outside state can add, with leaving counted every time; a text may begin inside for nothing
+        enter = np.where(edge[:-1], max(0.0, step[:, 1].max()), step[:, 1].max())
+        most = np.maximum(e[:, 1] + enter, e[:, 2] + step[1:, 2].max()) + max(0.0, step[1, 0], step[2, 0])
         total = np.concatenate([[0.0], np.cumsum(most)])
         low = np.minimum.accumulate(total)[:-1]
         high = np.maximum.accumulate(total[::-1])[::-1][1:]
@@ -220,10 +223,11 @@ class Field:
         cut = np.flatnonzero((np.diff(live) > 1) | (np.diff(document[live]) != 0)) + 1
         out = []
         for run in np.split(live, cut):
-            out += self._viterbi(e[run[0] : run[-1] + 1], step, int(run[0]), run[0] == 0 or document[run[0] - 1] != document[run[0]])
+            out += self._viterbi(e[run[0] : run[-1] + 1], step, int(run[0]), edge[run[0]], edge[run[-1] + 1])
         return out
 
-    def _viterbi(self, e: np.ndarray, step: np.ndarray, at: int, opens: bool) -> list[tuple[int, int]]:
+    def _viterbi(self, e: np.ndarray, step: np.ndarray, at: int, opens: bool, closes: bool) -> list[tuple[int, int]]:
+        """``opens`` and ``closes``: whether the stretch begins or ends its text; where it ends inside, it goes on outside."""
         rows, s = e.tolist(), step.tolist()
         begin = [0.0, 0.0, self.NEVER] if opens else s[0]
         best = [begin[j] + rows[0][j] for j in range(3)]
@@ -232,8 +236,8 @@ class Field:
             chosen = [max(range(3), key=lambda i: best[i] + s[i][j]) for j in range(3)]
             best = [best[chosen[j]] + s[chosen[j]][j] + row[j] for j in range(3)]
             back.append(chosen)
-        # leaving to the outside state costs the same as anywhere else
-        state = max(range(3), key=lambda i: best[i] + (s[i][0] if i else 0.0))
+        # a text may end in any state, as it does in the fit
+        state = max(range(3), key=lambda i: best[i] + (0.0 if closes else s[i][0]))
         states = [state]
         for chosen in reversed(back):
             state = chosen[state]
@@ -309,11 +313,12 @@ def _tagged(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 def fit(docs: DataFrame, hit_rows: int = HIT_ROWS, plain_rows: int = PLAIN_ROWS) -> Field:
     """Fit the field on a bounded sample of documents, lowest hash first."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
-    rows = docs.select(F.xxhash64("text").alias("__h"), text).withColumn("__hit", F.col("text").rlike(_HINT))
-    # equal texts count once, so a group of copies cannot fill the sample
-    pick = lambda hit, n: rows.filter(F.col("__hit") == hit).groupBy("__h").agg(F.first("text").alias("text")).orderBy("__h").limit(n)
-    chosen = pick(True, hit_rows).unionByName(pick(False, plain_rows)) if plain_rows else pick(True, hit_rows)
+    rows = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("__h", F.xxhash64("text"))
+    # equal texts count once, so a group of copies cannot fill the sample; only hashes move until it is chosen
+    marked = materialise(rows.select("__h", F.col("text").rlike(_HINT).alias("__hit")).distinct(), "hashes")
+    chosen = marked.filter("__hit").orderBy("__h").limit(hit_rows).unionByName(marked.filter("NOT __hit").orderBy("__h").limit(plain_rows))
+    # two texts with one hash count as one; the lesser is taken
+    chosen = rows.join(F.broadcast(chosen.select("__h").distinct()), "__h").groupBy("__h").agg(F.min("text").alias("text"))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
