@@ -7,7 +7,10 @@ format: halves of the value take turns in being shifted by a keyed hash of the
 other, every character within its own class (digits stay digits, letters stay
 letters of the same case), and check digits are computed anew.  The same value
 therefore gets the same pseudonym in every document, and different values of one
-format get different ones.  Ten-digit phone numbers link across spellings.
+format get different ones.  Phone numbers link across spellings: what follows
+the country code is permuted as a row of digits, however it is grouped.  A value
+of a single character has no halves; the characters of its class are put in an
+order by keyed hashes instead.
 
 Everything is SQL expressions inside one scan; nothing is shuffled.
 
@@ -28,7 +31,8 @@ from pyspark.sql import functions as F
 
 from .tables import read
 
-KEY = "set a secret key of your own"
+#: The registered query's key, for comparing runs; real data need a secret one of their own.
+QUERY_KEY = "the key of the registered query"
 ROUNDS = 10
 KINDS = ["email", "ip", "iban", "date", "ssn", "phone", "card"]
 
@@ -47,6 +51,8 @@ PATTERNS = {
     "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}(?:[ -][0-9]{1,3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])",
 }
 PATTERN = "|".join(PATTERNS[k] for k in KINDS)
+#: Country codes, of which none begins another.
+COUNTRY = r"^(\+(?:1|7|2[07]|3[0123469]|4[013456789]|5[12345678]|6[0123456]|8[1246]|9[0123458]|[0-9]{3}))"
 
 
 def _text(value: str) -> str:
@@ -75,7 +81,10 @@ def _permute(values: str, radices: str, tag: str, key: str) -> str:
     network = (
         f"aggregate(sequence(0, {ROUNDS - 1}), {start}, (s, k) -> if(k % 2 = 0, struct({left} AS a, s.b AS b), struct(s.a AS a, {right} AS b)), s -> concat(s.a, s.b))"
     )
-    return _let("pv", values, _let("pr", radices, _let("ph", "cast(size(pv) div 2 AS int)", network)))
+    seed = f"concat_ws('|', {_text(key)}, {_text(tag)}, 'one', cast(x AS string))"
+    order = f"array_sort(transform(sequence(0, cast(pr[0] - 1 AS int)), x -> struct(sha2({seed}, 256) AS h, cast(x AS int) AS x)))"
+    whole = f"if(size(pv) = 1, array(element_at({order}, cast(pv[0] + 1 AS int)).x), {network})"
+    return _let("pv", values, _let("pr", radices, _let("ph", "cast(size(pv) div 2 AS int)", whole)))
 
 
 def _letters(s: str, tag: str, key: str) -> str:
@@ -128,7 +137,7 @@ def kind_of(m: str) -> str:
     return "CASE " + " ".join(f"WHEN {m} RLIKE {whole[k]} THEN if({_valid(k, m)}, '{k}', NULL)" for k in KINDS) + " END"
 
 
-def pseudonym(kind: str, m: str, key: str = KEY) -> str:
+def pseudonym(kind: str, m: str, key: str) -> str:
     """SQL: the pseudonym of the valid value ``m`` of a kind."""
     if kind == "email":
         local = f"substring_index({m}, '@', 1)"
@@ -151,14 +160,16 @@ def pseudonym(kind: str, m: str, key: str = KEY) -> str:
         new = _permute(f"array({area} - if({area} > 666, 2, 1), {group} - 1, {serial} - 1)", "array(898, 99, 9999)", kind, key)
         return _let("nd", new, "concat_ws('-', lpad(cast(nd[0] + if(nd[0] >= 665, 2, 1) AS string), 3, '0'), lpad(cast(nd[1] + 1 AS string), 2, '0'), lpad(cast(nd[2] + 1 AS string), 4, '0'))")
     if kind == "phone":
-        last = f"regexp_extract({m}, {_text('^(.*?)((?:[^0-9]*[0-9]){10})$')}, 1)"
-        return f"concat({last}, {_let('lv', f'substring({m}, length({last}) + 1)', _letters('lv', kind, key))})"
+        code = f"regexp_extract({m}, {_text(COUNTRY)}, 1)"
+        return f"concat({code}, {_let('lv', f'substring({m}, length({code}) + 1)', _letters('lv', kind, key))})"
     head = _let("lv", f"substring({m}, 1, length({m}) - 1)", _letters("lv", kind, key))
     return _let("bv", head, f"concat(bv, cast((10 - {_luhn('bv', 0)} % 10) % 10 AS string))")
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """doc_id, text with pseudonyms, and the number of values of each kind."""
+def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
+    """doc_id, text with pseudonyms under a secret ``key``, and the number of values of each kind."""
+    if not key:
+        raise ValueError("pseudonyms need a key")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # most texts have neither a digit pair nor an at sign, and are passed as they are
     found = f"if(text RLIKE '[0-9][0-9./ ()-]*[0-9]|@', regexp_extract_all(text, {_text(PATTERN)}, 0), cast(array() AS array<string>))"
@@ -173,4 +184,4 @@ def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(read(spark, sf_dir, "documents"))
+    return pseudonymise(read(spark, sf_dir, "documents"), QUERY_KEY)
