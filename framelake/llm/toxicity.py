@@ -2,7 +2,8 @@
 
 Texts are folded first: lower case, look-alike letters of other scripts to
 Latin ones, digits and marks that stand for letters inside words to those
-letters, everything else but letters to blanks.  The lexicon is learned from
+letters, everything else but letters to blanks; l and i match each other, since
+a 1 may stand for either.  The lexicon is learned from
 labelled rows: whole words and word beginnings whose document counts in toxic
 rows are out of proportion, weighted by their log odds.  Two-word phrases that
 hold an entry but occur in clean rows only are exceptions, and entries inside
@@ -19,7 +20,6 @@ empty and every score is 0; other columns do not matter.
 
 from __future__ import annotations
 
-import itertools
 import math
 import re
 from collections import Counter
@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import materialise
 from . import labelled
 from .tables import read
 
@@ -61,16 +62,9 @@ def fold(text: str) -> str:
     return f" {text.translate(_blanks)} "
 
 
-def spellings(entry: str) -> list[str]:
-    """An entry with each of its first three l written as l or i: 1 may stand for either."""
-    at = [i for i, c in enumerate(entry) if c == "l"][:3]
-    out = []
-    for letters in itertools.product("li", repeat=len(at)):
-        word = list(entry)
-        for i, c in zip(at, letters):
-            word[i] = c
-        out.append("".join(word))
-    return out
+def merged(text: str) -> str:
+    """``text`` with l and i as one letter: a 1, folded to i, may stand for either."""
+    return text.replace("l", "i")
 
 
 class Lexicon:
@@ -89,11 +83,13 @@ class Lexicon:
             import ahocorasick
 
             found = ahocorasick.Automaton()
+            weights: dict[str, float] = {}
             for entry, weight in self.entries.items():
-                for word in spellings(entry):
-                    found.add_word(word, (len(word), weight))
+                weights[merged(entry)] = max(weight, weights.get(merged(entry), weight))
+            for entry, weight in weights.items():
+                found.add_word(entry, (len(entry), weight))
             for phrase in self.exceptions:
-                found.add_word(f" {phrase} ", (len(phrase) + 2, None))
+                found.add_word(merged(f" {phrase} "), (len(phrase) + 2, None))
             found.make_automaton()
             self._automaton = found
         return self._automaton
@@ -104,7 +100,7 @@ class Lexicon:
             return []
         kept: dict[int, tuple[int, float]] = {}
         spared: list[tuple[int, int]] = []
-        for last, (size, weight) in self.automaton.iter(folded):
+        for last, (size, weight) in self.automaton.iter(merged(folded)):
             if weight is None:
                 spared.append((last + 1 - size, last + 1))
             else:
@@ -188,8 +184,6 @@ def fit_curve(density: np.ndarray, label: np.ndarray) -> tuple[float, float]:
 
 def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS) -> Lexicon:
     """Learn lexicon, exceptions and curve from a sample of labelled rows."""
-    from ..storage import materialise
-
     rows = materialise(labelled.sample(docs, labels, "toxic", {1: toxic_rows, 0: clean_rows}).select("text", "label"), "toxic-sample")
     totals = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     a, b = totals.get(1, 0), totals.get(0, 0)
