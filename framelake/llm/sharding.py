@@ -3,7 +3,9 @@
 Every record is hashed into one of ``slots`` virtual slots.  Bytes are added up
 for each slot, and the slot-to-shard map decides the rest: version 0 deals
 slots round robin, and each rebalancing writes a further version in which only
-as many slots move as are needed to bring the shards to equal bytes.  The law
+as many slots move as are needed to bring the shards to equal bytes.  Versions
+are kept under a path of the user's (:class:`SlotMaps`), where they can be
+loaded, edited and added to.  The law
 is ``bytes``: sizes near equal.
 
 A slot that outweighs a quarter of a shard (at most ``4 * shards`` slots can) is
@@ -18,11 +20,13 @@ empty table gives no rows; other columns are not carried.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..storage import materialise
+from ..storage import materialise, shared_dir
 from .tables import read
 
 SHARDS = 24
@@ -91,6 +95,47 @@ def rebalance(current: DataFrame, shards: int = SHARDS) -> DataFrame:
     )
 
 
+class SlotMaps:
+    """The versions of a map in a shared folder, one subfolder each; a version is written once and never changed."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _folder(self, version: int) -> str:
+        return f"{self.path}/version={version:06d}"
+
+    def versions(self) -> list[int]:
+        jvm = self.spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.path)
+        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not files.exists(path):
+            return []
+        names = [status.getPath().getName() for status in files.listStatus(path)]
+        # a version without its mark was not written to its end
+        whole = lambda name: files.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/_SUCCESS"))
+        return sorted(int(name.removeprefix("version=")) for name in names if name.startswith("version=") and whole(name))
+
+    def load(self, version: int | None = None) -> DataFrame:
+        """A version of the map, the latest if none is named."""
+        known = self.versions()
+        if not known or (version is not None and version not in known):
+            raise ValueError(f"no version {'at all' if version is None else version} in {self.path}")
+        version = known[-1] if version is None else version
+        return self.spark.read.parquet(self._folder(version)).withColumn("version", F.lit(version))
+
+    def add(self, slot_map: DataFrame) -> DataFrame:
+        """Store ``slot_map`` as the next version, and read it back."""
+        version = next(iter(self.versions()[-1:]), -1) + 1
+        slot_map.drop("version").write.parquet(self._folder(version))
+        return self.load(version)
+
+    def edit(self, moves: DataFrame) -> DataFrame:
+        """The latest version with the cells of ``moves`` (cell, shard) moved, as the next one; other cells stay."""
+        moved = moves.select("cell", F.col("shard").cast("int").alias("__to"))
+        latest = self.load().join(F.broadcast(moved), "cell", "left")
+        return self.add(latest.withColumn("shard", F.coalesce("__to", "shard")).drop("__to"))
+
+
 def place(records: DataFrame, slot_map: DataFrame) -> DataFrame:
     """Shard and gapless slot of each record.
 
@@ -103,16 +148,26 @@ def place(records: DataFrame, slot_map: DataFrame) -> DataFrame:
     return records.join(F.broadcast(starts), "cell").withColumn("slot", F.col("__start") + within - 1).drop("__start", "__part")
 
 
-def shard_documents(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, parts: int = PARTS, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """(placed records, all versions of the map); both maps are stored in the shared folder."""
+def shard_documents(docs: DataFrame, maps: SlotMaps, shards: int = SHARDS, slots: int = SLOTS, parts: int = PARTS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Placed records; the map they follow is the latest of ``maps``, rebalanced from the one before.
+
+    Cells that the latest stored version does not know start on the shard that
+    round robin gives them; what it knows stays where it is until rebalancing
+    moves it, so records that come again keep their shards for the most part.
+    """
     placed = cells(digests(docs, slots, parts, carry), shards, slots, parts)
-    base = materialise(first_map(placed, shards), "slot-map")
-    edited = materialise(rebalance(base, shards), "slot-map")
-    return place(placed, edited), base.unionByName(edited)
+    held = first_map(placed, shards)
+    if maps.versions():
+        known = maps.load().select("cell", F.col("shard").alias("__kept"))
+        held = held.join(F.broadcast(known), "cell", "left").withColumn("shard", F.coalesce("__kept", "shard")).drop("__kept")
+    base = maps.add(held)
+    return place(placed, maps.add(rebalance(base, shards)))
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed, _ = shard_documents(read(spark, sf_dir, "documents"))
+    # each run of this query starts its maps anew; a user names a folder that stays
+    maps = SlotMaps(spark, f"{shared_dir(spark)}/framelake/slot-maps-{uuid.uuid4().hex}")
+    placed = shard_documents(read(spark, sf_dir, "documents"), maps)
     return placed.select(
         "doc_id",
         "size",
