@@ -1,27 +1,29 @@
 """Benchmark decontamination by template canonicalisation.
 
 Words are case-folded runs of letters and digits, by the rules of Unicode, so
-a copy in capitals has the same words.  Numbers, names (a capital
-after a word of the same sentence) and units are replaced by typed
-placeholders, and every run of ``window`` words becomes a template hash, in the
-benchmark as in the documents.  Whether a word is a name hangs on the text
-around it, so every window is also hashed in its literal form, all words as they
-are.  Document windows whose template is in the
-benchmark meet it in a hash join; before that a filter of fixed size, built from
-the benchmark, leaves out nearly all others.  In the typed form windows with
-fewer than ``literals`` words left are no evidence and are skipped on both sides;
-in the literal form every window counts.  Shorter benchmark items are one window
-of their own length.
-
-Joined windows are lined up: those of one document and item with the same
-distance between their places form an alignment.  In it each benchmark value
-stands for the document's value that most of the windows give it (of equals the
-unchanged one, then the least hash); several benchmark values may become one.
-A window counts if all its slots agree with that, or if none is changed.  An
-alignment is a leak if the windows that count cover at least ``coverage`` of the
-item's windows that can match in the typed form, or ``run`` of them, so a
-re-parameterised question is caught and a chance meeting of templates is not; or
-if the unchanged windows do so among all windows of the item.
+a copy in capitals has the same words.  Words become tokens: numbers, names (a
+capital after a word of the same sentence, or before such a name) and units are
+replaced by typed placeholders, and a name of several words or a number with
+points or commas inside is one token, so a new value may have another number of
+words.  Every run of ``window`` tokens becomes a template hash, in the benchmark
+as in the documents.  Whether a word is a name hangs on the text around it, so
+every run of ``window`` words is also hashed in its literal form, all words as
+they are.  Document windows whose hash is in the benchmark meet it in a hash
+join; before that a filter of fixed size, built from the benchmark, leaves out
+nearly all others.  Benchmark items shorter than a window are one window of their
+own length; documents are read once for all lengths.
+
+Joined windows are lined up: those of one document, item and form with the same
+distance between their places form an alignment.  In the literal form it is a
+leak if its windows are at least ``coverage`` of the item's, or ``run`` of them.
+In the typed form each benchmark value stands for the document's value that most
+of the windows give it (of equals the unchanged one, then the least hash);
+several benchmark values may become one.  A window counts if all its slots agree
+with that, or if none is changed, and if it holds ``literals`` plain tokens at
+least (all of them in a shorter item); the windows that count must be ``coverage``
+of the item's windows that can, or ``run`` of them.  An item without such a
+window is found by all its windows together, if these hold ``literals`` plain
+tokens in all.
 
 Defined results: null and empty texts have no windows; repeated documents and
 items are each reported; null ids are kept as values; no benchmark or no
@@ -35,10 +37,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import numbered
+from ..storage import materialise, numbered
 from . import bitfilter
 from .arrowtext import BYTE_VALUE, mix, prefix_hashes, span_hashes, text_runs, word_spans
 from .tables import read
@@ -90,87 +92,132 @@ def folded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.frombuffer(b"".join(out), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in out], dtype=np.int64)])
 
 
-def templates(data: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
-    """Canonical words of some texts: (document, place, word hash, kind, prefixes over canonical and over literal words, first word of each document)."""
-    start, end, first = word_spans(data, offsets, _word_bytes)
-    low, ends = folded(data, offsets)
-    begin, stop, _ = word_spans(low, ends, _word_bytes)
-    words = span_hashes(prefix_hashes(BYTE_VALUE[low]), begin, stop)
-    digits = np.concatenate([[0], np.cumsum(_digits[data])])
-    stops = np.concatenate([[0], np.cumsum(_stops[data])])
-    document = np.searchsorted(first[1:], np.arange(len(start)), "right")
-    kind = np.full(len(start), _LITERAL, np.int8)
-    if len(start):
+class Forms:
+    """Some texts in literal and typed form.
+
+    For each form: ``hashes`` (prefix hashes over words or tokens), ``first``
+    (where each text's begin), ``document`` of each.  ``plain`` tells which tokens
+    are literals, and ``values`` what each token stands for.
+    """
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray) -> None:
+        start, end, first = word_spans(data, offsets, _word_bytes)
+        low, ends = folded(data, offsets)
+        begin, stop, _ = word_spans(low, ends, _word_bytes)
+        words = span_hashes(prefix_hashes(BYTE_VALUE[low]), begin, stop)
+        n = len(start)
+        document = np.searchsorted(first[1:], np.arange(n), "right")
+        literal = prefix_hashes(words)
+        head, kind = np.ones(n, bool), np.full(n, _LITERAL, np.int8)
+        if n:
+            kind, head = self._kinds(data, start, end, document, words)
+        at = np.flatnonzero(head)
+        close = np.append(at[1:], n)
+        self.values = span_hashes(literal, at, close).view(np.int64)
+        self.plain = kind[at] == _LITERAL
+        tokens = np.where(self.plain, words[at], _PLACEHOLDER[kind[at]])
+        self.hashes = literal, prefix_hashes(tokens)
+        self.first = first, np.searchsorted(at, first)
+        self.document = document, document[at]
+
+    @staticmethod
+    def _kinds(data: np.ndarray, start: np.ndarray, end: np.ndarray, document: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The kind of each word, and whether it begins a token."""
+        n = len(start)
+        digits = np.concatenate([[0], np.cumsum(_digits[data])])
+        stops = np.concatenate([[0], np.cumsum(_stops[data])])
         number = digits[end] - digits[start] == end - start
-        follows = np.zeros(len(start), bool)
-        follows[1:] = (document[1:] == document[:-1]) & (stops[start[1:]] == stops[end[:-1]])
+        same, gap = np.zeros(n, bool), np.zeros(n, np.uint8)  # gap: the byte before a word if it is the only one there
+        same[1:] = document[1:] == document[:-1]
+        one = np.flatnonzero(same[1:] & (start[1:] == end[:-1] + 1)) + 1
+        gap[one] = data[end[one - 1]]
+        follows = same.copy()
+        follows[1:] &= stops[start[1:]] == stops[end[:-1]]
         capital = (data[start] >= 65) & (data[start] <= 90)
-        small = np.zeros(len(start), bool)
-        longer = end - start > 1
+        longer = np.flatnonzero(end - start > 1)
+        small = np.zeros(n, bool)
         small[longer] = (data[start[longer] + 1] >= 97) & (data[start[longer] + 1] <= 122)
-        kind[capital & small & follows] = _NAME
+        kind = np.full(n, _LITERAL, np.int8)
+        name = capital & small
+        kind[name & follows] = _NAME
+        opens = name & ~follows
+        opens[:-1] &= (kind[1:] == _NAME) & (gap[1:] == 32)
+        opens[-1:] = False
+        kind[opens] = _NAME
         unit = follows.copy()
         unit[1:] &= number[:-1]
         unit &= _UNIT_HASHES[np.minimum(np.searchsorted(_UNIT_HASHES, words), len(_UNIT_HASHES) - 1)] == words
         kind[unit] = _UNIT
         kind[number] = _NUMBER
-    canonical = np.where(kind == _LITERAL, words, _PLACEHOLDER[kind])
-    return document, np.arange(len(start)) - first[document], words, kind, prefix_hashes(canonical), prefix_hashes(words), first
+        joined = np.zeros(n, bool)
+        joined[1:] = ((kind[1:] == _NAME) & (kind[:-1] == _NAME) & (gap[1:] == 32)) | (number[1:] & number[:-1] & ((gap[1:] == 44) | (gap[1:] == 46)))
+        return kind, ~joined
+
 
+#: Windows of the typed form hash apart from those of the literal one.
+_TYPED = np.uint64(0x5851F42D4C957F2D)
 
-def windows(rows: DataFrame, carry: str, window: int = WINDOW, literals: int = LITERALS, only: np.ndarray | None = None, whole_if_shorter: bool = False) -> DataFrame:
-    """Windows in both forms: ``carry``, __row, template, place, typed (whether words are replaced), counts, slots, windows and eligible.
 
-    ``counts`` says whether the window counts in the typed form, and ``eligible``
-    how many of the text's ``windows`` do.  A window without placeholders has
-    one form.  ``slots`` are the value hashes at placeholders.  ``only`` is a
-    filter's bits; windows outside it are left out.  Texts shorter than a window
-    give one window only with ``whole_if_shorter``, and texts around it then give
-    windows of every shorter length that an item has.
+def windows(rows: DataFrame, carry: str, lengths: dict[bool, list[int]], literals: int = LITERALS, only: np.ndarray | None = None, items: bool = False) -> DataFrame:
+    """``carry``, __row, template, typed, length, place, slots, counts, windows and eligible of the windows of both forms.
+
+    ``lengths`` are those of each form (typed or not).  ``slots`` are the value
+    hashes at placeholders.  ``only`` is a filter's bits; windows outside it are
+    left out.  With ``items`` the first length of a form holds, or the text's own
+    if that is less, and three fields are filled: whether a window counts, how
+    many windows the text has in this form, and how many of them count, negative
+    if all must be met.
     """
     spark = rows.sparkSession
     shared = None if only is None else spark.sparkContext.broadcast(only)
-    fields = pa.schema([("__key", pa.int64()), ("__row", pa.int64()), ("template", pa.int64()), ("place", pa.int64()), ("typed", pa.bool_()), ("counts", pa.bool_()), ("slots", pa.list_(pa.int64())), ("windows", pa.int64()), ("eligible", pa.int64())])
+    long = pa.int64()
+    fields = pa.schema([("__key", long), ("__row", long), ("template", long), ("typed", pa.bool_()), ("length", long), ("place", long), ("slots", pa.list_(long)), ("counts", pa.bool_()), ("windows", long), ("eligible", long)])
+
+    def form(found: Forms, typed: bool, length: int, bits: np.ndarray | None) -> tuple | None:
+        first, document = found.first[typed], found.document[typed]
+        size = np.diff(first)
+        at = np.arange(len(document))
+        long = np.minimum(length, size[document]) if items else np.full(len(at), length)
+        fits = at - first[document] + long <= size[document]
+        at, long = at[fits], long[fits]
+        if not len(at):
+            return None
+        hashes = span_hashes(found.hashes[typed], at, at + long)
+        hashes = (hashes ^ _TYPED if typed else hashes).view(np.int64)
+        windows, counts, eligible = np.zeros(len(at), np.int64), np.zeros(len(at), bool), np.zeros(len(at), np.int64)
+        if items:
+            owner = document[at]
+            windows = np.bincount(owner, minlength=len(size))[owner]
+            plain = np.concatenate([[0], np.cumsum(found.plain)])
+            counts = plain[at + long] - plain[at] >= np.minimum(literals, long) if typed else np.ones(len(at), bool)
+            eligible = np.bincount(owner[counts], minlength=len(size))[owner]
+            whole = plain[first[1:]] - plain[first[:-1]] if typed else size
+            strict = (eligible == 0) & (whole[owner] >= literals)
+            counts, eligible = counts | strict, np.where(strict, -windows, eligible)
+        if bits is not None:
+            slot = hashes % np.int64(len(bits) * 64)
+            hit = (bits[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) == 1
+            at, long, hashes, windows, counts, eligible = (x[hit] for x in (at, long, hashes, windows, counts, eligible))
+        if items:
+            at, long, hashes, windows, eligible, counts = (x[counts] for x in (at, long, hashes, windows, eligible, counts))
+        slots = [found.values[i : i + n][~found.plain[i : i + n]] for i, n in zip(at.tolist(), long.tolist())] if typed else [[]] * len(at)
+        return document[at], hashes, long, at - first[document[at]], slots, counts, windows, eligible
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = None if shared is None else shared.value
         for batch in batches:
-            keys, numbers = batch.column(0), batch.column(1)
-            for a, b, data, offsets in text_runs(batch.column(2)):
-                document, place, words, kind, prefix, literal, first = templates(data, offsets, window)
-                size = np.diff(first)
-                at = np.arange(len(words))
-                length = np.minimum(window, size[document]) if whole_if_shorter else np.full(len(words), window)
-                fits = place + length <= size[document]
-                at, length = at[fits], length[fits]
-                if not len(at):
-                    continue
-                plain = np.concatenate([[0], np.cumsum(kind == _LITERAL)])
-                left = plain[at + length] - plain[at]
-                counts = left >= np.minimum(literals, length)
-                eligible = np.bincount(document[at[counts]], minlength=len(size))
-                typed = np.flatnonzero(counts & (left < length))
-                found = np.concatenate([span_hashes(literal, at, at + length), span_hashes(prefix, at[typed], at[typed] + length[typed])]).view(np.int64)
-                of_window = np.concatenate([np.arange(len(at)), typed])
-                is_typed = np.arange(len(found)) >= len(at)
-                if bits is not None:
-                    slot = found % np.int64(len(bits) * 64)
-                    hit = (bits[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) == 1
-                    of_window, is_typed, found = of_window[hit], is_typed[hit], found[hit]
-                if not len(found):
-                    continue
-                at, length, counts = at[of_window], length[of_window], counts[of_window]
-                values = words.view(np.int64)
-                slots = [values[i : i + n][kind[i : i + n] != _LITERAL] for i, n in zip(at, length)]
-                of = pa.array(document[at] + a)
-                count = np.maximum(size[document[at]] - window + 1, 1)
-                yield pa.RecordBatch.from_arrays(
-                    [keys.take(of), numbers.take(of), pa.array(found), pa.array(place[at]), pa.array(is_typed), pa.array(counts), pa.array(slots, pa.list_(pa.int64())), pa.array(count), pa.array(eligible[document[at]])],
-                    schema=fields,
-                )
+            for a, _, data, offsets in text_runs(batch.column(2)):
+                found = Forms(data, offsets)
+                for typed in (False, True):
+                    for length in lengths[typed]:
+                        out = form(found, typed, length, bits)
+                        if out is not None and len(out[0]):
+                            of = pa.array(out[0] + a)
+                            rest = [pa.array(x, kind.type) for x, kind in zip(out[2:], list(fields)[4:])]
+                            yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), pa.array(out[1]), pa.array([typed] * len(of)), *rest], schema=fields)
 
     rows = numbered(rows).select(F.col(carry).cast("long").alias("__key"), "__row", F.col("text").cast("string"))
-    found = rows.mapInArrow(scan, "__key long, __row long, template long, place long, typed boolean, counts boolean, slots array<long>, windows long, eligible long")
+    found = rows.mapInArrow(scan, "__key long, __row long, template long, typed boolean, length long, place long, slots array<long>, counts boolean, windows long, eligible long")
     return found.withColumnRenamed("__key", carry)
 
 
@@ -185,63 +232,53 @@ def _bits(built: DataFrame, bits: int) -> np.ndarray:
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literals: int = LITERALS, coverage: float = COVERAGE, run: int = RUN) -> DataFrame:
     """One row per leak: doc_id, item_id, __row (the document's place), matched_windows, item_windows, changed_slots."""
     docs = numbered(docs)
-    items = windows(benchmark, "item_id", window, literals, whole_if_shorter=True)
+    items = materialise(windows(benchmark, "item_id", {False: [window], True: [window]}, literals, items=True), "items")
     bits = _bits(bitfilter.build(items, F.col("template"), FILTER_BITS), FILTER_BITS)
-    found = windows(docs, "doc_id", window, literals, only=bits)
-    # items shorter than a window are looked up at their own length
-    short = [r["n"] for r in benchmark.select(_word_count(F.col("text")).alias("n")).filter(f"n > 0 AND n < {window}").distinct().collect()]
-    for n in sorted(short):
-        found = found.unionByName(windows(docs, "doc_id", n, min(literals, n), only=bits))
-    items = items.select("item_id", F.col("__row").alias("__item"), "template", "typed", "counts", F.col("place").alias("__at"), F.col("slots").alias("__slots"), "windows", "eligible")
-    joined = found.drop("windows", "eligible", "counts", "typed").join(items, "template").withColumn("__shift", F.col("place") - F.col("__at"))
-    # the words of a literal form are equal, whatever each side takes for a name
-    pairs = F.when(F.col("typed"), F.arrays_zip(F.col("__slots").alias("item"), F.col("slots").alias("doc"))).otherwise(F.transform("__slots", lambda x: F.struct(x.alias("item"), x.alias("doc"))))
-    window_of = F.struct("place", "counts", pairs.alias("pairs"))
-    aligned = joined.groupBy("__row", "doc_id", "__item", "item_id", "__shift", "windows", "eligible").agg(F.collect_set(window_of).alias("__found"), F.count_distinct("place").alias("__n"))
-    aligned = aligned.filter((F.col("__n") >= F.least("windows", F.greatest("eligible", F.lit(1))) * coverage) | (F.col("__n") >= run))
+    # two forms and ``window`` lengths at most
+    known = items.select("typed", "length").distinct().collect()
+    lengths = {typed: sorted({r["length"] for r in known if r["typed"] == typed}, reverse=True) for typed in (False, True)}
+    found = windows(docs, "doc_id", lengths, literals, only=bits).select("doc_id", "__row", "template", "typed", "length", "place", "slots")
+    items = items.select("item_id", F.col("__row").alias("__item"), "template", "typed", "length", F.col("place").alias("__at"), F.col("slots").alias("__slots"), "windows", "eligible")
+    joined = found.join(items, ["template", "typed", "length"]).withColumn("__shift", F.col("place") - F.col("__at"))
+    window_of = F.struct("place", F.arrays_zip(F.col("__slots").alias("item"), F.col("slots").alias("doc")).alias("pairs"))
+    keys = ["__row", "doc_id", "__item", "item_id", "typed", "__shift", "windows", "eligible"]
+    aligned = joined.groupBy(*keys).agg(F.collect_set(window_of).alias("__found"), F.count_distinct("place").alias("n"))
+    need = F.when(~F.col("typed"), F.least(F.col("windows") * coverage, F.lit(run))).when(F.col("eligible") < 0, -F.col("eligible")).otherwise(F.least(F.col("eligible") * coverage, F.lit(run)))
+    aligned = aligned.filter((F.col("n") > 0) & (F.col("n") >= need)).withColumn("need", need.cast("double"))
+    literal = aligned.filter("NOT typed").select(*keys[:4], "n", F.lit(0).cast("long").alias("same"), F.col("windows").alias("of"))
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            of = [batch.schema.get_field_index(name) for name in ("__found", "windows", "eligible")]
             for k in range(0, len(batch), 256):
                 part = batch.slice(k, 256)
-                out = [judge(found, windows, eligible, coverage, run) for found, windows, eligible in zip(*(part.column(i).to_pylist() for i in of))]
-                yield pa.RecordBatch.from_arrays([*part.columns[:4], *(pa.array([x and x[i] for x in out], pa.int64()) for i in range(3))], names=[*part.schema.names[:4], "n", "same", "of"])
+                out = [judge(found, need) for found, need in zip(part.column("__found").to_pylist(), part.column("need").to_pylist())]
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], *(pa.array([x and x[i] for x in out], pa.int64()) for i in range(2)), part.column("of")], names=[*keys[:4], "n", "same", "of"])
 
-    judged = aligned.mapInArrow(decide, "__row long, doc_id long, __item long, item_id long, n long, same long, of long").filter("n IS NOT NULL")
-    best = judged.groupBy("__row", "doc_id", "__item", "item_id").agg(F.max(F.struct("n", "same", "of")).alias("__best"))
-    return best.select(
-        "__row", "doc_id", "__item", "item_id", F.col("__best.n").alias("matched_windows"), F.col("__best.of").alias("item_windows"), (-F.col("__best.same")).alias("changed_slots")
-    )
+    typed = aligned.filter("typed").select(*keys[:4], F.abs("eligible").alias("of"), "need", "__found")
+    judged = typed.mapInArrow(decide, "__row long, doc_id long, __item long, item_id long, n long, same long, of long").filter("n IS NOT NULL")
+    best = literal.unionByName(judged).groupBy(*keys[:4]).agg(F.max(F.struct("n", "same", "of")).alias("__best"))
+    return best.select(*keys[:4], F.col("__best.n").alias("matched_windows"), F.col("__best.of").alias("item_windows"), (-F.col("__best.same")).alias("changed_slots"))
 
 
-def judge(found: list[dict], windows: int, eligible: int, coverage: float, run: int) -> tuple[int, int, int] | None:
-    """(windows that count, minus the changed slots, windows of the item) of an alignment that is a leak; of both ways the better."""
-    places: dict[int, tuple[bool, set]] = {}
+def judge(found: list[dict], need: float) -> tuple[int, int] | None:
+    """(windows that count, minus the changed slots) of a typed alignment, if they are as many as needed."""
+    places: dict[int, set] = {}
     for window in found:
-        # a window met in both forms has the same pairs
-        places.setdefault(window["place"], (window["counts"], set()))[1].update((p["item"], p["doc"]) for p in window["pairs"])
-    votes = Counter(pair for _, pairs in places.values() for pair in pairs)
+        places.setdefault(window["place"], set()).update((p["item"], p["doc"]) for p in window["pairs"])
+    votes = Counter(pair for pairs in places.values() for pair in pairs)
     stands: dict[int, int] = {}
     for (item, doc), _ in sorted(votes.items(), key=lambda x: (-x[1], x[0][0] != x[0][1], x[0][1])):
         stands.setdefault(item, doc)
-    unchanged = {place for place, (_, pairs) in places.items() if all(a == b for a, b in pairs)}
-    follow = {place for place, (_, pairs) in places.items() if all(stands[a] == b for a, b in pairs)}
-    typed = [pairs for place, (counts, pairs) in places.items() if counts and (place in follow or place in unchanged)]
-    changed = {(a, b) for pairs in typed for a, b in pairs if a != b}
-    ways = [(len(typed), -len(changed), eligible), (len(unchanged), 0, windows)]
-    return max((x for x in ways if x[0] and (x[0] >= x[2] * coverage or x[0] >= run)), default=None)
-
-
-def _word_count(text: Column) -> Column:
-    return F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"), F.lit(0)))
+    agree = [pairs for pairs in places.values() if all(stands[a] == b for a, b in pairs) or all(a == b for a, b in pairs)]
+    changed = {(a, b) for pairs in agree for a, b in pairs if a != b}
+    return (len(agree), -len(changed)) if agree and len(agree) >= need else None
 
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` without a leak, with all their columns."""
     columns, docs = docs.columns, numbered(docs)
-    dropped = leaks(docs, benchmark).select("__row").distinct()
-    return docs.join(dropped, "__row", "left_anti").select(columns)
+    dropped = materialise(leaks(docs, benchmark).select("__row").distinct(), "dropped")
+    return bitfilter.without(docs, dropped, "__row").select(columns)
 
 
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
