@@ -74,9 +74,11 @@ def decide(docs: DataFrame, digest_all: bool = False) -> DataFrame:
         "__row", "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256"
     )
     rows = digest.filter("__survives").drop("__survives")
+    # stored, so that both sides of the join are shuffled for it alone: Spark then splits a group that fills a task
     groups = rows.groupBy("text_sha256").agg(
         F.max(F.struct("doc_id", "__row")).alias("__best"), F.count("*").alias("group_size")
     )
+    groups = materialise(groups, "groups")
     shared = rows.join(groups, "text_sha256").select(
         "__row",
         "doc_id",
@@ -95,7 +97,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     decisions; all others pass where they are.
     """
     columns, docs = docs.columns, numbered(docs)
-    dropped = decide(docs).filter(~F.col("kept")).select("__row")
+    dropped = materialise(decide(docs).filter(~F.col("kept")).select("__row"), "dropped")
     marked = survivors(docs)
     rest = marked.filter("__survives").join(dropped, "__row", "left_anti")
     return marked.filter(~F.col("__survives")).select(columns).union(rest.select(columns))
