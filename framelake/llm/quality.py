@@ -1,18 +1,19 @@
 """Quality by nearest-neighbour voting in a latent-semantic space.
 
-A text's terms are the triples of its character classes (letters by case,
-digits, blanks, line ends and the common marks each have a class), with how
-often words repeat at once and how few distinct words there are.  Weights are
-square roots of frequencies, as usual for latent semantics, and a truncated
-singular value decomposition of the labelled rows gives the space.  The labelled
-vectors are broadcast (``neighbours_kept`` rows at most), every document's
-cosine with each of them is computed in blocks, and the ``votes`` nearest vote
-with their label, weighted by similarity.
+A text's terms are its words, lower-cased and hashed into ``WORD_BINS`` places
+and weighted by how few of all documents hold the place; the triples of its
+character classes (letters by case, digits, blanks, line ends and the common
+marks each have a class); and how often words repeat at once and how few
+distinct words there are.  Weights are square roots of frequencies, as usual for
+latent semantics, and a truncated singular value decomposition of the labelled
+rows gives the space.  The labelled vectors are broadcast (``GOOD_ROWS`` +
+``BAD_ROWS`` at most), every document's cosine with each of them is computed in
+blocks, and the ``VOTES`` nearest vote with their label, weighted by similarity.
 
 Defined results: a null or empty text has no direction and gets the share of
 good labels; with no labels at all the score is 0.5; repeated rows get the same
-score; ties among neighbours fall to the lower row number; other columns do not
-matter.
+score; of neighbours that are equally near the one that was fitted first votes
+(fitted rows are ordered by label, then weights); other columns do not matter.
 """
 
 from __future__ import annotations
@@ -40,6 +41,10 @@ MARKS = ".,!|%$&#"
 CLASSES = 5 + len(MARKS) + 1
 TRIPLES = CLASSES**3
 STYLE = 24
+#: Places of hashed words, and how much they weigh beside the other terms.
+WORD_BINS = 2048
+WORD_SHARE = 1.0
+TERMS = TRIPLES + STYLE + WORD_BINS
 
 _classes = np.full(256, CLASSES - 1, np.int64)
 _classes[[9, 32]] = 3
@@ -50,18 +55,47 @@ _classes[97:123] = 0
 _classes[128:] = 0
 for _i, _c in enumerate(MARKS, 5):
     _classes[ord(_c)] = _i
+_lower = np.arange(256, dtype=np.uint8)
+_lower[65:91] += 32
 _separators = np.ones(256, bool)
 _separators[[32, 9, 10, 11, 12, 13]] = False
 
 
-def term_weights(column: pa.Array) -> Iterator[np.ndarray]:
+def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words as they are and of their places, and the first word of each text."""
+    start, stop, words = word_spans(data, offsets, _separators)
+    hashes = span_hashes(prefix_hashes(BYTE_VALUE[data]), start, stop)
+    low = span_hashes(prefix_hashes(BYTE_VALUE[_lower[data]]), start, stop)
+    return hashes, (low % np.uint64(WORD_BINS)).astype(np.int64), words
+
+
+def word_rarity(docs: DataFrame) -> np.ndarray:
+    """For each place of hashed words the logarithm of how few of all documents hold it, 1 on average."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = np.zeros(WORD_BINS, np.int64), 0
+        for batch in batches:
+            for first, end, data, offsets in text_runs(batch.column(0)):
+                _, bins, words = _words(data, offsets)
+                owner = np.repeat(np.arange(end - first), np.diff(words))
+                held += np.bincount(np.unique(owner * WORD_BINS + bins) % WORD_BINS, minlength=WORD_BINS)
+                n += end - first
+        yield pa.RecordBatch.from_arrays([pa.array(range(WORD_BINS + 1), pa.int64()), pa.array(np.append(held, n))], ["place", "n"])
+
+    found = docs.select(F.col("text").cast("string")).mapInArrow(count, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
+    total = np.zeros(WORD_BINS + 1)
+    total[found["place"].to_numpy(np.int64)] = found["n"]
+    rarity = np.log((total[-1] + 1) / (total[:-1] + 1)) + 0.1
+    return (rarity / rarity.mean()).astype(np.float32)
+
+
+def term_weights(column: pa.Array, rarity: np.ndarray) -> Iterator[np.ndarray]:
     """Rows of term weights, a block of documents at a time."""
     for first, end, data, offsets in text_runs(column):
         kinds = _classes[data]
         triples = (kinds[:-2] * CLASSES + kinds[1:-1]) * CLASSES + kinds[2:] if len(kinds) > 2 else kinds[:0]
-        start, stop, words = word_spans(data, offsets, _separators)
-        hashes = span_hashes(prefix_hashes(BYTE_VALUE[data]), start, stop)
-        out = np.zeros((end - first, TRIPLES + STYLE), np.float32)
+        hashes, bins, words = _words(data, offsets)
+        out = np.zeros((end - first, TERMS), np.float32)
         for i in range(end - first):
             a, b = offsets[i], offsets[i + 1]
             if b - a > 2:
@@ -71,18 +105,22 @@ def term_weights(column: pa.Array) -> Iterator[np.ndarray]:
             if len(own):
                 again = np.mean(own[1:] == own[:-1]) if len(own) > 1 else 0.0
                 _, counts = np.unique(own, return_counts=True)
-                style = out[i, TRIPLES:]
+                style = out[i, TRIPLES : TRIPLES + STYLE]
                 style[0] = again
                 style[1 + min(6, int(again * 7))] = 0.1 if again else 0.0
                 style[8 + min(7, int(len(counts) / len(own) * 8))] = 0.05
                 style[16 + min(7, int(counts.max() / len(own) * 8))] = 0.05
-        yield np.sqrt(out)
+                out[i, TRIPLES + STYLE :] = np.bincount(bins[words[i] : words[i + 1]], minlength=WORD_BINS) / len(own)
+        out = np.sqrt(out)
+        out[:, TRIPLES + STYLE :] *= WORD_SHARE * rarity
+        yield out
 
 
 class LatentNeighbours:
     """The fitted space, its labelled vectors and their labels."""
 
-    def __init__(self, weights: np.ndarray, labels: np.ndarray, dimensions: int = DIMENSIONS) -> None:
+    def __init__(self, weights: np.ndarray, labels: np.ndarray, rarity: np.ndarray, dimensions: int = DIMENSIONS) -> None:
+        self.rarity = rarity
         self.prior = float(labels.mean()) if len(labels) else 0.5
         self.labels = labels.astype(np.float32)
         self.axes = self._axes(weights, dimensions)
@@ -104,6 +142,16 @@ class LatentNeighbours:
         at = weights @ self.axes
         return at / np.maximum(np.linalg.norm(at, axis=1, keepdims=True), 1e-12)
 
+    @staticmethod
+    def nearest(cosine: np.ndarray, k: int) -> np.ndarray:
+        """Numbers of the ``k`` greatest of each row; of equals the least numbers."""
+        least = -np.partition(-cosine, k - 1, axis=1)[:, [k - 1]]
+        above = cosine > least
+        room = k - above.sum(1, keepdims=True)
+        equal = cosine == least
+        chosen = above | (equal & (np.cumsum(equal, axis=1) <= room))
+        return np.nonzero(chosen)[1].reshape(len(cosine), k)
+
     def vote(self, weights: np.ndarray, votes: int = VOTES, block: int = 512) -> np.ndarray:
         scores = np.full(len(weights), self.prior)
         if not len(self.labels):
@@ -111,7 +159,7 @@ class LatentNeighbours:
         k = min(votes, len(self.labels))
         for a in range(0, len(weights), block):
             cosine = self.project(weights[a : a + block]) @ self.vectors.T
-            nearest = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+            nearest = self.nearest(cosine, k)
             weight = np.clip(np.take_along_axis(cosine, nearest, 1), 0, 1).astype(float) ** SHARPNESS
             total = weight.sum(1)
             with np.errstate(invalid="ignore", divide="ignore"):
@@ -125,13 +173,14 @@ def fit(docs: DataFrame, labels: DataFrame, good_rows: int = GOOD_ROWS, bad_rows
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [row.tobytes() for block in term_weights(batch.column(0)) for row in block]
+            rows = [row.tobytes() for block in term_weights(batch.column(0), rarity) for row in block]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), batch.column(1)], ["weights", "label"])
 
+    rarity = word_rarity(docs)
     rows = labelled.sample(docs, labels, "quality", {1: good_rows, 0: bad_rows}).select("text", "label")
     rows = rows.mapInArrow(weigh, "weights binary, label int").toPandas().sort_values(["label", "weights"])
-    weights = np.array([np.frombuffer(x, np.float32) for x in rows["weights"]], np.float32).reshape(len(rows), TRIPLES + STYLE)
-    return LatentNeighbours(weights, rows["label"].to_numpy())
+    weights = np.array([np.frombuffer(x, np.float32) for x in rows["weights"]], np.float32).reshape(len(rows), TERMS)
+    return LatentNeighbours(weights, rows["label"].to_numpy(), rarity)
 
 
 def score(docs: DataFrame, model: LatentNeighbours, threshold: float = THRESHOLD) -> DataFrame:
@@ -140,7 +189,7 @@ def score(docs: DataFrame, model: LatentNeighbours, threshold: float = THRESHOLD
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            blocks = [shared.value.vote(block) for block in term_weights(batch.column(2))]
+            blocks = [shared.value.vote(block) for block in term_weights(batch.column(2), shared.value.rarity)]
             found = np.concatenate(blocks) if blocks else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())], ["doc_id", "held_out", "score"])
 

@@ -215,3 +215,34 @@ def test_ngram_join_in_crowded_regions(spark, monkeypatch, words, percent, seed)
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     found = {r.doc_id: r.component_id for r in ngram_join.groups(docs, words, percent).collect()}
     assert [found[i] for i in range(len(texts))] == _components(texts, words, percent)
+
+
+def test_quality_tells_texts_apart_by_their_words(spark):
+    """Both labels have the same marks, capitals and word lengths, in Latin and in Cyrillic; words alone differ."""
+    from framelake.llm import quality
+
+    dice = random.Random(8)
+    good = ["river", "stone", "light", "water", "green", "house", "вода", "свет"]
+    bad = ["cheap", "click", "prize", "bonus", "offer", "deals", "купи", "цена"]
+    rows, labels = [], []
+    for i in range(300):
+        label = i % 2
+        words = [dice.choice(good if label else bad) if dice.random() < 0.5 else dice.choice(["and", "with", "then", "там"]) for _ in range(40)]
+        rows.append((i, " ".join(words).capitalize() + "."))
+        labels.append((i, label, 0))
+    docs = spark.createDataFrame([*rows, (900, None), (901, ""), (902, rows[0][1])], "doc_id long, text string")
+    model = quality.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    found = {r.doc_id: r for r in quality.score(docs, model).collect()}
+    assert len(found) == 303 and found[900].score == found[901].score and found[902].score == found[0].score
+    tested = [i for i in range(300) if found[i].held_out]
+    assert len(tested) > 30 and sum((found[i].score >= 0.5) == (i % 2 == 1) for i in tested) >= 0.85 * len(tested)
+
+
+def test_nearest_neighbours_and_ties():
+    from framelake.llm.quality import LatentNeighbours
+
+    dice = np.random.default_rng(4)
+    for _ in range(50):
+        cosine = np.round(dice.random((5, 30)), 1)
+        want = np.sort(np.lexsort((np.broadcast_to(np.arange(30), cosine.shape), -cosine), axis=1)[:, :7], axis=1)
+        assert np.array_equal(LatentNeighbours.nearest(cosine, 7), want)
