@@ -327,8 +327,12 @@ def cpu_list_mask(table) -> DataFrame:
     return table("supplier").select("s_suppkey", cpus.alias("cpus")).withColumn("mask", coding.cpu_mask(F.col("cpus")))
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS ms, event_type = 'signup' AS k, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+c AS (SELECT user_id, event_id, n, ms AS start, 0 AS cluster FROM o WHERE n = 1 UNION ALL
+  SELECT o.user_id, o.event_id, o.n, CASE WHEN k OR ms - start > 30000 OR ms < start THEN ms ELSE start END, cluster + CASE WHEN k OR ms - start > 30000 OR ms < start THEN 1 ELSE 0 END
+  FROM c JOIN o ON o.user_id = c.user_id AND o.n = c.n + 1)
+SELECT user_id, event_id, cluster::BIGINT AS cluster FROM c""")
 def mux_clusters(table) -> DataFrame:
-    """Where a cluster starts depends on the one before; tests hold this against a plain loop."""
+    """Where a cluster starts depends on the one before."""
     rows = table("events").select("user_id", "event_id", F.floor(bench.micros("ts") / 1000).cast("long").alias("ms"), (F.col("event_type") == "signup").alias("key"))
     return ordering.mux_clusters(rows, "user_id", "event_id", "ms", "key")

@@ -13,7 +13,7 @@ import struct
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bits
@@ -275,6 +275,12 @@ def packets(files: DataFrame, stream: str = "stream", content: str = "content")
     return files.select(stream, F.col(content).cast("binary")).mapInArrow(scan, f"`{stream}` {kind}, {HEADER}, {PACKET}")
 
 
+def read_packets(spark: SparkSession, path: str) -> DataFrame:
+    """Packets of the media files under ``path`` (a folder, a file or a pattern), by the file's path as stream."""
+    files = spark.read.format("binaryFile").load(path)
+    return packets(files.select(F.col("path").alias("stream"), "content"))
+
+
 def coded_frames(payload: Column) -> Column:
     """Array of (start, len) of the frames in a packet; null for a damaged superframe index or an empty packet.
 

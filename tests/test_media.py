@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from framelake.functions import bits, coding, texts
-from framelake.operators import frames, profile
+from framelake.operators import compare, frames, profile
 from framelake.sources import logs, media
 from framelake.streaming import demux
 
@@ -98,6 +98,23 @@ def test_followed_events(spark, tmp_path):
     assert sorted(r.route for r in spark.table("followed").collect()) == ["malformed", "other", "turn.started"]
 
 
+def test_files_in_a_folder(spark, tmp_path):
+    (tmp_path / "a.ivf").write_bytes(IVF)
+    (tmp_path / "b.webm").write_bytes(WEBM)
+    rows = media.read_packets(spark, f"file://{tmp_path}").select(F.element_at(F.split("stream", "/"), -1).alias("f"), "packet_index", "container").collect()
+    assert sorted(map(tuple, rows)) == [("a.ivf", 0, "ivf"), ("a.ivf", 1, "ivf"), ("b.webm", 0, "webm"), ("b.webm", 1, "webm"), ("b.webm", 2, "webm")]
+
+
+def test_numbers_of_a_long_stream_run_through_all_ranges(spark):
+    rows = spark.range(5000).selectExpr("IF(id % 3 = 0, 'hot', concat('s', id % 40)) AS stream", "id * 7919 % 5003 AS at")
+    found = compare.number(rows.repartition(9), "stream", "at").collect()
+    want: dict = {}
+    for r in sorted(found, key=lambda r: (r.stream, r["at"])):
+        want.setdefault(r.stream, []).append(r["frame"])
+    assert len(found) == 5000 and all(x == list(range(len(x))) for x in want.values())
+    assert compare.number(rows.limit(0), "stream", "at").collect() == []
+
+
 def test_empty_tables(spark):
     files = spark.createDataFrame([], "stream string, content binary")
     assert media.packets(files).collect() == []
