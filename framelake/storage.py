@@ -69,10 +69,12 @@ def numbered(df: DataFrame) -> DataFrame:
     files are split, which hangs on the cores alive at the time of a scan, so
     separate scans of a stored table agree.  What is no Parquet table is stored
     first, so operators call this once, before their first scan; a table that has
-    its numbers stays as it is.
+    its numbers stays as it is; another column of that name is left out.
     """
-    if "__row" in df.columns:
+    own = [c for c in df.columns if c.lower() == "__row"]
+    if own == ["__row"] and df.schema["__row"].metadata.get("framelake") == "row":
         return df
+    df = df.drop(*own)
     place = lambda df: df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__place"))
     try:
         placed = place(df)
@@ -83,4 +85,4 @@ def numbered(df: DataFrame) -> DataFrame:
     paths = sorted(r[0] for r in placed.select("__file").distinct().collect())
     files = df.sparkSession.createDataFrame([(path, k) for k, path in enumerate(paths)], "__file string, __ordinal long")
     number = F.shiftleft(F.col("__ordinal"), 33) + F.col("__place")
-    return placed.join(F.broadcast(files), "__file").select(*df.columns, number.alias("__row"))
+    return placed.join(F.broadcast(files), "__file").select(*df.columns, number.alias("__row", metadata={"framelake": "row"}))
