@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from ..storage import materialise, numbered
 from . import bitfilter
 from .arrowtext import BYTE_VALUE, mix, prefix_hashes, span_hashes, text_runs, word_spans
-from .tables import read
+from .tables import free_names, read
 
 WINDOW = 8
 LITERALS = 4
@@ -276,9 +276,10 @@ def judge(found: list[dict], need: float) -> tuple[int, int] | None:
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` without a leak, with all their columns."""
+    docs, names = free_names(docs)
     columns, docs = docs.columns, numbered(docs)
     dropped = materialise(leaks(docs, benchmark).select("__row").distinct(), "dropped")
-    return bitfilter.without(docs, dropped, "__row").select(columns)
+    return bitfilter.without(docs, dropped, "__row").select(columns).toDF(*names)
 
 
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..storage import materialise, numbered
 from . import bitfilter
-from .tables import read
+from .tables import free_names, read
 
 HEAD = 64
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -96,11 +96,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Only rows that share length and head with another are joined with the
     decisions; all others pass where they are.
     """
+    docs, names = free_names(docs)
     columns, docs = docs.columns, numbered(docs)
     dropped = materialise(decide(docs).filter(~F.col("kept")).select("__row"), "dropped")
     marked = survivors(docs)
     rest = marked.filter("__survives").join(dropped, "__row", "left_anti")
-    return marked.filter(~F.col("__survives")).select(columns).union(rest.select(columns))
+    return marked.filter(~F.col("__survives")).select(columns).union(rest.select(columns)).toDF(*names)
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,7 +49,7 @@ from ..storage import materialise, numbered
 from . import bitfilter
 from .arrowtext import BYTE_VALUE, MIX, mix, prefix_hashes, span_hashes, text_runs, word_spans
 from .components import connected
-from .tables import read
+from .tables import free_names, read
 
 WORDS = 5
 PERCENT = 80
@@ -486,9 +486,10 @@ def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
 
 def keep_first(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` that are their component's first, with all their columns."""
+    docs, names = free_names(docs)
     columns, docs = docs.columns, numbered(docs)
     dropped = materialise(groups(docs, words, percent).filter(~F.col("first")).select("__row"), "dropped")
-    return bitfilter.without(docs, dropped, "__row").select(columns)
+    return bitfilter.without(docs, dropped, "__row").select(columns).toDF(*names)
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -97,3 +97,17 @@ def test_stages_equal_plain_versions(spark, tables):
     assert {p.doc_id for p in pieces} == left
     run = corpus_pipeline.run(spark, tables)
     assert {p.doc_id for p in run.collect()} == left
+
+
+def test_columns_with_internal_names_are_kept(spark):
+    names = ["doc_id", "text", "__row", "__in", "__text", "kept_0", "count"]
+    rows = [(i, t, f"r{i}", i, "x", "y", i) for i, t in enumerate(["same text of a few words", "Same text of a few words", None, ITEM, f"one more word and {ITEM}"])]
+    docs = spark.createDataFrame(rows, ", ".join(f"`{n}` {k}" for n, k in zip(names, ("long", "string", "string", "int", "string", "string", "int"))))
+    from framelake.llm import decontamination, exact_dedup, ngram_join
+
+    items = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    for stage, want in ((exact_dedup.keep_one, {1, 2, 3, 4}), (ngram_join.keep_first, {0, 2, 3}), (lambda d: decontamination.remove_leaks(d, items), {0, 1, 2})):
+        found = stage(docs)
+        assert found.columns == names
+        kept = {tuple(r) for r in found.collect()}
+        assert kept == {r for r in rows if r[0] in want}
