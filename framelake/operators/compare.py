@@ -3,26 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..storage import materialise
+from .ordering import running_sum
 
 
 def number(rows: DataFrame, stream: str, order: str, name: str = "frame") -> DataFrame:
-    """Ordinal of each row in its stream, from 0.
-
-    Rows are dealt in order into ranges, so that a long stream spreads over many
-    tasks; each range numbers its own rows, and what stands before it in the
-    stream comes from a table with one row for each range and stream.
-    """
-    dealt = materialise(rows.repartitionByRange(stream, order).withColumn("__range", F.spark_partition_id()), "ranges")
-    earlier = W.partitionBy(stream).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
-    sizes = dealt.groupBy(stream, "__range").agg(F.count("*").alias("__n"))
-    starts = sizes.select(stream, "__range", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__start"))
-    within = F.row_number().over(W.partitionBy(stream, "__range").orderBy(order)) - 1
-    placed = dealt.withColumn("__at", within).join(starts, [stream, "__range"])
-    return placed.withColumn(name, (F.col("__start") + F.col("__at")).cast("long")).drop("__range", "__at", "__start")
+    """Ordinal of each row in its stream, from 0; a long stream spreads over many tasks."""
+    return running_sum(rows, stream, [order], F.lit(1), name).withColumn(name, F.col(name) - 1)
 
 
 def compare(actual: DataFrame, golden: DataFrame) -> DataFrame:

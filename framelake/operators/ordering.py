@@ -22,15 +22,32 @@ def _before(stream: str, order: list[str]):
     return W.partitionBy(stream).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
 
 
+def running_sum(rows: DataFrame, stream: str, order: list[str], value: Column, name: str) -> DataFrame:
+    """``rows`` with the sum of ``value`` in their stream up to and with each row.
+
+    Rows are dealt in order into ranges, so that a long stream spreads over many
+    tasks; each range adds up its own rows, and what stands before it in the
+    stream comes from a table with one row for each range and stream.  All
+    columns of ``rows`` are stored on the way: leave out what is not needed.
+    """
+    dealt = materialise(rows.withColumn("__value", value.cast("long")).repartitionByRange(stream, *order).withColumn("__range", F.spark_partition_id()), "ranges")
+    earlier = W.partitionBy(stream).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
+    sums = dealt.groupBy(stream, "__range").agg(F.sum("__value").alias("__n"))
+    starts = sums.select(stream, "__range", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__start"))
+    within = F.sum("__value").over(W.partitionBy(stream, "__range").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    placed = dealt.withColumn("__at", within).join(starts.withColumnRenamed(stream, "__stream"), F.col(stream).eqNullSafe(F.col("__stream")) & (dealt["__range"] == starts["__range"]))
+    return placed.withColumn(name, F.col("__start") + F.col("__at")).select(*[c for c in rows.columns if c != name], name)
+
+
 def gop_ids(packets: DataFrame, stream: str, order: list[str], keyframe: Column) -> DataFrame:
     """``packets`` with gop: key frames so far; 0 before the first one."""
-    return packets.withColumn("gop", F.sum(keyframe.cast("long")).over(_before(stream, order)))
+    return running_sum(packets, stream, order, keyframe, "gop")
 
 
 def visible_ordinals(packets: DataFrame, stream: str, order: list[str], visible: Column) -> DataFrame:
     """``packets`` with ordinal: the place among visible ones from 0, null for the others."""
-    count = F.sum(visible.cast("long")).over(_before(stream, order))
-    return packets.withColumn("ordinal", F.when(visible, count - 1))
+    counted = running_sum(packets.withColumn("__visible", visible), stream, order, F.col("__visible"), "ordinal")
+    return counted.withColumn("ordinal", F.when(F.col("__visible"), F.col("ordinal") - 1)).drop("__visible")
 
 
 def output_window(outputs: DataFrame, offset: int, n: int) -> DataFrame:
