@@ -244,7 +244,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literals:
     keys = ["__row", "doc_id", "__item", "item_id", "typed", "__shift", "windows", "eligible"]
     aligned = joined.groupBy(*keys).agg(F.collect_set(window_of).alias("__found"), F.count_distinct("place").alias("n"))
     need = F.when(~F.col("typed"), F.least(F.col("windows") * coverage, F.lit(run))).when(F.col("eligible") < 0, -F.col("eligible")).otherwise(F.least(F.col("eligible") * coverage, F.lit(run)))
-    aligned = aligned.filter((F.col("n") > 0) & (F.col("n") >= need)).withColumn("need", need.cast("double"))
+    # stored, since both forms are taken from it and documents shall be read once
+    aligned = materialise(aligned.filter((F.col("n") > 0) & (F.col("n") >= need)).withColumn("need", need.cast("double")), "aligned")
     literal = aligned.filter("NOT typed").select(*keys[:4], "n", F.lit(0).cast("long").alias("same"), F.col("windows").alias("of"))
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
