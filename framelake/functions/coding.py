@@ -283,6 +283,17 @@ def edge_filter_size(size_index: Column, on_32: Column, vertical: Column, chroma
     return F.when((base == 2) & chroma & last, 1).otherwise(base)
 
 
+def block_edge(vertical: Column, x: Column, y: Column, units_wide: Column, units_high: Column) -> Column:
+    """Whether a place in samples is on a block's left edge (vertical filters) or its upper one; blocks are powers of two of 8 samples."""
+    return F.when(vertical, x % (8 * units_wide) == 0).otherwise(y % (8 * units_high) == 0)
+
+
+def transform_edge(vertical: Column, edge: Column, x: Column, size_index: Column, chroma: Column, mi_cols: Column, luma_cols: Column) -> Column:
+    """Whether edge number ``edge`` (in units of 4 samples) is a transform's; odd chroma columns have none at the right of a row."""
+    odd = ~vertical & chroma & (mi_cols % 2 == 1) & (edge % 2 == 1) & (x + 8 >= luma_cols)
+    return ~odd & (edge % F.pow(F.lit(2.0), size_index).cast("long") == 0)
+
+
 def round_vector(total: Column, count: int) -> Column:
     """The mean of 2 or 4 vector components, halves away from 0."""
     half = count // 2

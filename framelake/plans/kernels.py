@@ -300,6 +300,18 @@ def transform_edges(table) -> DataFrame:
     return table("part").select("p_partkey", kind.alias("kind"), edge.cast("long").alias("filter"))
 
 
+@query("""WITH b AS (SELECT p_partkey, p_partkey % 2 = 0 AS v, p_partkey % 64 * 4 AS x, p_partkey % 48 * 4 AS y, 1 << (p_partkey % 4) AS w, 1 << (p_size % 4) AS h, p_partkey // 2 % 16 AS edge, p_partkey % 3 > 0 AS chroma FROM part)
+SELECT p_partkey, CASE WHEN v THEN x % (8 * w) = 0 ELSE y % (8 * h) = 0 END AS block,
+  NOT (NOT v AND chroma AND p_partkey % 5 % 2 = 1 AND edge % 2 = 1 AND x + 8 >= 200) AND edge % (1 << (p_partkey % 4)) = 0 AS transform FROM b""")
+def filter_edges(table) -> DataFrame:
+    key = F.col("p_partkey")
+    vertical, x, y = key % 2 == 0, key % 64 * 4, key % 48 * 4
+    two = lambda n: F.pow(F.lit(2.0), n).cast("long")
+    block = coding.block_edge(vertical, x, y, two(key % 4), two(F.col("p_size") % 4))
+    transform = coding.transform_edge(vertical, F.floor(key / 2) % 16, x, key % 4, key % 3 > 0, key % 5, F.lit(200))
+    return table("part").select("p_partkey", block.alias("block"), transform.alias("transform"))
+
+
 _CLAMP = "greatest(least({0}, 127), -128)"
 
 

@@ -79,7 +79,7 @@ def _binary(value: Column, n: int) -> Column:
 def _packed(text: Column, size: int) -> Column:
     """BINARY of ``size`` bytes from a text of bits, filled with zeros."""
     filled = F.rpad(text, 8 * size, "0")
-    return F.unhex(F.concat(*[F.lpad(F.conv(F.substring(filled, 8 * k + 1, 8), 2, 16), 2, "0") for k in range(size)]))
+    return F.unhex(F.concat(*[F.lpad(F.conv(F.substring(filled, 8 * k + 1, 64), 2, 16), 16, "0") for k in range(0, size, 8)]))
 
 
 def _headers(table) -> DataFrame:
