@@ -182,7 +182,7 @@ def pieces(docs: DataFrame, window: int = WINDOW, vocabulary: str = VOCABULARY,
             names, texts = batch.column(0), batch.column(1)
             at = 0
             while at < len(batch):
-                some, room = [], RUN
+                some, room = [], 4 * RUN
                 while at + len(some) < len(batch) and (room > 0 or not some):
                     text = texts[at + len(some)].as_py() or ""
                     room -= len(text)
