@@ -184,3 +184,10 @@ def test_last_seconds_of_a_number_beyond_2_53(spark):
     jit = spark.createDataFrame([(ip, ip + 1, "A", 1)], "start long, end long, symbol string, order long")
     maps = spark.createDataFrame([], "start long, end long, symbol string, record long")
     assert {r["sample"]: r["symbol"] for r in profile.attribute(samples, jit, maps).collect()} == {1: "A", 2: "<unmapped>"}
+
+
+def test_truncation_in_the_middle_of_a_character(spark):
+    row = spark.range(1).select(texts.truncated(F.lit("é" * 9), 3, 3).alias("t")).first().t
+    assert row.truncated and row.original_bytes == 18 and row.head == "é�" and row.tail == "�é"
+    row = spark.range(1).select(texts.truncated(F.lit("short"), 3, 3).alias("t")).first().t
+    assert (row.truncated, row.head, row.tail) == (False, "short", None)
