@@ -32,6 +32,24 @@ def shared_dir(spark: SparkSession) -> str:
 
 _stages: list[list[str]] = []
 
+#: Rows and bytes of a batch that goes to a Python worker while a table is stored; larger settings of the session are lowered to them.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+
+
+@contextlib.contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Whole texts make default batches tens of megabytes large, for each task once in Spark and once in Python."""
+    number = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    before = {name: spark.conf.get(name) for name in BATCH}
+    try:
+        for name, value in BATCH.items():
+            if not 0 < number(before[name]) <= value:
+                spark.conf.set(name, str(value))
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
@@ -41,7 +59,8 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/framelake/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _small_batches(spark):
+        df.write.parquet(path)
     for written in _stages:
         written.append(path)
     return spark.read.schema(df.schema).parquet(path)

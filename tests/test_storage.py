@@ -33,3 +33,12 @@ def test_a_column_of_the_same_name_is_no_number(spark, tmp_path):
     found = storage.numbered(spark.read.parquet(f"{tmp_path}/t"))
     assert storage.numbered(found) is found
     assert len({r["__row"] for r in found.collect()}) == 5 and found.columns == ["id", "__row"]
+
+
+def test_batches_are_smaller_while_a_table_is_stored(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    for setting, most in (("10000", 2000), ("0", 2000), ("300", 300)):
+        spark.conf.set(name, setting)
+        found = storage.materialise(spark.range(9000).coalesce(1).mapInArrow(lambda batches: (b.slice(0, 1) for b in batches), "id long"), "batches")
+        assert found.count() == -(-9000 // most) and spark.conf.get(name) == setting
+    spark.conf.unset(name)
