@@ -362,7 +362,7 @@ def _block_links(rows: DataFrame, percent: int) -> DataFrame:
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
     grams = rows.agg(F.sum(F.octet_length("shingles")).alias("n")).first().n or 0
-    blocks = -(-grams // (8 * REGION_GRAMS)) or 1
+    blocks = -(-grams // (2 * REGION_GRAMS)) or 1
     return rows.withColumn("__block", F.pmod(F.xxhash64("region"), F.lit(blocks))).groupBy("__block").applyInPandas(match, "a long, b long")
 
 
