@@ -216,7 +216,7 @@ def code_dump(table) -> DataFrame:
 
 
 @query("""WITH p AS (SELECT l_orderkey, l_linenumber, l_partkey, 'dir' || l_suppkey % 3 AS path FROM lineitem), f AS (SELECT l_orderkey, path, min((l_linenumber, l_partkey)) AS place FROM p GROUP BY ALL)
-SELECT l_orderkey, list(path ORDER BY place) AS paths FROM f GROUP BY l_orderkey""")
+SELECT l_orderkey, list(path ORDER BY place, path) AS paths FROM f GROUP BY l_orderkey""")
 def unique_paths(table) -> DataFrame:
     """Candidate paths of each key in order, each once; few by nature."""
     path = F.concat(F.lit("dir"), F.col("l_suppkey") % 3)
