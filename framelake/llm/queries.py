@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import op4_benchmark_decontamination
 from .exact_dedup import OP5_SQL, op5_exact_dedup
+from .fill_in_middle import OP13_SQL, op13_fill_in_middle
+from .importance import op12_importance_resampling
 from .ngram_join import op7_ngram_jaccard_join
 from .packing import op1_packing
 from .pii import op8_pii
@@ -28,8 +30,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_toxicity": op10_toxicity,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 SQL: dict[str, str] = {
     "op5_exact_dedup": OP5_SQL,
+    "op13_fill_in_middle": OP13_SQL,
 }
