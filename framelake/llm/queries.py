@@ -10,6 +10,7 @@ from .decontamination import op4_benchmark_decontamination
 from .exact_dedup import OP5_SQL, op5_exact_dedup
 from .fill_in_middle import OP13_SQL, op13_fill_in_middle
 from .importance import op12_importance_resampling
+from .lm_scoring import op11_lm_scoring
 from .ngram_join import op7_ngram_jaccard_join
 from .packing import op1_packing
 from .pii import op8_pii
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_toxicity": op10_toxicity,
+    "op11_lm_scoring": op11_lm_scoring,
     "op12_importance_resampling": op12_importance_resampling,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
