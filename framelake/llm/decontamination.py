@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from ..storage import materialise, numbered
 from . import bitfilter
-from .arrowtext import BYTE_VALUE, mix, prefix_hashes, span_hashes, text_runs, word_spans
+from .arrowtext import mix, prefix_hashes, span_hashes, text_runs, word_hashes, word_spans
 from .tables import free_names, read
 
 WINDOW = 8
@@ -59,13 +59,17 @@ UNITS = (
     "percent usd eur gbp dollars dollar cents cent euros euro kmh mph hz khz mhz ghz kb mb gb tb w kw v a c f k"
 ).split()
 
-_word_bytes = np.zeros(256, bool)
-_word_bytes[48:58] = _word_bytes[65:91] = _word_bytes[97:123] = True
-_word_bytes[128:] = True
+#: Words are runs of letters or of digits: 5kg is two.
+_word_bytes = np.zeros(256, np.uint8)
+_word_bytes[65:91] = _word_bytes[97:123] = 1
+_word_bytes[48:58] = 2
+_word_bytes[128:] = 1
 _digits = np.zeros(256, bool)
 _digits[48:58] = True
 _stops = np.zeros(256, bool)
 _stops[[10, 13, 33, 46, 58, 59, 63]] = True
+#: Case of a code point: 1 for capitals, 2 for small letters.
+_case = np.fromiter((1 if c.isupper() or c.istitle() else 2 * c.islower() for c in map(chr, range(0x1F000))), np.uint8, 0x1F000)
 _LITERAL, _NUMBER, _NAME, _UNIT = range(4)
 _PLACEHOLDER = mix(np.arange(1, 5, dtype=np.uint64))
 
@@ -73,7 +77,7 @@ _PLACEHOLDER = mix(np.arange(1, 5, dtype=np.uint64))
 def _hash_words(words: list[str]) -> np.ndarray:
     data = np.frombuffer("".join(words).encode(), np.uint8)
     ends = np.cumsum([len(w.encode()) for w in words])
-    return span_hashes(prefix_hashes(BYTE_VALUE[data]), np.concatenate([[0], ends[:-1]]), ends)
+    return word_hashes(data, np.concatenate([[0], ends[:-1]]), ends)
 
 
 _UNIT_HASHES = np.sort(_hash_words(UNITS))
@@ -92,6 +96,21 @@ def folded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.frombuffer(b"".join(out), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in out], dtype=np.int64)])
 
 
+def _cases(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Case of each word's first and second code point (0 where there is none)."""
+    far = np.concatenate([data, np.zeros(8, np.uint8)])
+
+    def case(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        lead, *rest = (far[at + k].astype(np.int64) for k in range(4))
+        tail = [x & 63 for x in rest]
+        size = 1 + (lead >= 0xC0) + (lead >= 0xE0) + (lead >= 0xF0)
+        point = np.choose(size - 1, [lead, (lead & 31) << 6 | tail[0], (lead & 15) << 12 | tail[0] << 6 | tail[1], (lead & 7) << 18 | tail[0] << 12 | tail[1] << 6 | tail[2]])
+        return np.where(point < len(_case), _case[np.minimum(point, len(_case) - 1)], 0), at + size
+
+    opening, after = case(start)
+    return opening, np.where(after < end, case(np.minimum(after, len(data)))[0], 0)
+
+
 class Forms:
     """Some texts in literal and typed form.
 
@@ -104,7 +123,7 @@ class Forms:
         start, end, first = word_spans(data, offsets, _word_bytes)
         low, ends = folded(data, offsets)
         begin, stop, _ = word_spans(low, ends, _word_bytes)
-        words = span_hashes(prefix_hashes(BYTE_VALUE[low]), begin, stop)
+        words = word_hashes(low, begin, stop)
         n = len(start)
         document = np.searchsorted(first[1:], np.arange(n), "right")
         literal = prefix_hashes(words)
@@ -133,12 +152,14 @@ class Forms:
         gap[one] = data[end[one - 1]]
         follows = same.copy()
         follows[1:] &= stops[start[1:]] == stops[end[:-1]]
-        capital = (data[start] >= 65) & (data[start] <= 90)
-        longer = np.flatnonzero(end - start > 1)
-        small = np.zeros(n, bool)
-        small[longer] = (data[start[longer] + 1] >= 97) & (data[start[longer] + 1] <= 122)
+        opening, second = _cases(data, start, end)
+        # capitals alone are a name among other words, and nothing in a text of capitals
+        capitals = (opening == 1) & (second == 1)
+        alone = capitals.copy()
+        alone[1:] &= ~(capitals[:-1] & same[1:])
+        alone[:-1] &= ~(capitals[1:] & same[1:])
         kind = np.full(n, _LITERAL, np.int8)
-        name = capital & small
+        name = (opening == 1) & (second == 2) | alone
         kind[name & follows] = _NAME
         opens = name & ~follows
         opens[:-1] &= (kind[1:] == _NAME) & (gap[1:] == 32)

@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 
 from ..storage import materialise, numbered
 from . import bitfilter
-from .arrowtext import BYTE_VALUE, MIX, mix, prefix_hashes, span_hashes, text_runs, word_spans
+from .arrowtext import MIX, mix, prefix_hashes, span_hashes, text_runs, word_hashes, word_spans
 from .components import connected
 from .tables import free_names, read
 
@@ -72,7 +72,7 @@ _lower[65:91] += 32
 def _run_grams(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
     """The n-gram hashes of some texts in order, and where each text's begin and the last one's end."""
     start, end, first = word_spans(data, offsets, _word_bytes)
-    prefix = prefix_hashes(span_hashes(prefix_hashes(BYTE_VALUE[_lower[data]]), start, end))
+    prefix = prefix_hashes(word_hashes(_lower[data], start, end))
     size = np.diff(first)
     grams = np.where(size > 0, np.maximum(size - words + 1, 1), 0)
     bounds = np.concatenate([[0], np.cumsum(grams)])
@@ -392,7 +392,8 @@ def voronoi_cells(rows: DataFrame, percent: int, turn: int) -> tuple[DataFrame,
     each = each.select("region", "member", "__home", F.col("x.__names").alias("__pivot"), F.col("x.far").alias("__far"), F.col("x.near").alias("__near"))
     links = each.filter("__near AND member <> __pivot").select(F.col("member").alias("a"), F.col("__pivot").alias("b"))
     inside = each.filter(F.col("__far") <= F.col("__home") + 2 * threshold + 1e-9)
-    outside = inside.filter("NOT __near").groupBy("region", "__pivot").agg(F.min("__far").alias("__nearest"))
+    # stored, so that Spark can split a region of many rows in the join
+    outside = materialise(inside.filter("NOT __near").groupBy("region", "__pivot").agg(F.min("__far").alias("__nearest")), "outside")
     kept = inside.filter("member <> __pivot").join(outside, ["region", "__pivot"]).filter(F.col("__far") >= F.col("__nearest") - threshold - 1e-9)
     kept = materialise(kept.select("region", "__pivot", "member"), "kept")
     # a split that leaves a cell nearly as large as its region, or copies most sets, is none

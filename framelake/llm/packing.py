@@ -47,7 +47,8 @@ class BatchTokenizer:
 
     Texts are split into the vocabulary's units with array operations; each
     distinct unit is encoded once and remembered, since words repeat far more
-    often than they are new.  Texts that hold one of the special tokens' names
+    often than they are new.  Units are grouped by hash and compared with the
+    one that stands for their group; those that differ are encoded themselves.  Texts that hold one of the special tokens' names
     go to the tokenizer itself.
     """
 
@@ -116,6 +117,17 @@ class BatchTokenizer:
         self.first[place + 1] = self.used
         return place
 
+    @staticmethod
+    def unlike(points: np.ndarray, at: np.ndarray, end: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """Numbers of the units that differ from the unit ``other`` of theirs."""
+        size = end - at
+        same = size == size[other]
+        # units stand one after another, so those of the same size are compared in one line
+        lead = np.repeat(np.where(same, at[other] - at, 0), size)
+        differs = points[lead + np.arange(len(points))] != points
+        inside = np.add.reduceat(differs, at, dtype=np.int64) > 0
+        return np.flatnonzero(~same | inside)
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         joined = "".join(texts)
@@ -130,9 +142,12 @@ class BatchTokenizer:
         codes, distinct = pd.factorize(span_hashes(prefix_hashes(mix((points + np.uint32(1)).astype(np.uint64) * MIX)), at, end))
         sample = np.empty(len(distinct), np.int64)
         sample[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+        unlike = self.unlike(points, at, end, sample[codes])
+        codes[unlike] = len(sample) + np.arange(len(unlike))
+        sample = np.concatenate([sample, unlike])
         if len(self.known) > self.remembered:
             self.forget()
-        places = np.empty(len(distinct), np.int64)
+        places = np.empty(len(sample), np.int64)
         known = self.known
         for i, (a, b) in enumerate(zip(at[sample].tolist(), end[sample].tolist())):
             unit = joined[a:b]

@@ -37,11 +37,32 @@ ROUNDS = 10
 KINDS = ["email", "ip", "iban", "date", "ssn", "phone", "card"]
 
 _octet = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+#: Lengths of the account numbers that countries print in groups of four, without the groups' blanks.
+IBAN_LENGTHS = {
+    "NO": 15, "BE": 16, "DK": 18, "FI": 18, "FO": 18, "GL": 18, "NL": 18, "MK": 19, "SI": 19, "AT": 20, "BA": 20, "EE": 20, "KZ": 20, "LT": 20, "LU": 20,
+    "XK": 20, "CH": 21, "HR": 21, "LI": 21, "LV": 21, "BG": 22, "BH": 22, "CR": 22, "DE": 22, "GB": 22, "GE": 22, "IE": 22, "ME": 22, "RS": 22, "AE": 23,
+    "GI": 23, "IL": 23, "IQ": 23, "TL": 23, "AD": 24, "CZ": 24, "ES": 24, "MD": 24, "PK": 24, "RO": 24, "SA": 24, "SE": 24, "SK": 24, "TN": 24, "VG": 24,
+    "PT": 25, "ST": 25, "IS": 26, "TR": 26, "FR": 27, "GR": 27, "IT": 27, "MC": 27, "MR": 27, "SM": 27, "AL": 28, "AZ": 28, "BY": 28, "CY": 28, "DO": 28,
+    "GT": 28, "HU": 28, "LB": 28, "PL": 28, "SV": 28, "BR": 29, "PS": 29, "QA": 29, "UA": 29, "JO": 30, "KW": 30, "MU": 30, "MT": 31, "SC": 31, "LC": 32,
+}
+
+
+def _groups_of_four() -> str:
+    """Pattern of grouped account numbers, by country, so that a word behind one is no part of it."""
+    parts = []
+    for length in sorted(set(IBAN_LENGTHS.values())):
+        countries = "|".join(c for c, n in IBAN_LENGTHS.items() if n == length)
+        whole, rest = divmod(length - 4, 4)
+        parts.append(rf"(?:{countries})[0-9]{{2}}(?: [A-Z0-9]{{4}}){{{whole}}}" + (rf" [A-Z0-9]{{{rest}}}" if rest else ""))
+    return "|".join(parts)
+
+
+_grouped = _groups_of_four()
 #: The shape of each kind.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){1,8}",
     "ip": rf"(?<![0-9.])(?:{_octet}\.){{3}}{_octet}(?!\.?[0-9])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
+    "iban": rf"(?<![A-Za-z0-9])(?:[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}}|{_grouped})(?![A-Za-z0-9])",
     "date": r"(?<![0-9])(?:[12][0-9]{3}-[01][0-9]-[0-3][0-9]|[0-3][0-9]/[0-3][0-9]/[12][0-9]{3}|[0-3][0-9]\.[01][0-9]\.[12][0-9]{3})(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": (
@@ -123,7 +144,8 @@ def _valid(kind: str, m: str) -> str:
     if kind == "card":
         return f"{_luhn(m, 1)} % 10 = 0"
     if kind == "iban":
-        return f"{_mod97(f'concat(substring({m}, 5), substring({m}, 1, 4))')} = 1"
+        plain = f"replace({m}, ' ', '')"
+        return f"{_mod97(f'concat(substring({plain}, 5), substring({plain}, 1, 4))')} = 1"
     if kind == "date":
         return f"({_date(m)}) IS NOT NULL"
     if kind == "ssn":
@@ -146,7 +168,7 @@ def pseudonym(kind: str, m: str, key: str) -> str:
         return f"array_join({_permute(f'cast(split({m}, {_text(chr(92) + ".")}) AS array<int>)', 'array(256, 256, 256, 256)', kind, key)}, '.')"
     if kind == "iban":
         bban = _let("lv", f"substring({m}, 5)", _letters("lv", kind, key))
-        return _let("bv", bban, f"concat(substring({m}, 1, 2), lpad(cast(98 - {_mod97(f'concat(bv, substring({m}, 1, 2), {_text("00")})')} AS string), 2, '0'), bv)")
+        return _let("bv", bban, f"concat(substring({m}, 1, 2), lpad(cast(98 - {_mod97(f"concat(replace(bv, ' ', ''), substring({m}, 1, 2), '00')")} AS string), 2, '0'), bv)")
     if kind == "date":
         # 400 years have 146097 = 189 * 773 days
         days = "datediff(dv, make_date(400 * (year(dv) div 400), 1, 1))"

@@ -35,6 +35,8 @@ DIMENSIONS = 48
 VOTES = 7
 SHARPNESS = 8
 THRESHOLD = 0.3
+#: Documents whose weights are held at a time.
+BLOCK_ROWS = 256
 
 #: Marks with a class of their own.
 MARKS = ".,!|%$&#"
@@ -91,7 +93,7 @@ def word_rarity(docs: DataFrame) -> np.ndarray:
 
 def term_weights(column: pa.Array, rarity: np.ndarray) -> Iterator[np.ndarray]:
     """Rows of term weights, a block of documents at a time."""
-    for first, end, data, offsets in text_runs(column):
+    for first, end, data, offsets in text_runs(column, rows=BLOCK_ROWS):
         kinds = _classes[data]
         triples = (kinds[:-2] * CLASSES + kinds[1:-1]) * CLASSES + kinds[2:] if len(kinds) > 2 else kinds[:0]
         hashes, bins, words = _words(data, offsets)
@@ -173,8 +175,10 @@ def fit(docs: DataFrame, labels: DataFrame, good_rows: int = GOOD_ROWS, bad_rows
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [row.tobytes() for block in term_weights(batch.column(0), rarity) for row in block]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), batch.column(1)], ["weights", "label"])
+            at = 0
+            for block in term_weights(batch.column(0), rarity):
+                yield pa.RecordBatch.from_arrays([pa.array([row.tobytes() for row in block], pa.binary()), batch.column(1).slice(at, len(block))], ["weights", "label"])
+                at += len(block)
 
     rarity = word_rarity(docs)
     rows = labelled.sample(docs, labels, "quality", {1: good_rows, 0: bad_rows}).select("text", "label")

@@ -29,7 +29,9 @@ from __future__ import annotations
 import random
 import re
 import string
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -251,9 +253,21 @@ class Field:
         return out
 
 
-def _points(text: bytes, places: list[int]) -> list[int]:
-    """Code points before each byte place."""
-    return [len(text[:p].decode("utf-8", "replace")) for p in places] if not text.isascii() else places
+def _points(text: bytes) -> np.ndarray:
+    """Code points before each byte place: lead bytes so far."""
+    return np.concatenate([[0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)])
+
+
+def _apart(spans: list[tuple[int, int]], base: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """Those of ``spans`` that overlap no base span."""
+    base = sorted(base, key=lambda s: s[1])
+    begins, reach = [s[1] for s in base], list(accumulate((s[2] for s in base), max))
+    out = []
+    for x, y in spans:
+        before = bisect_left(begins, y)
+        if not before or reach[before - 1] <= x:
+            out.append((x, y))
+    return out
 
 
 def _bytes(text: str, spans: list[tuple[str, int, int, int]]) -> list[tuple[int, int]]:
@@ -344,11 +358,11 @@ def find(column: pa.Array, field: Field) -> Iterator[list[tuple[str, int, int]]]
         for i in range(b - a):
             raw = data[offsets[i] : offsets[i + 1]].tobytes()
             base = [s[:3] for s in base_spans(raw.decode("utf-8", "replace"))]
-            more = []
-            for x, y in added.get(i, ()):
-                x, y = _points(raw, [x - int(offsets[i]), y - int(offsets[i])])
-                if all(y <= s[1] or s[2] <= x for s in base):
-                    more.append(("crf", x, y))
+            spans = [(x - int(offsets[i]), y - int(offsets[i])) for x, y in added.get(i, ())]
+            if spans and not raw.isascii():
+                points = _points(raw)
+                spans = [(int(points[x]), int(points[y])) for x, y in spans]
+            more = [("crf", x, y) for x, y in _apart(spans, base)]
             yield sorted(base + more, key=lambda s: (s[1], KINDS.index(s[0])))
 
 

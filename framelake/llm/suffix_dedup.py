@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from ..storage import materialise, numbered
 from . import bitfilter
-from .arrowtext import BYTE_VALUE, prefix_hashes, span_hashes, text_runs
+from .arrowtext import BYTE_VALUE, prefix_hashes, prime_hashes, span_hashes, text_runs
 from .suffix_groups import suffix_array
 from .tables import read
 
@@ -79,7 +79,7 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram:
     first = np.flatnonzero(new)
     count = np.diff(np.append(first, len(string)))
     start, anchor, document = string[first], anchor[first], document[first]
-    return document, start - offsets[document], count, anchor - start, hashes[anchor], span_hashes(prefix, start, start + count + length - 1)
+    return document, start - offsets[document], count, anchor - start, hashes[anchor], prime_hashes(data, start, start + count + length - 1)
 
 
 def _slices(column: pa.Array, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:

@@ -107,7 +107,17 @@ class Lexicon:
                 start = last + 1 - size
                 if start not in kept or weight > kept[start][1]:
                     kept[start] = (last + 1, weight)
-        return [(a, b, w) for a, (b, w) in kept.items() if not any(x <= a and b <= y for x, y in spared)]
+        if not spared:
+            return [(a, b, w) for a, (b, w) in kept.items()]
+        spared.sort()
+        out, at, reach = [], 0, -1  # reach: the farthest end of spans that have begun
+        for a, (b, w) in sorted(kept.items()):
+            while at < len(spared) and spared[at][0] <= a:
+                reach = max(reach, spared[at][1])
+                at += 1
+            if b > reach:
+                out.append((a, b, w))
+        return out
 
     def density(self, text: str) -> float:
         folded = fold(text)

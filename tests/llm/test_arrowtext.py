@@ -36,3 +36,31 @@ def test_sets_of_a_text_do_not_depend_on_its_run():
     alone = list(ngram_join._sets(pa.array([long]), 5))[0]
     among = list(ngram_join._sets(pa.array(["a b c d e f", long, None, "a b"]), 5))
     assert np.array_equal(among[1], alone) and [len(x) for x in among] == [2, len(alone), 0, 1]
+
+
+def test_hashes_tell_words_apart_that_polynomials_modulo_a_power_of_two_do_not():
+    from framelake.llm import arrowtext
+
+    from .test_packing import SWAPPED, THUE_MORSE
+
+    data = np.frombuffer((THUE_MORSE + THUE_MORSE.translate(SWAPPED) + THUE_MORSE).encode(), np.uint8)
+    n = len(THUE_MORSE)
+    start, end = np.array([0, n, 2 * n]), np.array([n, 2 * n, 3 * n])
+    for hashes in (arrowtext.word_hashes(data, start, end), arrowtext.prime_hashes(data, start, end)):
+        assert hashes[0] == hashes[2] != hashes[1]
+
+
+def test_prime_hashes_equal_whole_numbers():
+    from framelake.llm import arrowtext
+
+    prime, base = (1 << 61) - 1, arrowtext._PRIME_BASE
+    data = np.random.default_rng(2).integers(0, 256, 5000).astype(np.uint8)
+    start = np.random.default_rng(3).integers(0, 4000, 200)
+    end = start + np.random.default_rng(4).integers(0, 1000, 200)
+    keep, arrowtext._PRIME_RUN = arrowtext._PRIME_RUN, 1000
+    try:
+        found = arrowtext.prime_hashes(data, start, end).tolist()
+    finally:
+        arrowtext._PRIME_RUN = keep
+    for h, a, b in zip(found, start.tolist(), end.tolist()):
+        assert h == sum((int(x) + 1) * pow(base, k, prime) for k, x in enumerate(data[a:b])) % prime ^ ((b - a) << 61) & ((1 << 64) - 1)

@@ -35,7 +35,7 @@ def test_folding_keeps_word_boundaries():
     raw = [x.encode() for x in texts]
     data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])])
     low, ends = decontamination.folded(data, offsets)
-    inside = decontamination._word_bytes
+    inside = decontamination._word_bytes > 0
     assert (np.minimum.reduceat(inside[low], ends[:-1]) == np.minimum.reduceat(inside[data], offsets[:-1])).all()
     assert (np.maximum.reduceat(inside[low], ends[:-1]) == np.maximum.reduceat(inside[data], offsets[:-1])).all()
 
@@ -90,13 +90,25 @@ def test_items_of_numbers_and_names(leaks):
     assert (0, 0) in leaks(docs, [item]) and (2, 0) not in leaks(docs, [item])
 
 
+NAMED = "At the shop of Jürgen we buy 5kg of flour and the man from IBM pays 15 euros for all of it"
+
+
+def test_names_of_all_alphabets_and_units_without_a_blank(leaks):
+    other = NAMED.replace("Jürgen", "{}").replace("5kg", "{}").replace("IBM", "{}").replace("15 euros", "{}")
+    docs = [other.format(*x) for x in (("Élodie", "7kg", "NASA", "3 euros"), ("Иван", "12 kg", "Łukasz", "4 euros"), ("Maria", "1.5kg", "Özil", "99 euros"))]
+    docs += [NAMED.upper(), NAMED.upper().replace("15", "16"), "At the shop of Jürgen we buy plums"]
+    assert {d for d, _ in leaks(docs, [NAMED])} == {0, 1, 2, 3, 4}
+
+
 def _words(text):
     """(folded word, kind, whether it goes on with the token before) of a text."""
-    spans = [(m.start(), m.end()) for m in re.finditer(r"[0-9A-Za-z\x80-\U0010ffff]+", text)]
+    spans = [(m.start(), m.end()) for m in re.finditer(r"[0-9]+|[A-Za-z\x80-\U0010ffff]+", text)]
     words = [text[a:b] for a, b in spans]
     gaps = [None] + [text[a[1] : b[0]] for a, b in zip(spans, spans[1:])]
     follows = [g is not None and not re.search(r"[\n\r!.:;?]", g) for g in gaps]
-    cap = [bool(re.match("[A-Z][a-z]", w)) for w in words]
+    loud = [len(w) > 1 and w[0].isupper() and w[1].isupper() for w in words]
+    alone = [x and not any(loud[max(k - 1, 0) : k] + loud[k + 1 : k + 2]) for k, x in enumerate(loud)]
+    cap = [len(w) > 1 and w[0].isupper() and w[1].islower() or a for w, a in zip(words, alone)]
     digits = [bool(re.fullmatch("[0-9]+", w)) for w in words]
     kinds = []
     for k, word in enumerate(words):
@@ -153,7 +165,7 @@ def _brute(text, item, window=8, literals=4, coverage=0.5, run=6):
 
 def test_leaks_equal_brute_force(leaks):
     rng = random.Random(5)
-    items = [SUM, TWICE, PLAIN, ACCENTED, "Capital of the country beside the great river", "Where is 12 Acre Wood?", "one 2 three", "Take 3 apples and 5 pears home"]
+    items = [SUM, TWICE, PLAIN, ACCENTED, "Capital of the country beside the great river", "Where is 12 Acre Wood?", "one 2 three", "Take 3 apples and 5 pears home", NAMED]
     docs = []
     for _ in range(60):
         text = rng.choice(items)
@@ -161,8 +173,8 @@ def test_leaks_equal_brute_force(leaks):
         a = rng.randrange(len(words))
         part = " ".join(words[a : a + rng.randrange(5, 40)]) if rng.random() < 0.5 else text
         for _ in range(rng.randrange(4)):
-            old = rng.choice(["3", "5", "12", "Bob", "7", "Peter", "apples", "guests", "then", "niño"])
-            part = part.replace(old, rng.choice(["4", "4", "12", "1,250", "Hans", "Anna Maria", "plums", "Maria"]), rng.choice([1, -1]))
+            old = rng.choice(["3", "5", "12", "Bob", "7", "Peter", "apples", "guests", "then", "niño", "Jürgen", "IBM", "5kg"])
+            part = part.replace(old, rng.choice(["4", "4", "12", "1,250", "Hans", "Anna Maria", "plums", "Maria", "Élodie", "Иван", "NASA", "9kg"]), rng.choice([1, -1]))
         docs.append("Before it " + rng.choice([str, str.upper, str.title, str])(part) + rng.choice([". After it.", " and on 2"]))
     want = {(d, i) for d, text in enumerate(docs) for i, item in enumerate(items) if _brute(text, item)}
     assert set(leaks(docs, items)) == want

@@ -11,10 +11,15 @@ from framelake.llm import packing
 #: Letters of many scripts, marks, contractions, blanks of all kinds, and code points that only newer tables assign.
 ALPHABET = [*"aZ'sdtm 09\n\t.,é", "ß", "й", "中", "あ", "　", "\xa0", "́", "١", "Ⅷ", "😀", "²", "\U000134e2", "\U0001c8a0", "Ᲊ", "\U00010d4a", "⿿", "\U0002ebf0", "\U000e0100"]
 
+#: A word and its complement that every polynomial hash modulo 2**64 takes for one.
+THUE_MORSE = "".join("ab"[k.bit_count() & 1] for k in range(4096))
+SWAPPED = str.maketrans("ab", "ba")
+
 
 def test_ids_equal_the_tokenizer():
     dice, coder = random.Random(5), packing.BatchTokenizer()
     texts = ["".join(dice.choices(ALPHABET, k=dice.randint(0, 40))) for _ in range(4000)]
+    texts += [THUE_MORSE, THUE_MORSE.translate(SWAPPED), f"{THUE_MORSE} {THUE_MORSE.translate(SWAPPED)}"]
     texts += ["x" * 3000, "it's we'll I'm they've 're 'S", *coder.special, f"a {coder.special[0]} b" if coder.special else ""]
     for at in range(0, len(texts), 500):
         some = texts[at : at + 500]
