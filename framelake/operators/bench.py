@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..storage import materialise
+from .ordering import running_sum
+
 
 def micros(ts: str) -> Column:
     """Microseconds since 1970 of a timestamp without time zone."""
@@ -21,9 +23,10 @@ def frame_budget(frames: DataFrame, stream: str, us: Column) -> DataFrame:
 
 def quarter_means(rows: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
     """Means of four consecutive chunks cut at round(i * n / 4), halves to even; empty chunks are left out."""
-    n = F.count("*").over(W.partitionBy(key))
-    at = F.row_number().over(W.partitionBy(key).orderBy(*order)) - 1
-    numbered = rows.select(key, value, n.alias("__n"), at.alias("__at"))
+    placed = running_sum(rows.select(key, value, *order), key, order, F.lit(1), "__at").withColumn("__at", F.col("__at") - 1)
+    # stored, so that Spark can split a key of many rows in the join
+    counts = materialise(placed.groupBy(F.col(key).alias("__of")).agg((F.max("__at") + 1).alias("__n")), "counts")
+    numbered = placed.join(counts, F.col(key).eqNullSafe(F.col("__of")))
     cut = lambda i: F.bround(F.col("__n") * i / 4, 0)
     quarter = F.when(F.col("__at") < cut(1), 1).when(F.col("__at") < cut(2), 2).when(F.col("__at") < cut(3), 3).otherwise(4)
     return numbered.groupBy(key, quarter.alias("quarter")).agg(F.round(F.avg(value), 6).alias("mean"))

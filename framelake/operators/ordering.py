@@ -13,30 +13,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..storage import materialise
+from . import scan
 
 #: Fixed value: beyond any time in ms.
 _FAR = 1 << 62
 
 
-def _before(stream: str, order: list[str]):
-    return W.partitionBy(stream).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-
-
-def running_sum(rows: DataFrame, stream: str, order: list[str], value: Column, name: str) -> DataFrame:
-    """``rows`` with the sum of ``value`` in their stream up to and with each row.
-
-    Rows are dealt in order into ranges, so that a long stream spreads over many
-    tasks; each range adds up its own rows, and what stands before it in the
-    stream comes from a table with one row for each range and stream.  All
-    columns of ``rows`` are stored on the way: leave out what is not needed.
-    """
-    dealt = materialise(rows.withColumn("__value", value.cast("long")).repartitionByRange(stream, *order).withColumn("__range", F.spark_partition_id()), "ranges")
-    earlier = W.partitionBy(stream).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
-    sums = dealt.groupBy(stream, "__range").agg(F.sum("__value").alias("__n"))
-    starts = sums.select(stream, "__range", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__start"))
-    within = F.sum("__value").over(W.partitionBy(stream, "__range").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
-    placed = dealt.withColumn("__at", within).join(starts.withColumnRenamed(stream, "__stream"), F.col(stream).eqNullSafe(F.col("__stream")) & (dealt["__range"] == starts["__range"]))
-    return placed.withColumn(name, F.col("__start") + F.col("__at")).select(*[c for c in rows.columns if c != name], name)
+def running_sum(rows: DataFrame, stream: str, order: list[str | Column], value: Column, name: str) -> DataFrame:
+    """``rows`` with the sum of ``value`` in their stream up to and with each row; see :func:`scan.scan`."""
+    rows = rows.withColumn("__value", value.cast("long"))
+    return scan.scan(rows, [stream], order, scan.total(F.col("__value")), name).drop("__value")
 
 
 def gop_ids(packets: DataFrame, stream: str, order: list[str], keyframe: Column) -> DataFrame:
@@ -45,8 +31,8 @@ def gop_ids(packets: DataFrame, stream: str, order: list[str], keyframe: Column)
 
 
 def visible_ordinals(packets: DataFrame, stream: str, order: list[str], visible: Column) -> DataFrame:
-    """``packets`` with ordinal: the place among visible ones from 0, null for the others."""
-    counted = running_sum(packets.withColumn("__visible", visible), stream, order, F.col("__visible"), "ordinal")
+    """``packets`` with ordinal: the place among visible ones from 0, null for those that are known not to be."""
+    counted = running_sum(packets.withColumn("__visible", F.coalesce(visible, F.lit(True))), stream, order, F.col("__visible"), "ordinal")
     return counted.withColumn("ordinal", F.when(F.col("__visible"), F.col("ordinal") - 1)).drop("__visible")
 
 
@@ -72,9 +58,9 @@ def keyframe_start(packets: DataFrame, stream: str, index: str, order: list[str]
 
 def slot_lineage(frames: DataFrame, stream: str, order: list[str], frame: str, flags: Column, slot: Column, slots: int = 8) -> DataFrame:
     """``frames`` with source: the latest earlier frame that refreshed the slot which each one reads."""
-    before = W.partitionBy(stream).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    held = [F.last(F.when(F.shiftright(flags, i).bitwiseAND(F.lit(1)) == 1, F.col(frame)), ignorenulls=True).over(before) for i in range(slots)]
-    return frames.withColumn("source", F.element_at(F.array(*held), (slot + 1).cast("int")))
+    held = [F.when(F.shiftright(flags, i).bitwiseAND(F.lit(1)) == 1, F.col(frame)) for i in range(slots)]
+    found = scan.scan(frames, [stream], order, scan.latest_each(held, order), "__slots", inclusive=False)
+    return found.withColumn("source", F.element_at("__slots", (slot + 1).cast("int"))).drop("__slots")
 
 
 def last_record(rows: DataFrame, key: list[str], order: str, value: str) -> DataFrame:
@@ -84,18 +70,19 @@ def last_record(rows: DataFrame, key: list[str], order: str, value: str) -> Data
 
 def ring(rows: DataFrame, key: str, order: list[Column], size: int = 240) -> DataFrame:
     """The last ``size`` rows of each key; ``order`` is descending."""
-    return rows.withColumn("__n", F.row_number().over(W.partitionBy(key).orderBy(*order))).filter(F.col("__n") <= size).drop("__n")
+    return running_sum(rows, key, order, F.lit(1), "__n").filter(F.col("__n") <= size).drop("__n")
 
 
 def peak(rows: DataFrame, key: str, ratio: Column, order: str) -> DataFrame:
     """The row of each key with the greatest ratio; the first of equals."""
-    best = F.row_number().over(W.partitionBy(key).orderBy(F.desc("ratio"), order))
-    return rows.withColumn("ratio", ratio).withColumn("__n", best).filter("__n = 1").drop("__n")
+    whole = F.struct(*rows.columns, ratio.alias("ratio"))
+    best = F.min_by(whole, F.struct((-ratio).isNull().alias("none"), (-ratio).alias("least"), F.col(order).alias("place")))
+    return rows.groupBy(key).agg(best.alias("__row")).select("__row.*")
 
 
 def carried(rows: DataFrame, key: str, order: list[str], value: Column, name: str) -> DataFrame:
     """``rows`` with the latest non-null value so far, as a section header holds for the lines below it."""
-    return rows.withColumn(name, F.last(value, ignorenulls=True).over(_before(key, order)))
+    return scan.scan(rows, [key], order, scan.latest(value, order), name)
 
 
 def every(rows: DataFrame, index: str, n: int) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import bits, coding, geometry
+from ..functions import bits, coding, geometry, transforms
+from ..operators import planes
 from .queries import _SAMPLES, _samples, query
 
 # bytes with a rule: the digest of a part's number
@@ -347,3 +348,69 @@ def first_distinct_two(table) -> DataFrame:
     """The candidates of each key in order; few by nature."""
     rows = table("orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderpriority"))).alias("x"))
     return rows.select("o_custkey", coding.first_two(F.transform("x", lambda x: x["o_orderpriority"])).alias("firsts"))
+
+
+def _network_sql() -> str:
+    """The same networks over lists, a stage for each common table expression; a part's number gives the inputs."""
+    parts, names = ["k AS (SELECT p_partkey, [((p_partkey * (i + 3) * (i + 7)) % 1021 - 510)::BIGINT FOR i IN range(32)] AS v FROM part)"], []
+    for kind, sizes in (("DCT", (4, 8, 16, 32)), ("ADST", (4, 8, 16))):
+        for n in sizes:
+            before = "k"
+            for depth, stage in enumerate(transforms.network(kind, n)):
+                outputs = []
+                for terms, rounded in stage:
+                    whole = " + ".join(f"v[{i + 1}] * ({factor})" for i, factor in terms)
+                    outputs.append(f"(({whole} + 8192) >> 14)" if rounded else f"({whole})")
+                name = f"{kind.lower()}_{n}_{depth}"
+                parts.append(f"{name} AS (SELECT p_partkey, [{', '.join(outputs)}] AS v FROM {before})")
+                before = name
+            names.append((f"{kind.lower()}_{n}", before))
+    columns = ", ".join(f"{last}.v AS {name}" for name, last in names)
+    joins = " ".join(f"JOIN {last} ON k.p_partkey = {last}.p_partkey" for _, last in names)
+    return f"WITH {', '.join(parts)} SELECT k.p_partkey, {columns} FROM k {joins}"
+
+
+@query(_network_sql())
+def inverse_transforms(table) -> DataFrame:
+    key = F.col("p_partkey")
+    values = F.array(*[key * (i + 3) * (i + 7) % 1021 - 510 for i in range(32)])
+    found = [transforms.inverse(F.slice("v", 1, n), kind, n).alias(f"{kind.lower()}_{n}") for kind, sizes in (("DCT", (4, 8, 16, 32)), ("ADST", (4, 8, 16))) for n in sizes]
+    return table("part").select("p_partkey", values.alias("v")).select("p_partkey", *found)
+
+
+_SAMPLE = "(greatest(least({x}, w - 1), 0) * 7 + greatest(least({y}, h - 1), 0) * 13 + p_partkey) % 256"
+
+
+@query(f"""WITH p AS (SELECT p_partkey, p_partkey % 23 + 10 AS w, p_partkey % 17 + 9 AS h FROM part), b AS (SELECT *, unnest(range(5)) AS block FROM p),
+c AS (SELECT *, [-90, 0, w * 16 - 40, 37, w * 16 + 300][block + 1] AS x, [-70, h * 16 - 20, 5, h * 16 + 100, -200][block + 1] AS y, CASE WHEN block = 3 THEN 27 ELSE 16 END AS sx, CASE WHEN block = 2 THEN 12 ELSE 16 END AS sy FROM b)
+SELECT p_partkey, block, [{_SAMPLE.format(x="((x + (i % 6) * sx) >> 4)", y="((y + (i // 6) * sy) >> 4)")} FOR i IN range(24)]::BIGINT[] AS samples FROM c""")
+def gather_blocks(table) -> DataFrame:
+    """Blocks of 6 by 4 inside and outside all four edges, two of them scaled, from planes in tiles of 8 with a border of 12."""
+    key = F.col("p_partkey")
+    rows = table("part").select("p_partkey", (key % 23 + 10).alias("w"), (key % 17 + 9).alias("h"))
+    sample = lambda k: (k % F.col("w") * 7 + F.floor(k / F.col("w")) * 13 + key) % 256
+    held = rows.withColumn("samples", F.transform(F.sequence(F.lit(0).cast("long"), F.col("w") * F.col("h") - 1), sample))
+    tiled = planes.tiles(held, ["p_partkey"], "samples", "w", "h", 8, 12)
+    w, h = F.col("w"), F.col("h")
+    places = [(F.lit(-90), F.lit(-70)), (F.lit(0), h * 16 - 20), (w * 16 - 40, F.lit(5)), (F.lit(37), h * 16 + 100), (w * 16 + 300, F.lit(-200))]
+    entry = lambda i, x, y: F.struct(F.lit(i).cast("long").alias("block"), x.cast("long").alias("x"), y.cast("long").alias("y"), F.lit(27 if i == 3 else 16).alias("sx"), F.lit(12 if i == 2 else 16).alias("sy"))
+    blocks = rows.select("p_partkey", F.inline(F.array(*[entry(i, x, y) for i, (x, y) in enumerate(places)])))
+    found = planes.gather(blocks, tiled, ["p_partkey"], F.col("x"), F.col("y"), F.lit(6), F.lit(4), F.col("sx"), F.col("sy"), 8, 12)
+    return found.select("p_partkey", "block", "samples")
+
+
+_OFFSETS = [(-1, 0), (0, -1), (-1, -1), (-2, 0), (0, -2), (-1, 1), (-3, 2)]
+_NEAR = ", ".join(f"max(CASE WHEN n.r = c.r + ({a}) AND n.c = c.c + ({b}) AND n.c // 12 = c.c // 12 THEN n.v END)" for a, b in _OFFSETS)
+
+
+@query(f"""WITH c AS (SELECT event_id, event_id // 600 AS frame, event_id % 600 // 30 AS r, event_id % 30 AS c, event_id * 7 % 5 AS v FROM events)
+SELECT c.event_id, [{_NEAR}] AS candidates, list_extract([x FOR x IN [{_NEAR}] IF x IS NOT NULL], 1) AS first
+FROM c LEFT JOIN c n ON n.frame = c.frame AND n.r BETWEEN c.r - 3 AND c.r AND n.c BETWEEN c.c - 2 AND c.c + 2 GROUP BY c.event_id""")
+def neighbour_candidates(table) -> DataFrame:
+    """Cells of 20 rows of 30 in each frame, in tiles of 12 columns; candidates above and to the left, none from another tile."""
+    key = F.col("event_id")
+    column = key % 30
+    cells = table("events").select("event_id", F.floor(key / 600).alias("frame"), F.floor(key % 600 / 30).alias("r"), column.alias("c"), (key * 7 % 5).alias("v"))
+    left = F.floor(F.col("c") / 12) * 12
+    found = planes.neighbours(cells, ["frame"], "r", "c", F.col("v"), _OFFSETS, left, left + 12)
+    return found.select("event_id", "candidates", F.get(F.array_compact("candidates"), F.lit(0)).alias("first"))

@@ -54,11 +54,13 @@ def token_peak(table) -> DataFrame:
     return ordering.peak(rows, "user_id", F.col("share"), "event_id").select("user_id", "event_id", "ratio")
 
 
-@query("""SELECT o_orderkey, o_orderkey % 3 = 0 AS ok, CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'bad md5' || chr(10) || '  l2' || chr(10) || '  l3' || chr(10) || '  l4' || chr(10) || '  l5' || chr(10) || '  l6'
+@query("""SELECT o_orderkey, o_orderkey % 3 = 0 AS ok, CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN '{' || CASE WHEN o_orderkey % 2 = 0 THEN '"error": "bad md5", ' ELSE '' END || '"mismatchedCount": ' || (o_orderkey % 50 + 1) || ', "mismatches": [{"frame":' || o_orderkey || '}]}' || chr(10) || '  l2' || chr(10) || '  l3' || chr(10) || '  l4' || chr(10) || '  l5' || chr(10) || '  l6'
   ELSE 'unparseable driver output' END AS detail FROM orders""")
 def run_output(table) -> DataFrame:
     key = F.col("o_orderkey")
-    output = F.concat(F.lit("progress\n"), F.when(key % 3 == 0, '{"ok": true}\n\n').when(key % 3 == 1, '{"ok": false, "error": "bad md5"}').otherwise("{half"))
+    """A run that failed tells all members that say why, whatever their order in the report."""
+    why = F.concat(F.lit('{"mismatches": [{"frame": '), key, F.lit('}], "missingCount": 0, "mismatchedCount": '), key % 50 + 1, F.when(key % 2 == 0, ', "error": "bad md5"').otherwise(', "error": ""'), F.lit(', "ok": false}'))
+    output = F.concat(F.lit("progress\n"), F.when(key % 3 == 0, '{"ok": true}\n\n').when(key % 3 == 1, why).otherwise("{half"))
     errors = F.when(key % 3 == 1, "l1\nl2\nl3\nl4\nl5\nl6\n")
     verdict = logs.run_verdict(output, errors)
     return table("orders").select("o_orderkey", output.alias("o"), verdict.alias("v")).select("o_orderkey", "v.ok", "v.detail")
@@ -69,6 +71,7 @@ def perf_map(table) -> DataFrame:
     """Lines of a symbol map; every sixth lacks its name or has a size that is no number."""
     key = F.col("p_partkey")
     good = F.concat_ws(" ", F.lower(F.hex(key * 4096)), F.concat(F.lit("0x"), F.hex(F.col("p_size").cast("long"))), F.concat("p_name", F.lit(" x")))
+    good = F.when(key % 5 == 0, F.concat(F.lit("\t "), good, F.lit("\r"))).otherwise(good)
     text = F.when(key % 12 == 0, F.concat(F.hex(key), F.lit(" 1"))).when(key % 6 == 0, F.concat(F.hex(key), F.lit(" zz name"))).otherwise(good)
     rows = logs.map_ranges(table("part").select(text.alias("raw")), "raw").orderBy("start")
     return rows.select(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "symbol")
@@ -147,10 +150,11 @@ def symbol_names(table) -> DataFrame:
     return table("part").select("p_partkey", texts.demangle(F.when(key % 4 == 0, "_ZN3fooX").otherwise(mangled)).alias("name"))
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 5000 >= 1000 THEN (round_half.x // 10) || '.' || (round_half.x % 10) || 'k' ELSE (o_orderkey % 5000)::VARCHAR END AS tokens,
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 5000 >= 1000 THEN CASE WHEN o_orderkey % 500 = 250 THEN (o_orderkey % 5000 // 1000) || '.' || (o_orderkey % 1000 // 100 + 1) ELSE printf('%.1f', (o_orderkey % 5000)::DOUBLE / 1000) END || 'k' ELSE (o_orderkey % 5000)::VARCHAR END AS tokens,
   CASE WHEN o_orderkey % 400 > 0 AND o_orderkey % 400 < 4 THEN '<1%' ELSE floor(o_orderkey % 400 / 400 * 100 + 0.5)::BIGINT || '%' END AS share,
-  (o_orderkey % 97)::VARCHAR || CASE WHEN o_orderkey % 2 = 1 THEN '.5' ELSE '' END AS plain FROM orders, LATERAL (SELECT (o_orderkey % 5000 + 50) // 100 AS x) round_half""")
+  (o_orderkey % 97)::VARCHAR || CASE WHEN o_orderkey % 2 = 1 THEN '.5' ELSE '' END AS plain FROM orders""")
 def number_texts(table) -> DataFrame:
+    """One decimal by the double's exact value: 1150 / 1000 lies below 1.15."""
     key = F.col("o_orderkey")
     half = F.when(key % 2 == 1, 0.5).otherwise(0.0)
     return table("orders").select(
@@ -200,6 +204,39 @@ def profile_scan(table) -> DataFrame:
     return samples.join(events, ["user_id", "n"]).select("user_id", F.col("event_id").alias("record"), long("ip"), long("period"), long("time"))
 
 
+@query("""SELECT user_id, count(*)::BIGINT AS samples, 4096::BIGINT AS start, 4096 + user_id % 100 * 16 AS "end", 'map' || user_id AS file FROM events GROUP BY user_id""")
+def profile_mappings(table) -> DataFrame:
+    """The mapping that stands before each user's samples in a binary profile."""
+    sample = F.concat(_little(F.lit(9), 4), F.lit("0000"), _little(F.lit(16), 2), _little(F.col("event_id"), 8))
+    files = table("events").groupBy("user_id").agg(F.collect_list(sample).alias("p"))
+    name = F.concat(F.hex(F.concat(F.lit("map"), "user_id").cast("binary")), F.lit("00"))
+    mapping = F.concat(_little(F.lit(10), 4), F.lit("0000"), _little(F.lit(72) + F.length(name) / 2, 2), _little(F.lit(0), 8), _little(F.lit(4096), 8), _little(F.col("user_id") % 100 * 16, 8), F.lit("00" * 40), name)
+    body = F.concat(mapping, F.array_join("p", ""))
+    head = F.concat(F.hex(F.lit("PERFILE2").cast("binary")), F.lit("00" * 16), _little(F.lit(56), 8), F.lit("00" * 8), _little(F.lit(88), 8), _little(F.length(body) / 2, 8), F.lit("00" * 24), _little(F.lit(1), 8))
+    rows = logs.profile_records(files.select("user_id", F.unhex(F.concat(head, body)).alias("content")), "user_id", "content")
+    one = F.max_by(F.struct("start", "end", "file"), F.when(F.col("kind") == "mmap", F.col("record")))
+    found = rows.groupBy("user_id").agg(F.count_if(F.col("kind") == "sample").alias("samples"), one.alias("m"))
+    return found.select("user_id", "samples", F.col("m.start").cast("long").alias("start"), F.col("m.end").cast("long").alias("end"), "m.file")
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 11 = 0 THEN 'source missing: m' || c_custkey WHEN c_custkey % 13 = 0 THEN 'missing' WHEN c_custkey % 7 = 0 THEN 'invalid md5 sidecar'
+  WHEN c_custkey % 5 = 0 THEN 'missing sha256 record: r' || c_custkey WHEN c_custkey % 4 = 0 THEN 'invalid sha256 record: r' || c_custkey WHEN c_custkey % 3 = 0 THEN 'source digest changed'
+  WHEN c_custkey % 2 = 0 THEN 'sha256 mismatch: got ' || sha256(md5(c_name) || '  a' || chr(10) || chr(10)) ELSE 'ok' END AS status FROM customer""")
+def provenance(table) -> DataFrame:
+    """Generated sidecars with a record of what they were made from: one case of each kind of damage."""
+    key, digest = F.col("c_custkey"), F.md5("c_name")
+    sidecar = F.when(key % 7 == 0, "no digest\n").otherwise(F.concat(digest, F.lit("  a\n\n")))
+    recorded = F.when(key % 2 == 0, F.sha2(F.lit("other").cast("binary"), 256)).otherwise(F.upper(F.sha2(sidecar.cast("binary"), 256)))
+    source = F.concat(F.lit("source md5 "), F.when(key % 3 == 0, "0").otherwise(digest), F.lit(" m"), key)
+    record = F.when(key % 4 == 0, "short").otherwise(F.concat(recorded, F.lit("  x\nnote\n"), source, F.lit("\n")))
+    name = lambda kind: F.concat(F.lit(kind), key)
+    rows = table("customer")
+    file = lambda kind, there, text: rows.filter(there).select(name(kind).alias("path"), F.lit(True).alias("is_file"), text.cast("binary").alias("content"))
+    held = file("m", key % 11 > 0, F.col("c_name")).unionByName(file("s", key % 13 > 0, sidecar)).unionByName(file("r", key % 5 > 0, record))
+    entries = rows.select("c_custkey", name("m").alias("media"), F.lit("md5").alias("algorithm"), digest.alias("digest"), name("s").alias("sidecar"), name("r").alias("record"))
+    return corpus.check_generated(entries, corpus.file_facts(held, "path"), "path").select("c_custkey", "status")
+
+
 @query("""SELECT o_custkey, o_orderkey % 9 AS index, arg_max('f' || o_orderkey, o_orderkey) AS mangled, max(o_orderkey) AS address, max(o_orderkey) % 7 AS code_bytes FROM orders WHERE o_orderkey % 4 > 0 GROUP BY ALL""")
 def code_dump(table) -> DataFrame:
     """Functions that are compiled again and again: the last record of each counts; every fourth record has another name."""

@@ -7,8 +7,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry
+from ..functions.cursor import bind
 from ..operators import bench, frames, ordering
-from ..sources import media
+from ..operators import lineage
+from ..sources import files, media
+from ..storage import fresh_path, materialise
 from .queries import query
 
 
@@ -55,7 +58,21 @@ def webm_roundtrip(table) -> DataFrame:
     place = (F.row_number().over(W.partitionBy("user_id").orderBy("event_id")) - 1).cast("long")
     sent = events.join(clusters, ["user_id", "event_id"]).withColumn("packet_index", place)
     got = media.packets(media.mux(sent, "user_id", 320, 240), "user_id")
-    return media.round_trip(sent.withColumnRenamed("ms", "ts"), got, "user_id")
+    return media.round_trip(sent.withColumnRenamed("ms", "ts"), got, "user_id", 320, 240)
+
+
+@query("""SELECT user_id::VARCHAR AS name, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS packet_index, epoch_us(ts) // 1000 - 1700000000000 AS ts, event_type = 'signup' AS keyframe,
+  md5(substr(md5(event_id::VARCHAR), 1, (event_id % 29 + 1)::INTEGER)) AS digest, 320::BIGINT AS width, NULL::VARCHAR AS error FROM events""")
+def media_files(table) -> DataFrame:
+    """Each user's events written as a WebM file of their own, and all files read back, large ones by several tasks."""
+    ms = F.floor(bench.micros("ts") / 1000).cast("long") - 1_700_000_000_000
+    events = table("events").select("user_id", "event_id", ms.alias("ms"), (F.col("event_type") == "signup").alias("keyframe"), _payload("event_id").cast("binary").alias("payload"))
+    sent = events.join(ordering.mux_clusters(events, "user_id", "event_id", "ms", "keyframe"), ["user_id", "event_id"]).withColumn("packet_index", F.col("event_id"))
+    path = fresh_path(events.sparkSession, "media")
+    files.write_webm(sent, "user_id", path, 320, 240)
+    got = files.read_media(events.sparkSession, path, 4 << 20)
+    name = F.regexp_extract("stream", r"([^/]+)\.webm$", 1)
+    return got.select(name.alias("name"), "packet_index", "ts", "keyframe", F.md5("payload").alias("digest"), "width", "error")
 
 
 @query("""SELECT l_orderkey, l_linenumber - 1 AS frame_in_packet, (sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - l_quantity)::BIGINT AS start, l_quantity::BIGINT AS len FROM
@@ -78,37 +95,100 @@ def _binary(value: Column, n: int) -> Column:
 
 def _packed(text: Column, size: int) -> Column:
     """BINARY of ``size`` bytes from a text of bits, filled with zeros."""
-    filled = F.rpad(text, 8 * size, "0")
-    return F.unhex(F.concat(*[F.lpad(F.conv(F.substring(filled, 8 * k + 1, 64), 2, 16), 16, "0") for k in range(0, size, 8)]))
+    whole = lambda bits: F.transform(F.sequence(F.lit(0), F.lit(size - 8), F.lit(8)), lambda k: F.lpad(F.conv(F.substring(bits, 8 * k + 1, F.lit(64)), 2, 16), 16, "0"))
+    return F.unhex(F.array_join(bind(F.rpad(text, 8 * size, "0"), whole), ""))
+
+
+def _optional(there: Column, *parts: Column) -> Column:
+    """A bit that tells whether the parts are there, and they if they are."""
+    return F.when(there, F.concat(F.lit("1"), *parts)).otherwise("0")
+
+
+def _only(there: Column, *parts: Column) -> Column:
+    return F.when(there, F.concat(*parts)).otherwise("")
+
+
+def _rest(key: Column, width: Column) -> Column:
+    """Bits of a key frame's header after its sizes: every optional field is there for some keys and not for others."""
+    b = _binary
+    signed = lambda there, value, n, sign: _optional(there, b(value, n), b(sign, 1))
+    deltas = [signed((key + r) % 2 == 1, (key + r) % 64, 6, F.lit(r % 2)) for r in range(4)] + [signed((key + m) % 3 == 1, key % 50, 6, key % 2) for m in range(2)]
+    tree = [_optional((key + i) % 3 == 0, b(key * (i + 1) % 256, 8)) for i in range(7)]
+    pred = [_optional((key + i) % 2 == 0, b(key * (i + 2) % 256, 8)) for i in range(3)]
+    features = []
+    for s in range(8):
+        for k, n in enumerate((8, 6, 2, 0)):
+            parts = [b((key + s) % (1 << n), n)] if n else []
+            parts += [b(((s + key) % 5 == 0).cast("int"), 1)] if k < 2 else []
+            features.append(_optional((key + s + k) % 4 == 0, *parts))
+    least, most = geometry.tile_log2_bounds(width)
+    tiles = F.least(key % 3, most - least)
+    return F.concat(
+        _only(key % 4 != 0, b(key % 2, 1), b(F.floor(key / 2) % 2, 1)), b(key % 4, 2), b(key % 64, 6), b(key % 8, 3),
+        _optional(key % 3 == 0, _optional(key % 6 == 0, *deltas)),
+        b(key % 13 % 4 * 60, 8), signed(key % 5 == 1, key % 16, 4, key % 2), F.lit("0"), signed(key % 7 == 2, key % 9, 4, F.lit(1)),
+        _optional(key % 4 == 1, _optional(key % 8 == 1, *tree, _optional(key % 16 == 1, *pred)), _optional(key % 3 == 1, b(F.floor(key / 4) % 2, 1), *features)),
+        F.repeat(F.lit("1"), tiles.cast("int")), F.when(tiles < most - least, "0").otherwise(""),
+        F.element_at(F.array(F.lit("0"), F.lit("10"), F.lit("11")), (key % 3 + 1).cast("int")), b(key % 60, 16),
+    )
 
 
 def _headers(table) -> DataFrame:
-    """Headers with sizes and flags from a part's number: one in five shows an earlier frame, one in seven has a wrong marker."""
+    """Headers with sizes, flags and all later fields from a part's number: one in five shows an earlier frame, one in seven has a wrong marker."""
     key = F.col("p_partkey")
     width, height = key * 7 % 4096 + 1, key * 3 % 2160 + 1
-    rest = [_binary(F.lit(0x498342), 24), F.lit("0010"), _binary(width - 1, 16), _binary(height - 1, 16)]
+    sizes = [_binary(F.lit(0x498342), 24), F.lit("0010"), _binary(width - 1, 16), _binary(height - 1, 16)]
     render = F.when(key % 2 == 0, F.lit("0")).otherwise(F.concat(F.lit("1"), _binary(width + 1, 16), _binary(height + 1, 16)))
     flags = F.concat(F.when(key % 3 > 0, "1").otherwise("0"), F.when(key % 4 == 0, "1").otherwise("0"))
-    plain = F.concat(F.lit("00"), flags, *rest, render)
+    plain = F.concat(F.lit("00"), flags, *sizes, render, _rest(key, width))
     head = F.when(key % 7 == 0, "0100").otherwise("1000")
     text = F.concat(head, F.when(key % 5 == 0, F.concat(F.lit("1"), _binary(key % 8, 3))).otherwise(plain))
-    return table("part").select("p_partkey", _packed(text, 16).alias("data")).select("p_partkey", frames.key_header(F.col("data")).alias("h"))
+    rows = materialise(table("part").select("p_partkey", _packed(text, 192).alias("data")), "frames")
+    rows = rows.select("p_partkey", "data", frames.key_header(F.col("data")).alias("h"))
+    return rows.select("p_partkey", "h", frames.key_fields(F.col("data"), F.col("h")).alias("f"))
 
 
-_HEADERS = """h AS (SELECT p_partkey, p_partkey % 7 = 0 AS bad, p_partkey % 5 = 0 AS existing, p_partkey * 7 % 4096 + 1 AS w, p_partkey * 3 % 2160 + 1 AS h, p_partkey % 2 AS more, p_partkey % 3 > 0 AS shown FROM part)"""
+_K = "p_partkey"
+_LIST = lambda parts: "[" + ", ".join(parts) + "]::BIGINT[]"
+_SIGNED = lambda there, value, sign, missing=0: f"CASE WHEN {there} THEN ({value}) * (1 - 2 * ({sign})) ELSE {missing} END"
+_ON = [f"(upd AND (k + {s + j}) % 4 = 0)" for s in range(8) for j in range(4)]
+_VALUES = [f"CASE WHEN {_ON[4 * s + j]} THEN ((k + {s}) % {1 << n}) * (1 - {2 if j < 2 else 0} * ((k + {s}) % 5 = 0)::INT) ELSE 0 END" for s in range(8) for j, n in enumerate((8, 6, 2, 0))]
+_HEADERS = f"""h AS (SELECT p_partkey, p_partkey AS k, p_partkey % 7 = 0 AS bad, p_partkey % 5 = 0 AS existing, p_partkey * 7 % 4096 + 1 AS w, p_partkey * 3 % 2160 + 1 AS h,
+  p_partkey % 2 AS more, p_partkey % 3 > 0 AS shown, p_partkey % 4 = 1 AS seg, p_partkey % 4 = 1 AND p_partkey % 3 = 1 AS upd, (p_partkey * 7 % 4096 + 64) // 64 AS sb FROM part),
+v AS (SELECT *, NOT existing AND NOT bad AS plain, {_LIST(_VALUES)} AS features, upd AND k // 4 % 2 = 1 AS absolute,
+  CASE WHEN sb <= 64 THEN 0 ELSE 1 END AS least, len([x FOR x IN [1, 2, 3, 4, 5, 6] IF sb >> x >= 4]) AS most FROM h)"""
 
 
 @query(f"""WITH {_HEADERS} SELECT p_partkey, existing, CASE WHEN existing THEN p_partkey % 8 END AS slot, NOT existing AS key, CASE WHEN existing THEN NULL ELSE p_partkey % 4 = 0 END AS resilient,
   CASE WHEN NOT existing THEN w END AS width, CASE WHEN NOT existing THEN h END AS height, CASE WHEN NOT existing THEN w + 2 * more END AS render_width,
-  CASE WHEN NOT existing THEN h + 2 * more END AS render_height, CASE WHEN bad THEN 'invalid' END AS error FROM h""")
+  CASE WHEN NOT existing THEN h + 2 * more END AS render_height, CASE WHEN bad THEN 'invalid' END AS error,
+  CASE WHEN plain THEN k % 4 <> 0 AND k % 2 = 1 END AS refresh_context, CASE WHEN plain THEN k % 4 = 0 OR k // 2 % 2 = 1 END AS parallel, CASE WHEN plain THEN k % 4 END AS context,
+  CASE WHEN plain THEN k % 64 END AS level, CASE WHEN plain THEN k % 8 END AS sharpness,
+  CASE WHEN plain THEN {_LIST([_SIGNED(f"k % 6 = 0 AND (k + {r}) % 2 = 1", f"(k + {r}) % 64", r % 2, d) for r, d in enumerate((1, 0, -1, -1))])} END AS ref_deltas,
+  CASE WHEN plain THEN {_LIST([_SIGNED(f"k % 6 = 0 AND (k + {m}) % 3 = 1", "k % 50", "k % 2") for m in range(2)])} END AS mode_deltas,
+  CASE WHEN plain THEN k % 13 % 4 * 60 END AS base_q, CASE WHEN plain THEN {_SIGNED("k % 5 = 1", "k % 16", "k % 2")} END AS y_dc, CASE WHEN plain THEN 0::BIGINT END AS uv_dc,
+  CASE WHEN plain THEN {_SIGNED("k % 7 = 2", "k % 9", "1")} END AS uv_ac,
+  CASE WHEN plain THEN k % 13 % 4 = 0 AND (k % 5 <> 1 OR k % 16 = 0) AND (k % 7 <> 2 OR k % 9 = 0) END AS lossless,
+  CASE WHEN plain THEN seg END AS segmented, CASE WHEN plain THEN seg AND k % 16 = 1 END AS temporal, CASE WHEN plain THEN absolute END AS absolute,
+  CASE WHEN plain THEN {_LIST([f"CASE WHEN seg AND k % 8 = 1 AND (k + {i}) % 3 = 0 THEN k * {i + 1} % 256 ELSE 255 END" for i in range(7)])} END AS tree_probabilities,
+  CASE WHEN plain THEN {_LIST([f"CASE WHEN seg AND k % 16 = 1 AND (k + {i}) % 2 = 0 THEN k * {i + 2} % 256 ELSE 255 END" for i in range(3)])} END AS pred_probabilities,
+  CASE WHEN plain THEN [{", ".join(_ON)}] END AS enabled, CASE WHEN plain THEN features END AS features,
+  CASE WHEN plain THEN (least + least(k % 3, most - least))::BIGINT END AS tile_columns_log2, CASE WHEN plain THEN k % 3 END AS tile_rows_log2,
+  CASE WHEN plain THEN k % 60 END AS compressed_size, CASE WHEN plain AND absolute AND len([x FOR x IN features IF x < 0]) > 0 THEN 'invalid' END AS field_error FROM v""")
 def keyframe_header(table) -> DataFrame:
-    h = _headers(table).select("p_partkey", "h.*")
-    return h.select("p_partkey", F.col("show_existing").alias("existing"), F.col("existing_slot").alias("slot"), "key", "resilient", "width", "height", "render_width", "render_height", "error")
+    h = _headers(table).select("p_partkey", "h.*", "f")
+    names = ["refresh_context", "parallel", "context", "level", "sharpness", "ref_deltas", "mode_deltas", "base_q", "y_dc", "uv_dc", "uv_ac", "lossless", "segmented", "temporal", "absolute"]
+    names += ["tree_probabilities", "pred_probabilities", "enabled", "features", "tile_columns_log2", "tile_rows_log2", "compressed_size"]
+    return h.select(
+        "p_partkey", F.col("show_existing").alias("existing"), F.col("existing_slot").alias("slot"), "key", "resilient", "width", "height", "render_width", "render_height", "error",
+        *[f"f.{name}" for name in names], F.col("f.error").alias("field_error"),
+    )
 
 
-@query(f"WITH {_HEADERS} SELECT p_partkey FROM h WHERE (shown OR existing) AND NOT bad")
+@query(f"WITH {_HEADERS} SELECT p_partkey FROM v WHERE (existing OR (shown AND k % 60 > 0)) AND NOT bad")
 def shown_frames(table) -> DataFrame:
-    return frames.shown(_headers(table), "h").select("p_partkey")
+    """Shown frames; those without compressed data give nothing."""
+    return frames.shown(_headers(table), "h", F.col("f.compressed_size")).select("p_partkey")
 
 
 @query("""WITH p AS (SELECT p_partkey, p_partkey % 3 AS c, p_partkey % 2 AS r, p_size * 64 AS w, p_size * 32 AS h FROM part),
@@ -136,19 +216,26 @@ def _names() -> Column:
     return F.concat(F.lit("clip-"), F.when(F.col("source") == F.lit("src0"), "a").otherwise(size), F.lit("-"), key, F.lit(".i420"))
 
 
-_NAMES = """n AS (SELECT doc_id, source, CASE WHEN source = 'src0' THEN NULL ELSE doc_id % 3 * 16 + 16 END AS w, CASE WHEN source = 'src0' THEN NULL ELSE doc_id % 2 * 8 + 8 END AS h FROM documents WHERE doc_id % 5 = 1)"""
+_NAMES = """n AS (SELECT doc_id, source, CASE WHEN source = 'src0' THEN NULL ELSE doc_id % 3 * 16 + 16 END AS w, CASE WHEN source = 'src0' THEN NULL ELSE doc_id % 2 * 8 + 8 END AS h FROM documents)"""
 
 
-@query(f"""WITH {_NAMES} SELECT doc_id FROM documents d WHERE EXISTS (SELECT 1 FROM n WHERE n.source = d.source AND (n.w IS NULL OR (n.w = d.doc_id % 4 * 16 + 16 AND n.h = 8)))""")
+@query(f"""WITH {_NAMES} SELECT doc_id FROM documents d WHERE source = 'src2' OR EXISTS (SELECT 1 FROM n WHERE n.source = d.source AND (n.w IS NULL OR (n.w = d.doc_id % 4 * 16 + 16 AND n.h = 8)))""")
 def compared_outputs(table) -> DataFrame:
+    """All containers but one are IVF files without a size; that one's outputs are compared whatever their size."""
     docs = table("documents")
     outputs = docs.select("doc_id", "source", (F.col("doc_id") % 4 * 16 + 16).alias("width"), F.lit(8).cast("long").alias("height"))
-    return frames.compared(outputs, docs.filter("doc_id % 5 = 1"), "source", _names()).select("doc_id")
+    return frames.compared(outputs, docs, "source", _names(), F.col("source") != "src2").select("doc_id")
 
 
-@query(f"WITH {_NAMES} SELECT source, max(w)::BIGINT AS width, max(h)::BIGINT AS height FROM n GROUP BY source")
+@query(f"""WITH {_NAMES}, c AS (SELECT DISTINCT source, CASE source WHEN 'src1' THEN 100 ELSE 0 END AS cw, CASE source WHEN 'src1' THEN 9 WHEN 'src2' THEN 7 ELSE 0 END AS ch FROM documents),
+m AS (SELECT source, cw, ch, max(w) AS w, max(h) AS h FROM c LEFT JOIN n USING (source) GROUP BY ALL)
+SELECT source, CASE WHEN greatest(cw, w) > 0 AND greatest(ch, h) > 0 THEN greatest(cw, w) END::BIGINT AS width, CASE WHEN greatest(cw, w) > 0 AND greatest(ch, h) > 0 THEN greatest(ch, h) END::BIGINT AS height,
+  CASE WHEN greatest(cw, w) > 0 AND greatest(ch, h) > 0 THEN NULL ELSE 'decoder dimensions unavailable: container=' || cw || 'x' || ch || ', golden=' || coalesce(w || 'x' || h, 'none') END AS error FROM m""")
 def golden_size(table) -> DataFrame:
-    return frames.decoder_size(table("documents").filter("doc_id % 5 = 1"), "source", _names())
+    """The greater of a container's size and of its golden names; an error where neither is known."""
+    docs, source = table("documents"), F.col("source")
+    containers = docs.select("source").distinct().withColumns({"width": F.when(source == "src1", 100).otherwise(0).cast("long"), "height": F.when(source == "src1", 9).when(source == "src2", 7).otherwise(0).cast("long")})
+    return frames.decoder_size(containers, docs, "source", _names())
 
 
 @query("""SELECT p_partkey, CASE WHEN p_size * 16 > 640 OR p_partkey > 1500 THEN 'resource_limit' ELSE 'ok' END AS status, (p_size + 1) // 2 * ((p_partkey % 90 + 1) // 2) AS chroma,
@@ -217,21 +304,47 @@ def packet_limit(table) -> DataFrame:
     return ordering.first_packets(table("events"), ["event_id"], 100).select("event_id")
 
 
-@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders WHERE o_orderkey % 50 = 0 ORDER BY place LIMIT 20")
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders ORDER BY place LIMIT 20")
 def session_order(table) -> DataFrame:
     """The newest sessions first, by path where times are equal; a report of 20."""
-    found = ordering.newest_first(table("orders").filter("o_orderkey % 50 = 0"), "o_totalprice", "o_orderkey", 20)
+    found = ordering.newest_first(table("orders"), "o_totalprice", "o_orderkey", 20)
     return found.select("o_orderkey", F.col("place").cast("long").alias("place"))
 
 
-@query("""WITH a AS (SELECT user_id AS stream, event_id AS frame, md5(event_type) AS actual, CASE WHEN event_id % 3 > 0 THEN md5(CASE WHEN event_id % 11 = 0 THEN 'x' ELSE event_type END) END AS expected FROM events),
-m AS (SELECT stream, list({'frame': frame, 'expected': expected, 'actual': actual} ORDER BY frame) AS list FROM (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY frame) AS n FROM a WHERE actual IS DISTINCT FROM expected) WHERE n <= 10 GROUP BY stream),
-c AS (SELECT stream, count(expected) AS compared, count(*) FILTER (actual = expected) AS matched, count(*) FILTER (actual <> expected) AS mismatched FROM a GROUP BY stream)
-SELECT stream, list IS NULL AS ok, compared, matched, mismatched, coalesce(len(list), 0) AS listed, list[1].frame AS first FROM c LEFT JOIN m USING (stream)""")
+@query("""WITH a AS (SELECT user_id AS stream, event_id AS frame, CASE WHEN user_id % 4 <> 1 OR event_id % 3 > 0 THEN md5(event_type) END AS actual,
+  CASE WHEN user_id % 4 <> 2 OR event_id % 3 > 0 THEN md5(CASE WHEN user_id % 4 = 3 AND event_id % 5 = 0 THEN 'x' ELSE event_type END) END AS expected FROM events),
+m AS (SELECT stream, list({'frame': frame, 'expected': expected, 'actual': actual} ORDER BY frame) AS list FROM (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY frame) AS n FROM a
+  WHERE actual IS NOT NULL AND actual IS DISTINCT FROM expected) WHERE n <= 10 GROUP BY stream),
+c AS (SELECT stream, count(expected) AS wanted, count(actual) AS compared, count(*) FILTER (actual = expected) AS matched, count(*) FILTER (actual <> expected) AS mismatched FROM a GROUP BY stream)
+SELECT stream, wanted = compared AND mismatched = 0 AS ok, wanted = compared AS lenient, wanted, compared, matched, mismatched, greatest(wanted - compared, 0) AS missing, greatest(compared - wanted, 0) AS extra,
+  'webm' AS container, coalesce(len(list), 0) AS listed, list[1].frame AS first FROM c LEFT JOIN m USING (stream)""")
 def json_report(table) -> DataFrame:
-    """The report is a JSON text; its fields are read back from it."""
-    kind, key = F.col("event_type"), F.col("event_id")
-    expected = F.when(key % 3 > 0, F.md5(F.when(key % 11 == 0, "x").otherwise(kind)))
-    rows = table("events").select(F.col("user_id").alias("stream"), key.alias("frame"), F.md5(kind).alias("actual"), expected.alias("expected"))
-    told = frames.report(rows, "stream").withColumn("r", F.from_json("report", "ok boolean, compared long, matched long, mismatched long, mismatches array<struct<frame: long>>"))
-    return told.select("stream", "r.ok", "r.compared", "r.matched", "r.mismatched", F.size("r.mismatches").cast("long").alias("listed"), F.get("r.mismatches", F.lit(0))["frame"].alias("first"))
+    """Reports of streams that are whole, lack frames, have more of them, or differ; the JSON texts' fields are read back."""
+    kind, key, user = F.col("event_type"), F.col("event_id"), F.col("user_id")
+    expected = F.when((user % 4 != 2) | (key % 3 > 0), F.md5(F.when((user % 4 == 3) & (key % 5 == 0), "x").otherwise(kind)))
+    actual = F.when((user % 4 != 1) | (key % 3 > 0), F.md5(kind))
+    rows = table("events").select(user.alias("stream"), key.alias("frame"), actual.alias("actual"), expected.alias("expected"))
+    about = rows.select("stream").distinct().withColumn("container", F.lit("webm"))
+    fields = "ok boolean, container string, expectedCount long, comparedFrames long, matchedCount long, mismatchedCount long, missingCount long, extraCount long, mismatches array<struct<frame: long>>"
+    told = frames.report(rows, "stream", about=about).withColumn("r", F.from_json("report", fields))
+    lenient = frames.report(rows, "stream", allow_mismatch=True).select("stream", F.from_json("report", "ok boolean")["ok"].alias("lenient"))
+    return told.join(lenient, "stream").select(
+        "stream", "r.ok", "lenient", F.col("r.expectedCount").alias("wanted"), F.col("r.comparedFrames").alias("compared"), F.col("r.matchedCount").alias("matched"), F.col("r.mismatchedCount").alias("mismatched"),
+        F.col("r.missingCount").alias("missing"), F.col("r.extraCount").alias("extra"), "r.container", F.size("r.mismatches").cast("long").alias("listed"), F.get("r.mismatches", F.lit(0))["frame"].alias("first"),
+    )
+
+
+_REFRESHED = ", ".join(f"last_value(CASE WHEN (event_id >> {i}) & 1 = 1 THEN event_id END IGNORE NULLS) OVER w" for i in range(8))
+
+
+@query(f"""WITH RECURSIVE h AS (SELECT user_id, event_id, [{_REFRESHED}] AS held FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT user_id, event_id, held[event_id // 8 % 8 + 1] AS source, CASE WHEN event_id % 5 = 0 THEN event_id % 100 * 16 END AS width FROM h),
+r AS (SELECT user_id, event_id, width FROM f WHERE width IS NOT NULL UNION ALL SELECT f.user_id, f.event_id, r.width FROM f JOIN r ON f.user_id = r.user_id AND f.source = r.event_id WHERE f.width IS NULL)
+SELECT f.event_id, r.width, CASE WHEN r.width IS NULL THEN 'invalid' END AS error FROM f LEFT JOIN r ON f.user_id = r.user_id AND f.event_id = r.event_id""")
+def size_from_refs(table) -> DataFrame:
+    """Every fifth frame has a size of its own; the others take that of the frame in a slot, which may have taken it from another."""
+    key = F.col("event_id")
+    rows = table("events").select("user_id", "ts", "event_id", F.when(key % 5 == 0, key % 100 * 16).alias("own"))
+    held = ordering.slot_lineage(rows, "user_id", ["ts", "event_id"], "event_id", key, F.floor(key / 8) % 8)
+    found = lineage.inherit(held, "user_id", "event_id", F.col("source"), F.col("own"), "width")
+    return found.select("event_id", "width", F.when(F.col("width").isNull(), "invalid").alias("error"))

@@ -228,9 +228,12 @@ def manifest_union(table) -> DataFrame:
 
 @query("""WITH l AS (SELECT o_custkey, unnest([md5(o_orderkey::VARCHAR) || ' a', '', upper(md5(o_orderpriority)) || '  b', 'bad']) AS raw,
   unnest([0, 1, 2, 3]) AS line, o_orderkey FROM orders)
-SELECT o_orderkey, line::INTEGER AS line, CASE WHEN line < 3 THEN lower(raw[1:32]) END AS digest, CASE line WHEN 0 THEN 'a' WHEN 2 THEN 'b' END AS name FROM l WHERE line <> 1""")
+SELECT o_orderkey, line::INTEGER AS line, CASE WHEN line < 3 THEN lower(raw[1:32]) END AS digest, CASE line WHEN 0 THEN 'a' WHEN 2 THEN 'b' END AS name, CASE line WHEN 3 THEN 'bad line' END AS error
+FROM l WHERE line <> 1 AND o_orderkey % 6 > 0 UNION ALL SELECT o_orderkey, NULL, NULL, NULL, 'no frames' FROM orders WHERE o_orderkey % 6 = 0""")
 def sidecar_lines(table) -> DataFrame:
+    """Sidecars with good and bad lines; every sixth has no line at all."""
     text = F.concat(F.md5(F.col("o_orderkey").cast("string")), F.lit(" a\r\n\n"), F.upper(F.md5("o_orderpriority")), F.lit("  b\nbad"))
+    text = F.when(F.col("o_orderkey") % 6 == 0, " \n\t\r\n").otherwise(text)
     return corpus.golden_lines(table("orders").withColumn("sidecar", text), "o_orderkey", "sidecar")
 
 

@@ -9,13 +9,17 @@ from __future__ import annotations
 import re
 import struct
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.cursor import bind
 from ..operators.ordering import carried
 
+#: Rows of a batch that leaves a walk over binary files.
+ROWS = 2000
 #: How a compiled function is named.
 FUNCTION_NAME = r"JS:(.*)-(\d+)-turbofan"
 
@@ -89,20 +93,35 @@ def last_json(output: Column) -> Column:
     return F.try_parse_json(F.element_at(F.split(trimmed, r"\r\n|\r|\n"), -1))
 
 
+#: Members of a report that say why a run failed, in the order in which they are told, and JSON texts that say nothing.
+WHY = ["error", "matchedCount", "mismatchedCount", "missingCount", "extraCount", "mismatches"]
+NOTHING = ["null", "false", "0", "0.0", '""', "[]", "{}"]
+
+
 def run_verdict(output: Column, errors: Column) -> Column:
-    """Struct (ok, detail) of a run: the report's ``ok``, its error if any, and the last five lines of ``errors``."""
-    report = last_json(output)
-    ok = F.coalesce(F.try_variant_get(report, "$.ok", "boolean"), F.lit(False))
-    why = F.when(report.isNull(), "unparseable driver output").otherwise(F.coalesce(F.try_variant_get(report, "$.error", "string"), F.lit("")))
+    """Struct (ok, detail) of a run: the report's ``ok``; if that is not true, its members that say why, as JSON, and the last five lines of ``errors``."""
+
+    def why(report: Column) -> Column:
+        members = []
+        for name in WHY:
+            value = F.to_json(F.try_variant_get(report, f"$.{name}", "variant"))
+            members.append(F.when(~value.isin(*NOTHING), F.concat(F.lit(f'"{name}": '), value)))
+        return F.concat(F.lit("{"), F.concat_ws(", ", *members), F.lit("}"))
+
+    def told(report: Column) -> Column:
+        ok = F.coalesce(F.try_variant_get(report, "$.ok", "boolean"), F.lit(False))
+        detail = F.when(report.isNull(), "unparseable driver output").otherwise(why(report))
+        return F.struct(ok.alias("ok"), F.when(ok, "").otherwise(F.concat(detail, tail)).alias("detail"))
+
+    last = lambda rows: F.concat(F.lit("\n  "), F.array_join(F.slice(rows, F.greatest(F.size(rows) - 4, F.lit(1)), 5), "\n  "))
     trimmed = F.regexp_replace(F.coalesce(errors, F.lit("")), r"^\s+|\s+$", "")
-    rows = F.split(trimmed, r"\r\n|\r|\n")
-    tail = F.when(trimmed != "", F.concat(F.lit("\n  "), F.array_join(F.slice(rows, F.greatest(F.size(rows) - 4, F.lit(1)), 5), "\n  "))).otherwise("")
-    return F.struct(ok.alias("ok"), F.when(ok, "").otherwise(F.concat(why, tail)).alias("detail"))
+    tail = bind(trimmed, lambda t: F.when(t != "", bind(F.split(t, r"\r\n|\r|\n"), last)).otherwise(""))
+    return bind(last_json(output), told)
 
 
 def map_ranges(rows: DataFrame, raw: str, *keep: str) -> DataFrame:
     """(start, end, symbol) of symbol-map lines ``hexstart hexsize name``; other lines are left out."""
-    parts = F.split(F.trim(raw), r"\s+", 3)
+    parts = F.split(F.regexp_replace(raw, r"^\s+|\s+$", ""), r"\s+", 3)
     hexadecimal = r"^(0[xX])?[0-9a-fA-F]{1,16}$"
     good = rows.filter((F.size(parts) == 3) & parts[0].rlike(hexadecimal) & parts[1].rlike(hexadecimal))
     number = lambda c: F.conv(F.regexp_replace(c, "^0[xX]", ""), 16, 10).cast("decimal(20,0)")
@@ -121,8 +140,22 @@ def run_times(text: Column) -> Column:
 #: Bits of a profile's sample type that stand before its period, in their order there, and its own bit.
 BEFORE_PERIOD = {"identifier": 1 << 16, "ip": 1, "thread": 2, "time": 4, "address": 8, "id": 64, "stream": 512, "cpu": 128}
 HAS_PERIOD = 1 << 8
-#: Record kinds.
+#: Record kinds, and where a mapping's name stands in its record.
 MAPPING, SAMPLE, MAPPING_2, CODE_LOAD = 1, 9, 10, 0
+NAME_AT = {MAPPING: 32, MAPPING_2: 64}
+#: The heads of records, kind and length.
+PROFILE_HEAD, DUMP_HEAD = struct.Struct("<I2xH"), struct.Struct("<II8x")
+
+
+def _records(data: bytes, at: int, head: struct.Struct) -> Iterator[tuple[int, int, bytes]]:
+    """(number, kind, what stands behind the head) of records from ``at`` on; one that does not fit ends them."""
+    n = 0
+    while at + head.size <= len(data):
+        kind, length = head.unpack_from(data, at)
+        if length < head.size or at + length > len(data):
+            return
+        yield n, kind, data[at + head.size : at + length]
+        at, n = at + length, n + 1
 
 
 def _profile(data: bytes) -> Iterator[tuple]:
@@ -140,56 +173,46 @@ def _profile(data: bytes) -> Iterator[tuple]:
             there[name], place = place, place + 8
     if kind & HAS_PERIOD:
         there["period"] = place
-    end, n = at + size, 0
-    while at + 8 <= end:
-        record, _, length = struct.unpack_from("<IHH", data, at)
-        if length < 8 or at + length > end:
-            break
-        body, stop = at + 8, at + length
+    for n, record, body in _records(data[: at + size], at, PROFILE_HEAD):
         if record == SAMPLE:
-            read = lambda name, default: struct.unpack_from("<Q", data, body + there[name])[0] if name in there and body + there[name] + 8 <= stop else default  # noqa: E731, B023
-            yield "sample", n, struct.unpack_from("<Q", data, body + there["ip"])[0], read("period", 1), read("time", 0), None, None, None
-        elif record in (MAPPING, MAPPING_2):
-            start, span = struct.unpack_from("<QQ", data, body + 8)
-            name = body + (32 if record == MAPPING else 64)
-            close = data.find(b"\0", name, stop)
-            if close > name:
-                yield "mmap", n, None, None, None, start, start + span, data[name:close].decode("utf-8", "replace")
-        at, n = stop, n + 1
+            fields = {name: int.from_bytes(body[x : x + 8], "little") for name, x in there.items() if x + 8 <= len(body)}
+            yield "sample", n, fields["ip"], fields.get("period", 1), fields.get("time", 0), None, None, None
+        elif record in NAME_AT:
+            name = body[NAME_AT[record] :].split(b"\0")
+            if len(name) > 1 and name[0]:
+                start, span = struct.unpack_from("<8xQQ", body)
+                yield "mmap", n, None, None, None, start, start + span, name[0].decode("utf-8", "replace")
 
 
 def _functions(data: bytes) -> Iterator[tuple]:
     """(record, index, mangled name, address, code) of the compiled functions in a code dump."""
     if len(data) < 16 or struct.unpack_from("<I", data)[0] != 0x4A695444:
         raise ValueError("not a code dump")
-    at, n = struct.unpack_from("<I", data, 8)[0], 0
-    while at + 16 <= len(data):
-        record, size, _ = struct.unpack_from("<IIQ", data, at)
-        if not size or at + size > len(data):
-            break
+    for n, record, body in _records(data, struct.unpack_from("<I", data, 8)[0], DUMP_HEAD):
         if record == CODE_LOAD:
-            address, length = struct.unpack_from("<QQ", data, at + 32)
-            close = data.index(b"\0", at + 56)
-            name = re.fullmatch(FUNCTION_NAME, data[at + 56 : close].decode("utf-8", "replace"))
-            if name:
-                yield n, int(name[2]), name[1], address, data[close + 1 : close + 1 + length]
-        at, n = at + size, n + 1
+            address, length = struct.unpack_from("<16xQQ", body)
+            text, mark, code = body[40:].partition(b"\0")
+            name = re.fullmatch(FUNCTION_NAME, text.decode("utf-8", "replace"))
+            if name and mark:
+                yield n, int(name[2]), name[1], address, code[:length]
 
 
 def _walk(files: DataFrame, key: str, content: str, walk, names: list[str], types: list[pa.DataType], ddl: str) -> DataFrame:
     """(key, the fields that ``walk`` yields, error) of every file; a file of another format gives one row with its error."""
 
+    def found(batch: pa.RecordBatch) -> Iterator[tuple]:
+        for k, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+            try:
+                for row in walk(data.as_py() or b""):
+                    yield k, *row, None
+            except (ValueError, KeyError, struct.error) as why:
+                yield k, *[None] * len(names), str(why)
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, data in zip(batch.column(0), batch.column(1)):
-                rows = []
-                try:
-                    rows += [(k.as_py(), *row, None) for row in walk(data.as_py() or b"")]
-                except (ValueError, struct.error) as why:
-                    rows.append((k.as_py(), *[None] * len(names), str(why)))
-                if rows:
-                    kinds = [batch.schema.field(0).type, *types, pa.string()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], [key, *names, "error"])
+            kinds, rows = [batch.schema.field(0).type, *types, pa.string()], found(batch)
+            while some := list(islice(rows, ROWS)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some), kinds)], [key, *names, "error"])
 
     kind = files.schema[key].dataType.simpleString()
     return files.select(key, F.col(content).cast("binary")).mapInArrow(scan, f"`{key}` {kind}, {ddl}, error string")

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bits
+from ..functions.cursor import bind
 
 PACKET = "packet_index long, ts long, keyframe boolean, visible boolean, payload binary, error string"
 HEADER = "container string, width long, height long, tb_num long, tb_den long, declared_frames long, timestamp_scale long"
@@ -42,14 +43,19 @@ class Starved(Exception):
 
 
 class Ivf:
-    """IVF packets from bytes that come in chunks; any chunking gives the same packets."""
+    """IVF packets from bytes that come in chunks; any chunking gives the same packets.
+
+    ``rest`` holds the bytes that are not used yet, and nothing can come of
+    fewer than ``wanted`` of them.
+    """
 
     def __init__(self) -> None:
         self.header: dict | None = None
-        self.rest, self.skip, self.n = b"", 0, 0
+        self.rest, self.skip, self.n, self.wanted = bytearray(), 0, 0, 32
 
     def push(self, chunk: bytes) -> Iterator[tuple]:
-        data, at = self.rest + chunk, 0
+        self.rest += chunk
+        data, at = self.rest, 0
         if self.header is None and len(data) >= 32:
             mark, version, length, codec, width, height, den, num, frames = struct.unpack_from("<4sHH4sHHIII", data)
             if mark != b"DKIF" or version or length < 32 or codec != b"VP90":
@@ -63,9 +69,11 @@ class Ivf:
                 size, ts = struct.unpack_from("<IQ", data, at)
                 if len(data) - at - 12 < size:
                     break
-                yield self.n, ts if ts < 1 << 63 else ts - (1 << 64), None, None, data[at + 12 : at + 12 + size]
+                yield self.n, ts if ts < 1 << 63 else ts - (1 << 64), None, None, bytes(data[at + 12 : at + 12 + size])
                 at, self.n = at + 12 + size, self.n + 1
-        self.rest = data[at:]
+        del data[:at]
+        if self.header is not None:
+            self.wanted = 1 if self.skip else 12 if len(data) < 12 else 12 + int.from_bytes(data[:4], "little")
 
     def finish(self) -> Iterator[tuple]:
         if self.header is None or self.skip:
@@ -77,15 +85,16 @@ class Ivf:
         return iter(())
 
 
-def read_vint(data: bytes, at: int, identifier: bool = False) -> tuple[int | None, int]:
-    """(value, place after it); an unknown size is None."""
-    if at >= len(data):
+def read_vint(data: bytes, at: int, identifier: bool = False, end: int | None = None) -> tuple[int | None, int]:
+    """(value, place after it) from what stands before ``end``; an unknown size is None."""
+    end = len(data) if end is None else end
+    if at >= end:
         raise Starved
     first = data[at]
     width = 9 - first.bit_length()
     if not first or (identifier and width > 4):
         raise Damaged("bad variable-length integer")
-    if at + width > len(data):
+    if at + width > end:
         raise Starved
     value = int.from_bytes(data[at : at + width], "big")
     if not identifier:
@@ -113,14 +122,15 @@ class Webm:
     """Packets of the one video track of a WebM file from bytes that come in chunks.
 
     Only headers, tracks and one cluster at a time are held; other elements are
-    passed over as they come.
+    passed over as they come.  ``rest`` holds the bytes that are not used yet,
+    and nothing can come of fewer than ``wanted`` of them.
     """
 
     KEPT = (EBML, INFO, TRACKS, CLUSTER)
 
     def __init__(self) -> None:
         self.header: dict | None = None
-        self.rest, self.skip, self.n = b"", 0, 0
+        self.rest, self.skip, self.n, self.wanted = bytearray(), 0, 0, 1
         self.inside, self.left = False, None
         self.scale, self.tracks, self.track = 1_000_000, [], None
 
@@ -150,7 +160,7 @@ class Webm:
 
     def _block(self, data: bytes, a: int, b: int, base: int, key: bool | None) -> Iterator[tuple]:
         try:
-            track, at = read_vint(data[:b], a)
+            track, at = read_vint(data, a, end=b)
         except Starved:
             raise Damaged("truncated block") from None
         if at + 3 > b:
@@ -160,7 +170,7 @@ class Webm:
             return
         if flags & 6:
             raise Damaged("laced block")
-        yield self.n, base + relative, bool(flags & 0x80) if key is None else key, not flags & 8, data[at + 3 : b]
+        yield self.n, base + relative, bool(flags & 0x80) if key is None else key, not flags & 8, bytes(data[at + 3 : b])
         self.n += 1
 
     def _cluster(self, data: bytes, a: int, b: int) -> Iterator[tuple]:
@@ -190,7 +200,9 @@ class Webm:
             yield from self._cluster(data, a, b)
 
     def push(self, chunk: bytes) -> Iterator[tuple]:
-        data, at = self.rest + chunk, 0
+        self.rest += chunk
+        data, at = self.rest, 0
+        self.wanted = 1
         try:
             while True:
                 step = min(self.skip, len(data) - at)
@@ -212,13 +224,14 @@ class Webm:
                     raise Damaged("element exceeds its parent")
                 if name in self.KEPT and (self.inside or name == EBML):
                     if begin + size > len(data):
+                        self.wanted = begin + size - at
                         break
                     yield from self._take(name, data, begin, begin + size)
                 # its body and head are passed over like any other's
                 self.skip = begin - at + size
         except Starved:
-            pass
-        self.rest = data[at:]
+            self.wanted = len(data) - at + 1
+        del data[:at]
 
     def finish(self) -> Iterator[tuple]:
         if self.rest or self.skip:
@@ -248,28 +261,35 @@ def parse(content: bytes) -> Iterator[tuple[dict | None, tuple]]:
         yield reader.header, (None, None, None, None, None, str(why))
 
 
+_NAMES = [part.split()[0] for part in f"{HEADER}, {PACKET}".split(", ")]
+_NOTHING = dict.fromkeys(_NAMES[:7])
+
+
+def packet_batches(found: Iterable[tuple], stream: str, kind: pa.DataType, most_rows: int = 2000, most_bytes: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """Batches of (stream, header, packet), filled across files."""
+    types = [kind, pa.string(), *[pa.int64()] * 6, pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary(), pa.string()]
+    make = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], [stream, *_NAMES])
+    rows, size = [], 0
+    for name, header, packet in found:
+        rows.append((name, *(header or _NOTHING).values(), *packet))
+        size += len(packet[4] or b"")
+        if size > most_bytes or len(rows) >= most_rows:
+            yield make(rows)
+            rows, size = [], 0
+    if rows:
+        yield make(rows)
+
+
 def packets(files: DataFrame, stream: str = "stream", content: str = "content") -> DataFrame:
     """(stream, header fields, packet fields, error) of every file of ``files``.
 
     A null content counts as empty bytes.  Empty tables give no rows.
     """
-    names = [part.split()[0] for part in f"{HEADER}, {PACKET}".split(", ")]
-    nothing = dict.fromkeys(names[:7])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kind = batch.schema.field(0).type
-            types = [kind, pa.string(), *[pa.int64()] * 6, pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary(), pa.string()]
-            for name, data in zip(batch.column(0), batch.column(1)):
-                rows, size = [], 0
-                for header, packet in parse(data.as_py() or b""):
-                    rows.append((name.as_py(), *(header or nothing).values(), *packet))
-                    size += len(packet[4] or b"")
-                    if size > 1 << 22:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], [stream, *names])
-                        rows, size = [], 0
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], [stream, *names])
+            rows = ((name.as_py(), header, packet) for name, data in zip(batch.column(0), batch.column(1)) for header, packet in parse(data.as_py() or b""))
+            yield from packet_batches(rows, stream, batch.schema.field(0).type)
 
     kind = files.schema[stream].dataType.simpleString()
     return files.select(stream, F.col(content).cast("binary")).mapInArrow(scan, f"`{stream}` {kind}, {HEADER}, {PACKET}")
@@ -288,23 +308,29 @@ def coded_frames(payload: Column) -> Column:
     their sizes are; the same byte stands before the sizes.
     """
     size = F.octet_length(payload)
-    marker = bits.big_endian(payload, size - 1, 1)
-    indexed = F.shiftright(marker, 5) == 6
-    wide = F.shiftright(marker, 3).bitwiseAND(F.lit(3)).cast("int") + 1
-    count = marker.bitwiseAND(F.lit(7)).cast("int") + 1
-    begin = size - 2 - count * wide
-
-    def little(k: Column) -> Column:
-        digits = F.hex(F.substring(payload, begin + 2 + k * wide, wide))
-        pairs = F.transform(F.sequence(F.lit(0), wide - 1), lambda i: F.substring(digits, 2 * (wide - 1 - i) + 1, F.lit(2)))
-        return F.conv(F.array_join(pairs, ""), 16, 10).cast("long")
-
-    sizes = F.transform(F.sequence(F.lit(0), count - 1), little)
-    starts = F.transform(sizes, lambda x, i: F.struct(F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(0).cast("long"), lambda a, b: a + b).alias("start"), x.alias("len")))
-    whole = F.aggregate(sizes, F.lit(0).cast("long"), lambda a, b: a + b) == begin
-    valid = (begin >= 0) & (bits.big_endian(payload, begin, 1) == marker)
+
+    def frames(m: Column) -> Column:
+        wide = F.shiftright(m, 3).bitwiseAND(F.lit(3)).cast("int") + 1
+        count = m.bitwiseAND(F.lit(7)).cast("int") + 1
+        begin = size - 2 - count * wide
+
+        def little(k: Column) -> Column:
+            digits = F.hex(F.substring(payload, begin + 2 + k * wide, wide))
+            pairs = F.transform(F.sequence(F.lit(0), wide - 1), lambda i: F.substring(digits, 2 * (wide - 1 - i) + 1, F.lit(2)))
+            return F.conv(F.array_join(pairs, ""), 16, 10).cast("long")
+
+        def placed(sizes: Column) -> Column:
+            # the sum so far stands beside each frame
+            step = lambda s, x: F.struct((s["at"] + x).alias("at"), F.array_append(s["out"], F.struct(s["at"].alias("start"), x.alias("len"))).alias("out"))
+            start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,len:bigint>>").alias("out"))
+            return bind(F.aggregate(sizes, start, step), lambda s: F.when(s["at"] == begin, s["out"]))
+
+        valid = (begin >= 0) & (bits.big_endian(payload, begin, 1) == m)
+        return F.when(valid, bind(F.transform(F.sequence(F.lit(0), count - 1), little), placed))
+
     alone = F.array(F.struct(F.lit(0).cast("long").alias("start"), size.cast("long").alias("len")))
-    return F.when(size > 0, F.when(~indexed, alone).otherwise(F.when(valid, F.when(whole, starts))))
+    marker = bits.big_endian(payload, size - 1, 1)
+    return F.when(size > 0, bind(marker, lambda m: F.when(F.shiftright(m, 5) == 6, frames(m)).otherwise(alone)))
 
 
 def _size(n: int) -> bytes:
@@ -326,20 +352,34 @@ def _number(name: int, value: int) -> bytes:
 _VERSIONS = {0x4286: 1, 0x42F7: 1, 0x42F2: 4, 0x42F3: 8, 0x4287: 4, 0x4285: 2}
 
 
-def write_webm(width: int, height: int, rows: Iterable[tuple[int, int, bool, bytes]]) -> bytes:
-    """A WebM file of (cluster, ms, keyframe, payload) in order; a cluster's first packet gives its time."""
+def _prelude(width: int, height: int) -> tuple[bytes, bytes]:
+    """What stands before the segment, and what it begins with."""
     head = element(EBML, *[_number(k, v) for k, v in _VERSIONS.items()], element(DOC_TYPE, b"webm"))
     video = element(VIDEO, _number(WIDTH, width), _number(HEIGHT, height))
     track = element(TRACK, _number(NUMBER, 1), _number(0x73C5, 1), _number(TYPE, 1), _number(0x9C, 0), element(CODEC, b"V_VP9"), video)
+    return head, element(INFO, _number(SCALE, 1_000_000)) + element(TRACKS, track)
+
+
+def webm_head(width: int, height: int) -> bytes:
+    """The beginning of a file whose segment has no end yet."""
+    head, body = _prelude(width, height)
+    return head + SEGMENT.to_bytes(4, "big") + b"\x01" + b"\xff" * 7 + body
+
+
+def webm_cluster(rows: list[tuple[int, int, bool, bytes]]) -> bytes:
+    """A cluster of (cluster, ms, keyframe, payload); its first packet gives its time."""
+    base = rows[0][1]
+    blocks = [element(SIMPLE, b"\x81", struct.pack(">hB", ms - base, 0x80 if key else 0), payload) for _, ms, key, payload in rows]
+    return element(CLUSTER, _number(TIMESTAMP, base), *blocks)
+
+
+def write_webm(width: int, height: int, rows: Iterable[tuple[int, int, bool, bytes]]) -> bytes:
+    """A WebM file of (cluster, ms, keyframe, payload) in order."""
+    head, body = _prelude(width, height)
     clusters: dict[int, list] = {}
-    for cluster, ms, key, payload in rows:
-        clusters.setdefault(cluster, []).append((ms, key, payload))
-    body = []
-    for part in clusters.values():
-        base = part[0][0]
-        blocks = [element(SIMPLE, b"\x81", struct.pack(">hB", ms - base, 0x80 if key else 0), payload) for ms, key, payload in part]
-        body.append(element(CLUSTER, _number(TIMESTAMP, base), *blocks))
-    return head + element(SEGMENT, element(INFO, _number(SCALE, 1_000_000)), element(TRACKS, track), *body)
+    for row in rows:
+        clusters.setdefault(row[0], []).append(row)
+    return head + element(SEGMENT, body, *map(webm_cluster, clusters.values()))
 
 
 def mux(rows: DataFrame, stream: str, width: int, height: int) -> DataFrame:
@@ -358,9 +398,9 @@ def mux(rows: DataFrame, stream: str, width: int, height: int) -> DataFrame:
     return rows.groupBy(stream).applyInArrow(write, f"`{stream}` {kind}, content binary")
 
 
-def round_trip(sent: DataFrame, got: DataFrame, stream: str) -> DataFrame:
-    """Packets of ``sent`` and ``got`` (stream, packet_index, ts, keyframe, payload) by place, and whether they agree."""
+def round_trip(sent: DataFrame, got: DataFrame, stream: str, width: int, height: int) -> DataFrame:
+    """Packets of ``sent`` and ``got`` (stream, packet_index, ts, keyframe, payload) by place, and whether they and the container's sizes agree."""
     a = sent.select(stream, "packet_index", F.col("ts").alias("__ts"), F.col("keyframe").alias("__key"), F.octet_length("payload").alias("__size"))
-    b = got.select(stream, "packet_index", "ts", "keyframe", F.octet_length("payload").alias("size"))
-    same = F.col("ts").eqNullSafe(F.col("__ts")) & F.col("keyframe").eqNullSafe(F.col("__key")) & F.col("size").eqNullSafe(F.col("__size"))
+    b = got.select(stream, "packet_index", "ts", "keyframe", F.octet_length("payload").alias("size"), ((F.col("width") == width) & (F.col("height") == height)).alias("__sized"))
+    same = F.coalesce("__sized", F.lit(False)) & F.col("ts").eqNullSafe(F.col("__ts")) & F.col("keyframe").eqNullSafe(F.col("__key")) & F.col("size").eqNullSafe(F.col("__size"))
     return a.join(b, [stream, "packet_index"], "full_outer").select(stream, "packet_index", "ts", "keyframe", F.col("size").cast("long").alias("size"), same.alias("same"))

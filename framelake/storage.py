@@ -5,8 +5,10 @@ from __future__ import annotations
 import contextlib
 import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
+from contextvars import ContextVar
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -30,7 +32,10 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-_stages: list[list[str]] = []
+_stages: ContextVar[tuple[list[str], ...]] = ContextVar("stages", default=())
+_lock = threading.Lock()
+#: Sessions with lowered settings: how many writes are under way, and the settings before them.
+_lowered: dict[int, tuple[int, dict[str, str]]] = {}
 
 #: Rows and bytes of a batch that goes to a Python worker while a table is stored; larger settings of the session are lowered to them.
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
@@ -38,17 +43,38 @@ BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execut
 
 @contextlib.contextmanager
 def _small_batches(spark: SparkSession) -> Iterator[None]:
-    """Whole texts make default batches tens of megabytes large, for each task once in Spark and once in Python."""
+    """Whole texts make default batches tens of megabytes large, for each task once in Spark and once in Python.
+
+    Writes of several threads share the lowered settings; the last one to end
+    puts the session's own back.
+    """
     number = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
-    before = {name: spark.conf.get(name) for name in BATCH}
+    with _lock:
+        users, before = _lowered.get(id(spark), (0, {}))
+        if not users:
+            before = {name: spark.conf.get(name) for name in BATCH}
+            for name, value in BATCH.items():
+                if not 0 < number(before[name]) <= value:
+                    spark.conf.set(name, str(value))
+        _lowered[id(spark)] = users + 1, before
     try:
-        for name, value in BATCH.items():
-            if not 0 < number(before[name]) <= value:
-                spark.conf.set(name, str(value))
         yield
     finally:
-        for name, value in before.items():
-            spark.conf.set(name, value)
+        with _lock:
+            users, before = _lowered.pop(id(spark))
+            if users > 1:
+                _lowered[id(spark)] = users - 1, before
+            else:
+                for name, value in before.items():
+                    spark.conf.set(name, value)
+
+
+def fresh_path(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder that nothing lies under; what is written there goes when a :func:`temporary` around it ends."""
+    path = f"{shared_dir(spark)}/framelake/{label}-{uuid.uuid4().hex}"
+    for written in _stages.get():
+        written.append(path)
+    return path
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -58,27 +84,29 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     checkpoint, and row order inside the files is fixed from then on.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/framelake/{label}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, label)
     with _small_batches(spark):
         df.write.parquet(path)
-    for written in _stages:
-        written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 @contextlib.contextmanager
 def temporary(spark: SparkSession) -> Iterator[None]:
-    """What is materialised inside is deleted in the end; results must be stored or collected by then."""
+    """What this thread materialises inside is deleted in the end; results must be stored or collected by then."""
     written: list[str] = []
-    _stages.append(written)
+    token = _stages.set((*_stages.get(), written))
     try:
         yield
     finally:
-        _stages.remove(written)
-        configuration = spark._jsc.hadoopConfiguration()
+        _stages.reset(token)
         for path in written:
-            path = spark._jvm.org.apache.hadoop.fs.Path(path)
-            path.getFileSystem(configuration).delete(path, True)
+            delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder wherever Spark can reach it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def numbered(df: DataFrame) -> DataFrame:
@@ -104,4 +132,4 @@ def numbered(df: DataFrame) -> DataFrame:
     paths = sorted(r[0] for r in placed.select("__file").distinct().collect())
     files = df.sparkSession.createDataFrame([(path, k) for k, path in enumerate(paths)], "__file string, __ordinal long")
     number = F.shiftleft(F.col("__ordinal"), 33) + F.col("__place")
-    return placed.join(F.broadcast(files), "__file").select(*df.columns, number.alias("__row", metadata={"framelake": "row"}))
+    return placed.join(files, "__file").select(*df.columns, number.alias("__row", metadata={"framelake": "row"}))
