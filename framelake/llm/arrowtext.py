@@ -100,8 +100,6 @@ def span_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nd
 _PRIME = np.uint64((1 << 61) - 1)
 #: A place below the prime that its powers start from, made from a rule.
 _PRIME_BASE = int(BASE) % ((1 << 61) - 1)
-#: Bytes whose sums of products with half a power stay below 2**64.
-_PRIME_RUN = 1 << 24
 
 
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -144,18 +142,19 @@ def _prime_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prime_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes modulo 2**61 - 1 of any spans of bytes, their lengths included."""
+    """Hashes modulo 2**61 - 1 of any spans of fewer than 2**24 bytes, their lengths included.
+
+    Products of bytes with both halves of a power are summed up, and sums over a
+    span are differences of whole numbers, so only spans are reduced.
+    """
     up, down = _prime_powers(len(data) + 1)
-    prefix, before = np.zeros(len(data) + 1, np.uint64), np.zeros(1, np.uint64)
-    for a in range(0, len(data), _PRIME_RUN):
-        value = data[a : a + _PRIME_RUN].astype(np.uint64) + np.uint64(1)
-        power = up[a : a + len(value)]
-        low = np.cumsum(value * (power & np.uint64((1 << 31) - 1)), dtype=np.uint64)
-        high = np.cumsum(value * (power >> np.uint64(31)), dtype=np.uint64)
-        high = _times(_reduced(high), np.full(len(high), 1 << 31, np.uint64))
-        prefix[a + 1 : a + 1 + len(value)] = _reduced(_reduced(low) + high + before)
-        before = prefix[a + len(value) : a + len(value) + 1]
-    sums = _reduced(prefix[end] + _PRIME - prefix[start])
+    low, high = np.zeros(len(data) + 1, np.uint64), np.zeros(len(data) + 1, np.uint64)
+    value = data.astype(np.uint64)
+    value += np.uint64(1)
+    np.cumsum(value * (up[: len(data)] & np.uint64((1 << 31) - 1)), out=low[1:])
+    np.cumsum(value * (up[: len(data)] >> np.uint64(31)), out=high[1:])
+    over = _times(_reduced(high[end] - high[start]), np.full(len(start), 1 << 31, np.uint64))
+    sums = _reduced(_reduced(low[end] - low[start]) + over)
     return _times(sums, down[start]) ^ ((end - start).astype(np.uint64) << np.uint64(61))
 
 

@@ -60,8 +60,8 @@ def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
 
 
-def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Segments of some texts: (document, start in it, number of strings, anchor place from start, anchor hash, segment hash)."""
+def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM, hashed: bool = True) -> tuple[np.ndarray, ...]:
+    """Segments of some texts: (document, start in it, number of strings, anchor place from start, anchor hash, segment hash, if asked for)."""
     n = len(data)
     if n < length:
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64))
@@ -79,7 +79,7 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram:
     first = np.flatnonzero(new)
     count = np.diff(np.append(first, len(string)))
     start, anchor, document = string[first], anchor[first], document[first]
-    return document, start - offsets[document], count, anchor - start, hashes[anchor], prime_hashes(data, start, start + count + length - 1)
+    return document, start - offsets[document], count, anchor - start, hashes[anchor], prime_hashes(data, start, start + count + length - 1) if hashed else None
 
 
 def _slices(column: pa.Array, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -116,7 +116,7 @@ def anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, data, offsets in _slices(batch.column(0), length):
-                yield pa.RecordBatch.from_arrays([pa.array(segments(data, offsets, length, gram)[4].view(np.int64))], ["anchor"])
+                yield pa.RecordBatch.from_arrays([pa.array(segments(data, offsets, length, gram, False)[4].view(np.int64))], ["anchor"])
 
     return _numbered(docs).select("text").mapInArrow(scan, "anchor long")
 
@@ -155,7 +155,7 @@ def segment_bytes(docs: DataFrame, wanted: DataFrame, length: int, gram: int) ->
         for batch in batches:
             numbers = batch.column(0).to_numpy()
             for rows, base, data, offsets in _slices(batch.column(1), length):
-                document, start, count, _, _, _ = segments(data, offsets, length, gram)
+                document, start, count, _, _, _ = segments(data, offsets, length, gram, False)
                 row, place = numbers[rows[document]], start + base[document]
                 hit = _hit(shared.value, (row >> 33) * 1000003 + (row & ((1 << 33) - 1)) * 7919 + place)
                 begin = (start + offsets[document])[hit]
