@@ -233,12 +233,14 @@ def bilinear_taps(phase: int) -> list[int]:
     return [0, 0, 0, 128 - 8 * phase, 8 * phase, 0, 0, 0]
 
 
-def interpolate_block(samples: Column, stride: int, width: int, height: int, across: list[int], down: list[int]) -> Column:
+def interpolate_block(samples: Column, stride: int, width: int, height: int, across: list[int] | Column, down: list[int] | Column) -> Column:
     """A separable 8-tap filter: ``height`` + 7 rows are filtered across, rounded and clipped, then down.
 
-    ``samples`` are by rows of ``stride`` (at least ``width`` + 7) samples.
+    ``samples`` are by rows of ``stride`` (at least ``width`` + 7) samples.  Taps
+    are numbers, or an array column where the phase differs from row to row.
     """
-    pick = lambda a, at, step, taps: clip(round2(sum((a[at + k * step] * t for k, t in enumerate(taps) if t), F.lit(0)), 7), 0, 255)
+    terms = lambda taps: [(k, taps[k]) for k in range(8)] if isinstance(taps, Column) else [(k, t) for k, t in enumerate(taps) if t]
+    pick = lambda a, at, step, taps: clip(round2(sum((a[at + k * step] * t for k, t in terms(taps)), F.lit(0)), 7), 0, 255)
     rows = F.transform(F.sequence(F.lit(0), F.lit((height + 7) * width - 1)), lambda k: pick(samples, (F.floor(k / width) * stride + k % width).cast("int"), 1, across))
     columns = lambda b: F.transform(F.sequence(F.lit(0), F.lit(height * width - 1)), lambda k: pick(b, k.cast("int"), width, down))
     return F.element_at(F.transform(F.array(rows), columns), 1)

@@ -160,7 +160,8 @@ def mux_clusters(packets: DataFrame, stream: str, index: str, ms: str, keyframe:
     Where a cluster starts decides when the next one does.  Packets are dealt in
     order into ranges of about ``chunk`` rows, however many one stream has; each
     range within one stream tells where it ends for every start it may be given,
-    the driver chains these, and then all ranges are numbered at once.
+    the driver chains these, one range after another as they stream by, and then
+    all ranges are numbered at once.
     """
     spark = packets.sparkSession
     rows = packets.select(F.col(stream).alias("stream"), F.col(index).alias("i"), F.col(ms).cast("long").alias("ms"), F.col(keyframe).alias("key"))
@@ -188,7 +189,8 @@ def mux_clusters(packets: DataFrame, stream: str, index: str, ms: str, keyframe:
     schema = f"__range int, first {kinds['stream']}, last {kinds['stream']}, whole boolean, start long, n long, none_start long, none_n long, steps array<struct<low: bigint, same: boolean, start: bigint, opened: bigint>>"
     entries: dict[int, tuple] = {}
     before = None
-    for r in sorted(dealt.groupBy("__range").applyInArrow(summary, schema).collect(), key=lambda r: r["__range"]):
+    told = materialise(dealt.groupBy("__range").applyInArrow(summary, schema), "ends")
+    for r in told.orderBy("__range").toLocalIterator():
         state = r.start, r.n
         if before is not None and before[0] == r.first:
             start, n = entries[r["__range"]] = before[1]

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import scan
+
 BUCKET = 4096
 
 
@@ -45,18 +46,13 @@ def symbol_before(samples: DataFrame, ranges: DataFrame, bucket: int = BUCKET) -
 
     Only that one range is looked at: an outer range that also holds the ip does
     not count.  So each range ends for good where the next one starts; of ranges
-    with the same start the last by ``order`` is taken.  The next start is found
-    within each stretch of 2**24 addresses, and across them from one row for
-    each stretch.
+    with the same start the last by ``order`` is taken.  The next start comes
+    from a scan from the highest start down.
     """
-    stretch = F.floor(F.col("start").cast("decimal(20,0)") / F.lit(1 << 24)).cast("long")
-    heads = ranges.groupBy("start").agg(F.max(F.struct("order", "end", "symbol")).alias("x")).select("start", "x.end", "x.symbol", stretch.alias("__c"))
-    after = W.partitionBy("__c").orderBy("start")
-    firsts = heads.groupBy("__c").agg(F.min("start").alias("__first"))
-    # a window over stretches, not over ranges or samples
-    firsts = firsts.select("__c", F.lead("__first").over(W.orderBy("__c")).alias("__next"))
-    cut = heads.withColumn("__lead", F.lead("start").over(after)).join(firsts, "__c")
-    cut = cut.withColumn("end", F.least("end", F.coalesce("__lead", "__next", "end")))
+    heads = ranges.groupBy("start").agg(F.max(F.struct("order", "end", "symbol")).alias("x")).select("start", "x.end", "x.symbol")
+    nearest = scan.Step(F.min("start"), lambda w: F.min("start").over(w), lambda a, b: F.least(a, b))
+    cut = scan.scan(heads, [], [F.desc("start")], nearest, "__next", inclusive=False)
+    cut = cut.withColumn("end", F.least("end", F.coalesce("__next", "end")))
     return newest_range(samples, cut.select("start", "end", "symbol", F.col("start").alias("rank")), bucket)
 
 

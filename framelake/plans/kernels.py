@@ -260,6 +260,50 @@ def subpel_2d(table) -> DataFrame:
     return _samples(table).select("vec_id", coding.interpolate_block(doubled, 11, 4, 4, coding.bilinear_taps(5), coding.bilinear_taps(9)).alias("out"))
 
 
+#: 8 taps for each of 16 phases, made from a rule; each set adds up to 128.
+_TAPS = [[-(p % 3), p % 5, -(p % 7), 128 - 8 * p + p % 3, 8 * p + p % 7, -(p % 4), p % 4, -(p % 5)] for p in range(16)]
+
+
+@query(f"""WITH {_SAMPLES}, w AS (SELECT vec_id, list_concat(v, v) AS v, {_TAPS}[vec_id % 16 + 1] AS a, {_TAPS}[vec_id * 5 % 16 + 1] AS d FROM s),
+f AS (SELECT vec_id, d, [greatest(least(({" + ".join(f"v[(i // 4) * 11 + i % 4 + {k + 1}] * a[{k + 1}]" for k in range(8))} + 64) >> 7, 255), 0) FOR i IN range(44)] AS h FROM w)
+SELECT vec_id, [greatest(least(({" + ".join(f"h[(i // 4 + {k}) * 4 + i % 4 + 1] * d[{k + 1}]" for k in range(8))} + 64) >> 7, 255), 0) FOR i IN range(16)] AS out FROM f""")
+def subpel_phases(table) -> DataFrame:
+    """4x4 blocks at every phase, with 8 taps that differ from row to row."""
+    taps = F.array(*[F.array(*[F.lit(t) for t in row]) for row in _TAPS])
+    doubled = F.concat(F.col("v"), F.col("v"))
+    rows = _samples(table).select("vec_id", doubled.alias("v"), F.get(taps, (F.col("vec_id") % 16).cast("int")).alias("a"), F.get(taps, (F.col("vec_id") * 5 % 16).cast("int")).alias("d"))
+    return rows.select("vec_id", coding.interpolate_block(F.col("v"), 11, 4, 4, F.col("a"), F.col("d")).alias("out"))
+
+
+def _size_sql() -> str:
+    columns = []
+    text = lambda cell, n: f"md5(array_to_string([{cell} FOR i IN range({n * n})], ','))"
+    for n in (8, 16, 32):
+        r, c = f"(i // {n})", f"(i % {n})"
+        columns.append(f"(list_sum(a[1:{n}]) + list_sum(l[1:{n}]) + {n})::BIGINT // {2 * n} AS dc_{n}, (list_sum(a[1:{n}]) + {n // 2})::BIGINT // {n} AS dc_above_{n}, (list_sum(l[1:{n}]) + {n // 2})::BIGINT // {n} AS dc_left_{n}, 128::BIGINT AS dc_none_{n}")
+        columns.append(text(f"a[{c} + 1]", n) + f" AS vertical_{n}, " + text(f"l[{r} + 1]", n) + f" AS horizontal_{n}")
+        columns.append(text(f"greatest(least(l[{r} + 1] + a[{c} + 1] - corner, 255), 0)", n) + f" AS tm_{n}")
+        columns.append(text(f"CASE WHEN {r} + {c} + 2 < {2 * n} THEN (a[{r} + {c} + 1] + 2 * a[{r} + {c} + 2] + a[least({r} + {c} + 3, {2 * n})] + 2) >> 2 ELSE a[{2 * n}] END", n) + f" AS d45_{n}")
+        edge = f"list_concat(list_concat(list_reverse(l[1:{n}]), [corner]), a[1:{n}])"
+        columns.append(f"(SELECT {text(f'(e[{n} + {c} - {r}] + 2 * e[{n} + {c} - {r} + 1] + e[{n} + {c} - {r} + 2] + 2) >> 2', n)} FROM (SELECT {edge} AS e)) AS d135_{n}")
+    return f"WITH p AS (SELECT p_partkey, [((p_partkey * 7 + i * i * 5) % 256)::BIGINT FOR i IN range(64)] AS a, [((p_partkey * 3 + i * 11) % 256)::BIGINT FOR i IN range(32)] AS l, p_partkey % 256 AS corner FROM part) SELECT p_partkey, {', '.join(columns)} FROM p"
+
+
+@query(_size_sql())
+def intra_sizes(table) -> DataFrame:
+    """Blocks of 8, 16 and 32 samples, and means where the edge above, the left one or both are missing."""
+    key = F.col("p_partkey")
+    numbers = lambda n, of: F.transform(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")), of)
+    rows = table("part").select("p_partkey", numbers(64, lambda i: (key * 7 + i * i * 5) % 256).alias("a"), numbers(32, lambda i: (key * 3 + i * 11) % 256).alias("l"), (key % 256).alias("corner"))
+    out = []
+    for n in (8, 16, 32):
+        above, left = F.slice("a", 1, 2 * n), F.slice("l", 1, n)
+        made = lambda mode, *have, n=n, above=above, left=left: coding.predict(mode, above, left, F.col("corner"), n, *have)
+        out += [made("DC", *have)[0].alias(f"{name}_{n}") for name, have in {"dc": (True, True), "dc_above": (True, False), "dc_left": (False, True), "dc_none": (False, False)}.items()]
+        out += [F.md5(F.array_join(made(mode), ",")).alias(f"{name}_{n}") for name, mode in {"vertical": "V", "horizontal": "H", "tm": "TM", "d45": "D45", "d135": "D135"}.items()]
+    return rows.select("p_partkey", *out)
+
+
 @query(f"WITH {_SAMPLES} SELECT vec_id, [trunc((v[i + 1] - 128) * CASE WHEN i = 0 THEN 13 ELSE 17 END / 2.0)::BIGINT FOR i IN range(16)] AS dequantised, [greatest(least(v[i + 1] + v[i + 17] - 128, 255), 0) FOR i IN range(16)] AS rebuilt FROM s")
 def dequantise_add(table) -> DataFrame:
     v = F.col("v")

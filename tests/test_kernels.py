@@ -48,7 +48,7 @@ def test_header_fields(spark):
     assert (f.ref_deltas, f.mode_deltas, f.tree_probabilities, f.compressed_size, f.error) == ([1, 0, -1, -1], [0, 0], [255] * 7, 11, None)
     assert f.compressed_at == math.ceil((69 + len(PLAIN) + len(TILES)) / 8) and f.tiles_at == f.compressed_at + 11
     assert (found[1].refresh_context, found[1].parallel, found[1].level, found[1].error) == (False, True, 9, None)
-    assert found[2].ref_deltas == [-5, 63, -1, -1] and found[2].mode_deltas == [-2, 0] and found[2].base_q == 77 and found[2].error is None
+    assert found[2].ref_deltas == [-5, 0, 63, -1] and found[2].mode_deltas == [-2, 0] and found[2].base_q == 77 and found[2].error is None
     assert found[3].error == "invalid" and found[3].absolute and found[3].features[0] == -200
     assert (found[5].tile_columns_log2, found[5].tile_rows_log2, found[5].compressed_size) == (2, 1, 11)
     assert found[6].error == "invalid" and found[7].error == "invalid"
