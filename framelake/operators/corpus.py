@@ -29,6 +29,14 @@ def manifest_lines(lines: DataFrame, line: Column) -> DataFrame:
     return lines.select(F.lower(parts[0]).alias("digest"), parts[1].alias("path")).filter("digest <> ''")
 
 
+def manifest_entries(lines: DataFrame, line: Column, folder: str, base_url: str, algorithm: str = "sha1") -> DataFrame:
+    """(path, url, algorithm, digest, transform) of the lines of one source of files; a transform is what a download needs, here none."""
+    name = F.col("path")
+    return manifest_lines(lines, line).select(
+        F.concat(F.lit(f"{folder}/"), name).alias("path"), F.concat(F.lit(base_url), name).alias("url"), F.lit(algorithm).alias("algorithm"), "digest", F.lit(None).cast("string").alias("transform")
+    )
+
+
 def union_manifests(*parts: DataFrame) -> DataFrame:
     """All rows of all parts, repeats too."""
     out = parts[0]
@@ -54,13 +62,13 @@ def golden_lines(files: DataFrame, key: str, text: str) -> DataFrame:
 def check_files(entries: DataFrame, files: DataFrame, path: str) -> DataFrame:
     """``entries`` (path, algorithm, digest, …) with status against ``files`` (path, is_file, content): missing, not_a_file, mismatch or ok.
 
-    Each content is hashed where it is read, by both algorithms, so only digests
-    are joined.
+    Each content is hashed where it is read, by all three algorithms, so only
+    digests are joined.
     """
-    digests = files.select(path, "is_file", F.md5("content").alias("__md5"), F.sha1("content").alias("__sha1"))
-    found = F.when(F.col("algorithm") == "sha1", F.col("__sha1")).when(F.col("algorithm") == "md5", F.col("__md5"))
+    digests = files.select(path, "is_file", F.md5("content").alias("__md5"), F.sha1("content").alias("__sha1"), F.sha2("content", 256).alias("__sha256"))
+    found = F.when(F.col("algorithm") == "sha1", F.col("__sha1")).when(F.col("algorithm") == "md5", F.col("__md5")).when(F.col("algorithm") == "sha256", F.col("__sha256"))
     status = F.when(F.col("is_file").isNull(), "missing").when(~F.col("is_file"), "not_a_file").when(found.eqNullSafe(F.lower("digest")), "ok").otherwise("mismatch")
-    return entries.join(digests, path, "left").withColumn("status", status).drop("is_file", "__md5", "__sha1")
+    return entries.join(digests, path, "left").withColumn("status", status).drop("is_file", "__md5", "__sha1", "__sha256")
 
 
 def file_facts(files: DataFrame, path: str) -> DataFrame:

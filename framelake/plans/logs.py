@@ -174,13 +174,30 @@ def json_members(table) -> DataFrame:
     return rows.select("event_id", logs.member_state(F.col("event"), "error").alias("state"), logs.first_member(F.col("event"), "error", "message").alias("message"))
 
 
-@query("""SELECT c_custkey, 'https://example.org/' || c_name AS url, CASE WHEN c_custkey % 2 = 0 THEN 'sha1' ELSE 'md5' END AS algorithm,
+@query("""SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'plain ' || event_id || ' text' WHEN 1 THEN 'bad/' || event_id || ': inner' WHEN 2 THEN 'outer: 7: deep ' || event_id WHEN 3 THEN '{"other":' || event_id || '}'
+  WHEN 4 THEN 'property_name_above_max_length: tool-call argument property name too long (' || event_id || '/64)' ELSE 'a: b: c: d: [object Object]' END AS text FROM events""")
+def error_texts(table) -> DataFrame:
+    """Errors as texts, objects, JSON within texts and too many levels."""
+    key = F.col("event_id")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    raw = (
+        F.when(key % 6 == 0, text('"plain \\n ', key, '  text"'))
+        .when(key % 6 == 1, text('{"type": "bad", "code": ', key, ', "error": null, "message": "inner"}'))
+        .when(key % 6 == 2, text('{"type": "outer", "error": "{\\"status\\": 7, \\"message\\": \\"deep ', key, '\\"}"}'))
+        .when(key % 6 == 3, text('{"other": ', key, "}"))
+        .when(key % 6 == 4, text('"Invalid property name: got a string with length ', key, ', maximum length 64"'))
+        .otherwise('{"type": "a", "error": {"type": "b", "error": {"type": "c", "error": "{\\"type\\": \\"d\\", \\"message\\": {\\"type\\": \\"e\\", \\"message\\": \\"f\\"}}"}}}')
+    )
+    return table("events").select("event_id", logs.error_text(logs.parsed_json(raw)).alias("text"))
+
+
+@query("""SELECT c_custkey, 'https://example.org/' || c_name AS url, CASE WHEN c_custkey % 2 = 0 THEN 'sha1' WHEN c_custkey % 3 = 0 THEN 'sha256' ELSE 'md5' END AS algorithm,
   CASE WHEN c_custkey % 5 = 0 THEN 'missing' WHEN c_custkey % 7 = 0 THEN 'not_a_file' WHEN c_custkey % 11 = 0 THEN 'mismatch' ELSE 'ok' END AS status FROM customer""")
 def integrity(table) -> DataFrame:
     """Entries of a manifest with their algorithm, against files with their content."""
     key, content = F.col("c_custkey"), F.col("c_name").cast("binary")
-    algorithm = F.when(key % 2 == 0, "sha1").otherwise("md5")
-    entries = table("customer").select("c_custkey", F.col("c_name").alias("path"), F.concat(F.lit("https://example.org/"), "c_name").alias("url"), algorithm.alias("algorithm"), F.when(key % 2 == 0, F.sha1(content)).otherwise(F.md5(content)).alias("digest"))
+    algorithm = F.when(key % 2 == 0, "sha1").when(key % 3 == 0, "sha256").otherwise("md5")
+    entries = table("customer").select("c_custkey", F.col("c_name").alias("path"), F.concat(F.lit("https://example.org/"), "c_name").alias("url"), algorithm.alias("algorithm"), F.when(key % 2 == 0, F.sha1(content)).when(key % 3 == 0, F.sha2(content, 256)).otherwise(F.md5(content)).alias("digest"))
     files = table("customer").filter(key % 5 > 0).select(F.col("c_name").alias("path"), (key % 7 > 0).alias("is_file"), F.when(key % 11 == 0, F.lit("x").cast("binary")).otherwise(content).alias("content"))
     return corpus.check_files(entries, files, "path").select("c_custkey", "url", "algorithm", "status")
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import coding, geometry
 from ..operators import bench, compare, corpus, ordering, profile
+from ..storage import materialise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -35,7 +36,8 @@ c AS (SELECT * FROM a FULL JOIN g USING (stream, frame))
 
 
 def _frames(table) -> DataFrame:
-    docs = table("documents").select("doc_id", F.col("source").alias("stream"), F.md5("text").alias("digest"))
+    # stored: ranges are sampled before rows are dealt, and texts are to be read once
+    docs = materialise(table("documents").select("doc_id", F.col("source").alias("stream"), F.md5("text").alias("digest")), "digests")
     golden = docs.join(table("labels").select("doc_id"), "doc_id", "left_semi")
     keep = ["stream", "frame", "digest"]
     return compare.compare(compare.number(docs, "stream", "doc_id").select(keep), compare.number(golden, "stream", "doc_id").select(keep))
@@ -220,10 +222,14 @@ def digest_verify(table) -> DataFrame:
     return corpus.verify(docs.select("doc_id", F.md5("text").alias("expected")), found, "doc_id").select("doc_id", "expected", "digest", "status")
 
 
-@query("SELECT md5(c_name) AS digest, c_name AS path FROM customer UNION ALL SELECT md5(s_name), s_name FROM supplier")
+@query("""SELECT 'a/' || c_name AS path, 'https://one.example/' || c_name AS url, 'sha1' AS algorithm, md5(c_name) AS digest, NULL::VARCHAR AS transform FROM customer
+UNION ALL SELECT 'b/' || s_name, 'https://two.example/' || s_name, 'md5', md5(s_name), NULL FROM supplier UNION ALL SELECT n_name, 'https://three.example/' || n_name, 'sha256', md5(n_name), 'base64' FROM nation""")
 def manifest_union(table) -> DataFrame:
-    first = corpus.manifest_lines(table("customer"), F.concat(F.upper(F.md5("c_name")), F.lit(" *"), "c_name"))
-    return corpus.union_manifests(first, corpus.manifest_lines(table("supplier"), F.concat(F.md5("s_name"), F.lit("  "), "s_name")))
+    """Two sources of lines, and entries that are written out."""
+    first = corpus.manifest_entries(table("customer"), F.concat(F.upper(F.md5("c_name")), F.lit(" *"), "c_name"), "a", "https://one.example/")
+    second = corpus.manifest_entries(table("supplier"), F.concat(F.md5("s_name"), F.lit("  "), "s_name"), "b", "https://two.example/", "md5")
+    third = table("nation").select(F.col("n_name").alias("path"), F.concat(F.lit("https://three.example/"), "n_name").alias("url"), F.lit("sha256").alias("algorithm"), F.md5("n_name").alias("digest"), F.lit("base64").alias("transform"))
+    return corpus.union_manifests(first, second, third)
 
 
 @query("""WITH l AS (SELECT o_custkey, unnest([md5(o_orderkey::VARCHAR) || ' a', '', upper(md5(o_orderpriority)) || '  b', 'bad']) AS raw,

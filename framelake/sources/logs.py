@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import texts
 from ..functions.cursor import bind
 from ..operators.ordering import carried
 
@@ -75,6 +76,63 @@ def first_member(value: Column, *names: str) -> Column:
     return F.coalesce(*[F.try_variant_get(value, f"$.{name}", "string") for name in names])
 
 
+#: Members that label an error, those that hold what lies inside it, how deep errors are followed, and one error's short form.
+LABELS, INSIDE, DEPTH = ["type", "code", "status"], ["error", "message", "param"], 5
+LONG_NAME = "property_name_above_max_length"
+LONG_NAME_TEXT = f"{LONG_NAME}: tool-call argument property name too long"
+
+
+def script_text(value: Column) -> Column:
+    """A VARIANT as scripts write it: texts as they are, whole numbers without a fraction, lists with commas, objects by a fixed word."""
+    kind = F.schema_of_variant(value)
+    scalar = lambda v: (
+        F.when(F.schema_of_variant(v).isin("VOID"), "").when(F.schema_of_variant(v).startswith("OBJECT"), "[object Object]").when(F.schema_of_variant(v) == "DOUBLE", texts.number_text(F.try_variant_get(v, "$", "double"))).otherwise(F.try_variant_get(v, "$", "string"))
+    )
+    joined = F.array_join(F.transform(F.try_variant_get(value, "$", "array<variant>"), scalar), ",")
+    return F.coalesce(F.when(kind.startswith("ARRAY"), joined).otherwise(scalar(value)), F.lit(""))
+
+
+def short_error(text: Column) -> Column:
+    """An error's text on one line; a long message about a name's length becomes a short one with both lengths."""
+
+    def short(one: Column) -> Column:
+        lengths = [F.regexp_extract(one, rf"(?i){before} ([0-9]+)", 1) for before in ("got a string with length", "maximum length")]
+        suffix = F.when((lengths[0] != "") & (lengths[1] != ""), F.concat(F.lit(" ("), lengths[0], F.lit("/"), lengths[1], F.lit(")"))).otherwise("")
+        return F.when(one.contains(LONG_NAME) | one.contains("Invalid property name"), F.concat(F.lit(LONG_NAME_TEXT), suffix)).otherwise(one)
+
+    return bind(texts.inline(text), short)
+
+
+def error_text(value: Column) -> Column:
+    """One line for an error (VARIANT): labels of each level before the text of the innermost one, ``DEPTH`` levels at most.
+
+    A text that holds JSON is a level of its own.  Levels are followed by a fold
+    inwards, which gathers labels, and one outwards, which puts them on.
+    """
+    begin = F.struct(value.alias("value"), F.array().cast("array<string>").alias("labels"), F.lit(None).cast("string").alias("text"))
+
+    def inwards(s: Column, _: Column) -> Column:
+        v, kind = s["value"], F.schema_of_variant(s["value"])
+        plain = F.try_variant_get(v, "$", "string")
+        parsed = F.when((kind == "STRING") & plain.rlike(r"^\s*[{\[]"), F.try_parse_json(F.regexp_replace(plain, r"^\s+|\s+$", "")))
+        names = [F.when(F.schema_of_variant(F.try_variant_get(v, f"$.{name}", "variant")).rlike("^(STRING|BIGINT|DOUBLE|DECIMAL)"), script_text(F.try_variant_get(v, f"$.{name}", "variant"))) for name in LABELS]
+        held = [F.try_variant_get(v, f"$.{name}", "variant") for name in INSIDE]
+        nested = F.coalesce(*[F.when(F.schema_of_variant(x) != "VOID", x) for x in held])
+        is_object = F.coalesce(kind.startswith("OBJECT"), F.lit(False))
+        inner = F.when(is_object, nested).otherwise(parsed)
+        label = F.when(is_object, F.concat_ws("/", *names)).otherwise("")
+        text = F.when(is_object, F.to_json(v)).otherwise(script_text(v))
+        further = F.struct(inner.alias("value"), F.array_append(s["labels"], F.when(label != "", F.concat(label, F.lit(": "))).otherwise("")).alias("labels"), F.when(inner.isNull(), text).alias("text"))
+        return F.when(s["text"].isNotNull(), s).otherwise(further)
+
+    def outwards(s: Column) -> Column:
+        # what lies deeper than all levels is told as it is
+        deepest = F.coalesce(s["text"], texts.inline(script_text(s["value"])))
+        return F.aggregate(F.reverse(s["labels"]), deepest, lambda text, label: short_error(F.concat(label, text)))
+
+    return bind(F.aggregate(F.sequence(F.lit(1), F.lit(DEPTH)), begin, inwards), outwards)
+
+
 def temperatures(rows: DataFrame, key: str, text: str) -> DataFrame:
     """(key, temperature): in the section of current sensors the last BIG one, else the first of type 0; null without either."""
     each = lines(rows, key, text).withColumn("raw", F.trim("raw", F.lit(" \t\r")))

@@ -109,6 +109,10 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Files of a table whose ordinals are broadcast; those of more files are joined.
+MOST_FILES = 100_000
+
+
 def numbered(df: DataFrame) -> DataFrame:
     """``df`` with __row, a number for each row: its file's ordinal above bit 33, its place in that file below.
 
@@ -132,4 +136,5 @@ def numbered(df: DataFrame) -> DataFrame:
     paths = sorted(r[0] for r in placed.select("__file").distinct().collect())
     files = df.sparkSession.createDataFrame([(path, k) for k, path in enumerate(paths)], "__file string, __ordinal long")
     number = F.shiftleft(F.col("__ordinal"), 33) + F.col("__place")
+    files = F.broadcast(files) if len(paths) <= MOST_FILES else files
     return placed.join(files, "__file").select(*df.columns, number.alias("__row", metadata={"framelake": "row"}))

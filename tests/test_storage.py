@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from pathlib import Path
 from types import SimpleNamespace
 
@@ -42,3 +43,24 @@ def test_batches_are_smaller_while_a_table_is_stored(spark):
         found = storage.materialise(spark.range(9000).coalesce(1).mapInArrow(lambda batches: (b.slice(0, 1) for b in batches), "id long"), "batches")
         assert found.count() == -(-9000 // most) and spark.conf.get(name) == setting
     spark.conf.unset(name)
+
+
+def test_threads_delete_their_own_tables_only(spark):
+    made, inside, leave = {}, threading.Event(), threading.Event()
+
+    def other():
+        with storage.temporary(spark):
+            made["other"] = storage.materialise(spark.range(4).toDF("x"), "other")
+            inside.set()
+            leave.wait(60)
+            made["count"] = made["other"].count()
+
+    thread = threading.Thread(target=other)
+    thread.start()
+    inside.wait(60)
+    with storage.temporary(spark):
+        storage.materialise(spark.range(2).toDF("x"), "mine").count()
+    leave.set()
+    thread.join()
+    assert made["count"] == 4
+    assert not any(Path(f.removeprefix("file:")).exists() for f in made["other"].inputFiles())
