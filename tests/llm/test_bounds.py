@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import time
 
@@ -77,3 +78,49 @@ def test_weights_are_held_for_few_rows_at_a_time():
     texts = pa.array([f"text {i}" for i in range(1000)])
     blocks = list(quality.term_weights(texts, np.ones(quality.WORD_BINS, np.float32)))
     assert max(map(len, blocks)) <= quality.BLOCK_ROWS and sum(map(len, blocks)) == 1000
+
+
+def _feistel(values, radices, tag, key):
+    """The permutation of several numbers, written out."""
+    half = len(values) // 2
+    a, b = values[:half], values[half:]
+    draw = lambda k, i, other: int(hashlib.sha256("|".join([key, tag, str(k), str(i), ",".join(map(str, other))]).encode()).hexdigest()[:8], 16)
+    for k in range(pii.ROUNDS):
+        if k % 2 == 0:
+            a = [(x + draw(k, i, b)) % radices[i] for i, x in enumerate(a)]
+        else:
+            b = [(x + draw(k, i, a)) % radices[half + i] for i, x in enumerate(b)]
+    return a + b
+
+
+def test_numbers_equal_a_plain_permutation(spark):
+    values = [f"{a:03d}-{g:02d}-{s:04d}" for a, g, s in ((123, 45, 6789), (665, 1, 1), (667, 99, 9999), (899, 50, 12))]
+    docs = spark.createDataFrame(list(enumerate(values)), "doc_id long, text string")
+    found = {r.doc_id: r.text for r in pii.pseudonymise(docs, "secret").collect()}
+    for k, value in enumerate(values):
+        area, group, serial = map(int, value.split("-"))
+        x, y, z = _feistel([area - (2 if area > 666 else 1), group - 1, serial - 1], [898, 99, 9999], "ssn", "secret")
+        assert found[k] == f"{x + (2 if x >= 665 else 1):03d}-{y + 1:02d}-{z + 1:04d}"
+    hosts = ["10.0.0.1", "192.168.17.254", "255.255.255.255"]
+    docs = spark.createDataFrame(list(enumerate(hosts)), "doc_id long, text string")
+    found = {r.doc_id: r.text for r in pii.pseudonymise(docs, "secret").collect()}
+    for k, host in enumerate(hosts):
+        assert found[k] == ".".join(map(str, _feistel([int(x) for x in host.split(".")], [256] * 4, "ip", "secret")))
+
+
+def test_votes_equal_a_plain_search():
+    dice = np.random.default_rng(3)
+    labelled = np.abs(dice.standard_normal((60, quality.TERMS))).astype(np.float32) * (dice.random((60, quality.TERMS)) < 0.02)
+    labelled[10] = labelled[11] = labelled[12]  # equally near ones
+    labels = dice.integers(0, 2, 60)
+    model = quality.LatentNeighbours(labelled.astype(np.float32), labels, np.ones(quality.WORD_BINS, np.float32), 8)
+    asked = np.concatenate([labelled[:20] + 0.01, np.zeros((1, quality.TERMS))]).astype(np.float32)
+    found = model.vote(asked, block=4)
+    for row, score in zip(asked, found):
+        at = row.astype(np.float32) @ model.axes
+        at = at / max(np.linalg.norm(at), 1e-12)
+        cosine = [float(np.float32(at @ v)) for v in model.vectors]
+        order = sorted(range(60), key=lambda i: (-cosine[i], i))[: quality.VOTES]
+        weight = [max(cosine[i], 0) ** quality.SHARPNESS for i in order]
+        want = sum(w * labels[i] for w, i in zip(weight, order)) / sum(weight) if sum(weight) > 0 else labels.mean()
+        assert abs(score - want) < 1e-3
