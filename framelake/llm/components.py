@@ -15,8 +15,9 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     neighbours.  Small: the neighbours below it, and the node itself, do.
     """
     around = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else links
-    # stored, so that Spark can split a node of many links in the join
-    least = materialise(around.groupBy("a").agg(F.min("b").alias("__low")).select("a", F.least("a", "__low").alias("__low")), "least")
+    least = around.groupBy("a").agg(F.min("b").alias("__low")).select("a", F.least("a", "__low").alias("__low"))
+    if large:  # stored, so that Spark can split a node of many links in the join; the small step leaves nodes few
+        least = materialise(least, "least")
     joined = around.join(least, "a")
     if large:
         out = joined.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("__low").alias("b"))
@@ -35,7 +36,7 @@ def connected(links: DataFrame) -> DataFrame:
     now = materialise(ordered, "links")
     before = None
     while True:
-        now = materialise(_star(materialise(_star(now, True), "links"), False), "links")
+        now = materialise(_star(_star(now, True), False), "links")
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("s")).first()
         if state == before:
             break
