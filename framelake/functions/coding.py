@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .cursor import bind
+
 #: The half-sample taps of the regular interpolation filter.
 HALF_SAMPLE = [-1, 6, -19, 78, 78, -19, 6, -1]
 
@@ -162,69 +166,78 @@ def walsh_hadamard_block(block: Column) -> Column:
 MODES = ["DC", "V", "H", "D45", "D135", "D117", "D153", "D207", "D63", "TM"]
 
 
-def predict(mode: str, above: Column, left: Column, corner: Column, size: int, have_above: bool = True, have_left: bool = True) -> Column:
+def predict(mode: str, above: Column, left: Column, corner: Column, size: int, have_above: bool = True, have_left: bool = True, kind: str | None = None) -> Column:
     """The samples of a block by rows, predicted from the edge.
 
     ``above`` has 2 * size samples, ``left`` has size.  Directional modes read
     one edge that runs from the lowest left sample over the corner to the right.
+    With ``kind`` samples are of that type; those that repeat are cast once.
     """
     n = size
-    cells = F.sequence(F.lit(0), F.lit(n * n - 1))
-    cell = lambda of: F.transform(cells, lambda k: of(F.floor(k / n).cast("int"), (k % n).cast("int")))
+    cast = lambda x: x if kind is None else x.cast(f"array<{kind}>")
     if mode == "DC":
         if not (have_above or have_left):
-            return F.array_repeat(F.lit(128).cast("long"), n * n)
+            return cast(F.array_repeat(F.lit(128).cast("long"), n * n))
         edge = ([F.slice(above, 1, n)] if have_above else []) + ([left] if have_left else [])
         edge = F.concat(*edge)
         count = n * (have_above + have_left)
         mean = F.floor((F.aggregate(edge, F.lit(0).cast("long"), lambda a, x: a + x) + count // 2) / count).cast("long")
-        return F.array_repeat(mean, n * n)
+        return cast(F.array_repeat(mean, n * n))
     if mode == "V":
-        return cell(lambda r, c: above[c])
+        return F.flatten(F.array_repeat(cast(F.slice(above, 1, n)), n))
     if mode == "H":
-        return cell(lambda r, c: left[r])
+        return F.flatten(F.transform(cast(F.slice(left, 1, n)), lambda x: F.array_repeat(x, n)))
     if mode == "TM":
-        return cell(lambda r, c: clip(left[r] + above[c] - corner, 0, 255))
-    if mode == "D45":
-        return cell(lambda r, c: F.when(r + c + 2 < 2 * n, average3(above[r + c], above[r + c + 1], above[F.least(r + c + 2, F.lit(2 * n - 1))])).otherwise(above[2 * n - 1]))
-    if mode == "D63":
+        steps = F.transform(F.slice(left, 1, n), lambda x: x - corner)
+        return cast(bind(F.slice(above, 1, n), lambda a: F.flatten(F.transform(steps, lambda d: F.transform(a, lambda x: clip(x + d, 0, 255))))))
+
+    # along a direction samples repeat from row to row: each row is a part of a line that is worked out once
+    def line(first: int, last: int, of: Callable[[Column], Column]) -> Column:
+        return F.transform(F.sequence(F.lit(first), F.lit(last)), of)
 
-        def by_row(r: Column, c: Column) -> Column:
-            at = (F.floor(r / 2) + c).cast("int")
-            return F.when(r % 2 == 0, average2(above[at], above[at + 1])).otherwise(average3(above[at], above[at + 1], above[at + 2]))
+    def rows(lines: Column, begin: Callable[[Column], Column]) -> Column:
+        return bind(cast(lines), lambda x: F.flatten(line(0, n - 1, lambda r: F.slice(x, begin(r), n))))
 
-        return cell(by_row)
+    def pairs(even: Column, odd: Column, begin: Callable[[Column], Column]) -> Column:
+        """Rows in turn from a line for even rows and one for odd ones, which begin at the same place in both."""
+        of = lambda x: line(0, n // 2 - 1, lambda q: F.flatten(F.array(F.slice(x["even"], begin(q), n), F.slice(x["odd"], begin(q), n))))
+        return bind(F.struct(cast(even).alias("even"), cast(odd).alias("odd")), lambda x: F.flatten(of(x)))
+
+    two = lambda e: lambda k: average2(e[k], e[k + 1])
+    three = lambda e: lambda k: average3(e[k], e[k + 1], e[k + 2])
+    half = lambda k: F.shiftright(k, 1)
+    if mode == "D45":
+        return bind(above, lambda a: rows(F.concat(line(0, 2 * n - 3, three(a)), F.array(a[2 * n - 1])), lambda r: r + 1))
+    if mode == "D63":
+        most = n // 2 + n - 2
+        return bind(above, lambda a: pairs(line(0, most, two(a)), line(0, most, three(a)), lambda q: q + 1))
     if mode == "D207":
 
-        def by_column(r: Column, c: Column) -> Column:
-            at = (r + F.floor(c / 2)).cast("int")
-            sample = lambda k: left[F.least(k, F.lit(n - 1))]
-            slope = F.when(c % 2 == 0, average2(sample(at), sample(at + 1))).otherwise(average3(sample(at), sample(at + 1), sample(at + 2)))
-            return F.when(at >= n - 1, left[n - 1]).otherwise(slope)
+        def downwards(l: Column) -> Column:  # noqa: E741
+            last = l[n - 1]
+            long = F.concat(F.slice(l, 1, n), F.array(last, last))
+            return bind(long, lambda e: rows(F.concat(line(0, 2 * n - 3, lambda k: F.when(k % 2 == 0, two(e)(half(k))).otherwise(three(e)(half(k)))), F.array_repeat(last, n)), lambda r: 2 * r + 1))
 
-        return cell(by_column)
+        return bind(left, downwards)
     # the edge with the corner at place n: left samples count down before it, above ones up after it
-    edge = F.concat(F.reverse(left), F.array(corner), F.slice(above, 1, n))
+    edge = F.concat(F.reverse(F.slice(left, 1, n)), F.array(corner), F.slice(above, 1, n))
     if mode == "D135":
-        return cell(lambda r, c: average3(edge[n + c - r - 1], edge[n + c - r], edge[n + c - r + 1]))
+        return bind(edge, lambda e: rows(line(0, 2 * n - 2, three(e)), lambda r: n - r))
     if mode == "D117":
-
-        def upwards(r: Column, c: Column) -> Column:
-            at = (n + c - F.floor(r / 2)).cast("int")  # of the upper left one of the two samples beside an even row
-            steep = F.when(r % 2 == 0, average2(edge[at], edge[at + 1])).otherwise(average3(edge[at - 1], edge[at], edge[at + 1]))
-            low = n - (r - 2 * c)  # cells that the left edge feeds
-            return F.when(r - 2 * c <= 1, steep).otherwise(average3(edge[low], edge[low + 1], edge[low + 2]))
-
-        return cell(upwards)
+        # before place 0 stands what the left edge feeds, two samples farther for each
+        q = n // 2 - 1
+        before = lambda e, by: [line(-q, -1, lambda k: three(e)(n + 2 * k - by))] if q else []
+        even = lambda e: F.concat(*before(e, 0), line(0, n - 1, lambda k: two(e)(n + k)))
+        odd = lambda e: F.concat(*before(e, 1), line(0, n - 1, lambda k: three(e)(n + k - 1)))
+        return bind(edge, lambda e: pairs(even(e), odd(e), lambda r: q + 1 - r))
     if mode == "D153":
+        low = 2 * (n - 1)
 
-        def sideways(r: Column, c: Column) -> Column:
-            at = (n - r + F.floor(c / 2)).cast("int")
-            flat = F.when(c % 2 == 0, average2(edge[at - 1], edge[at])).otherwise(average3(edge[at - 1], edge[at], edge[at + 1]))
-            high = n + (c - 2 * r)  # cells that the above edge feeds
-            return F.when(c - 2 * r <= 1, flat).otherwise(average3(edge[high - 2], edge[high - 1], edge[high]))
+        def sideways(e: Column) -> Column:
+            flat = lambda k: F.when(k % 2 == 0, two(e)(n - 1 + half(k))).otherwise(three(e)(n - 1 + half(k - 1)))
+            return rows(F.concat(line(-low, 1, flat), line(2, n - 1, lambda k: three(e)(n + k - 2))), lambda r: low + 1 - 2 * r)
 
-        return cell(sideways)
+        return bind(edge, sideways)
     raise ValueError(mode)
 
 
