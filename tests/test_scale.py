@@ -72,3 +72,8 @@ def test_predicted_rows_equal_samples_one_by_one(spark, n):
 def test_small_files_are_dealt_over_many_tasks(spark):
     for name in ("intra_sizes", "gather_blocks"):
         assert "REPARTITION_BY_NUM" in _plan(plans.QUERIES[name](spark, SF)), name
+
+
+@pytest.mark.parametrize("name", ["keyframe_header"])
+def test_work_on_rows_of_a_small_file_is_dealt(spark, name):
+    assert "REPARTITION_BY_NUM" in _plan(plans.QUERIES[name](spark, SF))
