@@ -77,3 +77,8 @@ def test_small_files_are_dealt_over_many_tasks(spark):
 @pytest.mark.parametrize("name", ["keyframe_header"])
 def test_work_on_rows_of_a_small_file_is_dealt(spark, name):
     assert "REPARTITION_BY_NUM" in _plan(plans.QUERIES[name](spark, SF))
+
+
+def test_shown_frames_are_told_before_they_are_filtered(spark):
+    plan = _plan(plans.QUERIES["shown_frames"](spark, SF))
+    assert "unhex" not in plan and "aggregate" not in plan
