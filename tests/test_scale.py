@@ -82,3 +82,9 @@ def test_work_on_rows_of_a_small_file_is_dealt(spark, name):
 def test_shown_frames_are_told_before_they_are_filtered(spark):
     plan = _plan(plans.QUERIES["shown_frames"](spark, SF))
     assert "unhex" not in plan and "aggregate" not in plan
+
+
+def test_no_pattern_runs_over_the_path_of_each_packet(spark):
+    found = plans.QUERIES["media_files"](spark, SF)
+    assert "regexp" not in _plan(found)
+    assert {r.name for r in found.select("name").distinct().collect()} == {str(r[0]) for r in spark.read.parquet(f"{SF}/events.parquet").select("user_id").distinct().collect()}
