@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from framelake.functions import coding
 from framelake.operators import planes
+from framelake.plans import kernels, media  # noqa: F401  (they register their queries)
 from framelake.plans import queries as plans
 
 SF = "/root/testdata/sf0.001"
