@@ -60,6 +60,8 @@ SKETCH_PART = 1 << 12
 #: A region or block of more sets or of more n-grams in all is not joined in one task.
 REGION_ROWS = 500
 REGION_GRAMS = 1 << 21
+#: Pairs of a region and a member that a task puts in order.
+PART_ROWS = 1 << 20
 PIVOTS = 8
 ROUNDS = 6
 
@@ -196,7 +198,7 @@ def document_sets(docs: DataFrame, words: int, percent: int, weights: np.ndarray
             for grams in _sets(batch.column(2), words):
                 sizes.append(len(grams))
                 keys.append(hashlib.md5(grams.tobytes()).digest())
-                regions.append(parts.keys(grams, shared.value).view(np.int64) if len(grams) else np.zeros(0, np.int64))
+                regions.append(np.unique(parts.keys(grams, shared.value)).view(np.int64) if len(grams) else np.zeros(0, np.int64))
             columns = [pa.array(x, kind) for x, kind in zip((sizes, keys, regions), kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["__row", "doc_id", "n_shingles", "set_key", "regions"])
 
@@ -210,11 +212,31 @@ def shared_regions(sets: DataFrame) -> DataFrame:
     # equal sets enter once; a filter lets most rows pass without moving
     first = materialise(full.groupBy("set_key").agg(F.min("__row").alias("__first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "first")
     again = materialise(full.select("set_key", "__row").join(first, "set_key").filter("__row <> __first").select("__row"), "again")
-    rows = bitfilter.without(full.select("__row", "regions"), again, "__row").select(F.explode("regions").alias("region"), F.col("__row").alias("member"))
-    several = rows.groupBy("region").agg(F.min("member").alias("low"), F.max("member").alias("high")).filter("low < high").select("region", "low")
-    several = materialise(several, "shared")
-    inside = bitfilter.test(rows, F.col("region"), bitfilter.build(several, F.col("region")), "__in").filter("__in").drop("__in")
-    return materialise(inside.join(several, "region"), "members")
+    rows = bitfilter.without(full.select("__row", "regions"), again, "__row")
+    # nearly every region has one member: they move once, and nothing is kept for each
+    tasks = -(-(rows.agg(F.sum(F.size("regions"))).first()[0] or 0) // PART_ROWS) or 1
+    pairs = rows.select(F.explode("regions").alias("region"), F.col("__row").alias("member"))
+    pairs = pairs.repartition(tasks, "region").sortWithinPartitions("region", "member")
+    return materialise(pairs.mapInArrow(_several, "region long, member long, low long"), "members")
+
+
+def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(region, member, low) of the regions with two members at least, from different (region, member) in order."""
+    held, told = None, False  # the first pair of the region that may go on, and whether it was passed on
+    for batch in batches:
+        region, member = (column.to_numpy() for column in batch.columns)
+        if not len(region):
+            continue
+        if held is not None:
+            region, member = (np.append(x, y) for x, y in zip(held, (region, member)))
+        first = np.flatnonzero(np.append(True, region[1:] != region[:-1]))
+        size = np.diff(np.append(first, len(region)))
+        kept = np.repeat(size > 1, size)
+        kept[0] &= not told
+        told = bool(size[-1] > 1) or (told and len(first) == 1)
+        held = region[first[-1] : first[-1] + 1], member[first[-1] : first[-1] + 1]
+        low = np.repeat(member[first], size)
+        yield pa.RecordBatch.from_arrays([pa.array(x[kept]) for x in (region, member, low)], ["region", "member", "low"])
 
 
 def _once(members: DataFrame) -> DataFrame:
@@ -250,26 +272,31 @@ def shingle_sets(docs: DataFrame, rows: DataFrame, name: str, words: int) -> Dat
     return numbered(docs).select(F.col("__row").alias(name), F.col("text").cast("string")).mapInArrow(build, f"{name} long, shingles binary")
 
 
-def intersections(sets: list[np.ndarray], width: int = 1 << 12) -> np.ndarray:
-    """Sizes of the intersections of all pairs of sets, ``width`` n-grams at a time.
+def intersections(sets: list[np.ndarray], width: int = 1 << 12, at_once: int = 1 << 18) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sorted sets, by ranges of about ``at_once`` n-grams in all, ``width`` n-grams at a time.
 
     N-grams of one set alone never count, so they are left out.
     """
     n = len(sets)
-    owner = np.repeat(np.arange(n), [len(s) for s in sets])
-    codes, distinct = pd.factorize(np.concatenate(sets))
-    often = np.bincount(codes, minlength=len(distinct)) > 1
-    number = np.cumsum(often) - 1
-    kept = often[codes]
-    owner, codes = owner[kept], number[codes[kept]]
-    order = np.argsort(codes, kind="stable")
-    owner, codes = owner[order], codes[order]
     out = np.zeros((n, n), np.float32)  # exact up to 2**24, and no set of one task is larger
-    for a in range(0, int(often.sum()), width):
-        x, y = np.searchsorted(codes, [a, a + width])
-        block = np.zeros((n, width), np.float32)
-        block[owner[x:y], codes[x:y] - a] = 1
-        out += block @ block.T
+    parts = sum(map(len, sets)) // at_once + 1
+    edges = np.array([(k << 64) // parts for k in range(1, parts)], np.uint64)
+    cuts = [[0, *np.searchsorted(s, edges).tolist(), len(s)] for s in sets]
+    for k in range(parts):
+        some = [s[c[k] : c[k + 1]] for s, c in zip(sets, cuts)]
+        owner = np.repeat(np.arange(n), [len(s) for s in some])
+        codes, distinct = pd.factorize(np.concatenate(some))
+        often = np.bincount(codes, minlength=len(distinct)) > 1
+        number = np.cumsum(often) - 1
+        kept = often[codes]
+        owner, codes = owner[kept], number[codes[kept]]
+        order = np.argsort(codes, kind="stable")
+        owner, codes = owner[order], codes[order]
+        for a in range(0, int(often.sum()), width):
+            x, y = np.searchsorted(codes, [a, a + width])
+            block = np.zeros((n, width), np.float32)
+            block[owner[x:y], codes[x:y] - a] = 1
+            out += block @ block.T
     return out.astype(np.int64)
 
 
@@ -350,20 +377,37 @@ def _distances(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def _block_links(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b) links inside the regions of ``rows`` (region, member, shingles), whole regions to a block of bounded size."""
+    """(a, b) links inside the regions of ``rows`` (region, member, shingles); a task holds the sets of one region at a time."""
 
-    def match(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, part in rows.groupby("region", sort=False):
-            part = part.sort_values("member")
-            names = part["member"].tolist()
-            found = RegionJoin([np.frombuffer(x, np.uint64) for x in part["shingles"]], percent).links()
-            out += [(names[i], names[j]) for i, j in found]
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        region, names, sets, found = None, [], [], []
+
+        def told(least: int) -> Iterator[pa.RecordBatch]:
+            if len(found) >= least:
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+                found.clear()
+
+        def join() -> None:
+            if len(names) > 1:
+                found.extend((names[i], names[j]) for i, j in RegionJoin(sets, percent).links())
+
+        for batch in batches:
+            regions = batch.column(0).to_numpy()
+            bounds = np.flatnonzero(np.concatenate([[True], regions[1:] != regions[:-1], [True]])[: len(regions) + 1]).tolist()
+            for a, b in zip(bounds, bounds[1:]):
+                if regions[a] != region:
+                    join()
+                    yield from told(10_000)
+                    region, names, sets = regions[a], [], []
+                names += batch.column(1).slice(a, b - a).to_pylist()
+                sets += [np.frombuffer(x, np.uint64) for x in batch.column(2).slice(a, b - a).to_pylist()]
+        join()
+        yield from told(0)
 
     grams = rows.agg(F.sum(F.octet_length("shingles")).alias("n")).first().n or 0
     blocks = -(-grams // (2 * REGION_GRAMS)) or 1
-    return rows.withColumn("__block", F.pmod(F.xxhash64("region"), F.lit(blocks))).groupBy("__block").applyInPandas(match, "a long, b long")
+    rows = rows.select("region", "member", "shingles").repartition(blocks, "region").sortWithinPartitions("region", "member")
+    return rows.mapInArrow(match, "a long, b long")
 
 
 def _crowded(rows: DataFrame) -> DataFrame:

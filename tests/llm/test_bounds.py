@@ -20,6 +20,44 @@ def test_unlike_words_of_equal_polynomials_are_not_linked(spark):
     assert {r.doc_id: r.component_id for r in found} == {1: 1, 2: 2, 3: 1}
 
 
+def test_regions_move_once_and_are_told_across_batches(spark, monkeypatch):
+    """Nothing is kept for each region of one member; a region's rows may lie in several batches."""
+    plans, store = [], ngram_join.materialise
+    monkeypatch.setattr(ngram_join, "materialise", lambda df, label: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), store(df, label))[1])
+    dice = random.Random(3)
+    rows = [(k, 5, bytes([k % 90, k // 90]), sorted({7, *(dice.randrange(400) for _ in range(6))} - ({7} if k % 3 else set()))) for k in range(120)]
+    sets = store(spark.createDataFrame(rows, "__row long, n_shingles long, set_key binary, regions array<long>"), "sets")
+    where = {}
+    for row, _, _, regions in rows:
+        for region in regions:
+            where.setdefault(region, []).append(row)
+    want = sorted((region, row, min(rows)) for region, rows in where.items() if len(rows) > 1 for row in rows)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    for most, size in ((1 << 20, "1"), (50, "3"), (50, "10000")):
+        monkeypatch.setattr(ngram_join, "PART_ROWS", most)
+        spark.conf.set(name, size)
+        assert sorted(map(tuple, ngram_join.shared_regions(sets).collect())) == want
+    spark.conf.unset(name)
+    assert sum("Generate explode(regions" in plan for plan in plans) == 3 and not any("Aggregate [region" in plan for plan in plans)
+
+
+def test_a_comparison_holds_one_region_and_a_range_of_its_ngrams(spark, monkeypatch):
+    dice = np.random.default_rng(2)
+    pool = np.unique(dice.integers(0, 1 << 63, 400).astype(np.uint64) * np.uint64(2))
+    sets = [np.sort(dice.choice(pool, size, replace=False)) for size in dice.integers(1, 120, 40)]
+    want = [[len(np.intersect1d(a, b)) if i != j else None for j, b in enumerate(sets)] for i, a in enumerate(sets)]
+    for at_once in (1, 90, 1 << 20):
+        found = ngram_join.intersections(sets, 16, at_once)
+        assert all(found[i, j] == want[i][j] for i in range(40) for j in range(40) if i != j)
+    rows = [(k % 7, k, s.tobytes()) for k, s in enumerate(sets)] + [(k % 7, 100 + k, s.tobytes()) for k, s in enumerate(sets)]
+    monkeypatch.setattr(ngram_join, "REGION_GRAMS", 500)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    links = ngram_join._block_links(spark.createDataFrame(rows, "region long, member long, shingles binary"), 90)
+    assert "FlatMapGroups" not in links._jdf.queryExecution().optimizedPlan().toString()
+    assert {(k, 100 + k) for k in range(40)} <= {tuple(sorted(r)) for r in links.collect()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_grouped_account_numbers_are_permuted_in_their_groups(spark):
     values = ["DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "AT61 1904 3002 3457 3201", "GB29 NWBK 6016 1331 9268 19", "NO93 8601 1117 947", "MT84 MALT 0110 0001 2345 MTLC AST0 01S"]
     texts = [f"pay to {v} IN MAY, or {v}." for v in values] + ["DE88 3704 0044 0532 0130 00 fails"]

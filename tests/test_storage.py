@@ -45,6 +45,16 @@ def test_batches_are_smaller_while_a_table_is_stored(spark):
     spark.conf.unset(name)
 
 
+def test_tables_are_read_in_one_range_at_a_time_while_a_table_is_stored(spark):
+    name = "parquet.hadoop.vectored.io.enabled"
+    with storage._small_batches(spark):
+        assert spark.conf.get(name) == "false"
+    assert spark.conf.get(name, None) is None
+    spark.conf.set(name, "true")
+    assert storage.materialise(spark.range(3), "plain").count() == 3 and spark.conf.get(name) == "true"
+    spark.conf.unset(name)
+
+
 def test_threads_delete_their_own_tables_only(spark):
     made, inside, leave = {}, threading.Event(), threading.Event()
 
